@@ -57,7 +57,7 @@ class Transducer:
     them anew costs less than keeping them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], lookahead: int = 64, depth: int = 4, max_states: int = 100_000, max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], lookahead: int = 64, depth: int = 4, max_states: int = 100_000, max_pieces: int = 120_000):
         self.ranks, self.lookahead, self.depth = ranks, lookahead, depth
         self.max_states, self.max_pieces = max_states, max_pieces
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -148,7 +148,7 @@ class Transducer:
                 key = tokens[start] << 32 | t
                 ok = pairs.get(key)
                 if ok is None:
-                    if len(pairs) > 500_000:
+                    if len(pairs) > 300_000:
                         pairs.clear()
                     ok = pairs[key] = self._fits(tokens[start], t)
                 if ok:
