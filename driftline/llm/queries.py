@@ -8,13 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe
+from driftline.llm import ann, bpe, chat, mix, pivots, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(probe)
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("message").alias("kind"), "role", "text")
+    return chat.digests(chat.render(chat.fold(events)))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, seed=42, distance=2)
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mix.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("size"))), F.lit(0)).alias("taken")
+    return drawn.groupBy("k", "nth").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), taken).drop("k", "nth")
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
 #: The rank file and the pattern of the registered query; both are parameters of ByteBpe.
 VOCABULARY, PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
 
@@ -33,7 +60,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_ann, op7_mix, op8_exact_topk, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
