@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bpe, chat, mix, pivots, simhash
+from driftline.llm import ann, bpe, chat, lines, mix, pivots, simhash, suffixes, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,56 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures, each fetched on a day of 2024 that its id gives, against a list whose log is made from the hosts of all pages."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = _table(spark, sf_dir, "pages").select("page_id", "url", day(F.col("page_id") * 37 % 365).alias("fetched"))
+    hosts = captures.select(urls.host(F.col("url")).alias("host"), "page_id").where("host != ''").groupBy("host").agg(F.min("page_id").alias("m"))
+    change = lambda rows, pattern, action, n: rows.select(pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("day"))
+    m, host = F.col("m"), F.col("host")
+    log = change(hosts.where(m % 3 == 0), host, "add", m * 7 % 200)
+    log = log.unionByName(change(hosts.where((m % 3 == 0) & (m % 2 == 0)), host, "remove", m * 7 % 200 + 80))
+    log = log.unionByName(change(hosts.where((m % 3 == 0) & (m % 4 == 0)), host, "add", m * 7 % 200 + 150))
+    log = log.unionByName(change(hosts.where(m % 5 == 1), F.concat(host, F.lit("/en/")), "add", m * 11 % 300))
+    return urls.blocked(captures, log).select("page_id", "fetched", "blocked", "matched")
+
+
+OP4_SQL = """
+WITH captures AS (
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS DATE) AS fetched,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1) AS host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+hosts AS (SELECT host, min(page_id) AS m FROM captures WHERE host <> '' GROUP BY host),
+entries AS (
+  SELECT host, '' AS path, m * 7 % 200 AS since, CASE WHEN m % 2 = 0 THEN m * 7 % 200 + 80 END AS until FROM hosts WHERE m % 3 = 0
+  UNION ALL SELECT host, '', m * 7 % 200 + 150, NULL FROM hosts WHERE m % 3 = 0 AND m % 4 = 0
+  UNION ALL SELECT host, '/en/', m * 11 % 300, NULL FROM hosts WHERE m % 5 = 1),
+hits AS (
+  SELECT c.page_id, e.host || e.path AS pattern
+  FROM captures c JOIN entries e
+    ON (c.host = e.host OR ends_with(c.host, '.' || e.host)) AND starts_with(c.path, e.path)
+   AND datediff('day', DATE '2024-01-01', c.fetched) >= e.since
+   AND (e.until IS NULL OR datediff('day', DATE '2024-01-01', c.fetched) < e.until))
+SELECT c.page_id, c.fetched, h.pattern IS NOT NULL AS blocked, h.pattern AS matched
+FROM captures c LEFT JOIN (
+  SELECT page_id, pattern FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern DESC) AS r FROM hits) WHERE r = 1) h
+USING (page_id)
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text after line dedup, by length and digest, and the chunks taken out."""
+    out = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("removed").cast("long").alias("removed_chunks"), F.char_length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that other documents have too."""
+    return suffixes.passages(_table(spark, sf_dir, "documents"), length=50).select("doc_id", F.size("spans").cast("long").alias("n_spans"), "repeated_words", "spans")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mix.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     taken = F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("size"))), F.lit(0)).alias("taken")
@@ -42,6 +92,11 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 #: The rank file and the pattern of the registered query; both are parameters of ByteBpe.
 VOCABULARY, PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
 
@@ -60,8 +115,8 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_ann, op7_mix, op8_exact_topk, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_ann, op4_url_filter, op5_line_dedup, op6_suffix_dedup, op7_mix, op8_exact_topk, op9_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL}
