@@ -76,20 +76,26 @@ def _anchors(text: Column, gram: int, length: int) -> Column:
     return made(text)
 
 
-def _around(text: Column, places: Column, length: int) -> Column:
-    """The words to the right of each place, and those to the left from near to far."""
+def _around(length: int, rows: int = 4096):
+    """For each (place, gram) of a text the words to the right of the place, and those to the left from near to far."""
 
-    @F.arrow_udf("array<struct<place:int,right:string,left:string>>")
-    def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("place", pa.int32()), ("right", pa.string()), ("left", pa.string())]))
-        for texts, all_places in batches:
-            out = []
-            for t, some in zip(texts, all_places):
-                words = (t.as_py() or "").encode("utf-8").split()
-                out.append([{"place": p, "right": b" ".join(words[p : p + length]).decode(), "left": b" ".join(words[max(0, p - length) : p][::-1]).decode()} for p in sorted(set(some.as_py() or ()))])
-            yield pa.array(out, kind)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+        names = ["gram", "right", "left", "id", "mark", "place"]
+        for b in batches:
+            out: list = []
+            for k in range(b.num_rows):
+                id, mark, text, at = (b.column(c)[k].as_py() for c in ("id", "mark", "text", "at"))
+                words = text.encode("utf-8").split()
+                for p, g in sorted({(x["place"], x["gram"]) for x in at}):
+                    out.append((g, b" ".join(words[p : p + length]).decode(), b" ".join(words[max(0, p - length) : p][::-1]).decode(), id, mark, p))
+                if len(out) >= rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return made(text, places)
+    return made
 
 
 def shared(a: list[str], b: list[str]) -> int:
@@ -193,8 +199,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     met = kept.join(again, "gram")
     places = durable(met.groupBy("id", "mark").agg(F.collect_list(F.struct("place", "gram")).alias("at")))
     texts = rows.join(places, ["id", "mark"])
-    around = texts.select("id", "mark", F.map_from_entries(F.array_distinct("at")).alias("grams"), F.explode(_around(F.col("text"), F.col("at.place"), length)).alias("s"))
-    suffixes = around.select(F.col("grams")[F.col("s.place")].alias("gram"), "s.right", "s.left", "id", "mark", "s.place")
+    suffixes = texts.select("id", "mark", "text", "at").mapInArrow(_around(length), "gram long, right string, left string, id long, mark long, place int")
     order = ["gram", "right", "left", "id", "mark", "place"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     compared = durable(suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(_sorted_pairs(reach, length, within), _SCHEMA))
