@@ -32,14 +32,19 @@ def ship(spark: SparkSession) -> None:
     sc._driftline_shipped = True
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Only a session that names none (a test
-    on one machine) gets a temporary one.
+    Only a session that names none (a test on one machine) gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
