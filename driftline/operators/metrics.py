@@ -70,4 +70,4 @@ def spearman(scored: DataFrame, a: str, b: str, by: str = "step") -> DataFrame:
     w = Window.partitionBy(by)
     rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2.0
     ranked = scored.select(by, rank(a).alias("ra"), rank(b).alias("rb"))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+    return ranked.groupBy(by).agg(F.count("*").alias("n"), (F.covar_pop("ra", "rb") / F.nullif(F.sqrt(F.var_pop("ra") * F.var_pop("rb")), F.lit(0.0))).alias("rho"))

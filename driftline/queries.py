@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.operators import families, metrics
+from driftline.operators import families, metrics, relational
 from driftline.plans import fits
 from driftline.plans.panel import PANEL_SQL, lineitem_panel, online
 from driftline.plans.staged import output, rendered, sql
@@ -136,8 +136,8 @@ SELECT id, step, round(w1 / (SELECT avg(w1) FROM w), 6) + 0.0 AS step_weight, ro
        round(CASE WHEN target = 1 THEN greatest(CAST(0.05 AS DOUBLE), least(CAST(1 AS DOUBLE), (step - t0 + 1) / CAST(50 AS DOUBLE))) ELSE 1 END, 6) + 0.0 AS evidence_weight FROM w"""
 
 _TRANSFORMS = families.transforms()
-QUERIES["score_transforms"] = lambda spark, d: output(rendered(scored(spark, d), _TRANSFORMS[0]), _TRANSFORMS[1])
-ORACLE["score_transforms"] = scored_sql() + ", " + sql("scored", *_TRANSFORMS)
+QUERIES["score_transforms"] = lambda spark, d: output(rendered(scored(spark, d), _TRANSFORMS[0]), _TRANSFORMS[1], 10)
+ORACLE["score_transforms"] = scored_sql() + ", " + sql("scored", *_TRANSFORMS, 10)
 
 
 def _two_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -151,13 +151,99 @@ ORACLE["spearman_by_step"] = (
     with_sql(PANEL_SQL, fits.MOMENTS_SQL.replace("fits AS", "f1 AS", 1), fits.TREND_SQL.replace("fits AS", "f2 AS", 1))
     + ", online1 AS (SELECT p.id, p.value, p.step, f.* EXCLUDE (id) FROM panel p JOIN f1 f ON p.id = f.id WHERE p.period = 2), online2 AS (SELECT p.id, p.value, p.step, f.* EXCLUDE (id) FROM panel p JOIN f2 f ON p.id = f.id WHERE p.period = 2)"
     + f", a AS (WITH {_S1}), b AS (WITH {_S2})"
-    + """, both AS (SELECT a.id, a.step, a.score AS a, b.score AS b FROM a JOIN b ON a.id = b.id AND a.step = b.step),
+    + """, pairs2 AS (SELECT a.id, a.step, a.score AS a, b.score AS b FROM a JOIN b ON a.id = b.id AND a.step = b.step),
 ranks AS (SELECT step, rank() OVER (PARTITION BY step ORDER BY a) + (count(*) OVER (PARTITION BY step, a) - 1) / CAST(2 AS DOUBLE) AS ra,
-                 rank() OVER (PARTITION BY step ORDER BY b) + (count(*) OVER (PARTITION BY step, b) - 1) / CAST(2 AS DOUBLE) AS rb FROM both)
-SELECT step, count(*) AS n, round(corr(ra, rb), 6) + 0.0 AS rho FROM ranks GROUP BY step HAVING count(*) >= 3"""
+                 rank() OVER (PARTITION BY step ORDER BY b) + (count(*) OVER (PARTITION BY step, b) - 1) / CAST(2 AS DOUBLE) AS rb FROM pairs2)
+SELECT step, count(*) AS n, CASE WHEN var_pop(ra) > 0 AND var_pop(rb) > 0 THEN round(covar_pop(ra, rb) / sqrt(var_pop(ra) * var_pop(rb)), 6) + 0.0 END AS rho FROM ranks GROUP BY step HAVING count(*) >= 3"""
 )
 
 
+# Relational verbs on one row a series
+
+STATS_SQL = """
+lagged AS (SELECT *, lag(value) OVER (PARTITION BY id ORDER BY step) AS prev FROM panel WHERE period = 2),
+m AS (SELECT *, avg(value) OVER (PARTITION BY id) AS mv FROM lagged),
+stats AS (
+  SELECT id, max(target) AS broken, min(CASE WHEN target = 1 THEN step END) AS tau, CAST(sum(target) AS BIGINT) AS post_len, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd,
+         avg((value - mv) * (value - mv) * (value - mv)) / power(stddev_pop(value), 3) AS skew, kurtosis_pop(value) AS kurt, corr(value, prev) AS ac1,
+         quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.95) AS q95
+  FROM m GROUP BY id)
+"""
+_STATS = ["mean", "sd", "skew", "kurt", "ac1", "q05", "q50", "q95"]
+_BINS = [0.0, 40.0, 80.0, 120.0, 160.0, 1000.0]
+_BIN_SQL = "CASE " + " ".join(f"WHEN post_len >= {a:g} AND post_len < {b:g} THEN '{a:g}-{b:g}'" for a, b in zip(_BINS, _BINS[1:])) + " END"
+_KIND_SQL = "CASE WHEN {0} = '' THEN 'none' ELSE {0} END".format("(CASE WHEN abs(mean - 25) > 4 THEN 'M' ELSE '' END || CASE WHEN sd > 16 THEN 'V' ELSE '' END || CASE WHEN abs(ac1) > 0.05 THEN 'D' ELSE '' END)")
+
+
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    """One row a series, with a bin of its broken length and a kind made of flags."""
+    flags = {"M": F.abs(F.round("mean", 9) - 25) > 4, "V": F.round("sd", 9) > 16, "D": F.abs(F.round("ac1", 9)) > 0.05}
+    base = relational.segment_stats(lineitem_panel(spark, d))
+    return base.withColumn("bin", relational.cut(F.col("post_len"), _BINS)).withColumn("kind", relational.kind(flags))
+
+
+_KINDED = with_sql(PANEL_SQL, STATS_SQL) + f", kinded AS (SELECT *, {_BIN_SQL} AS bin, {_KIND_SQL} AS kind FROM stats)"
+
+QUERIES["segment_stats"] = lambda spark, d: rounded(stats(spark, d), ["id", "broken", "tau", "post_len", "n", "bin", "kind"], _STATS)
+ORACLE["segment_stats"] = _KINDED + " " + rounded_sql(["id", "broken", "tau", "post_len", "n", "bin", "kind"], _STATS, "kinded")
+
+QUERIES["kind_by_bin_crosstab"] = lambda spark, d: relational.crosstab(stats(spark, d), "kind", "bin", ["0-40", "40-80", "80-120", "120-160", "160-1000"])
+ORACLE["kind_by_bin_crosstab"] = _KINDED + " SELECT kind, " + ", ".join(f"CAST(count(*) FILTER (bin = '{a:g}-{b:g}') AS BIGINT) AS \"{a:g}-{b:g}\"" for a, b in zip(_BINS, _BINS[1:])) + " FROM kinded GROUP BY kind"
+
+QUERIES["kind_value_counts"] = lambda spark, d: stats(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.abs("skew") > 0.1).cast("double")), 6).alias("skewed"))
+ORACLE["kind_value_counts"] = _KINDED + " SELECT kind, count(*) AS n, round(avg(CASE WHEN abs(skew) > 0.1 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS skewed FROM kinded GROUP BY kind"
+
+_ROBUST_SQL = _KINDED + """,
+med AS (SELECT n % 3 AS g, quantile_cont(sd, 0.5) AS med, count(*) AS c FROM kinded WHERE broken = 0 GROUP BY 1),
+mad AS (SELECT n % 3 AS g, quantile_cont(abs(sd - med), 0.5) AS mad FROM kinded JOIN med ON n % 3 = g WHERE broken = 0 GROUP BY 1),
+robust AS (SELECT k.*, CASE WHEN c >= 5 THEN (sd - med) / (CAST(1.4826 AS DOUBLE) * mad + CAST(1e-12 AS DOUBLE)) END AS z FROM kinded k LEFT JOIN med ON n % 3 = med.g LEFT JOIN mad ON n % 3 = mad.g)"""
+
+
+def robust(spark: SparkSession, d: str) -> DataFrame:
+    return relational.robust_z(stats(spark, d).withColumn("g", F.col("n") % 3), "sd", "g", F.col("broken") == 0, 5)
+
+
+QUERIES["robust_z_controls"] = lambda spark, d: rounded(robust(spark, d), ["id", "broken"], ["z"])
+ORACLE["robust_z_controls"] = _ROBUST_SQL + " " + rounded_sql(["id", "broken"], ["z"], "robust")
+
+QUERIES["detectability"] = lambda spark, d: rounded(relational.detectability(robust(spark, d), ["z", "skew", "kurt"]), ["name", "broken", "n"], ["iqr", "over2", "over3", "over5"])
+ORACLE["detectability"] = _ROBUST_SQL + """,
+long AS (SELECT broken, 'z' AS name, z FROM robust UNION ALL SELECT broken, 'skew', skew FROM robust UNION ALL SELECT broken, 'kurt', kurt FROM robust)
+SELECT name, broken, count(*) AS n, round(quantile_cont(z, 0.75) - quantile_cont(z, 0.25), 6) + 0.0 AS iqr, """ + ", ".join(f"round(avg(CASE WHEN abs(z) > {k} THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS over{k}" for k in (2, 3, 5)) + " FROM long WHERE z IS NOT NULL GROUP BY name, broken"
+
+QUERIES["top_series_by_sd"] = lambda spark, d: rounded(stats(spark, d).select("id", F.round("sd", 6).alias("sd")).orderBy(F.desc("sd"), "id").limit(10), ["id"], ["sd"])
+ORACLE["top_series_by_sd"] = _KINDED + " SELECT id, round(sd, 6) + 0.0 AS sd FROM kinded ORDER BY round(sd, 6) DESC, id LIMIT 10"
+
+_WIDE = ["mean", "sd", "skew", "kurt"]
+QUERIES["winsorised_features"] = lambda spark, d: rounded(relational.winsorised(stats(spark, d).select("id", *_WIDE), _WIDE), ["id"], _WIDE)
+ORACLE["winsorised_features"] = _KINDED + ", marks AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.5) AS {c}_mid, quantile_cont({c}, 0.99) AS {c}_hi" for c in _WIDE) + " FROM kinded) SELECT id, " + ", ".join(f"round(greatest({c}_lo, least({c}_hi, coalesce({c}, {c}_mid))), 6) + 0.0 AS {c}" for c in _WIDE) + " FROM kinded, marks"
+
+QUERIES["value_histogram"] = lambda spark, d: relational.histogram(lineitem_panel(spark, d), "value", 12, "period")
+ORACLE["value_histogram"] = with_sql(PANEL_SQL) + """,
+edge AS (SELECT period, quantile_cont(value, 0.005) AS a, quantile_cont(value, 0.995) AS b FROM panel GROUP BY period)
+SELECT p.period, CAST(least(floor((value - a) / (b - a) * 12), 11) AS BIGINT) AS bin, count(*) AS n FROM panel p JOIN edge e ON p.period = e.period WHERE value >= a AND value <= b AND b > a GROUP BY 1, 2"""
+
+QUERIES["two_sample_ks_w1"] = lambda spark, d: rounded(relational.two_sample(lineitem_panel(spark, d)), ["id", "n0", "n1"], ["ks", "w1"])
+ORACLE["two_sample_ks_w1"] = with_sql(PANEL_SQL) + """,
+merged AS (SELECT id, value, sum(CASE WHEN period = 1 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN period = 2 THEN 1 ELSE 0 END) AS b FROM panel GROUP BY id, value),
+f AS (SELECT id, sum(a) OVER w / CAST(sum(a) OVER (PARTITION BY id) AS DOUBLE) AS fa, sum(b) OVER w / CAST(sum(b) OVER (PARTITION BY id) AS DOUBLE) AS fb,
+             sum(a) OVER (PARTITION BY id) AS n0, sum(b) OVER (PARTITION BY id) AS n1, lead(value) OVER (PARTITION BY id ORDER BY value) - value AS gap
+      FROM merged WINDOW w AS (PARTITION BY id ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT id, CAST(first(n0) AS BIGINT) AS n0, CAST(first(n1) AS BIGINT) AS n1, round(max(abs(fa - fb)), 6) + 0.0 AS ks, round(sum(abs(fa - fb) * coalesce(gap, 0)), 6) + 0.0 AS w1 FROM f GROUP BY id"""
+
+QUERIES["rank_against_history"] = lambda spark, d: rounded(relational.rank_against_history(lineitem_panel(spark, d)), ["id", "step", "below", "upto", "n"], ["u"])
+ORACLE["rank_against_history"] = with_sql(PANEL_SQL) + """,
+h AS (SELECT id, count(*) AS n FROM panel WHERE period = 1 GROUP BY id),
+c AS (SELECT o.id, o.step, count(*) FILTER (p.value < o.value) AS below, count(*) FILTER (p.value <= o.value) AS upto
+      FROM panel o JOIN panel p ON p.id = o.id AND p.period = 1 WHERE o.period = 2 GROUP BY o.id, o.step)
+SELECT c.id, c.step, below, upto, n, round((CAST(0.5 AS DOUBLE) * (below + upto) + CAST(0.5 AS DOUBLE)) / (n + 1), 6) + 0.0 AS u FROM c JOIN h ON c.id = h.id"""
+
+QUERIES["matched_controls"] = lambda spark, d: relational.matched_controls(stats(spark, d), "id", "n", "broken")
+
+QUERIES["score_label_join"] = lambda spark, d: rounded(scored(spark, d).select("id", "step", "score").join(lineitem_panel(spark, d).where("period = 2").select("id", "step", "target"), ["id", "step"]).groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("id").alias("series"), F.avg("score").alias("score")), ["target", "n", "series"], ["score"])
+ORACLE["score_label_join"] = scored_sql() + " SELECT target, count(*) AS n, count(DISTINCT id) AS series, round(avg(score), 6) + 0.0 AS score FROM scored GROUP BY target"
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
