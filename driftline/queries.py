@@ -136,8 +136,8 @@ SELECT id, step, round(w1 / (SELECT avg(w1) FROM w), 6) + 0.0 AS step_weight, ro
        round(CASE WHEN target = 1 THEN greatest(CAST(0.05 AS DOUBLE), least(CAST(1 AS DOUBLE), (step - t0 + 1) / CAST(50 AS DOUBLE))) ELSE 1 END, 6) + 0.0 AS evidence_weight FROM w"""
 
 _TRANSFORMS = families.transforms()
-QUERIES["score_transforms"] = lambda spark, d: output(rendered(scored(spark, d), _TRANSFORMS[0]), _TRANSFORMS[1], 10)
-ORACLE["score_transforms"] = scored_sql() + ", " + sql("scored", *_TRANSFORMS, 10)
+QUERIES["score_transforms"] = lambda spark, d: output(rendered(scored(spark, d, digits=12), _TRANSFORMS[0]), _TRANSFORMS[1])
+ORACLE["score_transforms"] = scored_sql(digits=12) + ", " + sql("scored", *_TRANSFORMS)
 
 
 def _two_scores(spark: SparkSession, d: str) -> DataFrame:
