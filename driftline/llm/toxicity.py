@@ -130,7 +130,7 @@ class Automaton:
 class Model:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
-    weights: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0, 0.0)
     window: int = 8
 
 
@@ -182,11 +182,15 @@ class Scorer:
         return exact, fuzzy, quoted
 
     def score(self, text: str) -> float:
-        b, *w = self.model.weights
-        z = b + sum(k * math.log1p(s) for k, s in zip(w, self.sums(text)))
+        z = sum(w * x for w, x in zip(self.model.weights, features(*self.sums(text))))
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
+def features(exact: float, fuzzy: float, quoted: float) -> tuple[float, ...]:
+    """What the logistic model sees: the sums, damped, and whether a text has more than one place."""
+    return 1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), float(exact + fuzzy > 1)
+
+
 def _marks(text: str, longest: int = 12) -> set[str]:
     """A text's words, ended by $, and their beginnings."""
     out = set()
@@ -211,9 +215,9 @@ def _lexicon(counts: list[tuple[str, int, int]], pos: int, neg: int, needed: flo
     return [w for w in words if not any(w.startswith(s) for s in stems)], stems
 
 
-def _fit(x: np.ndarray, y: np.ndarray, prior=(-3.0, 2.5, 1.0, 0.5), width=(4.0, 2.0, 1.0, 0.5), rounds: int = 40) -> tuple[float, ...]:
+def _fit(x: np.ndarray, y: np.ndarray, prior=(-3.0, 2.5, 1.0, 0.5, 1.0), width=(4.0, 2.0, 1.0, 0.5, 2.0), rounds: int = 40) -> tuple[float, ...]:
     """Logistic weights at the mode, around a prior that stays where the data say nothing."""
-    a = np.column_stack([np.ones(len(x)), np.log1p(x)])
+    a = np.array([features(*row) for row in x])
     m, s = np.array(prior), 1 / np.square(np.array(width))
     w = m.copy()
     for _ in range(rounds):
@@ -225,7 +229,7 @@ def _fit(x: np.ndarray, y: np.ndarray, prior=(-3.0, 2.5, 1.0, 0.5), width=(4.0,
     return tuple(float(v) for v in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 16_000, needed: float = 12.0, purity: float = 0.9, seed: int = 3) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 16_000, needed: float = 12.0, purity: float = 0.7, seed: int = 3) -> Model:
     """A model from the labelled documents. rows: those learned from, about, at most."""
     spark = docs.sparkSession
     ship(spark)
@@ -237,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     sizes = {r["y"]: r["count"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
-        return Model(weights=(20.0 if pos else -20.0, 0.0, 0.0, 0.0))
+        return Model(weights=(20.0 if pos else -20.0, 0.0, 0.0, 0.0, 0.0))
 
     def count(wanted):
         def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
