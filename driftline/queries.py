@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import families, metrics, relational
+from driftline.operators import augment, families, grouped, innovations, learn, metrics, relational
 from driftline.plans import fits
 from driftline.plans.panel import PANEL_SQL, lineitem_panel, online
-from driftline.plans.staged import output, rendered, sql
+from driftline.plans.staged import d as dbl
+from driftline.plans.staged import ewma, output, rendered, sql
+from driftline.session import durable
+from driftline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,6 +247,123 @@ QUERIES["score_label_join"] = lambda spark, d: rounded(scored(spark, d).select("
 ORACLE["score_label_join"] = scored_sql() + " SELECT target, count(*) AS n, count(DISTINCT id) AS series, round(avg(score), 6) + 0.0 AS score FROM scored GROUP BY target"
 
 
+# Grouped functions of a series
+
+SCANS = innovations.scan_steps(1000)
+
+
+def z_online(spark: SparkSession, d: str) -> DataFrame:
+    panel = lineitem_panel(spark, d)
+    return rendered(online(panel, fits.moments(panel)), families.standardised())
+
+
+QUERIES["split_scan"] = lambda spark, d: rounded(grouped.split_scan(z_online(spark, d), "z", SCANS), ["id", "step"], ["gap", "ratio"])
+ORACLE["split_scan"] = with_sql(PANEL_SQL, fits.MOMENTS_SQL, ONLINE_SQL) + f""",
+x AS (SELECT id, step, step + 1 AS k, (value - mu) / sd0 AS z FROM online),
+sums AS (SELECT id, step, k, sum(z) OVER w AS a, sum(z * z) OVER w AS b FROM x WINDOW w AS (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pairs AS (SELECT t.id, t.step, t.k AS t, s.k, s.a / s.k AS m1, (t.a - s.a) / (t.k - s.k) AS m2,
+                 s.b / s.k - (s.a / s.k) * (s.a / s.k) AS u1, (t.b - s.b) / (t.k - s.k) - ((t.a - s.a) / (t.k - s.k)) * ((t.a - s.a) / (t.k - s.k)) AS u2
+          FROM sums t JOIN sums s ON t.id = s.id AND s.k >= 5 AND s.k <= t.k - 5 WHERE t.k IN ({', '.join(map(str, SCANS))}) AND t.k >= 10),
+best AS (SELECT id, step, max(abs(m1 - m2) / sqrt(greatest(u1, CAST(1e-12 AS DOUBLE)) / k + greatest(u2, CAST(1e-12 AS DOUBLE)) / (t - k))) AS g,
+                max(abs(ln(greatest(u2, CAST(1e-12 AS DOUBLE)) / greatest(u1, CAST(1e-12 AS DOUBLE))))) AS r FROM pairs GROUP BY id, step),
+held AS (SELECT x.id, x.step, last_value(g IGNORE NULLS) OVER w AS g, last_value(r IGNORE NULLS) OVER w AS r FROM x LEFT JOIN best USING (id, step)
+         WINDOW w AS (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT id, step, round(coalesce(g, 0), 6) + 0.0 AS gap, round(coalesce(r, 0), 6) + 0.0 AS ratio FROM held"""
+
+_BATTERY = innovations.battery()
+QUERIES["white_context"] = lambda spark, d: innovations.streams(lineitem_panel(spark, d)).where("step = 0").select("id", *innovations.CONTEXT)
+QUERIES["white_battery"] = lambda spark, d: rendered(innovations.streams(lineitem_panel(spark, d)), _BATTERY[0]).where("step >= 0").select("id", "step", *(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col(c))).alias(c) for c in _BATTERY[1]))
+QUERIES["white_odds"] = lambda spark, d: innovations.odds(innovations.streams(lineitem_panel(spark, d)))
+QUERIES["white_tests"] = lambda spark, d: innovations.tests(innovations.streams(lineitem_panel(spark, d)))
+QUERIES["run_lengths"] = lambda spark, d: grouped.run_lengths(lineitem_panel(spark, d))
+QUERIES["spectra_short"] = lambda spark, d: grouped.spectra(lineitem_panel(spark, d))
+QUERIES["spectra_long"] = lambda spark, d: grouped.spectra(lineitem_panel(spark, d), (64, 128, 256, 512, 1024), 10)
+QUERIES["novelty"] = lambda spark, d: grouped.novelty(lineitem_panel(spark, d))
+
+
+def dependence_channels(spark: SparkSession, d: str) -> DataFrame:
+    """CUSUMs and exponential means of lagged products of residuals, and two portmanteau sums."""
+    rows = grouped.dependence(lineitem_panel(spark, d))
+    sides = {f"q{k}": innovations._two_sided(f"dep{k}_cusum", f"q{k}") for k in (1, 2, 3, 5, 10)} | {f"a{k}": innovations._two_sided(f"abs{k}_cusum", f"a{k}") for k in (1, 2, 5)}
+    smooth = {f"dep{k}_fast": ewma(f"q{k}", 0.02) for k in (1, 2, 3, 5, 10)} | {f"dep{k}_slow": ewma(f"q{k}", 0.005) for k in (1, 2, 3, 5, 10)} | {f"abs{k}_ewma": ewma(f"a{k}", 0.01) for k in (1, 2, 5)}
+    ports = {f"p{k}": ewma(f"q{k}", 0.01) for k in range(1, 11)} | {f"r{k}": ewma(f"q{k}", 0.003) for k in range(1, 11)}
+    sums = {"port_fast": "199 * (" + " + ".join(f"p{k} * p{k}" for k in range(1, 11)) + ")", "port_slow": "666 * (" + " + ".join(f"r{k} * r{k}" for k in range(1, 11)) + ")"}
+    names = [next(iter(v[1])) for v in sides.values()] + list(smooth) + list(sums)
+    out = rendered(rows, [{k: e for v in sides.values() for k, e in v[0].items()} | smooth | ports, {k: e for v in sides.values() for k, e in v[1].items()} | sums])
+    return out.select("id", "step", *(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col(c))).alias(c) for c in names))
+
+
+QUERIES["dependence_cusum"] = dependence_channels
+
+
+# Augmentation
+
+QUERIES["boundary_cuts"] = lambda spark, d: rounded(augment.boundary_cuts(lineitem_panel(spark, d)).where("period = 2"), ["id", "time", "step", "target"], ["value"])
+ORACLE["boundary_cuts"] = with_sql(PANEL_SQL) + """,
+meta AS (SELECT id, max(onl_len) AS onl_len, max(hist_len) AS hist_len, min(CASE WHEN target = 1 THEN step END) AS tau FROM panel WHERE period = 2 GROUP BY id),
+lim AS (SELECT *, least(coalesce(tau, onl_len), onl_len - 20) AS lim FROM meta WHERE onl_len >= 60),
+cuts AS (SELECT l.id, hist_len AS hl, j, 10 + (l.id * 31 + j * 57) % (lim - 10) AS k FROM lim l, (VALUES (0), (1), (2)) v(j) WHERE lim >= 30)
+SELECT 100000 + p.id * 10 + j AS id, time, time - hl - k AS step, target, round(value, 6) + 0.0 AS value FROM panel p JOIN cuts c ON p.id = c.id WHERE time - hl - k >= 0"""
+
+QUERIES["cut_windows"] = lambda spark, d: augment.windows(lineitem_panel(spark, d).where("period = 2")).select("id", "start", "label", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+ORACLE["cut_windows"] = with_sql(PANEL_SQL) + """,
+meta AS (SELECT id, max(onl_len) AS n, min(CASE WHEN target = 1 THEN step END) AS tau FROM panel WHERE period = 2 GROUP BY id),
+starts AS (SELECT id, n, tau, s * 16 AS start FROM meta, range(0, 1000) r(s) WHERE s * 16 + 128 <= n),
+labelled AS (SELECT *, CASE WHEN tau IS NULL OR start + 128 <= tau THEN 0 WHEN (tau - start) / CAST(128 AS DOUBLE) BETWEEN 0.15 AND 0.85 THEN 1 END AS label FROM starts)
+SELECT l.id, l.start, l.label, round(sum(p.value), 4) + 0.0 AS total FROM labelled l JOIN panel p ON p.id = l.id AND p.period = 2 AND p.step >= l.start AND p.step < l.start + 128 WHERE l.label IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+# Learners and blends
+
+def member_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The monitor's channels with their labels."""
+    (stages, names), fit, _ = FAMILIES["channels_monitor"]
+    panel = lineitem_panel(spark, d)
+    return rendered(online(panel, fit(panel)), stages).select("id", "step", "target", *names), names
+
+
+def _learned(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows, names = member_rows(spark, d)
+        return metrics.ts_auc_by(learn.cross_validated(durable(rows), names, kind), "fold")
+
+    return run
+
+
+QUERIES["learn_logistic_cv"] = _learned("logistic")
+QUERIES["learn_trees_cv"] = _learned("trees")
+
+
+def blend(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = member_rows(spark, d)
+    final = learn.gated_blend(F.col("raw_cusum"), F.col("raw_page_hinkley"), F.col("raw_variance_ratio"), F.col("absolute_cusum"))
+    return rounded(rows.withColumn("score", final), ["id", "step"], ["score"], 4)
+
+
+QUERIES["gated_blend"] = blend
+ORACLE["gated_blend"] = with_sql(PANEL_SQL, fits.TREND_SQL, ONLINE_SQL) + ", " + sql(
+    "online",
+    [*families.monitor()[0], {"score": "CASE WHEN step < 100 THEN CAST(0.55 AS DOUBLE) * raw_cusum + CAST(0.25 AS DOUBLE) * raw_page_hinkley + CAST(0.20 AS DOUBLE) * raw_variance_ratio ELSE CAST(0.50 AS DOUBLE) * raw_cusum + CAST(0.25 AS DOUBLE) * raw_page_hinkley + CAST(0.25 AS DOUBLE) * absolute_cusum END"}],
+    ["score"],
+)
+
+
+# Streaming
+
+def stream_points(spark: SparkSession, d: str) -> DataFrame:
+    panel = lineitem_panel(spark, d)
+    return online(panel, fits.moments(panel)).select("id", "step", "value", "mu", "sd0")
+
+
+def stream_detectors(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(jobs.replay(stream_points(spark, d)), ["id", "step"], ["cusum", "cusum_now", "ewma"], 4)
+
+
+QUERIES["stream_detectors"] = stream_detectors
+_STREAM = [*families.standardised(), *families._cusum("z", 0.5, 0.84, "log", "c"), {"lvl": ewma("z", 0.05), "wgt": f"(1 - power({dbl(0.95)}, step + 1)) / {dbl(0.05)}"}, {"ratio": "abs(lvl) * sqrt(greatest(wgt, 1)) / 3"}, {"cusum": "z_c", "cusum_now": "z_c_now", "ewma": "1 - 2 / (exp(2 * least(ratio, 300)) + 1)"}]
+ORACLE["stream_detectors"] = with_sql(PANEL_SQL, fits.MOMENTS_SQL, ONLINE_SQL) + ", " + sql("online", _STREAM, ["cusum", "cusum_now", "ewma"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
