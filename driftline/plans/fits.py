@@ -47,8 +47,8 @@ def trend(panel: DataFrame) -> DataFrame:
     rest = rest.withColumn("e1", F.lag("e").over(by))
     stats = rest.groupBy("id").agg(
         *(F.first(c).alias(c) for c in ("hn", "mv", "mt", "slope", "lastv")),
-        F.greatest(F.sqrt(F.sum(F.col("e") * F.col("e")) / (F.count("*") - 1)), F.lit(1e-9)).alias("sd"),
-        (F.sum(F.col("e") * F.col("e1")) / F.sum(F.col("e") * F.col("e"))).alias("rho"),
+        F.greatest(F.sqrt(F.sum(F.col("e") * F.col("e")) / F.nullif(F.count("*") - 1, F.lit(0))), F.lit(1e-9)).alias("sd"),
+        F.coalesce(F.sum(F.col("e") * F.col("e1")) / F.nullif(F.sum(F.col("e") * F.col("e")), F.lit(0.0)), F.lit(0.0)).alias("rho"),
         (F.avg(F.pow("e", F.lit(4.0)))).alias("m4"),
     )
     few, some = F.col("hn") < 16, F.col("hn") > 32
