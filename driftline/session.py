@@ -9,13 +9,19 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at a time, at most: texts can be long, and a worker holds a batch whole.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, so that functions defined in it load there.
 
     The zip goes through Spark's own file server, once a session; nothing has
-    to be installed on the workers.
+    to be installed on the workers. Arrow batches are kept small (BATCH_ROWS).
     """
     sc = spark.sparkContext
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_driftline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -32,6 +38,21 @@ def ship(spark: SparkSession) -> None:
     sc._driftline_shipped = True
 
 
+_KEPT: list = []
+
+
+def kept(key, make):
+    """What a Python worker keeps from task to task: one object; asking for another drops it.
+
+    A worker serves many operators one after the other, and their tables would
+    add up.
+    """
+    if not _KEPT or _KEPT[0][0] != key:
+        _KEPT.clear()
+        _KEPT.append((key, make()))
+    return _KEPT[0][1]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
