@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import ship
+from driftline.session import kept, ship
 
 
 class State:
@@ -57,7 +57,7 @@ class Transducer:
     them anew costs less than keeping them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], lookahead: int = 64, depth: int = 4, max_states: int = 100_000, max_pieces: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], lookahead: int = 64, depth: int = 4, max_states: int = 50_000, max_pieces: int = 100_000):
         self.ranks, self.lookahead, self.depth = ranks, lookahead, depth
         self.max_states, self.max_pieces = max_states, max_pieces
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -148,7 +148,7 @@ class Transducer:
                 key = tokens[start] << 32 | t
                 ok = pairs.get(key)
                 if ok is None:
-                    if len(pairs) > 300_000:
+                    if len(pairs) > 200_000:
                         pairs.clear()
                     ok = pairs[key] = self._fits(tokens[start], t)
                 if ok:
@@ -271,29 +271,21 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
 
 
-_MADE: dict[bytes, Transducer] = {}
-_TABLES: dict[bytes, list] = {}
-
-
 def _transducer(raw: bytes) -> Transducer:
     """One transducer a worker, kept between tasks."""
-    key = hashlib.sha256(raw).digest()
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Transducer(read_ranks(raw))
-    return _MADE[key]
+    return kept(("transducer", hashlib.sha256(raw).digest()), lambda: Transducer(read_ranks(raw)))
+
+
+def _made_table(raw: bytes) -> list:
+    ranks = read_ranks(raw)
+    table: list = [None] * (max(ranks.values()) + 1)
+    for t, i in ranks.items():
+        table[i] = t
+    return table
 
 
 def _table(raw: bytes) -> list:
-    key = hashlib.sha256(raw).digest()
-    if key not in _TABLES:
-        ranks = read_ranks(raw)
-        table = [None] * (max(ranks.values()) + 1)
-        for t, i in ranks.items():
-            table[i] = t
-        _TABLES.clear()
-        _TABLES[key] = table
-    return _TABLES[key]
+    return kept(("table", hashlib.sha256(raw).digest()), lambda: _made_table(raw))
 
 
 def _lists(parts: Iterable[bytes]) -> pa.Array:

@@ -1,7 +1,7 @@
 """Toxicity of texts: a learned lexicon, met through Levenshtein automata, read in context.
 
 learn() finds from labelled texts which words and word beginnings mark toxic
-ones. The words are kept in a trie; a Levenshtein automaton runs along it, as a
+ones, and takes as few as cover them. The words are kept in a trie; a Levenshtein automaton runs along it, as a
 lazily determinised product whose states are sets of (trie node, edits so far),
 so misspelled terms are found in one pass over a word and most words leave at
 once. Each place found is looked at in a window of words around it: a term in
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import durable, ship
+from driftline.session import durable, kept, ship
 
 WORD = re.compile(r"[^\W_]+")
 QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“')
@@ -196,35 +196,63 @@ def _marks(text: str, longest: int = 12) -> set[str]:
     out = set()
     for w in set(WORD.findall(text.lower())):
         out.add(w + "$")
-        out.update(w[:k] for k in range(3, min(longest, len(w)) + 1))
+        out.update(w[:k] for k in range(4, min(longest, len(w)) + 1))
     return out
 
 
-def _lexicon(counts: list[tuple[str, int, int]], pos: int, neg: int, needed: float, purity: float) -> tuple[list[str], list[str]]:
-    """Words and beginnings that mark toxic texts: of a chain of beginnings the longest that still covers its texts."""
+def _good(counts: list[tuple[str, int, int]], pos: int, neg: int, needed: float, purity: float) -> dict[str, int]:
+    """Marks of toxic texts by themselves: how many toxic texts have each."""
     base = pos / (pos + neg)
-    good = {t: p for t, p, n in counts if p / (p + n) >= purity and p * math.log(p / (p + n) / base) >= needed}
-    longer: dict[str, int] = {}
-    for t, p in good.items():
-        up = t[:-1]
-        longer[up] = max(longer.get(up, 0), p)
-    kept = {t for t, p in good.items() if longer.get(t, 0) < 0.9 * p}
-    words = sorted(t[:-1] for t in kept if t.endswith("$"))
-    stems = sorted(t for t in kept if not t.endswith("$"))
-    stems = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
-    return [w for w in words if not any(w.startswith(s) for s in stems)], stems
-
-
-def _fit(x: np.ndarray, y: np.ndarray, prior=(-3.0, 2.5, 1.0, 0.5, 1.0), width=(4.0, 2.0, 1.0, 0.5, 2.0), rounds: int = 40) -> tuple[float, ...]:
-    """Logistic weights at the mode, around a prior that stays where the data say nothing."""
+    return {t: p for t, p, n in counts if p / (p + n) >= purity and p * math.log(p / (p + n) / base) >= needed}
+
+
+def _lexicon(good: dict[str, int], texts: list[frozenset], least: int = 3, common: float = 0.3) -> tuple[list[str], list[str]]:
+    """Words and beginnings that cover the toxic texts, chosen one by one for the most that are not covered yet.
+
+    Texts that are near copies of one another share all their words; once one
+    term covers them, the others explain nothing more. Marks nearly as common as
+    the commonest chosen one are taken without that. Of marks that begin
+    alike and cover nearly the same, the longest is taken.
+    """
+    having: dict[str, set[int]] = {}
+    for i, marks in enumerate(texts):
+        for m in marks:
+            having.setdefault(m, set()).add(i)
+    left, chosen, todo = set(range(len(texts))), [], dict(having)
+    while todo:
+        mark = max(todo, key=lambda m: (len(todo[m]), len(m), m))
+        mark = max((m for m, s in todo.items() if m.startswith(mark) and len(s) >= 0.9 * len(todo[mark])), key=lambda m: (len(m), m))
+        gain = todo.pop(mark)
+        if len(gain) < least:
+            break
+        chosen.append(mark)
+        left -= gain
+        todo = {m: kept for m, s in todo.items() if not (mark.startswith(m) or m.startswith(mark)) and (kept := s - gain)}
+    most = max((good[m] for m in chosen), default=0)
+    for mark in sorted(good, key=lambda m: (-good[m], -len(m), m)):
+        if good[mark] >= common * most and not any(mark.startswith(c) or c.startswith(mark) for c in chosen):
+            chosen.append(mark)
+    words = sorted(m[:-1] for m in chosen if m.endswith("$"))
+    return words, sorted(m for m in chosen if not m.endswith("$"))
+
+
+def _fit(x: np.ndarray, y: np.ndarray, prior=(-3.0, 2.5, 1.0, 0.5, 1.0), width=(4.0, 2.0, 1.0, 0.5, 2.0), rounds: int = 60) -> tuple[float, ...]:
+    """Logistic weights at the mode, around a prior that stays where the data say nothing; Newton steps, halved until they help."""
     a = np.array([features(*row) for row in x])
     m, s = np.array(prior), 1 / np.square(np.array(width))
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (s * (w - m) ** 2).sum())
+
     w = m.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(s), a.T @ (p - y) + s * (w - m))
-        w = w - step
-        if np.abs(step).max() < 1e-9:
+        step, size = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(s), a.T @ (p - y) + s * (w - m)), 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)
 
@@ -237,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     n = known.count()
     part = min(1.0, rows / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64(F.lit(seed), id), F.lit(1_000_000)) < part * 1_000_000)
-    sample = durable(docs.select(id, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), id).select("text", F.col("y").cast("int").alias("y")))
+    sample = durable(docs.select(id, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), id).groupBy("text").agg(F.max("y").cast("int").alias("y")))
     sizes = {r["y"]: r["count"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -262,7 +290,15 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     found = {r["mark"]: r["n"] for r in totals("y > 0", None).where(F.col("n") >= least).collect()}  # bounded by the sample
     wanted = spark.sparkContext.broadcast(frozenset(found))
     against = {r["mark"]: r["n"] for r in totals("y <= 0", wanted).collect()}
-    words, stems = _lexicon([(t, p, against.get(t, 0)) for t, p in found.items()], pos, neg, needed, purity)
+    good = _good([(t, p, against.get(t, 0)) for t, p in found.items()], pos, neg, needed, purity)
+    marks = spark.sparkContext.broadcast(frozenset(good))
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"marks": [sorted(_marks(t) & marks.value) for t in b["text"]]})
+
+    texts = sample.where("y > 0").select("text").mapInPandas(marked, "marks array<string>").collect()  # bounded by the sample
+    words, stems = _lexicon(good, [frozenset(r["marks"]) for r in texts])
     model = Model(words, stems)
     shared = spark.sparkContext.broadcast(model)
 
@@ -278,9 +314,6 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return model
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
 def score(text: Column, model: Model, spark) -> Column:
     """The score of a text, from 0 to 1."""
     ship(spark)
@@ -289,11 +322,7 @@ def score(text: Column, model: Model, spark) -> Column:
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        key = (tuple(m.words), tuple(m.stems), m.weights)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(m)
-        scorer = _SCORERS[key]
+        scorer = kept(("scorer", tuple(m.words), tuple(m.stems), m.weights), lambda: Scorer(m))
         for texts in batches:
             yield pa.array([scorer.score(t.as_py() or "") for t in texts], pa.float64())
 
