@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, families, grouped, innovations, learn, metrics, relational
+from driftline.operators import augment, families, forensics, grouped, innovations, learn, metrics, relational
 from driftline.plans import fits
 from driftline.plans.panel import PANEL_SQL, lineitem_panel, online
 from driftline.plans.staged import d as dbl
 from driftline.plans.staged import ewma, output, rendered, sql
 from driftline.session import durable
+from driftline.sources import files
 from driftline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,6 +297,31 @@ def dependence_channels(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["dependence_cusum"] = dependence_channels
 
 
+QUERIES["series_features"] = lambda spark, d: forensics.series_features(lineitem_panel(spark, d))
+QUERIES["prefix_battery"] = lambda spark, d: forensics.prefix_battery(lineitem_panel(spark, d))
+
+
+def rank_view(spark: SparkSession, d: str) -> DataFrame:
+    """The three detectors on normal scores of midranks."""
+    panel = lineitem_panel(spark, d)
+    z = forensics.normal_ranks(panel, relational.rank_against_history(panel))
+    parts = [families._cusum("z", 0.5, 0.84, "log", "cusum"), families._cusum("z", 0.05, 1.0, "sqrt", "page_hinkley"), families._variance_ratio("z")]
+    return rendered(z, families.zipped(*parts)).select("id", "step", *(f"z_{n}{s}" for n in ("cusum", "page_hinkley", "variance_ratio") for s in ("", "_now")))
+
+
+QUERIES["rank_view"] = rank_view
+
+_DIV = forensics.divergences()
+QUERIES["divergences"] = lambda spark, d: output(rendered(online(p := lineitem_panel(spark, d), forensics.bin_reference(p)), _DIV[0]), _DIV[1])
+ORACLE["divergences"] = with_sql(PANEL_SQL, forensics.BIN_REFERENCE_SQL, ONLINE_SQL) + ", " + sql("online", *_DIV)
+
+
+# Files
+
+QUERIES["panel_csv_roundtrip"] = lambda spark, d: rounded(files.through(lineitem_panel(spark, d), "csv"), ["id", "time", "period"], ["value"])
+ORACLE["panel_csv_roundtrip"] = with_sql(PANEL_SQL) + " SELECT id, CAST(time AS INTEGER) AS time, period, round(value, 6) + 0.0 AS value FROM panel"
+
+
 # Augmentation
 
 QUERIES["boundary_cuts"] = lambda spark, d: rounded(augment.boundary_cuts(lineitem_panel(spark, d)).where("period = 2"), ["id", "time", "step", "target"], ["value"])
