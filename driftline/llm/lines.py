@@ -15,7 +15,9 @@ other side, cut off as a durable table so that Spark may split the crowded key.
 Edge cases: null texts stay null; empty texts and texts of one line stay as they
 are; chunks without a word character are never removed. Rows that agree in id
 and text are one occurrence and are rewritten alike. A text whose chunks are all
-removed is empty. Extra columns pass through; removed is added (or replaced).
+removed is empty. Extra columns pass through;
+removed is added; input columns named removed, places, gone_id or gone_mark give
+way.
 """
 
 from __future__ import annotations
@@ -114,6 +116,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: in
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int = 4) -> DataFrame:
     """docs with the repeated chunks taken out of their texts, and removed, how many."""
+    docs = docs.drop("places", "gone_id", "gone_mark", "removed")
     gone = repeated(docs, id, text, window, modulus).groupBy("id", "mark").agg(F.collect_set("place").alias("places"))
     gone = durable(gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "places"))
     same = docs[id].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_mark"))

@@ -18,7 +18,8 @@ Edge cases: null or malformed URLs and null fetch days match nothing; repeated
 captures are answered once each; several changes of a pattern on one day count
 as the last by action's order, "remove" after "add"; removing what is not listed
 has no effect; an entry that is never removed stays valid. An empty list blocks
-nothing. Extra columns pass through, those named blocked or matched give way.
+nothing. Extra columns pass through, those named blocked, matched, u or t give
+way.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def intervals(changes: DataFrame) -> DataFrame:
 def blocked(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with blocked (boolean) and matched (the longest active pattern that matches, null if none)."""
     valid = durable(intervals(changes))
-    rows = captures.drop("blocked", "matched")
+    rows = captures.drop("blocked", "matched", "u", "t")
     asked = rows.select(F.col(url).alias("u"), F.col(fetched).alias("t")).where("u is not null and t is not null").distinct()
     asked = asked.where(host(F.col("u")) != "").select("u", "t", F.explode(keys(F.col("u"))).alias("pattern"))
     active = (F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("t") < F.col("until")))
