@@ -297,6 +297,22 @@ def _lists(parts: Iterable[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def _decoded(ids: pa.Array, token, block: int) -> Iterator[str]:
+    """The text of ids, block by block; token: the bytes of an id."""
+    machine = Utf8Machine()
+    for k in range(0, len(ids), block):
+        some = ids[k : k + block].to_numpy(zero_copy_only=False).tolist()
+        try:
+            yield machine.feed(b"".join([token(i) for i in some]))
+        except (LookupError, TypeError) as e:
+            raise ValueError("an id that the vocabulary lacks") from e
+    yield machine.close()
+
+
+def _digest(ids: pa.Array) -> str:
+    return hashlib.sha256(ids.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest()
+
+
 class ByteBpe:
     """A tokenizer for Spark columns.
 
@@ -325,6 +341,28 @@ class ByteBpe:
 
         return encode(text)
 
+    def round_trip(self, text: Column, block: int = 4096) -> Column:
+        """ids, their digest and the digest of what they decode to, in one worker: struct<ids, ids_sha256, decoded_sha256>."""
+        ranks, pattern = self.ranks, self.pattern
+
+        @F.arrow_udf("struct<ids:array<int>,ids_sha256:string,decoded_sha256:string>")
+        def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import regex
+
+            machine, find = _transducer(ranks.value), regex.compile(pattern).findall
+            for texts in batches:
+                lists = _lists(machine.encode(t.as_py() or "", find) for t in texts)
+                decoded = []
+                for one in lists:
+                    said = hashlib.sha256()
+                    for part in _decoded(one.values, machine.bytes_of.__getitem__, block):
+                        said.update(part.encode("utf-8"))
+                    decoded.append(said.hexdigest())
+                digests = pa.array([_digest(one.values) for one in lists], pa.string())
+                yield pa.StructArray.from_arrays([lists, digests, pa.array(decoded, pa.string())], ["ids", "ids_sha256", "decoded_sha256"])
+
+        return made(text)
+
     def text(self, ids: Column, block: int = 4096) -> Column:
         """The text of an array of ids."""
         ranks = self.ranks
@@ -338,15 +376,7 @@ class ByteBpe:
                     if not one.is_valid:
                         out.append("")
                         continue
-                    machine, parts, values = Utf8Machine(), [], one.values
-                    for k in range(0, len(values), block):
-                        some = values[k : k + block].to_numpy(zero_copy_only=False).tolist()
-                        try:
-                            parts.append(machine.feed(b"".join([table[i] for i in some])))
-                        except (IndexError, TypeError) as e:
-                            raise ValueError("an id that the vocabulary lacks") from e
-                    parts.append(machine.close())
-                    out.append("".join(parts))
+                    out.append("".join(_decoded(one.values, table.__getitem__, block)))
                 yield pa.array(out, pa.string())
 
         return decode(ids)
@@ -358,7 +388,7 @@ def ids_digest(ids: Column) -> Column:
     @F.arrow_udf("string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            yield pa.array([hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else b"").hexdigest() for x in lists], pa.string())
+            yield pa.array([_digest(x.values) if x.is_valid else hashlib.sha256(b"").hexdigest() for x in lists], pa.string())
 
     return digest(ids)
 

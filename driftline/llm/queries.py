@@ -109,9 +109,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
     tok = bpe.ByteBpe(docs.sparkSession, public_tokenizers.path(VOCABULARY), PATTERN)
-    # One select for both functions of the ids, so that they share a Python worker.
-    back = bpe.encode(docs, tok).select("doc_id", "n_tokens", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), tok.text(F.col("ids")).alias("decoded"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = docs.select("doc_id", tok.round_trip(F.col("text")).alias("r"))
+    return made.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -272,6 +272,10 @@ def test_bpe_is_the_library_and_round_trips(spark):
     tok = bpe.ByteBpe(spark, path, public_tokenizers.PATTERN)
     for r in bpe.decode(bpe.encode(docs, tok), tok).collect():
         assert r["ids"] == want.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "")
+    for r in docs.select("text", tok.round_trip(F.col("text")).alias("r")).collect():
+        ids, text = want.encode_ordinary(r["text"] or ""), r["text"] or ""
+        assert r["r"]["ids"] == ids and r["r"]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["r"]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_short_lookahead_and_small_tables_change_nothing():
