@@ -104,6 +104,13 @@ def test_crowded_sketch_blocks_lose_no_link(spark):
         assert got == {k: 0 if k < 40 else 40 for k in range(60)}
 
 
+def test_sketches_grow_with_the_number_of_texts():
+    assert sketches.shape(0, 0.8) == sketches.shape(1_000_000, 0.8) == (1280, 20)
+    bits, block = sketches.shape(1 << 30, 0.8)
+    one = (1 - np.arccos(1.6 / 1.8) / np.pi) ** block
+    assert block == 30 and bits % 64 == 0 and 1 - (1 - one) ** (bits // block) >= 0.91
+
+
 # op3 and op8
 
 def vectors(spark, n=400, zero=True):
