@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows that go to a Python worker at a time, at most: texts can be long, and a worker holds a batch whole.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
 
 
 def ship(spark: SparkSession) -> None:
