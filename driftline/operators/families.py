@@ -142,6 +142,24 @@ def rolling_acf(lags: tuple[int, ...] = (1, 2, 5, 10), windows: tuple[int, ...]
     return [*standardised(), shifted, sums, outs], list(outs)
 
 
+#: The wide grid of autocorrelations: 8 lags by 5 memories.
+WIDE_LAGS, WIDE_WINDOWS = (1, 2, 3, 5, 8, 12, 20, 30), (25, 50, 100, 200, 400)
+
+
+def rank_battery(windows: tuple[int, ...] = MASS_WINDOWS) -> Family:
+    """Four representations of an online value's rank in its history, each against what a uniform rank gives, and the shares in the
+    outer tenths: 60 channels. Rows: relational.rank_against_history (below, n)."""
+    one = lambda c: f"CASE WHEN {c} THEN {d(1.0)} ELSE {d(0.0)} END"
+    rank = {"pit": clip(f"(below + {d(0.5)}) / (n + 1)", 1e-6, 1 - 1e-6)}
+    reps = {"r_c": f"pit - {d(0.5)}", "r_a": f"abs(pit - {d(0.5)})", "r_s": f"sign(pit - {d(0.5)})", "r_m": f"least(pit, 1 - pit)", "top": one(f"pit > {d(0.9)}"), "low": one(f"pit < {d(0.1)}")}
+    uniform = {"c": (0.0, 1 / 12), "a": (0.25, 1 / 48), "s": (0.0, 1.0), "m": (0.25, 1 / 48)}  # mean and variance of each
+    sums = {f"{m}_{k}{w}": ewma(x, 1 / w) for k in uniform for w in windows for m, x in (("u1", f"r_{k}"), ("u2", f"r_{k} * r_{k}"))}
+    outs = {f"rank_gap_{k}{w}": clip(f"(u1_{k}{w} - {d(mean)}) / sqrt({d(var)} / {w})", -20, 20) for k, (mean, var) in uniform.items() for w in windows}
+    outs |= {f"rank_lvr_{k}{w}": clip(f"ln(greatest(u2_{k}{w} - u1_{k}{w} * u1_{k}{w}, {d(1e-9)}) / {d(var)})", -20, 20) for k, (_, var) in uniform.items() for w in windows}
+    outs |= {f"rank_{e}{w}": f"{ewma(e, 1 / w)} - {d(0.1)}" for e in ("top", "low") for w in windows}
+    return [rank, reps, sums, outs], list(outs)
+
+
 def glr(windows: tuple[int, ...] = (8, 16, 32, 64, 128, 256), v: str = "z") -> Family:
     """Likelihood ratios of mean, scale and lag-1 dependence over trailing windows of doubling length, and their largest. Fits: moments."""
     sums: Stage = {}

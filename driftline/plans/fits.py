@@ -135,12 +135,18 @@ def acf_reference(panel: DataFrame, lags: tuple[int, ...] = (1, 2, 5, 10)) -> Da
     return h.groupBy("id").agg(*(F.first(c).alias(c) for c in ("hn", "mu", "sd0", "last_z")), *(F.corr("z", f"z{k}").alias(f"hacf{k}") for k in lags), *tails)
 
 
-ACF_REFERENCE_SQL = _Z_SQL + """,
-hl AS (SELECT *, """ + ", ".join(f"lag(z, {k}) OVER (PARTITION BY id ORDER BY time) AS z{k}" for k in (1, 2, 5, 10)) + """ FROM hz),
-fits AS (SELECT id, first(hn) AS hn, first(mu) AS mu, first(sd0) AS sd0, first(last_z) AS last_z, """ + ", ".join(f"corr(z, z{k}) AS hacf{k}" for k in (1, 2, 5, 10)) + ", " + ", ".join(f"max(CASE WHEN hn - time = {j} THEN z END) AS tail_{j}" for j in range(1, 11)) + """ FROM hl GROUP BY id)
+def acf_reference_sql(lags: tuple[int, ...] = (1, 2, 5, 10)) -> str:
+    lagged = ", ".join(f"lag(z, {k}) OVER (PARTITION BY id ORDER BY time) AS z{k}" for k in lags)
+    made = ", ".join([*(f"corr(z, z{k}) AS hacf{k}" for k in lags), *(f"max(CASE WHEN hn - time = {j} THEN z END) AS tail_{j}" for j in range(1, max(lags) + 1))])
+    return _Z_SQL + f""",
+hl AS (SELECT *, {lagged} FROM hz),
+fits AS (SELECT id, first(hn) AS hn, first(mu) AS mu, first(sd0) AS sd0, first(last_z) AS last_z, {made} FROM hl GROUP BY id)
 """
 
 
+ACF_REFERENCE_SQL = acf_reference_sql()
+
+
 def tail_reference(panel: DataFrame) -> DataFrame:
     """moments with tail quantiles of |z| and z, and the mean excess over the 90 % quantile."""
     m = moments(panel)

@@ -66,6 +66,7 @@ FAMILIES = {
     "channels_multiscale": (families.multiscale(), fits.trend, fits.TREND_SQL),
     "channels_mass": (families.mass(), fits.mass_reference, fits.MASS_REFERENCE_SQL),
     "channels_acf": (families.rolling_acf(), fits.acf_reference, fits.ACF_REFERENCE_SQL),
+    "channels_acf_wide": (families.rolling_acf(families.WIDE_LAGS, families.WIDE_WINDOWS), lambda p: fits.acf_reference(p, families.WIDE_LAGS), fits.acf_reference_sql(families.WIDE_LAGS)),
     "channels_glr": (families.glr(), fits.moments, fits.MOMENTS_SQL),
     "channels_tail": (families.tails(), fits.tail_reference, fits.TAIL_REFERENCE_SQL),
     "channels_trailing": (families.trailing(), fits.moments, fits.MOMENTS_SQL),
@@ -242,6 +243,13 @@ c AS (SELECT o.id, o.step, count(*) FILTER (p.value < o.value) AS below, count(*
       FROM panel o JOIN panel p ON p.id = o.id AND p.period = 1 WHERE o.period = 2 GROUP BY o.id, o.step)
 SELECT c.id, c.step, below, upto, n, round((CAST(0.5 AS DOUBLE) * (below + upto) + CAST(0.5 AS DOUBLE)) / (n + 1), 6) + 0.0 AS u FROM c JOIN h ON c.id = h.id"""
 
+_RANKS = families.rank_battery()
+QUERIES["rank_battery"] = lambda spark, d: output(rendered(relational.rank_against_history(lineitem_panel(spark, d)), _RANKS[0]), _RANKS[1])
+ORACLE["rank_battery"] = with_sql(PANEL_SQL) + """,
+h AS (SELECT id, count(*) AS n FROM panel WHERE period = 1 GROUP BY id),
+c AS (SELECT o.id, o.step, count(*) FILTER (p.value < o.value) AS below FROM panel o JOIN panel p ON p.id = o.id AND p.period = 1 WHERE o.period = 2 GROUP BY o.id, o.step),
+ranked AS (SELECT c.id, c.step, below, n FROM c JOIN h ON c.id = h.id), """ + sql("ranked", *_RANKS)
+
 QUERIES["matched_controls"] = lambda spark, d: relational.matched_controls(stats(spark, d), "id", "n", "broken")
 
 QUERIES["score_label_join"] = lambda spark, d: rounded(scored(spark, d).select("id", "step", "score").join(lineitem_panel(spark, d).where("period = 2").select("id", "step", "target"), ["id", "step"]).groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("id").alias("series"), F.avg("score").alias("score")), ["target", "n", "series"], ["score"])

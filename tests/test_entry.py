@@ -16,7 +16,7 @@ def test_own_queries_agree_with_sql(spark):
 
     con = duckdb.connect()
     con.execute("CREATE VIEW lineitem AS SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet'")
-    for name in ("fit_trend", "channels_baseline", "tsauc_strongest", "kind_by_bin_crosstab", "two_sample_ks_w1", "split_scan"):
+    for name in ("fit_trend", "channels_baseline", "tsauc_strongest", "kind_by_bin_crosstab", "two_sample_ks_w1", "split_scan", "channels_acf_wide", "rank_battery"):
         df = entry.queries()[name](spark, "/root/testdata/sf0.001")
         cols = sorted(df.columns)
         mine = sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
