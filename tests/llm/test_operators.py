@@ -96,7 +96,7 @@ def test_crowded_sketch_blocks_lose_no_link(spark):
     rows = []
     for k in range(60):
         sk = base.copy()
-        sk[rng.integers(20)] ^= int(rng.integers(2**40))
+        sk[rng.integers(20)] ^= int(rng.integers(-(2**62), 2**62))
         rows.append((k, [int(x) for x in (sk if k < 40 else ~sk)]))
     nodes = spark.createDataFrame(rows, "node long, sk array<long>")
     for crowd in (64, 2):
