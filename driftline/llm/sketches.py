@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint tells texts of Jaccard similarity 0.8 apart by about ten
 bits, more than blocks can guarantee. Here a text's set of word shingles is
-projected on many random directions, and the signs are its bits. Two texts of
-similarity J differ in arccos(2J / (1 + J)) / pi of them on average. The bits are
-cut into blocks, texts that share a block are candidates, and candidates are
-verified by their Hamming distance over all bits.
+projected on many random directions, and the signs are its bits; what a shingle
+adds to them is drawn from its own hash, so texts agree by their words alone. Two
+texts of similarity J differ in arccos(2J / (1 + J)) / pi of the bits on average.
+The bits are cut into blocks, texts that share a block are candidates, and those
+near enough by their Hamming distance over all bits are verified: the 64-bit
+hashes of their shingles, as sets, must have the similarity.
 
 Up to a million texts (1280 bits, 64 blocks of 20) a pair of similarity 0.8 shares a
 block with probability 0.91, 0.85 with 0.98, 0.9 with 0.999; the estimate of J
@@ -19,7 +21,7 @@ fingerprint. A pair goes on to be verified if these differ by no more than 4.5
 standard errors over the share allowed, which one pair in 300,000 that is just
 near enough fails, while chance matches of blocks end there.
 
-Equal fingerprints are one node. A block value that more nodes share than crowd
+Equal sets of shingles are one node. A block value that more nodes share than crowd
 is not paired: all its nodes are compared with one of them, its hub, which links
 those near to it in one star; only the others are compared with every node, in
 cells of bounded size that answer with no more links than they have nodes. So a
@@ -28,7 +30,7 @@ are not alike after all, and no link is lost.
 
 Edge cases: null and empty texts have no shingles and are one node; a text with
 fewer words than a shingle has one. Rows with the same id and different texts
-each have their fingerprint. An empty table gives an empty result.
+each have their set. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,44 +61,59 @@ def shape(texts: int, similarity: float, least: int = 20, recall: float = 0.91)
     return -(-blocks * block // 64) * 64, block
 
 
-class Projector:
-    """Signs of random projections of sets of 64-bit hashes."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    import xxhash
 
-    def __init__(self, bits: int, buckets: int = 1024, seed: int = 42):
-        self.buckets = buckets
-        self.matrix = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (buckets, bits))
+    parts = text.encode("utf-8").lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    runs = map(b" ".join, zip(*(parts[k:] for k in range(words)))) if len(parts) >= words else [b" ".join(parts)]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64))
 
-    def row(self, text: str, words: int) -> np.ndarray:
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def signs(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The fingerprint of a set of hashes, packed in 64-bit integers; the signs of each hash are drawn from it alone."""
+    steps = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, bits // 64 + 1, dtype=np.uint64)
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), 1024):
+        some = _mixed(hashes[at : at + 1024, None] + steps)
+        ones += np.unpackbits(some.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).view("<i8")
+
+
+def sketch(text: Column, words: int = 5, bits: int = 1280) -> Column:
+    """A text's fingerprint, and one hash of its whole set of shingles (node)."""
+
+    @F.arrow_udf("struct<node:bigint,sk:array<bigint>>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
-        parts = text.encode("utf-8").lower().split()
-        out = np.zeros(self.buckets, np.float32)
-        if not parts:
-            return out
-        runs = map(b" ".join, zip(*(parts[k:] for k in range(words)))) if len(parts) >= words else [b" ".join(parts)]
-        h = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64))
-        signs = np.where(h >> np.uint64(63), 1.0, -1.0)
-        return np.bincount((h % np.uint64(self.buckets)).astype(np.int64), signs, self.buckets).astype(np.float32)
+        for texts in batches:
+            sets = [shingles(t.as_py() or "", words) for t in texts]
+            node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            flat = np.concatenate([np.empty(0, np.int64), *(signs(h, bits) for h in sets)])
+            sk = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bits // 64), pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), sk], ["node", "sk"])
 
-    def bits(self, rows: np.ndarray) -> np.ndarray:
-        """Packed bits, as 64-bit integers."""
-        packed = np.packbits(rows @ self.matrix > 0, axis=1)
-        return packed.view("<i8")
+    return made(text)
 
 
-def sketch(text: Column, words: int = 5, bits: int = 1280, seed: int = 42) -> Column:
-    """A text's fingerprint, array<long>."""
+def _sets(text: Column, words: int) -> Column:
+    """A text's set of shingle hashes."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("array<bigint>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        p = kept(("projector", bits, seed), lambda: Projector(bits, seed=seed))
         for texts in batches:
-            parts = []
-            for k in range(0, len(texts), 256):
-                rows = np.stack([p.row(t.as_py() or "", words) for t in texts[k : k + 256]])
-                parts.append(p.bits(rows).ravel())
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bits // 64), pa.int32()), pa.array(flat, pa.int64()))
+            sets = [shingles(t.as_py() or "", words).view(np.int64) for t in texts]
+            sizes = np.cumsum([0, *map(len, sets)])
+            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets]), pa.int64()))
 
     return made(text)
 
@@ -109,7 +126,16 @@ def _differ(a: str, b: str, n: int) -> Column:
     return out
 
 
-def _cell(most: int):
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have that Jaccard similarity."""
+    few, many = sorted((len(a), len(b)))
+    if few < similarity * many - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (few + many - both) - 1e-9
+
+
+def _cell(most: int, similarity: float | None):
     def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """Links between the nodes of two parts that are near enough, without those that others make needless."""
         up: dict[int, int] = {}
@@ -123,20 +149,24 @@ def _cell(most: int):
         out = []
         if len(a) and len(b):
             others, ids = np.stack(b["sk2"].to_numpy()).view(np.uint64), b["node2"].to_numpy()  # bits are counted in unsigned numbers
-            for node, sk in zip(a["node"], a["sk"]):
-                near = ids[np.bitwise_count(others ^ np.asarray(sk, np.int64).view(np.uint64)).sum(axis=1) <= most]
-                for other in near.tolist():
-                    x, y = top(node), top(other)
-                    if x != y:
+            sets = None if similarity is None else b["set2"].to_numpy()
+            for node, sk, mine in zip(a["node"], a["sk"], a["sk"] if similarity is None else a["set"]):
+                for k in np.flatnonzero(np.bitwise_count(others ^ np.asarray(sk, np.int64).view(np.uint64)).sum(axis=1) <= most).tolist():
+                    x, y = top(node), top(int(ids[k]))
+                    if x != y and (sets is None or alike(mine, sets[k], similarity)):
                         up[max(x, y)] = min(x, y)
-                        out.append((node, other))
+                        out.append((node, int(ids[k])))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return links
 
 
-def link(nodes: DataFrame, bits: int, most: int, block: int = 20, crowd: int = 12, part: int = 1024) -> DataFrame:
-    """Edges (a, b) between nodes (node, sk) that connect all candidate pairs within most bits."""
+def link(nodes: DataFrame, bits: int, most: int, block: int = 20, crowd: int = 12, part: int = 1024, similarity: float | None = None, sets=None) -> DataFrame:
+    """Edges (a, b) between nodes (node, sk) that connect all candidate pairs within most bits.
+
+    With a similarity, the bits only nominate: sets makes (node, set) of given
+    nodes, and a pair is linked if its sets have the similarity.
+    """
     n = bits // 64
     # Block k holds the bits from k * block on; it lies in one or two of the words.
     cuts = []
@@ -166,30 +196,47 @@ def link(nodes: DataFrame, bits: int, most: int, block: int = 20, crowd: int = 1
     pairs = durable(pairs.unionByName(seen.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct())
     with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sk").alias("ska")), "a")
     near = durable(with_a.join(nodes.select(F.col("node").alias("b"), F.col("sk").alias("skb")), "b").where(_differ("ska", "skb", n) <= most).select("a", "b"))
+    full = nodes.select("node", "sk")
+    if similarity is not None:
+        named = near.select(F.explode(F.array("a", "b")).alias("node"))
+        found = durable(sets(named.unionByName(seen.select("node")).distinct()))
+        full = full.join(found, "node")
+        both, all = F.size(F.array_intersect("seta", "setb")), F.size("seta") + F.size("setb")
+        with_a = near.join(found.toDF("a", "seta"), "a").join(found.toDF("b", "setb"), "b")
+        near = durable(with_a.where(both >= similarity * (all - both) - 1e-9).select("a", "b"))
     rest = durable(seen.where("node != hub").join(near, (F.col("hub") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("k", "v", "node"))
     parts = lambda rows, name: rows.groupBy("k", "v").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
     grid = durable(parts(rest, "pa").join(parts(seen, "pb"), ["k", "v"]))
     deal = lambda rows, own, other, mine, theirs: (
-        rows.join(grid, ["k", "v"]).join(nodes, "node").withColumn(mine, F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("k", "v", "i", "j", "node", "sk")
+        rows.join(grid, ["k", "v"]).join(full, "node").withColumn(mine, F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("k", "v", "i", "j", *full.columns)
     )
     keys = ["k", "v", "i", "j"]
-    every = deal(seen, "pb", "pa", "j", "i").toDF("k2", "v2", "i2", "j2", "node2", "sk2")
+    every = deal(seen, "pb", "pa", "j", "i").toDF("k2", "v2", "i2", "j2", *(f"{c}2" for c in full.columns))
     cells = deal(rest, "pa", "pb", "i", "j").groupBy(keys).cogroup(every.groupBy("k2", "v2", "i2", "j2"))
-    return near.unionByName(cells.applyInPandas(_cell(most), "a long, b long")).distinct()
+    return near.unionByName(cells.applyInPandas(_cell(most, similarity), "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, slack: float = 0.01) -> DataFrame:
     """(id, component_id) of each row: the smallest id reachable over links of at least the similarity.
 
-    slack: what the distance is allowed for its error, in similarity.
+    slack: what the distance of a candidate is allowed for its error, in
+    similarity; the sets of shingles decide.
     """
     ship(docs.sparkSession)
     bits, block = shape(docs.count(), similarity)
-    rows = durable(docs.select(F.col(id).alias("id"), sketch(F.col(text), words, bits).alias("sk")))
-    nodes = durable(rows.groupBy("sk").agg(F.min("id").alias("low")).withColumn("node", F.xxhash64("sk")))
-    found = connected_components(link(nodes.select("node", "sk"), bits, limit(similarity - slack, bits), block))
-    named = nodes.join(found, "node", "left").select("sk", "low", F.coalesce("component", "node").alias("c"))
-    named = durable(named)
+    texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    rows = durable(texts.withColumn("s", sketch(F.col("text"), words, bits)).select("id", "mark", "s.node", "s.sk"))
+    nodes = durable(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("sk").alias("sk"), F.min(F.struct("id", "mark")).alias("from")))
+
+    def sets(named: DataFrame) -> DataFrame:
+        # One text a node, of the row that from names; rows that agree in id and text are told apart by no one.
+        wanted = durable(nodes.join(named, "node").select("node", F.col("from.id").alias("from_id"), F.col("from.mark").alias("from_mark")))
+        each = texts.join(wanted, F.col("id").eqNullSafe(F.col("from_id")) & (F.col("mark") == F.col("from_mark")))
+        return each.dropDuplicates(["node"]).select("node", _sets(F.col("text"), words).alias("set"))
+
+    edges = link(nodes.select("node", "sk"), bits, limit(similarity - slack, bits), block, part=256, similarity=similarity, sets=sets)
+    found = connected_components(edges)
+    named = durable(nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c")))
     lows = durable(named.groupBy("c").agg(F.min("low").alias("component_id")))
-    labelled = durable(named.join(lows, "c").select("sk", "component_id"))
-    return rows.join(labelled, "sk").select(F.col("id").alias(id), "component_id")
+    labelled = durable(named.join(lows, "c").select("node", "component_id"))
+    return rows.join(labelled, "node").select(F.col("id").alias(id), "component_id")

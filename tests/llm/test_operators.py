@@ -90,6 +90,17 @@ def test_sketches_join_near_copies_and_leave_others(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6}
 
 
+def test_short_unrelated_texts_stay_apart_and_sets_decide(spark):
+    short = [(k, " ".join(words(2, 5000 + k)), "s") for k in range(1500)]
+    base = words(104, 9)  # 100 shingles
+    edge = [(2000, " ".join(base), "s"), (2001, " ".join(base + words(24, 10)), "s"), (2002, " ".join(words(104, 11)), "s"), (2003, " ".join(words(104, 11) + words(29, 12)), "s")]
+    got = {r["doc_id"]: r["component_id"] for r in sketches.near_duplicates(spark.createDataFrame(short + edge, DOCS)).collect()}
+    assert all(got[k] == k for k, _, _ in short)
+    assert got[2003] == 2003  # 100 of 129 shingles: similarity 0.775
+    full = {k: set(zip(*(text.split()[n:] for n in range(5)))) for k, text, _ in edge}
+    assert len(full[2000] & full[2001]) / len(full[2000] | full[2001]) == pytest.approx(100 / 124) and got[2001] == 2000
+
+
 def test_crowded_sketch_blocks_lose_no_link(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**62), 2**62, 20)
