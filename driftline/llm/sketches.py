@@ -5,23 +5,27 @@ bits, more than blocks can guarantee. Here a text's set of word shingles is
 projected on many random directions, and the signs are its bits; what a shingle
 adds to them is drawn from its own hash, so texts agree by their words alone. Two
 texts of similarity J differ in arccos(2J / (1 + J)) / pi of the bits on average.
-The bits are cut into blocks, texts that share a block are candidates, and those
-near enough by their Hamming distance over all bits are verified: the 64-bit
-hashes of their shingles, as sets, must have the similarity.
-
-Up to a million texts (1280 bits, 64 blocks of 20) a pair of similarity 0.8 shares a
-block with probability 0.91, 0.85 with 0.98, 0.9 with 0.999; the estimate of J
-from the distance has a standard error near 0.015. Over a million texts, blocks
-grow by a bit for each doubling of their number, so that chance matches stay in
-proportion, and there are more of them, so that the share of pairs found stays
-(shape()).
-
-What is joined on a block carries 64 of the bits, taken from all over the
-fingerprint. A pair goes on to be verified if these differ by no more than 4.5
-standard errors over the share allowed, which one pair in 300,000 that is just
-near enough fails, while chance matches of blocks end there.
-
-Equal sets of shingles are one node. A block value that more nodes share than crowd
+
+Candidates share one of 23 keys (bands()), each the hash of six min-hashes of the
+set. Two sets of similarity J share a min-hash with probability J whatever their
+size, and so a key with probability 1 - (1 - J^6)^23: 0.9990 at 0.8, 0.9999 at
+0.85. That does not depend on the number of texts, and unrelated texts share none
+by chance.
+
+Candidates near enough by the Hamming distance of their fingerprints are verified:
+the 64-bit hashes of their shingles, as sets, must have the similarity. The
+distance only filters (wide()): it allows a quarter more than the share above,
+which small sets need (four shingles against five differ in 3/16 of the bits), and
+5 standard errors.
+
+Tables of fingerprints alone (link() without keys) have blocks of their bits for
+keys; shape() gives the blocks for a number of texts and a recall.
+
+What is joined on a key carries 64 of the bits, taken from all over the
+fingerprint. A pair goes on if these differ by no more than 4.5 standard errors
+over the share allowed, which one pair in 300,000 at that share fails.
+
+Equal sets of shingles are one node. A key that more nodes share than crowd
 is not paired: all its nodes are compared with one of them, its hub, which links
 those near to it in one star; only the others are compared with every node, in
 cells of bounded size that answer with no more links than they have nodes. So a
@@ -48,9 +52,15 @@ from driftline.llm.components import connected_components
 from driftline.session import durable, kept, ship
 
 
-def limit(similarity: float, bits: int) -> int:
-    """Bits that texts of a Jaccard similarity differ in."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def wide(similarity: float, bits: int) -> int:
+    """Bits that hardly any texts of that similarity differ in more than, be they as short as can be."""
+    share = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
+
+
+def bands(similarity: float, recall: float = 0.999, rows: int = 6) -> int:
+    """Keys of so many min-hashes that a pair just alike enough shares one of with that probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
 def shape(texts: int, similarity: float, least: int = 20, recall: float = 0.91) -> tuple[int, int]:
@@ -88,10 +98,21 @@ def signs(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes)).view("<i8")
 
 
-def sketch(text: Column, words: int = 5, bits: int = 1280) -> Column:
-    """A text's fingerprint, and one hash of its whole set of shingles (node)."""
+def minkeys(hashes: np.ndarray, n: int, rows: int = 6) -> np.ndarray:
+    """n keys of a set of hashes, each of rows min-hashes; an empty set has none."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    seeds = _mixed(np.uint64(0xD1B54A32D192ED03) * np.arange(1, n * rows + 1, dtype=np.uint64))
+    least = np.full(n * rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, _mixed(hashes[at : at + 1024, None] ^ seeds).min(axis=0))
+    return _mixed((least * (seeds | np.uint64(1))).reshape(n, rows).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def sketch(text: Column, words: int = 5, bits: int = 1280, keys: int = 23) -> Column:
+    """A text's fingerprint, keys, and one hash of its whole set of shingles (node)."""
 
-    @F.arrow_udf("struct<node:bigint,sk:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,sk:array<bigint>,keys:array<bigint>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
@@ -100,7 +121,10 @@ def sketch(text: Column, words: int = 5, bits: int = 1280) -> Column:
             node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             flat = np.concatenate([np.empty(0, np.int64), *(signs(h, bits) for h in sets)])
             sk = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bits // 64), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), sk], ["node", "sk"])
+            found = [minkeys(h, keys) for h in sets]
+            sizes = np.cumsum([0, *map(len, found)])
+            ks = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), sk, ks], ["node", "sk", "keys"])
 
     return made(text)
 
@@ -165,7 +189,8 @@ def link(nodes: DataFrame, bits: int, most: int, block: int = 20, crowd: int = 1
     """Edges (a, b) between nodes (node, sk) that connect all candidate pairs within most bits.
 
     With a similarity, the bits only nominate: sets makes (node, set) of given
-    nodes, and a pair is linked if its sets have the similarity.
+    nodes, and a pair is linked if its sets have the similarity. Nodes with keys
+    are candidates by these, others by blocks of their bits.
     """
     n = bits // 64
     # Block k holds the bits from k * block on; it lies in one or two of the words.
@@ -183,6 +208,8 @@ def link(nodes: DataFrame, bits: int, most: int, block: int = 20, crowd: int = 1
     share = most / bits
     far = math.floor(64 * share + 4.5 * math.sqrt(64 * share * (1 - share) * max(0.0, 1 - 64 / bits)))
     keyed = nodes.select("node", some.alias("some"), F.explode(F.array(*cuts)).alias("b")).select("node", "some", "b.k", "b.v")
+    if "keys" in nodes.columns:
+        keyed, nodes = nodes.select("node", some.alias("some"), F.posexplode("keys").alias("k", "v")), nodes.select("node", "sk")
     shared = durable(keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1"))
     keyed = durable(keyed.join(shared, ["k", "v"]))
     few = keyed.where(F.col("n") <= crowd)
@@ -216,17 +243,12 @@ def link(nodes: DataFrame, bits: int, most: int, block: int = 20, crowd: int = 1
     return near.unionByName(cells.applyInPandas(_cell(most, similarity), "a long, b long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, slack: float = 0.01) -> DataFrame:
-    """(id, component_id) of each row: the smallest id reachable over links of at least the similarity.
-
-    slack: what the distance of a candidate is allowed for its error, in
-    similarity; the sets of shingles decide.
-    """
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 1280) -> DataFrame:
+    """(id, component_id) of each row: the smallest id reachable over links of at least the similarity."""
     ship(docs.sparkSession)
-    bits, block = shape(docs.count(), similarity)
     texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    rows = durable(texts.withColumn("s", sketch(F.col("text"), words, bits)).select("id", "mark", "s.node", "s.sk"))
-    nodes = durable(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("sk").alias("sk"), F.min(F.struct("id", "mark")).alias("from")))
+    rows = durable(texts.withColumn("s", sketch(F.col("text"), words, bits, bands(similarity))).select("id", "mark", "s.*"))
+    nodes = durable(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("sk").alias("sk"), F.first("keys").alias("keys"), F.min(F.struct("id", "mark")).alias("from")))
 
     def sets(named: DataFrame) -> DataFrame:
         # One text a node, of the row that from names; rows that agree in id and text are told apart by no one.
@@ -234,7 +256,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         each = texts.join(wanted, F.col("id").eqNullSafe(F.col("from_id")) & (F.col("mark") == F.col("from_mark")))
         return each.dropDuplicates(["node"]).select("node", _sets(F.col("text"), words).alias("set"))
 
-    edges = link(nodes.select("node", "sk"), bits, limit(similarity - slack, bits), block, part=256, similarity=similarity, sets=sets)
+    edges = link(nodes.select("node", "sk", "keys"), bits, wide(similarity, bits), part=256, similarity=similarity, sets=sets)
     found = connected_components(edges)
     named = durable(nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c")))
     lows = durable(named.groupBy("c").agg(F.min("low").alias("component_id")))

@@ -101,6 +101,15 @@ def test_short_unrelated_texts_stay_apart_and_sets_decide(spark):
     assert len(full[2000] & full[2001]) / len(full[2000] | full[2001]) == pytest.approx(100 / 124) and got[2001] == 2000
 
 
+def test_pairs_just_alike_enough_are_found(spark):
+    rows = []
+    for k in range(300):
+        a = words(104, 20_000 + k)  # 100 shingles of 125 or, if short, 4 of 5
+        rows += [(2 * k, " ".join(a if k % 2 else a[:8]), "s"), (2 * k + 1, " ".join(a + words(25, 30_000 + k) if k % 2 else a[:9]), "s")]
+    got = {r["doc_id"]: r["component_id"] for r in sketches.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 298
+
+
 def test_crowded_sketch_blocks_lose_no_link(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**62), 2**62, 20)
