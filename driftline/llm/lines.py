@@ -4,16 +4,22 @@ A text's lines are hashed; a rolling hash over the last few line hashes ends a
 chunk wherever it falls into one of modulus classes, so boundaries depend on
 nearby content alone and survive shifts. Chunks of two lines or more that occur
 again anywhere are removed but for their first occurrence (smallest id, then
-place). Hashes only nominate: chunks are the same if their bytes are.
+place). Chunks are the same if the SHA-256 digests of their bytes are.
 
-Scale: the first pass moves a hash and a place for each chunk; texts move only
-for chunks whose hash is met again, and each document once to be rewritten. A
+Chunks see a passage only where boundaries fall inside it. Without a modulus
+(modulus=None) there are no boundaries: every two neighbouring lines are a chunk,
+and those met again join to runs where they overlap. So every repeated run of two
+lines or more goes, from its first line to its last, whatever is around it; of
+each line's text the first occurrence stays. The queries use this.
+
+Scale: a digest and a place move for each chunk, and each text once, to be
+rewritten. A
 chunk in a third of all documents is summed up before it is shuffled, and the
 join that tells its occurrences which is the first has one row a chunk on the
 other side, cut off as a durable table so that Spark may split the crowded key.
 
 Edge cases: null texts stay null; empty texts and texts of one line stay as they
-are; chunks without a word character are never removed. Rows that agree in id
+are; chunks (or runs) without a word character are never removed. Rows that agree in id
 and text are one occurrence and are rewritten alike. A text whose chunks are all
 removed is empty. Extra columns pass through;
 removed is added; input columns named removed, places, gone_id or gone_mark give
@@ -31,6 +37,13 @@ from pyspark.sql import functions as F
 from driftline.session import durable, ship
 
 
+def _parts(lines: list[str], window: int, modulus: int | None) -> list[tuple[int, int]]:
+    """The chunks by boundaries, or every two neighbouring lines."""
+    if len(lines) < 2:
+        return []
+    return [(a, a + 2) for a in range(len(lines) - 1)] if modulus is None else _cut(lines, window, modulus)
+
+
 def cut(text: str, window: int = 2, modulus: int = 4) -> list[tuple[int, int]]:
     """(start, end) line numbers of a text's chunks."""
     return _cut(text.split("\n"), window, modulus)
@@ -55,72 +68,87 @@ def _cut(lines: list[str], window: int, modulus: int) -> list[tuple[int, int]]:
     return out
 
 
-_CHUNK = "array<struct<place:int,hash:bigint,body:string>>"
-
+def _chunks(text: Column, window: int, modulus: int | None) -> Column:
+    """The chunks of a text that could be removed: their first line and digest."""
 
-def _chunks(text: Column, window: int, modulus: int, bodies: bool) -> Column:
-    """The chunks of a text that could be removed: their first line, hash and, if wanted, text."""
-
-    @F.arrow_udf(_CHUNK)
+    @F.arrow_udf("array<struct<place:int,digest:binary>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from hashlib import sha256
+
         import regex
-        import xxhash
 
         word = regex.compile(r"\w").search
-        kind = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64()), ("body", pa.string())]))
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.binary())]))
         for texts in batches:
             out = []
             for t in texts:
                 lines, found = (t.as_py() or "").split("\n"), []
-                for a, b in _cut(lines, window, modulus) if len(lines) > 1 else []:
-                    if b - a > 1 and word(body := "\n".join(lines[a:b])):
-                        h = xxhash.xxh3_64_intdigest(body)
-                        found.append({"place": a, "hash": h - (1 << 64) if h >> 63 else h, "body": body if bodies else None})
+                for a, b in _parts(lines, window, modulus):
+                    body = "\n".join(lines[a:b])
+                    if b - a > 1 and (modulus is None or word(body)):
+                        found.append({"place": a, "digest": sha256(body.encode()).digest()})
                 out.append(found)
             yield pa.array(out, kind)
 
     return made(text)
 
 
-def _without(text: Column, places: Column, window: int, modulus: int) -> Column:
-    """A text without the chunks that begin at the given lines."""
+def runs(places: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of lines that pairs beginning at the places make; pairs that share a line are one run."""
+    out: list[tuple[int, int]] = []
+    for a in sorted(places):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], a + 2)
+        else:
+            out.append((a, a + 2))
+    return out
 
-    @F.arrow_udf("string")
+
+def _without(text: Column, places: Column, window: int, modulus: int | None) -> Column:
+    """A text without the chunks that begin at the given lines, and how many chunks (or runs) went."""
+
+    @F.arrow_udf("struct<text:string,removed:int>")
     def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import regex
+
+        word = regex.compile(r"\w").search
         for texts, gone in batches:
-            out = []
+            out, counts = [], []
             for t, g in zip(texts, gone):
                 t, g = t.as_py(), set(g.as_py() or ())
                 if t is None or not g:
                     out.append(t)
+                    counts.append(0)
                     continue
                 lines = t.split("\n")
-                out.append("\n".join("\n".join(lines[a:b]) for a, b in _cut(lines, window, modulus) if a not in g))
-            yield pa.array(out, pa.string())
+                if modulus is None:
+                    spans = [(a, b) for a, b in runs(list(g)) if word("\n".join(lines[a:b]))]
+                else:
+                    spans = [(a, b) for a, b in _cut(lines, window, modulus) if a in g]
+                off = {i for a, b in spans for i in range(a, b)}
+                out.append("\n".join(line for i, line in enumerate(lines) if i not in off))
+                counts.append(len(spans))
+            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int32())], ["text", "removed"])
 
     return made(text, places)
 
 
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int = 4) -> DataFrame:
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4) -> DataFrame:
     """(id, mark, place) of every chunk to be removed; mark is a hash of the text, so that id and mark name a row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("text is not null")
-    hashes = rows.select("id", "mark", F.explode(_chunks(F.col("text"), window, modulus, False)).alias("c")).select("c.hash")
-    again = durable(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    bodies = rows.select("id", "mark", F.explode(_chunks(F.col("text"), window, modulus, True)).alias("c")).select("id", "mark", "c.*")
-    met = durable(bodies.join(again, "hash"))
-    first = durable(met.groupBy("hash", "body").agg(F.min(F.struct("id", "mark", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = met.join(first, ["hash", "body"]).where(~F.struct("id", "mark", "place").eqNullSafe(F.col("first")))
+    met = durable(rows.select("id", "mark", F.explode(_chunks(F.col("text"), window, modulus)).alias("c")).select("id", "mark", "c.*"))
+    first = durable(met.groupBy("digest").agg(F.min(F.struct("id", "mark", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = met.join(first, "digest").where(~F.struct("id", "mark", "place").eqNullSafe(F.col("first")))
     return later.select("id", "mark", "place")
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int = 4) -> DataFrame:
-    """docs with the repeated chunks taken out of their texts, and removed, how many."""
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4) -> DataFrame:
+    """docs with the repeated chunks (without a modulus, runs) taken out of their texts, and removed, how many."""
     docs = docs.drop("places", "gone_id", "gone_mark", "removed")
     gone = repeated(docs, id, text, window, modulus).groupBy("id", "mark").agg(F.collect_set("place").alias("places"))
     gone = durable(gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "places"))
     same = docs[id].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_mark"))
     joined = docs.join(gone, same, "left").drop("gone_id", "gone_mark")
-    rewritten = _without(F.col(text), F.col("places"), window, modulus)
-    out = joined.withColumn(text, rewritten).withColumn("removed", F.coalesce(F.size("places"), F.lit(0)))
-    return out.drop("places")
+    rewritten = joined.withColumn("places", _without(F.col(text), F.col("places"), window, modulus))
+    return rewritten.withColumn(text, F.col("places.text")).withColumn("removed", F.col("places.removed")).drop("places")

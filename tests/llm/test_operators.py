@@ -214,6 +214,25 @@ def test_line_dedup_removes_all_but_the_first(spark):
     assert got[50]["removed"] > 0 and got[54]["removed"] == 0
 
 
+def test_every_repeated_run_of_lines_goes(spark):
+    rows, kept = [], {}
+    for n in (2, 3, 4, 5, 8):
+        for k in range(20):
+            run = [" ".join(words(4, 40_000 + 1000 * n + 10 * k + j)) for j in range(n)]
+            if n == 8:
+                run[2:6] = ["", "--", "", ""]  # lines without a word within a run
+            for copy in range(2):
+                own = [" ".join(words(4, 60_000 + 1000 * n + 40 * k + 20 * copy + j)) for j in range(6)]
+                i = 10_000 * copy + 100 * n + k
+                rows.append((i, "\n".join(own[:3] + run + own[3:]), "s"))
+                kept[i] = "\n".join(own if copy else own[:3] + run + own[3:])
+    rows += [(90_000, "\n\n\n\n", "s"), (90_001, "\n\n\n\n", "s"), (90_002, None, "s"), (90_003, "one line", "s"), (90_004, "one line", "s")]
+    kept |= {i: text for i, text, _ in rows if i >= 90_000}
+    got = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(rows, DOCS), modulus=None).collect()}
+    assert {i: r["text"] for i, r in got.items()} == kept
+    assert {i for i, r in got.items() if r["removed"]} == {i for i in got if 10_000 <= i < 90_000} and got[10_200]["removed"] == 1
+
+
 def test_chunk_boundaries_resist_shifts():
     body = [f"line {k} {k * k}" for k in range(60)]
     chunk = lambda ls: {"\n".join(ls[a:b]) for a, b in lines.cut("\n".join(ls))}
