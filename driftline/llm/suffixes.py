@@ -1,24 +1,21 @@
-"""Repeated passages by a sparse suffix array.
-
-A suffix begins at a word. Only those at minimiser positions are kept: in each
-run of (length - gram + 1) grams of words, the gram with the smallest hash. Any
-passage of length words or more that occurs twice holds a kept position at the
-same place of both occurrences. Kept suffixes whose gram is met again are sorted
-by their text; each is compared with those next to it, word by word, to the
-right and to the left, and matches of length words or more become spans. Longer
-passages hold many kept positions, whose spans are joined, so a suffix needs to
-carry no more than length words on either side.
-
-Scale: the first pass moves a hash and a place for one word in twenty; texts move
-once, for documents with a gram met again, then length words around each of
-those places. The sort is by ranges of the whole key, place included, so a
-passage in a third of all documents is cut into as many ranges as its share
-needs; what is next to a range's end is compared by the driver, which gets the
-last rows of each range and no others.
-
-A suffix is compared with the nearest others of the order (reach), which share
-the longest text to its right. Where several passages run through one gram, one
-farther off may share more to the left; another kept position shows it then.
+"""Repeated passages by anchored windows of words.
+
+Anchors are the minimiser positions of a text: in each run of (length - gram + 1)
+grams of words, the gram with the smallest hash. Every window of length words
+holds an anchor, at the same place wherever the window occurs. For each anchor
+whose gram is met again, the windows of length words that hold its gram are keyed
+by the gram, the place of the gram in the window and a hash of the window. A
+window whose key is met in another document is a span; spans are joined. As each
+window of a shared passage has a key of its own, no passage of length words or
+more is missed, however many documents share its gram, and each is found to the
+word.
+
+Scale: the first pass moves a hash and a place for one word in twenty; documents
+with a gram met again move once to be keyed, about two keys (of 128 bits) for
+each word near such a gram. Keys are summed up before they are shuffled, and the
+join that tells the occurrences which keys are repeated has one row a key on the
+other side, cut off as a durable table so that Spark may split a crowded key. No
+pair of occurrences is ever made.
 
 Edge cases: null and empty texts, and texts of fewer than length words, have no
 spans. Words are what stands between white space (x20, x09-x0D). Rows that agree
@@ -30,7 +27,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,136 +72,63 @@ def _anchors(text: Column, gram: int, length: int) -> Column:
     return made(text)
 
 
-def _around(length: int, rows: int = 4096):
-    """For each (place, gram) of a text the words to the right of the place, and those to the left from near to far."""
+def windows(words: list[bytes], places, gram: int, length: int):
+    """(first word, hash, place of the anchor in the window) of each window of length words that holds the gram at one of the places."""
+    import numpy as np
+    import xxhash
+
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    base, first = 0xD1B54A32D192ED03, np.asarray(places, np.int64)[:, None] - np.arange(length - gram + 1)
+    offset = np.broadcast_to(np.arange(length - gram + 1), first.shape)
+    fits = (first >= 0) & (first <= len(words) - length)
+    first, offset = first[fits], offset[fits]
+    power = np.array([pow(base, length - 1 - k, 1 << 64) for k in range(length)], np.uint64)
+    needed, back = np.unique(first, return_inverse=True)
+    rolled = np.zeros(len(needed), np.uint64)
+    for k in range(length):
+        x = h[needed + k] * power[k]
+        rolled += x ^ x >> np.uint64(29)
+    rolled = (rolled ^ rolled >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return first, (rolled ^ rolled >> np.uint64(29)).view(np.int64)[back], offset
+
+
+def _keyed(gram: int, length: int, rows: int = 65536):
+    """(gram, window hash and place of the anchor) of the windows around the places of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-        names = ["gram", "right", "left", "id", "mark", "place"]
+        import numpy as np
+
+        names = ["gram", "win", "id", "mark", "start"]
         for b in batches:
-            out: list = []
             for k in range(b.num_rows):
                 id, mark, text, at = (b.column(c)[k].as_py() for c in ("id", "mark", "text", "at"))
-                words = text.encode("utf-8").split()
-                for p, g in sorted({(x["place"], x["gram"]) for x in at}):
-                    out.append((g, b" ".join(words[p : p + length]).decode(), b" ".join(words[max(0, p - length) : p][::-1]).decode(), id, mark, p))
-                if len(out) >= rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                words, met = text.encode("utf-8").split(), sorted({(x["place"], x["gram"]) for x in at})
+                for i in range(0, len(met), rows // length):
+                    some = met[i : i + rows // length]
+                    grams = dict(some)
+                    first, win, offset = windows(words, [p for p, _ in some], gram, length)
+                    g = np.array([grams[p] for p in (first + offset).tolist()], np.int64)
+                    win = (win.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * offset.astype(np.uint64)).view(np.int64)
+                    cols = [g, win, np.full(len(g), id, np.int64), np.full(len(g), mark, np.int64)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(first, pa.int32())], names)
 
     return made
 
 
-def shared(a: list[str], b: list[str]) -> int:
-    """Words at the beginning that two lists share."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n  # a[:lo] is shared, a[:hi] is not
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-def match(x, y, length: int, within: bool) -> list[tuple]:
-    """The spans (id, mark, start, end) of a pair of suffixes (gram, right, left, id, mark, place), if they share enough."""
-    if x[0] != y[0] or ((x[3], x[4], x[5]) == (y[3], y[4], y[5]) or (x[3] == y[3] and not within)):
-        return []
-    right, left = shared(x[1], y[1]), shared(x[2], y[2])
-    if right + left < length:
-        return []
-    return [(s[3], s[4], s[5] - left, s[5] + right) for s in (x, y)]
-
-
-def _sorted_pairs(reach: int, length: int, within: bool):
-    """Compare each row with the reach rows before it; the first and last rows of a range go out as they are."""
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, near, head, out = TaskContext.get().partitionId(), [], 0, []
-        blank = (None, None, None, None)
-
-        def edge(kind: str, s) -> tuple:
-            return (s[3], s[4], s[5], None, kind, part, s[0], " ".join(s[1]), " ".join(s[2]))
-
-        for b in batches:
-            for row in zip(b["gram"], b["right"], b["left"], b["id"], b["mark"], b["place"]):
-                s = (int(row[0]), row[1].split(" "), row[2].split(" ") if row[2] else [], int(row[3]), int(row[4]), int(row[5]))
-                if head < reach:
-                    out.append(edge("head", s))
-                    head += 1
-                seen = set()
-                for other in reversed(near):
-                    if other[0] != s[0]:
-                        break
-                    for m in match(s, other, length, within):
-                        if m not in seen:
-                            seen.add(m)
-                            out.append((*m, *("span", part, None, None, None)))
-                near.append(s)
-                if len(near) > reach:
-                    near.pop(0)
-            if out:
-                yield _frame(out)
-                out = []
-        out += [edge("tail", s) for s in near]
-        if out:
-            yield _frame(out)
-
-    return pairs
-
-
-_COLUMNS = ["id", "mark", "start", "end", "kind", "part", "gram", "right", "left"]
-_SCHEMA = "id long, mark long, start long, end long, kind string, part int, gram long, right string, left string"
-
-
-def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-    for c in ("id", "mark", "start", "end", "part", "gram"):
-        out[c] = pd.array(out[c], dtype="Int64")
-    return out
-
-
-def _across(edges: list, reach: int, length: int, within: bool) -> list[tuple]:
-    """Spans of pairs that a range's end parts: the last rows before it and the first ones after."""
-    parts: dict[int, dict[str, list]] = {}
-    for r in edges:
-        s = (r["gram"], r["right"].split(" "), r["left"].split(" ") if r["left"] else [], r["id"], r["mark"], r["start"])
-        parts.setdefault(r["part"], {"head": [], "tail": []})[r["kind"]].append(s)
-    key, before, out = (lambda s: (s[0], s[1], s[2], s[3], s[4], s[5])), [], []
-    for p in sorted(parts):
-        head, tail = sorted(parts[p]["head"], key=key), sorted(parts[p]["tail"], key=key)
-        for i, s in enumerate(head):
-            for other in before[len(before) - max(0, reach - i) :] if reach > i else []:
-                out += match(s, other, length, within)
-        before = (before + [t for t in tail if t not in before])[-reach:]
-    return sorted(set(out))
-
-
-def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, gram: int = 10, reach: int = 4, within: bool = False) -> DataFrame:
-    """(id, mark, start, end): spans of words that occur elsewhere too; mark is a hash of the text."""
-    spark = docs.sparkSession
-    ship(spark)
+def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, gram: int = 10, within: bool = False) -> DataFrame:
+    """(id, mark, start, end): windows of words that occur elsewhere too; mark is a hash of the text."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("text is not null and id is not null")
     kept = durable(rows.select("id", "mark", F.explode(_anchors(F.col("text"), gram, length)).alias("a")).select("id", "mark", "a.place", "a.gram"))
     again = durable(kept.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1" if within else "low < high").select("gram"))
     met = kept.join(again, "gram")
-    places = durable(met.groupBy("id", "mark").agg(F.collect_list(F.struct("place", "gram")).alias("at")))
+    places = durable(met.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "gram")).alias("at")))
     texts = rows.join(places, ["id", "mark"])
-    suffixes = texts.select("id", "mark", "text", "at").mapInArrow(_around(length), "gram long, right string, left string, id long, mark long, place int")
-    order = ["gram", "right", "left", "id", "mark", "place"]
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = durable(suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(_sorted_pairs(reach, length, within), _SCHEMA))
-    edges = compared.where("kind != 'span'").collect()  # the first and last rows of each range
-    between = spark.createDataFrame(_across(edges, reach, length, within), "id long, mark long, start long, end long")
-    return compared.where("kind = 'span'").select("id", "mark", "start", "end").unionByName(between).distinct()
+    keyed = durable(texts.mapInArrow(_keyed(gram, length), "gram long, win long, id long, mark long, start int"))
+    who = F.struct("id", "mark", "start") if within else F.col("id")
+    shared = durable(keyed.groupBy("gram", "win").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("gram", "win"))
+    found = keyed.join(shared, ["gram", "win"])
+    return found.select("id", "mark", F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end"))
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

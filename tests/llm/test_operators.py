@@ -250,6 +250,16 @@ def test_repeated_passages_are_found_to_the_word(spark):
     assert 8 in {r["doc_id"] for r in twice.collect()}
 
 
+def test_passages_around_a_frequent_gram_are_found(spark):
+    frequent = words(10, 70_000)  # in every document; two of them share the 45 words before it too
+    rows = []
+    for i in range(200):
+        before = words(45, 71_000 if i in (3, 150) else 72_000 + i)
+        rows.append((i, " ".join(words(60, 73_000 + i) + before + frequent + words(60, 74_000 + i)), "s"))
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffixes.passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {3: [(60, 115)], 150: [(60, 115)]}
+
+
 # op7
 
 def test_shares_stop_at_three_times_a_source():
