@@ -131,6 +131,14 @@ def test_novelty_of_a_wider_stream(spark):
     assert np.mean([r["near_100"] for r in got[450:]]) > np.mean([r["near_100"] for r in got[150:290]]) + 1
 
 
+def test_novelty_windows_are_the_reference_ones(spark):
+    x = np.random.default_rng(5).normal(size=600)
+    panel = from_table(spark.createDataFrame(table({1: x}), "s long, t long, v double"), "s", ["t"], "v")
+    got = grouped.novelty(panel).where("step = 30").first()
+    assert [c for c in got.asDict() if c.startswith("near_")] == ["near_25", "near_50", "near_100", "near_250"]
+    assert all(got[f"near_{w}"] != 0 for w in (25, 50, 100))
+
+
 def test_constant_and_short_histories_stay_finite(spark):
     series = {1: np.ones(200), 2: np.arange(12.0), 3: np.concatenate([np.random.default_rng(0).normal(size=40), [np.nan, np.inf]])}
     panel = from_table(spark.createDataFrame(table(series), "s long, t long, v double"), "s", ["t"], "v")
