@@ -19,6 +19,9 @@ first character of each control string get a backslash in front, which read()
 takes off again. Loss mask: (start, end) in code points of each assistant text
 within its block.
 
+A table of turns becomes a log by numbered() and logged(), whose fold is the
+table again.
+
 Edge cases: null texts and roles are empty ones; null kinds count as "message";
 events with null conv_id form one conversation; a message whose events are all
 dropped is gone; events that tie in seq are ordered by kind and text. Extra
@@ -39,7 +42,8 @@ from driftline.session import ship
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>"
 _ESCAPE = re.compile(r"\\|### |: |</turn>")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:\\.|[^\\])*?): ((?:\\.|[^\\])*?)</turn>\n", re.S)
+#: What may end a role or a text: the control string itself, met outside of an escape.
+_ROLE_END, _TEXT_END = re.compile(r"\\.|: ", re.S), re.compile(r"\\.|</turn>", re.S)
 
 
 def escape(text: str) -> str:
@@ -50,6 +54,40 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def numbered(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """(conv_id, message, role, text): rows (conv_id, turn, role, text) as messages from 0 on, one a row.
+
+    Rows are in order of turn, those without one last; rows that tie, repeated
+    ones too, are in order of role and text, each a message of its own. Rows are
+    counted by blocks of turn numbers and ordered within a block, so no task
+    holds a conversation.
+    """
+    ev = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ev = ev.withColumn("block", F.floor(F.col("turn") / block))
+    sizes = ev.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("block")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("conv_id").alias("sc"), F.col("block").alias("sb"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    placed = ev.withColumn("place", F.row_number().over(within) - 1)
+    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("sc")) & F.col("block").eqNullSafe(F.col("sb")))
+    return placed.select("conv_id", (F.col("start") + F.col("place")).alias("message"), "role", "text")
+
+
+def logged(messages: DataFrame) -> DataFrame:
+    """An event log whose fold() is the messages (conv_id, message, role, text).
+
+    An assistant's message is begun, regenerated and streamed in two deltas;
+    anyone else's is sent as a draft, its first half, and edited.
+    """
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    head, tail = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.char_length("text"))
+    event = lambda n, kind, text: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(event(0, "delta", tail), event(1, "regenerate", F.lit("")), event(2, "delta", head), event(3, "delta", tail))
+    edited = F.array(event(0, "message", head), event(1, "edit", F.col("text")))
+    each = messages.withColumn("e", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)))
+    return each.select("conv_id", (F.col("message") * 4 + F.col("e.n")).alias("seq"), "message", "e.kind", "role", "e.text")
+
+
 def fold(events: DataFrame, block: int = 1024) -> DataFrame:
     """(conv_id, message, role, text, alive): the final messages. block: message numbers taken together."""
     ev = events.select("conv_id", "seq", "message", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -96,15 +134,21 @@ def render(messages: DataFrame, block: int = 256) -> DataFrame:
     return packed.select("conv_id", "block", F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"), spans.alias("loss"))
 
 
+def _ends(mark: re.Pattern, text: str, at: int) -> int:
+    """Where the first mark outside of an escape stands, -1 if nowhere; one match is held at a time, so a long text costs no more than itself."""
+    return next((m.start() for m in mark.finditer(text, at) if m[0][0] != "\\"), -1)
+
+
 def read(formatted: str, loss) -> tuple[list[tuple[str, str]], list[str]]:
     """Turns (role, text) and the texts under the loss mask, of one block."""
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        colon = _ends(_ROLE_END, formatted, at + len(OPEN)) if formatted.startswith(OPEN, at) else -1
+        close = _ends(_TEXT_END, formatted, colon + len(MIDDLE)) if colon >= 0 else -1
+        if close < 0:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        turns.append((unescape(formatted[at + len(OPEN) : colon]), unescape(formatted[colon + len(MIDDLE) : close])))
+        at = close + len(CLOSE) + 1
     return turns, [unescape(formatted[s["start"] : s["end"]]) for s in loss]
 
 

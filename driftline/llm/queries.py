@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import ann, bpe, chat, lines, mix, pivots, simhash, suffixes, toxicity, urls
+from driftline.session import durable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as the log of events that made it, folded, written and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    rows = rows.unionByName(probe)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.render(chat.fold(events)))
+    return chat.digests(chat.render(chat.fold(durable(chat.logged(chat.numbered(rows.unionByName(probe)))))))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
