@@ -8,10 +8,13 @@ k-th best score found: no later one can matter, not even as a tie. A first pass
 over the vectors of the same nearest pivot gives every query a score to start
 from, so that most of a block is never evaluated where the data cluster.
 
-Scale: all queries against all rows are compared in blocks, each a bounded part
-of the vectors and a bounded chunk of the queries; a block answers with its k
-best of each query. Vectors are dealt to blocks along their nearest pivot, and
-one that is far from a chunk's queries is skipped by its bound alone.
+Scale: vectors are dealt to cells along their nearest pivot. Of a cell the driver
+knows the range of its distances to every pivot and its largest norm (one row a
+pivot); with these a query whose bound for the whole cell is below its score
+never goes there. A query is sent to the cells that are left, in blocks of a
+bounded part of the vectors and a bounded chunk of the queries; vectors are only
+repeated for the chunks their cell has. A block answers with its k best of each
+query.
 
 Components are turned into integers, floor(scale * x), so scores are exact. Edge
 cases: vectors null, of another length than most, or with null or non-finite
@@ -25,7 +28,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.ann import usable
@@ -81,7 +84,24 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id: str = "vec_id", vector: str = "embedding", pivots: int = 24, sample: int = 4096, block_rows: int = 8192, chunk_rows: int = 512, seed: int = 5) -> DataFrame:
+def _reach(stats, pivots: int):
+    """What is known of each pivot's vectors: numbers, nearest and farthest distance to every pivot, largest squared norm."""
+    near = [r["near"] for r in stats]
+    lo = np.array([[r[f"lo{j}"] for j in range(pivots)] for r in stats])
+    hi = np.array([[r[f"hi{j}"] for j in range(pivots)] for r in stats])
+    return near, lo, hi, np.array([r["norm2"] for r in stats])
+
+
+def surviving(q: np.ndarray, q_table: np.ndarray, floor: np.ndarray, reach) -> np.ndarray:
+    """(query, cell) booleans: cells whose bound for the query is not below its floor. A floor that is not known (NaN) drops nothing."""
+    _, lo, hi, norm2 = reach
+    q_norm, need = (q**2).sum(axis=1), np.where(np.isnan(floor), -np.inf, floor)
+    low = np.stack([np.maximum(0.0, np.maximum(q_table - hi[c], lo[c] - q_table)).max(axis=1) for c in range(len(norm2))], axis=1)
+    bound = np.floor((q_norm[:, None] + norm2[None] - np.maximum(0.0, low - 1e-3) ** 2) / 2 + 1e-3)
+    return bound >= need[:, None]
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id: str = "vec_id", vector: str = "embedding", pivots: int = 48, sample: int = 4096, block_rows: int = 8192, chunk_rows: int = 4096, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each row whose id is divisible by every.
 
     sample: rows that pivots are chosen from, at most.
@@ -91,43 +111,66 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
     rows = usable(vectors, id, vector, zero=True).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     rows = durable(rows)
     picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not picked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return empty
     points = choose(np.array([r["v"] for r in picked], np.float64), pivots, seed)
     shared = spark.sparkContext.broadcast(points)
 
     def to_pivot(batches):
         for b in batches:
             if len(b):
-                t = table(np.stack(b["v"].to_numpy()), shared.value)
-                yield b.assign(t=list(t), near=t.argmin(axis=1))
-
-    placed = durable(rows.mapInPandas(to_pivot, "id long, v array<double>, t array<double>, near long"))
-    counts = placed.groupBy("near").agg(F.count("*").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q")).collect()  # one row a pivot
-    n, asked = sum(r["n"] for r in counts), sum(r["q"] for r in counts)
-    if not asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # Blocks are runs of one pivot's vectors; chunks are spread by a hash.
-    parts = spark.createDataFrame([(r["near"], math.ceil(r["n"] / block_rows)) for r in counts], "near long, parts int")
-    chunks = math.ceil(asked / chunk_rows)
-    placed = placed.join(F.broadcast(parts), "near").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
-    queries = placed.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("t").alias("qt"), F.col("near").alias("own"), F.pmod(F.xxhash64("id", F.lit(4)), F.lit(chunks)).cast("int").alias("chunk"))
+                v = np.stack(b["v"].to_numpy())
+                t = table(v, shared.value)
+                yield b.assign(t=list(t), near=t.argmin(axis=1), norm2=(v**2).sum(axis=1))
+
+    placed = durable(rows.mapInPandas(to_pivot, "id long, v array<double>, t array<double>, near long, norm2 double"))
+    asked = (F.col("id") % every == 0).cast("long")
+    ends = [f(F.col("t")[j]).alias(f"{n}{j}") for j in range(len(points)) for n, f in (("lo", F.min), ("hi", F.max))]
+    stats = placed.groupBy("near").agg(F.count("*").alias("n"), F.sum(asked).alias("q"), F.max("norm2").alias("norm2"), *ends).collect()  # one row a pivot
+    if not sum(r["q"] for r in stats):
+        return empty
+    reach = spark.sparkContext.broadcast(_reach(stats, len(points)))
+    parts = {r["near"]: math.ceil(r["n"] / block_rows) for r in stats}
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), _by_cell(parts)).cast("int")).select("near", "part", "id", "v", "t")
+    queries = placed.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("t").alias("qt"), "near")
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            floor = a["floor"].to_numpy(np.float64) if "floor" in a else None
+            floor = a["floor"].to_numpy(np.float64)
             out = best(a["qid"].to_numpy(), np.stack(a["q"].to_numpy()), np.stack(a["qt"].to_numpy()), b["id"].to_numpy(), np.stack(b["v"].to_numpy()), np.stack(b["t"].to_numpy()), k, floor)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     keys = ["near", "part", "chunk"]
-    first = queries.withColumn("near", F.col("own")).withColumn("part", F.lit(0))
-    start = placed.where("part = 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    begun = first.groupBy(keys).cogroup(start.groupBy(keys)).applyInPandas(cell, _FOUND)
+
+    def compared(some: DataFrame, against: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        """Queries (qid, q, qt, floor, near, part) with the vectors of their cells; sizes: queries that a cell has."""
+        chunks = _by_cell({c: math.ceil(n / chunk_rows) for c, n in sizes.items()})
+        left = some.withColumn("chunk", F.pmod(F.xxhash64("qid", F.lit(4)), chunks).cast("int"))
+        right = against.where(F.col("near").isin([c for c, n in sizes.items() if n])).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(cell, _FOUND)
+
+    first = queries.withColumn("part", F.lit(0)).withColumn("floor", F.lit(float("nan")))
+    begun = compared(first, placed.where("part = 0"), {r["near"]: r["q"] for r in stats})
     floors = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    queries = durable(queries.join(floors, queries["qid"] == floors["query_id"], "left").drop("query_id", "own"))
-    cells = F.array(*(F.struct(F.lit(r["near"]).cast("long").alias("near"), F.lit(math.ceil(r["n"] / block_rows)).alias("parts")) for r in counts))
-    spread = queries.withColumn("c", F.explode(cells)).withColumn("near", F.col("c.near")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1))).drop("c")
-    against = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    found = spread.groupBy(keys).cogroup(against.groupBy(keys)).applyInPandas(cell, _FOUND)
-    return _merge(found, k)
+    queries = queries.join(floors, queries["qid"] == floors["query_id"], "left").select("qid", "q", "qt", "floor")
+
+    def to_cells(batches):
+        for b in batches:
+            if len(b):
+                near = np.array(reach.value[0])
+                keep = surviving(np.stack(b["q"].to_numpy()), np.stack(b["qt"].to_numpy()), b["floor"].to_numpy(np.float64), reach.value)
+                yield b.assign(cells=[near[x] for x in keep])
+
+    queries = durable(queries.mapInPandas(to_cells, "qid long, q array<double>, qt array<double>, floor double, cells array<long>"))
+    sizes = {r["near"]: r["n"] for r in queries.select(F.explode("cells").alias("near")).groupBy("near").agg(F.count("*").alias("n")).collect()}  # one row a pivot
+    spread = queries.select("qid", "q", "qt", "floor", F.explode("cells").alias("near"))
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), _by_cell(parts) - 1)))
+    return _merge(compared(spread, placed, sizes), k)
+
+
+def _by_cell(numbers: dict[int, int]) -> Column:
+    """A pivot's number of parts or chunks, at least 1, looked up by near; one entry a pivot."""
+    known = F.create_map(*(F.lit(int(x)) for c, n in sorted(numbers.items()) for x in (c, max(1, n))))
+    return F.coalesce(F.try_element_at(known, F.col("near").cast("int")), F.lit(1))
