@@ -94,14 +94,15 @@ class Tree:
                     todo.append((kid, which[near == i]))
         return out
 
-    def visit(self, row: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves that a best-bin-first traversal comes to."""
-        out, queue = [], [(0.0, 0)]
-        while queue and len(out) < leaves:
+    def visit(self, row: np.ndarray, leaves: int, sizes: dict[int, int] | None = None, need: int = 0) -> list[int]:
+        """The first leaves that a best-bin-first traversal comes to; more of them, until they hold need vectors by sizes."""
+        out, queue, held = [], [(0.0, 0)], 0
+        while queue and (len(out) < leaves or (sizes is not None and held < need)):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf_of[node])
+                held += (sizes or {}).get(out[-1], 0)
                 continue
             gaps = ((self.centres[kids] - row) ** 2).sum(axis=1)
             for gap, kid in zip(gaps.tolist(), kids):
@@ -193,13 +194,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_id",
         def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 lifted = np.column_stack([np.stack(b["q"].to_numpy()), np.zeros(len(b))]) if len(b) else []
-                seen = [shared.value.visit(x, most) for x in lifted]
+                seen = [shared.value.visit(x, most, sizes, k + 1) for x in lifted]
                 b["cell"] = seen
                 yield b.explode("cell").assign(cell=lambda d: d["cell"].astype("int64"))
 
         return visits
 
     placed = durable(rows.mapInPandas(to_leaf, "id long, v array<double>, cell long"))
+    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a leaf
     some = durable(queries.orderBy(F.xxhash64("qid", F.lit(seed + 1)), "qid").limit(calibrate))
     truth = _merge(in_cells(some.withColumn("cell", F.lit(0).cast("long")), rows.withColumn("cell", F.lit(0).cast("long")), k), k)
     where = truth.join(placed.select(F.col("id").alias("vec_id"), "cell"), "vec_id").select("query_id", "cell").collect()
