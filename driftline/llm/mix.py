@@ -36,6 +36,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 HELPERS = frozenset("id size h k docs source_size target passes rest more got last bucket before nth one draws draw block shard place w0 c0".split())
 
 
+#: Sources, a row each, that are broadcast; more than that are joined as any table.
+SMALL = 100_000
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """rows, broadcast if their number n is small."""
+    return F.broadcast(rows) if n <= SMALL else rows
+
+
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -67,8 +76,8 @@ def targets(sized: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     return sized.sparkSession.createDataFrame(rows, "source string, k int, docs long, source_size long, target double")
 
 
-def lay_out(docs: DataFrame, seed: int = 7, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, span: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs with size, source_size, target, k (its source's number), nth (its place in its source's order) and draws.
+def lay_out(docs: DataFrame, seed: int = 7, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, span: int = 4096, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
+    """Rows and the draws of each source by its number. Rows: docs with size, source_size, target, k (its source's number), nth (its place in its source's order) and draws.
 
     span: rows that a range of the hash holds on average; it bounds what one
     task orders at a time.
@@ -77,9 +86,10 @@ def lay_out(docs: DataFrame, seed: int = 7, weights: Sequence[float] = (5.0, 2.0
     base = docs.withColumn("size", words(F.col(text))).withColumn("h", F.xxhash64(F.lit(seed), F.col(id), F.col(text)))
     light = durable(base.select(F.col(id).alias("id"), "source", "size", "h"))
     goal = targets(light, weights, most)
+    few = goal.count()
     bits = max(0, math.ceil(math.log2(max(1, light.count() / span))))
     bucket = (F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")).alias("bucket")
-    placed = light.join(F.broadcast(goal.select("source", "k")), light["source"].eqNullSafe(goal["source"])).select("k", "id", "size", "h", bucket)
+    placed = light.join(_few(goal.select("source", "k"), few), light["source"].eqNullSafe(goal["source"])).select("k", "id", "size", "h", bucket)
     sums = placed.groupBy("k", "bucket").agg(F.sum("size").alias("w"), F.count("*").alias("c"))
     ahead = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = durable(sums.select("k", "bucket", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("c0")))
@@ -94,20 +104,20 @@ def lay_out(docs: DataFrame, seed: int = 7, weights: Sequence[float] = (5.0, 2.0
     passes = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long")
     goal = goal.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     fits = F.col("before") + F.col("size") <= F.col("rest")
-    lined = durable(ordered(placed).join(F.broadcast(goal.select("k", "rest")), "k").withColumn("fits", fits))
+    lined = durable(ordered(placed).join(_few(goal.select("k", "rest"), few), "k").withColumn("fits", fits))
     ahead = lined.groupBy("k").agg(F.sum(F.col("fits").cast("long")).alias("more"), F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("got"))
     goal = goal.join(ahead, "k")
     # One more document, the one that comes nearest to what is still missing.
     off = F.abs(F.col("rest") - F.col("got") - F.col("size"))
-    last = lined.where("not fits").drop("rest").join(F.broadcast(goal.select("k", "rest", "got")), "k").where(off < F.col("rest") - F.col("got"))
+    last = lined.where("not fits").drop("rest").join(_few(goal.select("k", "rest", "got"), few), "k").where(off < F.col("rest") - F.col("got"))
     last = last.groupBy("k").agg(F.min(F.struct(off.alias("off"), "nth")).alias("best")).select("k", F.col("best.nth").alias("last"))
-    goal = goal.join(last, "k", "left").collect()  # one row a source
-    goal = sized_schema(docs.sparkSession, goal)
-    named = base.join(F.broadcast(goal), base["source"].eqNullSafe(goal["source"])).drop(goal["source"]).withColumn("bucket", bucket)
+    plan = goal.join(last, "k", "left").collect()  # one row a source
+    goal = sized_schema(docs.sparkSession, plan)
+    named = base.join(_few(goal, few), base["source"].eqNullSafe(goal["source"])).drop(goal["source"]).withColumn("bucket", bucket)
     named = ordered(named.withColumn("id", F.col(id)))
     named = named.withColumn("one", F.when(fits, F.col("nth")).when(F.col("nth") == F.col("last"), F.col("more")))
     out = named.withColumn("draws", F.col("passes") + F.col("one").isNotNull().cast("long"))
-    return out.drop("bucket", "before", "h", "rest", "got", *({"id"} - {id}))
+    return out.drop("bucket", "before", "h", "rest", "got", *({"id"} - {id})), {r["k"]: r["passes"] * r["docs"] + r["more"] + (r["last"] is not None) for r in plan}
 
 
 def sized_schema(spark, rows) -> DataFrame:
@@ -154,15 +164,10 @@ def quotas(blocks: Sequence[int], shards: int, seed: int, spark) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("counts").alias("k", "blocks"))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, block: int = 64, shard_blocks: int = 256, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs as often as they are drawn: with size, source_size, target, draws, draw (from 0), shard and place.
-
-    A document that is not drawn comes once, with null draw, shard and place.
-    block: documents in a block. shard_blocks: blocks in a shard, on average.
-    """
-    laid = lay_out(docs, seed, weights, most, text=text, id=id)
-    plan = laid.groupBy("k").agg(F.sum("draws").alias("draws")).collect()  # one row a source
-    counts = {r["k"]: -(-r["draws"] // block) for r in plan}
+def _mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, block: int = 64, shard_blocks: int = 32, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, int]:
+    """The draws, and the number of shards."""
+    laid, draws = lay_out(docs, seed, weights, most, text=text, id=id)
+    counts = {k: -(-n // block) for k, n in draws.items()}
     blocks = [counts.get(k, 0) for k in range(max(counts, default=-1) + 1)]
     shards = max(1, math.ceil(sum(blocks) / shard_blocks))
     spark = docs.sparkSession
@@ -172,11 +177,25 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = (5.0, 2.0, 1.
     drawn = laid.withColumn("draw", F.explode_outer(F.when(F.col("draws") > 0, F.sequence(F.lit(0), F.col("draws") - 1))))
     drawn = drawn.withColumn("block", F.floor((F.col("draw") * F.col("docs") + F.when(F.col("draw") < F.col("passes"), F.col("nth")).otherwise(F.col("one"))) / block))
     out = drawn.join(durable(dealt), ["k", "block"], "left")
-    return out.withColumn("place", F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed + 1), "shard", "k", "nth", "draw"))).drop("block", "passes", "docs", "one", "more", "last")
+    out = out.withColumn("place", F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed + 1), "shard", "k", "nth", "draw"))).drop("block", "passes", "docs", "one", "more", "last")
+    return out, shards
 
 
-def shuffled(mixed: DataFrame, shards: int | None = None) -> DataFrame:
-    """The draws dealt out by shard, in each shard in their shuffled order, ready to be written."""
-    drawn = mixed.where("shard is not null")
-    dealt = drawn.repartition(shards, "shard") if shards else drawn.repartition("shard")
-    return dealt.sortWithinPartitions("shard", "place")
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs as often as they are drawn: with size, source_size, target, draws, draw (from 0), shard and place.
+
+    A document that is not drawn comes once, with null draw, shard and place.
+    block: documents in a block. shard_blocks: blocks in a shard, on average.
+    """
+    return _mix(docs, **options)[0]
+
+
+def shuffled(docs: DataFrame, alone: int = 512, together: int = 16, **options) -> DataFrame:
+    """The draws of a mix dealt out by shard, in each shard in their shuffled order, ready to be written.
+
+    Up to alone shards, each is a partition; of more, together are dealt to one.
+    options: those of mix.
+    """
+    mixed, shards = _mix(docs, **options)
+    parts = min(shards, max(alone, math.ceil(shards / together)))
+    return mixed.where("shard is not null").repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "place")
