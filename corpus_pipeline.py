@@ -38,7 +38,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix draws them, dealt out by shard in shuffled order."""
-    return mix.shuffled(mix.mix(docs)).select(*docs.columns)
+    return mix.shuffled(docs).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
