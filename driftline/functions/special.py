@@ -12,6 +12,10 @@ _LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
 
 def ndtr(x):
     """Standard normal distribution function."""
+    if np.size(x) > 64:  # equal values, common in ranks and held windows, once
+        each, back = np.unique(np.asarray(x, float), return_inverse=True)
+        if len(each) < np.size(x) / 2:
+            return ndtr(each)[back].reshape(np.shape(x))
     return 0.5 * (1 + _ERF(np.asarray(x, float) / math.sqrt(2)).astype(float))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from driftline.plans.staged import Stage, before, clip, d, ewma, lag, last, reflected, squash, upto
+from driftline.plans.staged import Stage, before, clip, d, ewma, lag, last, probit, reflected, squash, upto
 
 Family = tuple[list[Stage], list[str]]
 
@@ -109,26 +109,29 @@ MASS_WINDOWS = (10, 25, 50, 100, 250, 500)
 _REPS = {"z": "z", "a": "abs(z)", "q": "z * z", "d": "z - zp", "c": "zc / sqrt(step + 1)", "s": "sign(z)"}
 
 
-def mass() -> Family:
-    """Six representations by six memories, gap and log variance ratio, and three exceedance rates: 90 channels. Fits: moments, mass_reference."""
+#: The wide mass battery: two more memories, and two more moments.
+WIDE_MASS_WINDOWS = (5, 10, 25, 50, 100, 250, 500, 1000)
+
+
+def mass(windows: tuple[int, ...] = MASS_WINDOWS, shapes: bool = False) -> Family:
+    """Six representations by their memories, gap and log variance ratio, and three exceedance rates: 90 channels; with shapes, skewness and
+    kurtosis less the history's too (216 on eight memories). Fits: moments, mass_reference."""
     reps = [{f"r_{k}": e for k, e in _REPS.items()} | {"e1": f"CASE WHEN abs(z) > q1 THEN {d(1.0)} ELSE {d(0.0)} END", "e2": f"CASE WHEN abs(z) > q2 THEN {d(1.0)} ELSE {d(0.0)} END", "e3": f"CASE WHEN abs(z) > q3 THEN {d(1.0)} ELSE {d(0.0)} END"}]
     sums: Stage = {}
+    spread: Stage = {}
     outs: Stage = {}
-    names = []
-    for k in _REPS:
-        for w in MASS_WINDOWS:
-            sums |= {f"m1_{k}{w}": ewma(f"r_{k}", 1 / w), f"m2_{k}{w}": ewma(f"r_{k} * r_{k}", 1 / w)}
-            outs[f"gap_{k}{w}"] = clip(f"(m1_{k}{w} - h1_{k}) / sqrt(h2_{k} / {w})", -20, 20)
-            names.append(f"gap_{k}{w}")
-    for k in _REPS:
-        for w in MASS_WINDOWS:
-            outs[f"lvr_{k}{w}"] = clip(f"ln(greatest(m2_{k}{w} - m1_{k}{w} * m1_{k}{w}, {d(1e-9)}) / h2_{k})", -20, 20)
-            names.append(f"lvr_{k}{w}")
-    for i, p in ((1, 0.25), (2, 0.05), (3, 0.01)):
-        for w in MASS_WINDOWS:
-            outs[f"exc{i}_{w}"] = f"{ewma(f'e{i}', 1 / w)} - {d(p)}"
-            names.append(f"exc{i}_{w}")
-    return [*standardised(), {"zc": upto("sum(z)")}, *reps, sums, outs], names
+    each = [(k, w) for k in _REPS for w in windows]
+    for k, w in each:
+        sums |= {f"m{n}_{k}{w}": ewma(" * ".join([f"r_{k}"] * n), 1 / w) for n in range(1, 5 if shapes else 3)}
+        spread[f"v_{k}{w}"] = f"greatest(m2_{k}{w} - m1_{k}{w} * m1_{k}{w}, {d(1e-9)})"
+    outs |= {f"gap_{k}{w}": clip(f"(m1_{k}{w} - h1_{k}) / sqrt(h2_{k} / {w})", -20, 20) for k, w in each}
+    outs |= {f"lvr_{k}{w}": clip(f"ln(v_{k}{w} / h2_{k})", -20, 20) for k, w in each}
+    if shapes:
+        m = lambda n, k, w: f"m{n}_{k}{w}"
+        outs |= {f"skew_{k}{w}": clip(f"({m(3, k, w)} - 3 * {m(1, k, w)} * v_{k}{w} - {m(1, k, w)} * {m(1, k, w)} * {m(1, k, w)}) / (v_{k}{w} * sqrt(v_{k}{w}) + {d(1e-9)}) - h3_{k}", -20, 20) for k, w in each}
+        outs |= {f"kurt_{k}{w}": clip(f"({m(4, k, w)} - 4 * {m(1, k, w)} * {m(3, k, w)} + 6 * {m(1, k, w)} * {m(1, k, w)} * {m(2, k, w)} - 3 * {m(1, k, w)} * {m(1, k, w)} * {m(1, k, w)} * {m(1, k, w)}) / (v_{k}{w} * v_{k}{w} + {d(1e-9)}) - h4_{k}", -20, 20) for k, w in each}
+    outs |= {f"exc{i}_{w}": f"{ewma(f'e{i}', 1 / w)} - {d(p)}" for i, p in ((1, 0.25), (2, 0.05), (3, 0.01)) for w in windows}
+    return [*standardised(), {"zc": upto("sum(z)")}, *reps, sums, spread, outs], list(outs)
 
 
 def rolling_acf(lags: tuple[int, ...] = (1, 2, 5, 10), windows: tuple[int, ...] = (50, 200)) -> Family:
@@ -147,12 +150,12 @@ WIDE_LAGS, WIDE_WINDOWS = (1, 2, 3, 5, 8, 12, 20, 30), (25, 50, 100, 200, 400)
 
 
 def rank_battery(windows: tuple[int, ...] = MASS_WINDOWS) -> Family:
-    """Four representations of an online value's rank in its history, each against what a uniform rank gives, and the shares in the
-    outer tenths: 60 channels. Rows: relational.rank_against_history (below, n)."""
+    """Five representations of an online value's rank in its history, each against what a uniform rank gives, and the shares in the
+    outer tenths: 72 channels. Rows: relational.rank_against_history (below, n)."""
     one = lambda c: f"CASE WHEN {c} THEN {d(1.0)} ELSE {d(0.0)} END"
     rank = {"pit": clip(f"(below + {d(0.5)}) / (n + 1)", 1e-6, 1 - 1e-6)}
-    reps = {"r_c": f"pit - {d(0.5)}", "r_a": f"abs(pit - {d(0.5)})", "r_s": f"sign(pit - {d(0.5)})", "r_m": f"least(pit, 1 - pit)", "top": one(f"pit > {d(0.9)}"), "low": one(f"pit < {d(0.1)}")}
-    uniform = {"c": (0.0, 1 / 12), "a": (0.25, 1 / 48), "s": (0.0, 1.0), "m": (0.25, 1 / 48)}  # mean and variance of each
+    reps = {"r_c": f"pit - {d(0.5)}", "r_a": f"abs(pit - {d(0.5)})", "r_s": f"sign(pit - {d(0.5)})", "r_g": probit("pit"), "r_m": "least(pit, 1 - pit)", "top": one(f"pit > {d(0.9)}"), "low": one(f"pit < {d(0.1)}")}
+    uniform = {"c": (0.0, 1 / 12), "a": (0.25, 1 / 48), "s": (0.0, 1.0), "g": (0.0, 1.0), "m": (0.25, 1 / 48)}  # mean and variance of each
     sums = {f"{m}_{k}{w}": ewma(x, 1 / w) for k in uniform for w in windows for m, x in (("u1", f"r_{k}"), ("u2", f"r_{k} * r_{k}"))}
     outs = {f"rank_gap_{k}{w}": clip(f"(u1_{k}{w} - {d(mean)}) / sqrt({d(var)} / {w})", -20, 20) for k, (mean, var) in uniform.items() for w in windows}
     outs |= {f"rank_lvr_{k}{w}": clip(f"ln(greatest(u2_{k}{w} - u1_{k}{w} * u1_{k}{w}, {d(1e-9)}) / {d(var)})", -20, 20) for k, (_, var) in uniform.items() for w in windows}
@@ -177,12 +180,14 @@ TAIL_WINDOWS = (25, 50, 100, 250, 500)
 
 
 def tails() -> Family:
-    """Exceedance rates, excess scale, asymmetry and clustering on five memories: 35 channels. Fits: moments, tail_reference."""
+    """Exceedance rates, excess scale, asymmetry, clustering and a slowly decaying maximum on five memories: 40 channels. Fits: moments, tail_reference."""
     one = lambda c: f"CASE WHEN {c} THEN {d(1.0)} ELSE {d(0.0)} END"
     marks = {"t1": one("abs(z) > t90"), "t2": one("abs(z) > t975"), "t3": one("abs(z) > t995"), "t4": f"greatest(abs(z) - t90, 0) / (texc + {d(1e-9)})", "t5": one("z > thi"), "t6": one("z < tlo")}
     near = {"t7": f"t1 * coalesce({lag('t1')}, 0)"}
     expected = {"t1": 0.10, "t2": 0.025, "t3": 0.005, "t4": 0.10, "t5": 0.025, "t6": 0.025, "t7": 0.01}
     outs = {f"{k}_{w}": clip(f"{ewma(k, 1 / w)} - {d(p)}", -20, 20) for k, p in expected.items() for w in TAIL_WINDOWS}
+    rest = {w: 1 - 0.5 / w for w in TAIL_WINDOWS}
+    outs |= {f"t8_{w}": clip(f"power({d(k)}, step) * {upto(f'max(abs(z) * power({d(k)}, -step))')} / tmax{w} - 1", -20, 20) for w, k in rest.items()}
     return [*standardised(), marks, near, outs], list(outs)
 
 

@@ -80,81 +80,304 @@ def series_features(panel: DataFrame, period: int = 1) -> DataFrame:
     return rows.groupBy("id").applyInPandas(one, "id long, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
-PREFIX = [f"dq{q}" for q in (5, 25, 50, 75, 95)] + ["dmean", "dlogsd", "dskew", "dkurt", "ks", "dlogmad", "dacf1", "dacf2", "dacf5", "dabs", "rank_mean", "rank_logsd", "tail_mean", "tail_logsd", "half_mean", "half_logsd"]
-
-
-def prefix_battery(panel: DataFrame) -> DataFrame:
-    """A prefix of the online part against the history, 21 ways, made at scan steps and held between them."""
-
-    def shape(z: np.ndarray) -> list[float]:
-        s = z.std() + 1e-9
-        u = (z - z.mean()) / s
-        return [z.mean(), np.log(s), (u**3).mean(), (u**4).mean() - 3]
-
-    def part(z: np.ndarray) -> np.ndarray:
-        r = acf(z, 5) if len(z) > 6 and z.std() > 1e-9 else np.zeros(5)
-        return np.array([*np.quantile(z, [0.05, 0.25, 0.5, 0.75, 0.95]), *shape(z), np.log(np.median(np.abs(z - np.median(z))) + 1e-9), r[0], r[1], r[4], np.abs(z).mean()])
-
-    def rows(h: np.ndarray, o: np.ndarray) -> list:
-        mu, sd = h.mean(), h.std() + 1e-12
-        zh, zo, held, out = (h - mu) / sd, (o - mu) / sd, np.zeros(len(PREFIX)), []
-        ref, base, wanted = np.sort(zh), part(zh), set(scan_steps(len(o)))
-        for t in range(1, len(zo) + 1):
-            if t in wanted and t >= 5:
-                z = zo[:t]
-                diff = part(z) - base
-                f = (np.searchsorted(ref, np.sort(z), "left") + np.searchsorted(ref, np.sort(z), "right")) / 2
-                ks = np.abs(f / len(ref) - (np.arange(t) + 0.5) / t).max() * np.sqrt(t)
-                g = ndtri((f + 0.5) / (len(ref) + 1))
-                tail, a, b = z[-max(3, t // 4) :], z[: t // 2], z[t // 2 :]
-                held = np.array([*diff[:9], ks, *diff[9:], g.mean() * np.sqrt(t), np.log(g.std() + 1e-9), tail.mean(), np.log(tail.std() + 1e-9), b.mean() - a.mean(), np.log((b.std() + 1e-9) / (a.std() + 1e-9))])
-            out.append(np.clip(np.nan_to_num(held), -50, 50))
-        return out
-
-    return _by_series(panel, PREFIX, rows)
+def detrended(h: np.ndarray, o: np.ndarray, clipped: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """History and online values less the history's line, by its deviation around it; clipped at the winsor limit if wanted.
+
+    Histories of fewer than 16 points are taken as they are.
+    """
+    n = len(h)
+    if n < 16:
+        level, slope, sd, kurt = 0.0, 0.0, 1.0, 0.0
+    else:
+        at = np.arange(n) - (n - 1) / 2
+        slope = float(at @ h / (at @ at))
+        rest = h - h.mean() - slope * at
+        level, sd = h.mean() + slope * (n - 1) / 2, max(float(np.sqrt(rest @ rest / (n - 1))), 1e-9)
+        kurt = float(np.clip((rest**4).mean() / sd**4 - 3, -2, 50)) if n > 32 else 0.0
+    zh = (h - level - slope * (np.arange(n) - n + 1)) / sd
+    zo = (o - level - slope * (np.arange(len(o)) + 1)) / sd
+    most = float(np.clip(4 + 0.5 * np.sqrt(max(kurt, 0.0)), 4, 8))
+    return (np.clip(zh, -most, most), np.clip(zo, -most, most)) if clipped else (zh, zo)
+
+
+def _held(made: dict[int, list[float]], n: int, width: int) -> np.ndarray:
+    """Rows made after some numbers of points, each held until the next; zeros before the first."""
+    at = np.array([0, *sorted(made)])
+    rows = np.array([np.zeros(width), *(made[t] for t in sorted(made))]).reshape(-1, width)
+    return rows[np.searchsorted(at, np.arange(1, n + 1), "right") - 1]
+
+
+def _along(x: np.ndarray, k: int) -> float:
+    """Correlation of a sequence with itself k points on; 0 where it is too short or does not vary."""
+    if len(x) < k + 3:
+        return 0.0
+    pair = np.stack([x[:-k], x[k:]])
+    pair = pair - pair.mean(axis=1, keepdims=True)
+    sd = np.sqrt(np.square(pair).mean(axis=1))
+    return float((pair[0] * pair[1]).mean() / sd.prod()) if sd.min() >= 1e-9 else 0.0
 
 
-def normal_ranks(panel: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(id, step, z): online values as normal scores of their midrank among the history."""
-    ship(panel.sparkSession)
-
-    @F.pandas_udf("double")
-    def inverse(u: pd.Series) -> pd.Series:
-        return pd.Series(ndtri(np.clip(u.to_numpy(float), 1e-9, 1 - 1e-9)))
+def _trend_t(x: np.ndarray) -> float:
+    """Student's t of a straight line through a sequence, at most 12; 0 for fewer than 8 points."""
+    n = len(x)
+    if n < 8:
+        return 0.0
+    at, off = np.arange(n) - (n - 1) / 2, x - x.mean()
+    sxx, sxy = n * (n * n - 1) / 12, float(at @ off)
+    rest = max(float(off @ off) - sxy * sxy / sxx, 0.0) if sxx else 0.0
+    return float(np.clip(sxy / sxx / (np.sqrt(rest / max(n - 2, 1) / sxx) + 1e-12), -12, 12))
+
+
+def _wider(a: float, b: float) -> float:
+    return float(np.log((a + 1e-9) / (b + 1e-9)))
+
+
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+PREFIX = [f"dq{int(100 * q)}" for q in QUANTILES] + ["dmean", "dlogsd", "skew", "kurt", "ks", "dlogmad", "dacf1", "dacf2", "dacf5", "dabs", "rank_mean", "rank_logsd", "tail_mean", "tail_logsd", "half_mean", "half_logsd"]
+PREFIX2 = ["dq10", "dq90", "cvm", "ad", "levene", "diff_logsd", "diff_acf", "diff_abs", "tail10_mean", "tail10_logsd", "tail25_mean", "tail25_logsd", "tail100_mean", "tail100_logsd", "above95", "below5", "sign", "sign_acf", "slope_t", "abs_slope_t"]
+
+
+class Reference:
+    """A history, standardised, as what prefixes are compared with."""
+
+    def __init__(self, z: np.ndarray):
+        self.sorted, self.mean, self.sd, self.abs = np.sort(z), z.mean(), z.std(), np.abs(z).mean()
+        self.quantile = {q: np.quantile(z, q) for q in (*QUANTILES, 0.1, 0.9)}
+        off, step = np.abs(z - np.median(z)), np.diff(z)
+        self.mad, self.off = np.median(off), off.mean()
+        self.acf = {k: _along(z, k) for k in (1, 2, 5)}
+        self.step_sd = step.std() if len(step) > 2 else 1.0
+        self.step_acf, self.step_abs, self.positive = _along(step, 1), np.abs(step).mean() if len(step) else 0.0, (z > 0).mean()
+
+    def share(self, x: np.ndarray, side: str) -> np.ndarray:
+        """The share of the history under each value."""
+        return np.searchsorted(self.sorted, x, side) / len(self.sorted)
+
+    def first(self, z: np.ndarray) -> list[float]:
+        """The 21 statistics PREFIX of a prefix; none grows with its length under no break."""
+        n, mean, sd = len(z), z.mean(), z.std()
+        u = (z - mean) / np.sqrt(sd * sd + 1e-12)
+        middle = (self.share(z, "left") + self.share(z, "right")) / 2 * len(self.sorted)
+        g = ndtri(np.clip((middle + 0.5) / (len(self.sorted) + 1), 1e-6, 1 - 1e-6))
+        tail, a, b = z[-max(n // 4, 5) :], z[: n // 2], z[n // 2 :]
+        halves = [b.mean() - a.mean(), _wider(b.std(), a.std())] if n >= 6 else [0.0, 0.0]
+        ks = np.abs(self.share(np.sort(z), "right") - np.arange(1, n + 1) / n).max()
+        return [
+            *(np.quantile(z, QUANTILES) - [self.quantile[q] for q in QUANTILES]), mean - self.mean, _wider(sd, self.sd), (u**3).mean(), (u**4).mean() - 3, ks,
+            float(np.log((np.median(np.abs(z - np.median(z))) + 1e-9) / (self.mad + 1e-9))), *(_along(z, k) - self.acf[k] for k in (1, 2, 5)), np.abs(z).mean() - self.abs,
+            g.mean(), float(np.log(g.std() + 1e-9)), tail.mean() - self.mean, _wider(tail.std(), self.sd), *halves,
+        ]
+
+    def second(self, z: np.ndarray) -> list[float]:
+        """The 20 statistics PREFIX2 of a prefix."""
+        n, step, under = len(z), np.diff(z), self.share(np.sort(z), "right")
+        gap = np.square(under - np.arange(1, n + 1) / n)
+        steps = [_wider(step.std(), self.step_sd), _along(step, 1) - self.step_acf, _wider(np.abs(step).mean(), self.step_abs)] if n > 3 else [0.0] * 3
+        tails = [x for w in (10, 25, 100) for x in (z[-w:].mean() - self.mean, _wider(z[-w:].std(), self.sd))]
+        return [
+            *(np.quantile(z, q) - self.quantile[q] for q in (0.1, 0.9)), gap.mean(), min(float((gap / np.maximum(under * (1 - under), 1e-3)).mean()), 10.0),
+            _wider(np.abs(z - np.median(z)).mean(), self.off), *steps, *tails, (z > self.quantile[0.95]).mean() - 0.05, (z < self.quantile[0.05]).mean() - 0.05,
+            (z > 0).mean() - self.positive, _along(np.sign(z), 1), _trend_t(z), _trend_t(np.abs(z)),
+        ]
+
+
+def prefix_battery(panel: DataFrame | None, second: bool = False):
+    """A prefix of the online part against the history, 21 ways (second: 20 others), made at scan steps and held between them."""
+    names = PREFIX2 if second else PREFIX
+
+    def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        zh, zo = detrended(h, o)
+        ref = Reference(zh)
+        return _held({t: (ref.second if second else ref.first)(zo[:t]) for t in scan_steps(len(o))}, len(o), len(names))
+
+    return _by_series(panel, names, rows)
+
+
+SPECTRAL = [f"band{k}" for k in range(8)] + ["entropy", "peak", "log_power", "band_max", "band_sum", "cosine"]
+
+
+def spectral(panel: DataFrame | None, size: int = 64, bands: int = 8):
+    """The spectrum of the last points against the history's own: 14 channels, made at scan steps and held between them."""
+
+    def shape(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        power = np.square(np.abs(np.fft.rfft(rows * np.hanning(size), axis=1)))[:, 1:]
+        total = power.sum(axis=1) + 1e-12
+        p = power / total[:, None]
+        k = p.shape[1]
+        return p.reshape(len(p), bands, -1).sum(axis=2), -(p * np.log(p + 1e-12)).sum(axis=1) / np.log(k), p.argmax(axis=1) / k, np.log(total)
+
+    def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        zh, zo = detrended(h, o, clipped=True)
+        every = np.concatenate([np.zeros(max(size - len(zh), 0)), zh, zo])
+        windows = np.lib.stride_tricks.sliding_window_view(every, size)
+        first = len(windows) - len(zo)  # the window that ends at the first online point
+        known = windows[: len(zh) - size + 1 : size // 2] if len(zh) >= size else windows[:1]
+        b, e, p, t = shape(known)
+        centre, wide = b.mean(axis=0), b.std(axis=0) + 1e-3
+        ent, ent_wide = e.mean(), e.std() + 1e-3
+        if len(zh) < size:
+            wide, ent_wide = np.full(bands, 0.1), 0.1
+        at = np.array(scan_steps(len(zo)), int)
+        if not len(at):
+            return np.empty((0, len(SPECTRAL)))
+        b2, e2, p2, t2 = shape(windows[first + at - 1])
+        off = (b2 - centre) / wide
+        cosine = b2 @ centre / (np.linalg.norm(b2, axis=1) * np.linalg.norm(centre) + 1e-12)
+        made = np.column_stack([off, (e2 - ent) / ent_wide, p2 - p.mean(), t2 - t.mean(), np.abs(off).max(axis=1), np.abs(b2 - centre).sum(axis=1), cosine])
+        return _held(dict(zip(at.tolist(), made)), len(zo), len(SPECTRAL))
+
+    return _by_series(panel, SPECTRAL, rows)
+
+
+FORECAST = ["fast", "slow", "peak", "error"]
+
+
+def forecaster(panel: DataFrame | None, lags: int = 8, trailing: int = 10, ridge: float = 1.0):
+    """Is the next value as predictable as the history was: standardised errors, smoothed fast and slow, their peak, and as they are.
+
+    What is predicted is the deviation from the trailing mean, from its last
+    values and the mean and spread of five of them, by a ridge regression on the
+    series' own history.
+    """
+
+    def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        zh, zo = detrended(h, o, clipped=True)
+        z, n = np.concatenate([zh, zo]), len(zh)
+        error = np.zeros(len(zo))
+        start = lags + trailing
+        if len(z) > start:
+            before = np.lib.stride_tricks.sliding_window_view(z, trailing).mean(axis=1)[:-1]
+            d = z[trailing:] - before
+            past = np.lib.stride_tricks.sliding_window_view(d, lags)[:-1, ::-1]
+            x = np.column_stack([past, past[:, :5].mean(axis=1), past[:, :5].std(axis=1), np.ones(len(past))])
+            y, known = d[lags:], max(n - start, 0)
+            coef, sigma = np.zeros(x.shape[1]), 1.0
+            if known > 40:
+                a = x[:known]
+                coef = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ y[:known])
+                sigma = float((y[:known] - a @ coef).std()) + 1e-6
+            made = np.abs(y - x @ coef) / sigma
+            error[max(start - n, 0) :] = np.minimum(made[max(n - start, 0) :], 8.0)
+        fast, slow = (_smoothed(error, a, 1.0) for a in (0.10, 0.02))
+        return np.column_stack([fast, slow, np.maximum.accumulate(np.maximum(fast, 0.0)) if len(fast) else fast, error])
+
+    return _by_series(panel, FORECAST, rows)
+
+
+def _smoothed(x: np.ndarray, alpha: float, start: float) -> np.ndarray:
+    out, v = np.empty(len(x)), start
+    for i, a in enumerate(x.tolist()):
+        v += alpha * (a - v)
+        out[i] = v
+    return out
+
+
+BINNED = [f"{t}_{w}" for w in ("prefix", "window") for t in ("ks", "mann_whitney", "levene", "fligner")]
+
+
+def binned_tests(panel: DataFrame | None, bins: int = 64, window: int = 100):
+    """Two-sample tests on the history's quantile bins, of the prefix and of the last window: eight channels."""
+
+    def counts(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """How many of the first t values lie in each bin, for t from 0 on."""
+        one = np.zeros((len(x) + 1, bins))
+        one[np.arange(1, len(x) + 1), np.searchsorted(edges, x)] = 1
+        return one.cumsum(axis=0)
+
+    def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        inner, centre = np.arange(1, bins) / bins, np.median(h)
+        off_h, off_o = np.abs(h - centre), np.abs(o - centre)
+        edges, off_edges = np.quantile(h, inner), np.quantile(off_h, inner)
+        p, q = counts(h, edges)[-1] / len(h), counts(off_h, off_edges)[-1] / len(h)
+        seen, seen_off, total = counts(o, edges), counts(off_o, off_edges), np.concatenate([[0.0], np.cumsum(off_o)])
+        t, out = np.arange(1, len(o) + 1), []
+        for begin in (np.zeros(len(o), int), np.maximum(t - window, 0)):
+            n = (t - begin)[:, None]
+            a, b = (seen[t] - seen[begin]) / n, (seen_off[t] - seen_off[begin]) / n
+            place = lambda x: np.cumsum(x) - x / 2
+            out += [np.abs(a.cumsum(axis=1) - p.cumsum()).max(axis=1), a @ place(p) - 0.5, (total[t] - total[begin]) / n[:, 0] / (off_h.mean() + 1e-12) - 1, b @ place(q) - 0.5]
+        return np.column_stack(out)
+
+    return _by_series(panel, BINNED, rows)
+
+
+SPLITS = ["best", "place", "mean", "variance", "recent", "excess"]
+
+
+def every_split(panel: DataFrame | None, least: int = 10, recent: int = 200, block: int = 256):
+    """Likelihood ratio of another mean and variance since any step, least points ago or more: six channels in one table a block of steps."""
+
+    def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        z = (o - h.mean()) / np.sqrt(h.var() + 1e-12)
+        a, b, out = np.concatenate([[0.0], np.cumsum(z)]), np.concatenate([[0.0], np.cumsum(z * z)]), np.zeros((len(z), 6))
+        for at in range(0, len(z), block):
+            t = np.arange(at, min(len(z), at + block))[:, None]
+            k = np.arange(t[-1, 0] + 1)[None]
+            n = t + 1 - k
+            ok = n >= least
+            m = np.where(ok, n, 1)
+            mean = (a[t + 1] - a[k]) / m
+            var = np.maximum((b[t + 1] - b[k]) / m - mean * mean, 1e-9)
+            by_mean, by_var = (np.where(ok, 0.5 * m * x, -np.inf) for x in (mean * mean, var - 1 - np.log(var)))
+            both = by_mean + by_var
+            place = both.argmax(axis=1)
+            late = np.where(n <= recent, both, -np.inf).max(axis=1)
+            best, found = both.max(axis=1), t[:, 0] + 1 >= least
+            null = 0.5 * np.log(np.maximum(t[:, 0] + 1, 2))
+            made = np.column_stack([np.tanh(best / 20), place / np.maximum(t[:, 0], 1), np.tanh(by_mean.max(axis=1) / 20), np.tanh(by_var.max(axis=1) / 20), np.tanh(late / 20), np.tanh((best - null) / 20)])
+            out[t[found, 0]] = made[found]
+        return out
 
-    return ranked.select("id", "step", inverse("u").alias("z"))
+    return _by_series(panel, SPLITS, rows)
 
 
-BINS = 16
+BINS = 32
 
 
 def bin_reference(panel: DataFrame) -> DataFrame:
-    """(id, e1.., h0..): inner quantile edges of each history, and the smoothed share of it in each bin."""
+    """(id, e1.., h0.., g0..): inner quantile edges of each history, the smoothed share of it in each bin, and the step from each bin's
+    median to the next one's, in its deviations."""
     h = panel.where("period = 1").select("id", "value")
-    edges = h.groupBy("id").agg(*(F.percentile("value", F.lit(k / BINS)).alias(f"e{k}") for k in range(1, BINS)))
+    edges = h.groupBy("id").agg(*(F.percentile("value", F.lit(k / BINS)).alias(f"e{k}") for k in range(1, BINS)), (F.stddev_pop("value") + 1e-12).alias("bin_sd"))
     at = sum(((F.col("value") > F.col(f"e{k}")).cast("int") for k in range(1, BINS)), F.lit(0))
-    shares = h.join(edges, "id").withColumn("b", at).groupBy("id").agg(*((F.avg((F.col("b") == k).cast("double")) + 1e-9).alias(f"h{k}") for k in range(BINS)))
-    return edges.join(shares, "id")
+    binned = h.join(edges, "id").withColumn("b", at)
+    shares = binned.groupBy("id").agg(
+        *(((F.avg((F.col("b") == k).cast("double")) + 1e-9) / (1 + BINS * 1e-9)).alias(f"h{k}") for k in range(BINS)),
+        *(F.coalesce(F.percentile(F.when(F.col("b") == k, F.col("value")), F.lit(0.5)), F.lit(0.0)).alias(f"c{k}") for k in range(BINS)),
+    )
+    both = edges.join(shares, "id")
+    return both.select("id", *(f"e{k}" for k in range(1, BINS)), *(f"h{k}" for k in range(BINS)), *(((F.col(f"c{k + 1}") - F.col(f"c{k}")) / F.col("bin_sd")).alias(f"g{k}") for k in range(BINS - 1)))
 
 
+_BIN_SQL = "(" + " + ".join(f"CASE WHEN value > e{j} THEN 1 ELSE 0 END" for j in range(1, BINS)) + ")"
 BIN_REFERENCE_SQL = (
-    "edges AS (SELECT id, " + ", ".join(f"quantile_cont(value, {k / BINS}) AS e{k}" for k in range(1, BINS)) + " FROM panel WHERE period = 1 GROUP BY id), "
-    "fits AS (SELECT p.id, " + ", ".join(f"first(e{k}) AS e{k}" for k in range(1, BINS)) + ", "
-    + ", ".join(f"avg(CASE WHEN ({' + '.join(f'CASE WHEN value > e{j} THEN 1 ELSE 0 END' for j in range(1, BINS))}) = {k} THEN 1.0 ELSE 0.0 END) + CAST(1e-9 AS DOUBLE) AS h{k}" for k in range(BINS))
-    + " FROM panel p JOIN edges e ON p.id = e.id WHERE period = 1 GROUP BY p.id)"
+    "edges AS (SELECT id, stddev_pop(value) + CAST(1e-12 AS DOUBLE) AS bin_sd, " + ", ".join(f"quantile_cont(value, {k / BINS}) AS e{k}" for k in range(1, BINS)) + " FROM panel WHERE period = 1 GROUP BY id), "
+    f"binned AS (SELECT p.value, e.*, {_BIN_SQL} AS b FROM panel p JOIN edges e ON p.id = e.id WHERE period = 1), "
+    "shares AS (SELECT id, first(bin_sd) AS bin_sd, " + ", ".join(f"first(e{k}) AS e{k}" for k in range(1, BINS)) + ", "
+    + ", ".join(f"(avg(CASE WHEN b = {k} THEN 1.0 ELSE 0.0 END) + CAST(1e-9 AS DOUBLE)) / CAST({1 + BINS * 1e-9!r} AS DOUBLE) AS h{k}, coalesce(quantile_cont(CASE WHEN b = {k} THEN value END, 0.5), 0) AS c{k}" for k in range(BINS))
+    + " FROM binned GROUP BY id), "
+    "fits AS (SELECT * EXCLUDE (bin_sd), " + ", ".join(f"(c{k + 1} - c{k}) / bin_sd AS g{k}" for k in range(BINS - 1)) + " FROM shares)"
 )
 
 
 def divergences(window: int = 100) -> tuple[list[Stage], list[str]]:
-    """Jensen-Shannon, Hellinger and entropy differences of the prefix and the last window from the history's bins. Fits: bin_reference."""
+    """Jensen-Shannon, Hellinger, Wasserstein and entropy differences of the prefix and the last window from the history's bins. Fits: bin_reference."""
     at: Stage = {"b": " + ".join(f"CASE WHEN value > e{k} THEN 1 ELSE 0 END" for k in range(1, BINS))}
     share: Stage = {}
     for k in range(BINS):
         one = f"avg(CASE WHEN b = {k} THEN {d(1.0)} ELSE {d(0.0)} END)"
-        share |= {f"p{k}": f"{upto(one)} + {d(1e-9)}", f"w{k}": f"{last(one, window)} + {d(1e-9)}"}
-    plus = lambda f: " + ".join(f(k) for k in range(BINS))
+        share |= {f"p{k}": f"({upto(one)} + {d(1e-9)}) / {d(1 + BINS * 1e-9)}", f"w{k}": f"({last(one, window)} + {d(1e-9)}) / {d(1 + BINS * 1e-9)}"}
+    under: Stage = {}
+    for v in ("p", "w", "h"):
+        under |= {f"{v}s{k}": " + ".join(f"{v}{j}" for j in range(k + 1)) for k in range(BINS - 1)}
+    plus = lambda f, n=BINS: " + ".join(f(k) for k in range(n))
     outs: Stage = {}
     for v, n in (("p", "prefix"), ("w", "window")):
         half = lambda a, k, v=v: f"{a}{k} * ln({a}{k} / ({d(0.5)} * ({v}{k} + h{k})))"
-        outs |= {f"js_{n}": f"{d(0.5)} * ({plus(lambda k: half(v, k))} + {plus(lambda k: half('h', k))})", f"hellinger_{n}": f"sqrt(greatest(0, 1 - ({plus(lambda k, v=v: f'sqrt({v}{k} * h{k})')})))", f"entropy_{n}": f"({plus(lambda k: f'h{k} * ln(h{k})')}) - ({plus(lambda k, v=v: f'{v}{k} * ln({v}{k})')})"}
-    return [at, share, outs], list(outs)
+        outs |= {
+            f"js_{n}": f"{d(0.5)} * ({plus(lambda k: half(v, k))} + {plus(lambda k: half('h', k))})",
+            f"hellinger_{n}": f"sqrt(greatest(0, 1 - ({plus(lambda k, v=v: f'sqrt({v}{k} * h{k})')})))",
+            f"wasserstein_{n}": plus(lambda k, v=v: f"abs({v}s{k} - hs{k}) * g{k}", BINS - 1),
+            f"entropy_{n}": f"({plus(lambda k: f'h{k} * ln(h{k})')}) - ({plus(lambda k, v=v: f'{v}{k} * ln({v}{k})')})",
+        }
+    return [at, share, under, outs], list(outs)

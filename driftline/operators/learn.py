@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators import metrics
+from driftline.session import durable, ship
+
 
 def logit(score: Column, least: float = 1e-6) -> Column:
     q = F.greatest(F.lit(least), F.least(F.lit(1 - least), score))
@@ -29,24 +33,188 @@ def assembled(rows: DataFrame, names: list[str], logits: bool) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(shown).select("id", "step", "target", "w", "features")
 
 
+def _learner(kind: str, seed: int = 1):
+    if kind == "logistic":
+        return LogisticRegression(weightCol="w", maxIter=20, regParam=1e-4)
+    return GBTClassifier(weightCol="w", maxIter=10, maxDepth=4, seed=seed)
+
+
+def _prepared(rows: DataFrame, names: list[str], kind: str) -> DataFrame:
+    """The learner's rows, made once: every fit and every score reads them again."""
+    return durable(assembled(rows, names, kind == "logistic").withColumn("label", F.col("target").cast("double")))
+
+
+def _scored(model, rows: DataFrame, *more: str) -> DataFrame:
+    return model.transform(rows).select("id", "step", "target", *more, vector_to_array("probability")[1].alias("score"))
+
+
 def cross_validated(rows: DataFrame, names: list[str], kind: str = "logistic", n: int = 5) -> DataFrame:
     """(id, step, target, fold, score): scores of each fold from a model of the others.
 
     kind: "logistic" (on logits of the channels) or "trees" (gradient-boosted;
     it stands for boosters and step-wise rankers that Spark does not have).
     """
-    data, out = folds(assembled(rows, names, kind == "logistic"), n).withColumn("label", F.col("target").cast("double")).cache(), None
+    data, out = folds(_prepared(rows, names, kind), n), None
+    for k in range(n):
+        scored = _scored(_learner(kind).fit(data.where(F.col("fold") != k)), data.where(F.col("fold") == k), "fold")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def holdout(rows: DataFrame, names: list[str], kind: str = "logistic", n: int = 5) -> DataFrame:
+    """(name, ts_auc, pairs): the model of four fifths of the series on the others, and each channel by itself there."""
+    data = folds(_prepared(rows, names, kind), n)
+    model = _scored(_learner(kind).fit(data.where("fold > 0")), data.where("fold = 0")).withColumn("name", F.lit("model"))
+    one = folds(rows, n).where("fold = 0")
+    each = one.select("id", "step", "target", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("score")) for c in names))).alias("r")).select("id", "step", "target", "r.*")
+    return metrics.ts_auc_by(model.select("id", "step", "target", "name", "score").unionByName(each), "name")
+
+
+def ranker(rows: DataFrame, names: list[str], n: int = 5) -> DataFrame:
+    """(id, step, target, fold, score): a linear ranker within steps.
+
+    Channels are taken less their mean over the series alive at that step, so
+    only how a series differs from the others then is learned, and a step weighs
+    by its pairs of series. It stands for list-wise boosters.
+    """
+    by = Window.partitionBy("step")
+    np, all = F.sum("target").over(by), F.count("*").over(by)
+    x = rows.select("id", "step", "target", (np * (all - np) / (all * all)).cast("double").alias("w"), *((F.coalesce(c, F.lit(0.0)) - F.avg(F.coalesce(c, F.lit(0.0))).over(by)).alias(c) for c in names))
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(x.where("w > 0")).withColumn("label", F.col("target").cast("double"))
+    data, out = folds(durable(data.select("id", "step", "target", "label", "w", "features")), n), None
     for k in range(n):
-        if kind == "logistic":
-            learner = LogisticRegression(weightCol="w", maxIter=20, regParam=1e-4)
-        else:
-            learner = GBTClassifier(weightCol="w", maxIter=10, maxDepth=4, seed=1)
-        scored = learner.fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k))
-        scored = scored.select("id", "step", "target", "fold", vector_to_array("probability")[1].alias("score"))
+        scored = _scored(_learner("logistic").fit(data.where(F.col("fold") != k)), data.where(F.col("fold") == k), "fold")
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
+def rank_groups(rows: DataFrame, most: int = 8000, seed: int = 5) -> DataFrame:
+    """rows with chunk: each step's rows dealt by a keyed hash to groups of about most, at most half as many again."""
+    n = F.count("*").over(Window.partitionBy("step"))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.ceil(n / most)).cast("int"))
+
+
+def bagged(rows: DataFrame, names: list[str], kind: str = "trees", bags: int = 3, n: int = 5) -> DataFrame:
+    """(id, step, target, score) of a fifth of the series: the mean over models of other fifths, each with a seed of its own."""
+    data, out = folds(_prepared(rows, names, kind), n), None
+    for k in range(1, bags + 1):
+        scored = _scored(_learner(kind, k).fit(data.where((F.col("fold") > 0) & (F.col("fold") != k))), data.where("fold = 0"))
+        out = scored if out is None else out.unionByName(scored)
+    return out.groupBy("id", "step").agg(F.first("target").alias("target"), F.avg("score").alias("score"))
+
+
+def stacked(members: dict[str, DataFrame], n: int = 5) -> DataFrame:
+    """(id, step, target, fold, score): a logistic model over the members' out-of-fold scores, itself cross-validated."""
+    both = None
+    for name, df in members.items():
+        one = df.select("id", "step", "target", F.col("score").alias(name)) if both is None else df.select("id", "step", F.col("score").alias(name))
+        both = one if both is None else both.join(one, ["id", "step"])
+    return cross_validated(both, list(members), "logistic", n)
+
+
+def specialists(rows: DataFrame, names: list[str], bounds: tuple[int, ...] = (0, 50, 150), overlap: float = 0.2, kind: str = "logistic", n: int = 5) -> DataFrame:
+    """(id, step, target, score) of a fifth of the series: each range of steps by a model of its own, fitted on a somewhat wider range."""
+    data, out = folds(_prepared(rows, names, kind), n), None
+    for lo, hi in zip(bounds, [*bounds[1:], None]):
+        wide = (F.col("step") >= lo * (1 - overlap)) & (F.lit(True) if hi is None else F.col("step") < hi * (1 + overlap))
+        here = (F.col("step") >= lo) & (F.lit(True) if hi is None else F.col("step") < hi)
+        scored = _scored(_learner(kind).fit(data.where(wide & (F.col("fold") > 0))), data.where(here & (F.col("fold") == 0)))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def importances(rows: DataFrame, names: list[str], n: int = 5) -> list[tuple[str, float]]:
+    """Channels by how much a boosted model of four fifths of the series uses them, most first."""
+    data = folds(_prepared(rows, names, "trees"), n)
+    found = _learner("trees").fit(data.where("fold > 0")).featureImportances.toArray()
+    return sorted(zip(names, map(float, found)), key=lambda x: (-x[1], x[0]))
+
+
+def pruned(rows: DataFrame, names: list[str], keep: int, kind: str = "logistic") -> DataFrame:
+    """cross_validated() on the channels that a boosted model uses most."""
+    return cross_validated(rows, [c for c, _ in importances(rows, names)[:keep]], kind)
+
+
+def saved(rows: DataFrame, names: list[str], path: str, kind: str = "logistic") -> None:
+    """Fit on all rows and write the model."""
+    _learner(kind).fit(_prepared(rows, names, kind)).write().overwrite().save(path)
+
+
+def loaded(path: str, rows: DataFrame, names: list[str], kind: str = "logistic") -> DataFrame:
+    """(id, step, target, score) by a model that was written."""
+    model = (LogisticRegressionModel if kind == "logistic" else GBTClassificationModel).load(path)
+    return _scored(model, assembled(rows, names, kind == "logistic"))
+
+
+def calibrated(scored: DataFrame, history: DataFrame, share: float = 0.5, weight: float = 1.0) -> DataFrame:
+    """scored less a quantile of its series' scores on the history (id, score); series without any stay."""
+    level = history.groupBy("id").agg(F.percentile("score", F.lit(share)).alias("level"))
+    return scored.join(level, "id", "left").withColumn("score", F.col("score") - weight * F.coalesce("level", F.lit(0.0))).drop("level")
+
+
+def held(scored: DataFrame, calm: float = 0.99, loud: float = 0.999, limit: float = 1.5, exit_rows: int = 20, exit_share: float = 0.6) -> DataFrame:
+    """(id, step, gated, entry_exit) of (id, step, score, error).
+
+    gated holds the peak with a decay that depends on how calm the forecaster's
+    error is. entry_exit holds it with the slower decay and lets go where the
+    mean of the last rows falls under a share of what is held. Both carry their
+    own past decisions along, which a window cannot; a group is one series.
+    """
+    ship(scored.sparkSession)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        x, out, gate, peak, total = pdf["score"].tolist(), [], 0.0, 0.0, 0.0
+        for t, (v, e) in enumerate(zip(x, pdf["error"])):
+            gate = max(v, gate * (calm if e < limit else loud))
+            total += v - (x[t - exit_rows] if t >= exit_rows else 0.0)
+            mean, peak = total / min(t + 1, exit_rows), max(v, peak * loud)
+            peak = mean if mean < exit_share * peak else peak
+            out.append((gate, peak))
+        made = pd.DataFrame(out, columns=["gated", "entry_exit"])
+        return pd.concat([pdf[["id", "step"]].reset_index(drop=True), made], axis=1)
+
+    return scored.select("id", "step", "score", "error").groupBy("id").applyInPandas(one, "id long, step long, gated double, entry_exit double")
+
+
+def interactions(rows: DataFrame) -> DataFrame:
+    """(id, step, ...): evidence against the history set against evidence within the online part.
+
+    rows: the prefix battery's ks, dmean, dlogsd, half_mean, half_logsd, plain
+    and (with a_ in front) compressed, and scan, the best split's score.
+    """
+    outer = lambda p: F.greatest(3 * F.col(f"{p}ks"), F.abs(f"{p}dmean"), F.abs(f"{p}dlogsd"))
+    half = lambda p: F.abs(f"{p}half_mean") + F.abs(f"{p}half_logsd")
+    x = rows.select("id", "step", "scan", outer("").alias("outer_raw"), outer("a_").alias("outer_asinh"), half("").alias("half_raw"), half("a_").alias("half_asinh"))
+    x = x.withColumn("inner", F.greatest("half_raw", "half_asinh", 2 * F.greatest(F.col("scan") - 0.5, F.lit(0.0))))
+    quiet = {f"quiet_{v}": F.col(f"outer_{v}") * (1 - F.col("scan")) for v in ("raw", "asinh")}
+    net = {f"net_{v}": F.col(f"outer_{v}") - F.col("inner") for v in ("raw", "asinh")}
+    damped = {f"damped_{v}": F.col(f"outer_{v}") * F.exp(-2 * F.col(f"half_{v}")) for v in ("raw", "asinh")}
+    return x.select("id", "step", *(e.alias(n) for n, e in (quiet | net | damped).items()), "inner", "outer_raw", "outer_asinh", (F.col("inner") - 0.5 * (F.col("outer_raw") + F.col("outer_asinh"))).alias("balance"))
+
+
+def separation(rows: DataFrame, names: list[str], label: str, n: int = 5, seed: int = 7) -> DataFrame:
+    """(labels, auc): the cross-validated logistic AUC of a label, folds dealt within its classes, and the same after labels are dealt anew.
+
+    rows: one a series, with id. Labels are dealt anew by a keyed hash, with the
+    same share of ones; folds are another hash's, alike in both classes.
+    """
+    base = rows.select("id", F.col(label).cast("int").alias("y"), *names)
+    share = base.agg(F.avg("y").alias("p")).first()["p"] or 0.0
+    drawn = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    fold, out = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias("fold"), None
+    for kind, y in (("given", base.select("id", "y")), ("permuted", base.select("id", drawn.cast("int").alias("y")))):
+        data = base.drop("y").join(y, "id").select("id", "y", fold, *names)
+        data = durable(VectorAssembler(inputCols=names, outputCol="raw").transform(data.na.fill(0.0, names)).withColumn("label", F.col("y").cast("double")).select("id", "y", "fold", "label", "raw"))
+        for k in range(n):
+            train = data.where(F.col("fold") != k)
+            scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
+            model = LogisticRegression(maxIter=50, regParam=0.01).fit(scaler.transform(train))
+            scored = model.transform(scaler.transform(data.where(F.col("fold") == k))).select(F.lit(kind).alias("labels"), F.col("y").alias("target"), vector_to_array("probability")[1].alias("score"))
+            out = scored if out is None else out.unionByName(scored)
+    return metrics.group_auc(out, ["labels"]).select("labels", "auc")
+
+
 def gated_blend(core: Column, mass: Column, freq: Column, union: Column, gate: int = 100) -> Column:
     """A convex mix of members that changes at a step."""
     return F.when(F.col("step") < gate, 0.55 * core + 0.25 * mass + 0.20 * freq).otherwise(0.50 * core + 0.25 * mass + 0.25 * union)

@@ -94,7 +94,7 @@ fits AS (
 
 
 def mass_reference(panel: DataFrame) -> DataFrame:
-    """moments with each representation's history mean and variance (h1_*, h2_*) and three quantiles of |z| (q1..q3)."""
+    """moments with each representation's history mean, variance, skewness and kurtosis (h1_* to h4_*) and three quantiles of |z| (q1..q3)."""
     from pyspark.sql import Window
 
     m = moments(panel)
@@ -104,22 +104,32 @@ def mass_reference(panel: DataFrame) -> DataFrame:
     aggs = [x for k, e in reps.items() for x in (F.avg(e).alias(f"h1_{k}"), (F.var_pop(e) + F.lit(1e-9)).alias(f"h2_{k}"))]
     quantiles = [F.percentile(F.abs("z"), F.lit(p)).alias(f"q{i}") for i, p in ((1, 0.75), (2, 0.95), (3, 0.99))]
     out = h.groupBy("id").agg(*(F.first(c).alias(c) for c in ("hn", "mu", "sd0", "last_z")), *aggs, *quantiles)
-    return out.withColumn("h1_c", F.lit(0.0)).withColumn("h2_c", F.lit(1e-9))
+    off = {k: e - F.col(f"h1_{k}") for k, e in reps.items()}
+    sd = {k: F.sqrt(F.greatest(F.col(f"h2_{k}") - 1e-9, F.lit(0.0))) + 1e-9 for k in reps}
+    shape = [F.avg(F.pow(off[k] / sd[k], F.lit(float(n)))).alias(f"h{n}_{k}") for k in reps for n in (3, 4)]
+    shapes = h.select("id", "z", "dz").join(out, "id").groupBy("id").agg(*shape)
+    zero = {"h1_c": 0.0, "h2_c": 1e-9, "h3_c": 0.0, "h4_c": 0.0}
+    return out.join(shapes, "id").select("*", *(F.lit(v).alias(c) for c, v in zero.items()))
 
 
 _Z_SQL = MOMENTS_SQL.replace("fits AS", "mom AS", 1) + """,
 hz AS (SELECT p.id, p.time, hn, mu, sd0, last_z, (value - mu) / sd0 AS z FROM panel p JOIN mom USING (id) WHERE period = 1)
 """
 
+_REPS_SQL = {"z": "z", "a": "abs(z)", "q": "z * z", "d": "dz", "s": "sign(z)"}
+_SHAPES_SQL = ", ".join(f"avg(power(({e} - h1_{k}) / (sqrt(greatest(h2_{k} - CAST(1e-9 AS DOUBLE), 0)) + CAST(1e-9 AS DOUBLE)), {n})) AS h{n}_{k}" for k, e in _REPS_SQL.items() for n in (3, 4))
 MASS_REFERENCE_SQL = _Z_SQL + """,
 hd AS (SELECT *, z - coalesce(lag(z) OVER (PARTITION BY id ORDER BY time), z) AS dz FROM hz),
-fits AS (
+firsts AS (
   SELECT id, first(hn) AS hn, first(mu) AS mu, first(sd0) AS sd0, first(last_z) AS last_z,
          avg(z) AS h1_z, var_pop(z) + CAST(1e-9 AS DOUBLE) AS h2_z, avg(abs(z)) AS h1_a, var_pop(abs(z)) + CAST(1e-9 AS DOUBLE) AS h2_a,
          avg(z * z) AS h1_q, var_pop(z * z) + CAST(1e-9 AS DOUBLE) AS h2_q, avg(dz) AS h1_d, var_pop(dz) + CAST(1e-9 AS DOUBLE) AS h2_d,
          avg(sign(z)) AS h1_s, var_pop(sign(z)) + CAST(1e-9 AS DOUBLE) AS h2_s, CAST(0 AS DOUBLE) AS h1_c, CAST(1e-9 AS DOUBLE) AS h2_c,
          quantile_cont(abs(z), 0.75) AS q1, quantile_cont(abs(z), 0.95) AS q2, quantile_cont(abs(z), 0.99) AS q3
-  FROM hd GROUP BY id)
+  FROM hd GROUP BY id),
+""" + f"""
+shapes AS (SELECT d.id, {_SHAPES_SQL}, CAST(0 AS DOUBLE) AS h3_c, CAST(0 AS DOUBLE) AS h4_c FROM hd d JOIN (SELECT * EXCLUDE (hn, mu, sd0, last_z) FROM firsts) f ON d.id = f.id GROUP BY d.id),
+fits AS (SELECT firsts.*, shapes.* EXCLUDE (id) FROM firsts JOIN shapes USING (id))
 """
 
 
@@ -147,21 +157,52 @@ fits AS (SELECT id, first(hn) AS hn, first(mu) AS mu, first(sd0) AS sd0, first(l
 ACF_REFERENCE_SQL = acf_reference_sql()
 
 
+#: Windows whose expected largest |z| the history gives.
+BLOCKS = (25, 50, 100, 250, 500)
+
+
+def _block_of(w: int):
+    return lambda b: F.struct(F.lit(w).alias("w"), b.alias("b"))
+
+
+def _block_maxima(h: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """(id, tmax{w}): the median, over half-overlapping blocks of w history points, of their largest |z|.
+
+    A point goes to the two or three blocks that hold it; no pair of points meets.
+    """
+    starts = []
+    for w in windows:
+        s = max(w // 2, 1)
+        first, last = F.greatest(F.ceil((F.col("time") - w + 1) / s), F.lit(0)), F.least(F.floor(F.col("time") / s), F.floor((F.greatest(F.col("hn") - w, F.lit(1)) - 1) / s))
+        starts.append(F.when(first <= last, F.transform(F.sequence(first.cast("long"), last.cast("long")), _block_of(w))).otherwise(F.array().cast("array<struct<w:int,b:bigint>>")))
+    each = h.select("id", F.abs("z").alias("az"), F.explode(F.concat(*starts)).alias("s"))
+    tops = each.groupBy("id", "s.w", "s.b").agg(F.max("az").alias("top"))
+    return tops.groupBy("id").agg(*(F.percentile(F.when(F.col("w") == w, F.col("top")), F.lit(0.5)).alias(f"tmax{w}") for w in windows))
+
+
+_BLOCK_SQL = " UNION ALL ".join(
+    f"SELECT id, {w} AS w, b, max(abs(z)) AS top FROM hz, (SELECT unnest(range(0, 2000)) AS b) WHERE b * {max(w // 2, 1)} < greatest(hn - {w}, 1) AND time >= b * {max(w // 2, 1)} AND time < b * {max(w // 2, 1)} + {w} GROUP BY 1, 2, 3" for w in BLOCKS
+)
+
+
 def tail_reference(panel: DataFrame) -> DataFrame:
-    """moments with tail quantiles of |z| and z, and the mean excess over the 90 % quantile."""
+    """moments with tail quantiles of |z| and z, the mean excess over the 90 % quantile, and the expected maxima of windows."""
     m = moments(panel)
-    h = panel.where("period = 1").select("id", "value").join(m, "id").withColumn("z", (F.col("value") - F.col("mu")) / F.col("sd0"))
+    h = panel.where("period = 1").select("id", "time", "value").join(m, "id").withColumn("z", (F.col("value") - F.col("mu")) / F.col("sd0"))
     q = h.groupBy("id").agg(
         *(F.percentile(F.abs("z"), F.lit(p)).alias(n) for n, p in (("t90", 0.9), ("t975", 0.975), ("t995", 0.995))),
         *(F.percentile("z", F.lit(p)).alias(n) for n, p in (("thi", 0.975), ("tlo", 0.025))),
     )
     over = h.join(q, "id").groupBy("id").agg(F.coalesce(F.avg(F.when(F.abs("z") > F.col("t90"), F.abs("z") - F.col("t90"))), F.lit(1.0)).alias("texc"))
-    return m.join(q, "id").join(over, "id")
+    return m.join(q, "id").join(over, "id").join(_block_maxima(h, BLOCKS), "id")
 
 
 TAIL_REFERENCE_SQL = _Z_SQL + """,
 qs AS (SELECT id, quantile_cont(abs(z), 0.9) AS t90, quantile_cont(abs(z), 0.975) AS t975, quantile_cont(abs(z), 0.995) AS t995,
               quantile_cont(z, 0.975) AS thi, quantile_cont(z, 0.025) AS tlo FROM hz GROUP BY id),
 xs AS (SELECT id, coalesce(avg(CASE WHEN abs(z) > t90 THEN abs(z) - t90 END), 1) AS texc FROM hz JOIN qs USING (id) GROUP BY id),
-fits AS (SELECT * FROM mom JOIN qs USING (id) JOIN xs USING (id))
+""" + f"""
+tops AS ({_BLOCK_SQL}),
+ms AS (SELECT id, {", ".join(f"quantile_cont(CASE WHEN w = {w} THEN top END, 0.5) AS tmax{w}" for w in BLOCKS)} FROM tops GROUP BY id),
+fits AS (SELECT * FROM mom JOIN qs USING (id) JOIN xs USING (id) JOIN ms USING (id))
 """

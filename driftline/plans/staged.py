@@ -9,6 +9,9 @@ a chain of common table expressions for another SQL engine.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame
 
 Stage = dict[str, str]
@@ -47,13 +50,37 @@ def clip(expr: str, lo: float, hi: float) -> str:
 def ewma(expr: str, alpha: float, start: float = 0.0) -> str:
     """v <- (1 - alpha) v + alpha x, from start, as one windowed sum.
 
-    Weights grow as (1 - alpha)^-step; segments are under 1,000 steps, which for
-    alpha of a third and less stays in a double's range.
+    Points are weighed by (1 - alpha)^-step, which grown() stands for: the
+    renderers make the powers once a row, however many means use them. They
+    leave a double's range some 667 / alpha steps on; from there on the plan
+    refuses, and the streaming twin, which keeps the mean itself, is to be used.
     """
-    keep = d(1.0 - alpha)
-    body = upto(f"sum({d(alpha)} * ({expr}) * power({keep}, -step))")
-    begin = f" + power({keep}, step + 1) * {d(start)}" if start else ""
-    return f"(power({keep}, step) * {body}{begin})"
+    keep = 1.0 - alpha
+    begin = f"{d(keep * start)} + " if start else ""
+    return f"({grown(keep)} * ({begin}{upto(f'sum({d(alpha)} * ({expr}) / {grown(keep)})')}))"
+
+
+def grown(keep: float) -> str:
+    """keep to the power of the step (1 before step 0); a name until it is rendered."""
+    return f"grown({keep!r})"
+
+
+def longest(keep: float) -> int:
+    """The last step whose power a double still holds in full."""
+    return int(667 / -math.log(keep))
+
+
+def _with_powers(stages: list[Stage], guarded: bool) -> list[Stage]:
+    """Stages with a first one that makes the powers they use."""
+    keeps = sorted({float(x) for s in stages for e in s.values() for x in re.findall(r"grown\(([^)]+)\)", e)})
+    if not keeps:
+        return stages
+    power = {}
+    for n, k in enumerate(keeps):
+        far = f"CASE WHEN step > {longest(k)} THEN CAST(raise_error('step {longest(k)} is the last for an exponential mean of memory {k:.6g}; use the streaming detectors') AS DOUBLE) ELSE " if guarded else ""
+        power[f"grown_{n}"] = far + f"power({d(k)}, greatest(step, 0))" + (" END" if guarded else "")
+    named = lambda e: re.sub(r"grown\(([^)]+)\)", lambda m: f"grown_{keeps.index(float(m[1]))}", e)
+    return [power, *({c: named(e) for c, e in s.items()} for s in stages)]
 
 
 def reflected(total: str) -> str:
@@ -61,12 +88,36 @@ def reflected(total: str) -> str:
     return f"({total} - least({d(0.0)}, {upto(f'min({total})')}))"
 
 
+#: A rational approximation of the normal quantile, to nine digits (centre numerator and denominator, tail numerator and denominator).
+PROBIT = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
+
+
+def probit(u: str) -> str:
+    """The normal quantile of a share between 0 and 1, not at its ends."""
+
+    def poly(c: tuple[float, ...], x: str) -> str:
+        out = d(c[0])
+        for k in c[1:]:
+            out = f"({out} * {x} + {d(k)})"
+        return out
+
+    a, b, t, w = PROBIT
+    q, r, tail = f"(({u}) - {d(0.5)})", f"((({u}) - {d(0.5)}) * (({u}) - {d(0.5)}))", f"sqrt(-2 * ln(least({u}, 1 - ({u}))))"
+    far = f"({poly(t, tail)} / {poly(w, tail)})"
+    return f"CASE WHEN ({u}) < {d(0.02425)} THEN {far} WHEN ({u}) > {d(0.97575)} THEN -{far} ELSE {q} * {poly(a, r)} / {poly(b, r)} END"
+
+
 def squash(ratio: str, steepness: float = 2.0) -> str:
     return f"(1 / (1 + exp(-{d(steepness)} * (({ratio}) - 1))))"
 
 
 def rendered(df: DataFrame, stages: list[Stage]) -> DataFrame:
-    for stage in stages:
+    for stage in _with_powers(stages, guarded=True):
         df = df.selectExpr("*", *(f"{e} AS {c}" for c, e in stage.items()))
     return df
 
@@ -74,7 +125,7 @@ def rendered(df: DataFrame, stages: list[Stage]) -> DataFrame:
 def sql(source: str, stages: list[Stage], keep: list[str] | None = None, digits: int = 4, keys: tuple[str, ...] = ("id", "step")) -> str:
     """The stages as one SELECT over the relation source; keep names the rounded output columns."""
     ctes, at = [], source
-    for n, stage in enumerate(stages):
+    for n, stage in enumerate(_with_powers(stages, guarded=False)):
         ctes.append(f"s{n} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage.items())} FROM {at})")
         at = f"s{n}"
     cols = ", ".join([*keys, *(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in keep or [])])

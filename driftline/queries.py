@@ -11,7 +11,7 @@ from driftline.operators import augment, families, forensics, grouped, innovatio
 from driftline.plans import fits
 from driftline.plans.panel import PANEL_SQL, lineitem_panel, online
 from driftline.plans.staged import d as dbl
-from driftline.plans.staged import ewma, output, rendered, sql
+from driftline.plans.staged import ewma, output, probit, rendered, sql
 from driftline.session import durable
 from driftline.sources import files
 from driftline.streaming import jobs
@@ -251,6 +251,12 @@ c AS (SELECT o.id, o.step, count(*) FILTER (p.value < o.value) AS below FROM pan
 ranked AS (SELECT c.id, c.step, below, n FROM c JOIN h ON c.id = h.id), """ + sql("ranked", *_RANKS)
 
 QUERIES["matched_controls"] = lambda spark, d: relational.matched_controls(stats(spark, d), "id", "n", "broken")
+ORACLE["matched_controls"] = _KINDED + """,
+dealt AS (SELECT id, broken, n // 8 AS class, row_number() OVER (PARTITION BY n // 8, broken ORDER BY (id * 2654435761 + 1) % 4294967296, id) - 1 AS num FROM kinded),
+controls AS (SELECT class, id AS control, num AS at, count(*) OVER (PARTITION BY class) AS many FROM dealt WHERE broken = 0),
+sizes AS (SELECT DISTINCT class, many FROM controls),
+wanted AS (SELECT d.id, d.class, p.place, (d.num * 2 + p.place) % many AS at FROM dealt d JOIN sizes USING (class), (VALUES (0), (1)) p(place) WHERE broken = 1 AND p.place < least(2, many))
+SELECT w.id, control, CAST(w.place AS BIGINT) AS place FROM wanted w JOIN controls c ON w.class = c.class AND w.at = c.at"""
 
 QUERIES["score_label_join"] = lambda spark, d: rounded(scored(spark, d).select("id", "step", "score").join(lineitem_panel(spark, d).where("period = 2").select("id", "step", "target"), ["id", "step"]).groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("id").alias("series"), F.avg("score").alias("score")), ["target", "n", "series"], ["score"])
 ORACLE["score_label_join"] = scored_sql() + " SELECT target, count(*) AS n, count(DISTINCT id) AS series, round(avg(score), 6) + 0.0 AS score FROM scored GROUP BY target"
@@ -286,7 +292,7 @@ QUERIES["white_odds"] = lambda spark, d: innovations.odds(innovations.streams(li
 QUERIES["white_tests"] = lambda spark, d: innovations.tests(innovations.streams(lineitem_panel(spark, d)))
 QUERIES["run_lengths"] = lambda spark, d: grouped.run_lengths(lineitem_panel(spark, d))
 QUERIES["spectra_short"] = lambda spark, d: grouped.spectra(lineitem_panel(spark, d))
-QUERIES["spectra_long"] = lambda spark, d: grouped.spectra(lineitem_panel(spark, d), (64, 128, 256, 512, 1024), 10)
+QUERIES["spectra_long"] = lambda spark, d: grouped.spectra(lineitem_panel(spark, d), grouped.LONG_SPECTRA, 10, overlap=True)
 QUERIES["novelty"] = lambda spark, d: grouped.novelty(lineitem_panel(spark, d))
 
 
@@ -309,15 +315,18 @@ QUERIES["series_features"] = lambda spark, d: forensics.series_features(lineitem
 QUERIES["prefix_battery"] = lambda spark, d: forensics.prefix_battery(lineitem_panel(spark, d))
 
 
-def rank_view(spark: SparkSession, d: str) -> DataFrame:
-    """The three detectors on normal scores of midranks."""
-    panel = lineitem_panel(spark, d)
-    z = forensics.normal_ranks(panel, relational.rank_against_history(panel))
-    parts = [families._cusum("z", 0.5, 0.84, "log", "cusum"), families._cusum("z", 0.05, 1.0, "sqrt", "page_hinkley"), families._variance_ratio("z")]
-    return rendered(z, families.zipped(*parts)).select("id", "step", *(f"z_{n}{s}" for n in ("cusum", "page_hinkley", "variance_ratio") for s in ("", "_now")))
-
-
-QUERIES["rank_view"] = rank_view
+_RANK_VIEW = [
+    {"u": f"greatest(least({dbl(0.5)} * (below + upto) + {dbl(0.5)}, n + {dbl(0.999999999)}), {dbl(1e-9)}) / (n + 1)"},
+    {"z": probit("u")},
+    *families.zipped(families._cusum("z", 0.5, 0.84, "log", "cusum"), families._cusum("z", 0.05, 1.0, "sqrt", "page_hinkley"), families._variance_ratio("z")),
+]
+_RANK_NAMES = [f"z_{n}{s}" for n in ("cusum", "page_hinkley", "variance_ratio") for s in ("", "_now")]
+#: The three detectors on normal scores of midranks.
+QUERIES["rank_view"] = lambda spark, d: output(rendered(relational.rank_against_history(lineitem_panel(spark, d)).select("id", "step", "below", "upto", "n"), _RANK_VIEW), _RANK_NAMES)
+ORACLE["rank_view"] = with_sql(PANEL_SQL) + """,
+h AS (SELECT id, count(*) AS n FROM panel WHERE period = 1 GROUP BY id),
+c AS (SELECT o.id, o.step, count(*) FILTER (p.value < o.value) AS below, count(*) FILTER (p.value <= o.value) AS upto FROM panel o JOIN panel p ON p.id = o.id AND p.period = 1 WHERE o.period = 2 GROUP BY o.id, o.step),
+ranked AS (SELECT c.id, c.step, below, upto, n FROM c JOIN h ON c.id = h.id), """ + sql("ranked", _RANK_VIEW, _RANK_NAMES)
 
 _DIV = forensics.divergences()
 QUERIES["divergences"] = lambda spark, d: output(rendered(online(p := lineitem_panel(spark, d), forensics.bin_reference(p)), _DIV[0]), _DIV[1])
