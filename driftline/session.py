@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Compute df once, as a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
