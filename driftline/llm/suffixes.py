@@ -1,26 +1,30 @@
 """Repeated passages by anchored windows of words.
 
-Anchors are the minimiser positions of a text: in each run of (length - gram + 1)
-grams of words, the gram with the smallest hash. Every window of length words
-holds an anchor, at the same place wherever the window occurs. For each anchor
-whose gram is met again, the windows of length words that hold its gram are keyed
-by the gram, the place of the gram in the window and a hash of the window. A
-window whose key is met in another document is a span; spans are joined. As each
-window of a shared passage has a key of its own, no passage of length words or
-more is missed, however many documents share its gram, and each is found to the
-word.
-
-Scale: the first pass moves a hash and a place for one word in twenty; documents
-with a gram met again move once to be keyed, about two keys (of 128 bits) for
-each word near such a gram. Keys are summed up before they are shuffled, and the
+The anchor of a window of length words is the minimiser among its grams of
+words: the gram with the smallest hash, the leftmost in a tie. It is chosen by
+the window's content alone, so it stands at the same place wherever the window
+occurs. Grams that anchor windows of different texts are found first; then the
+windows they anchor are keyed, each by its anchor's gram, its place in the
+window and a hash of the window. A window whose key is met in another document
+is a span; spans are joined. As each window of a shared passage has a key of its
+own, no passage of length words or more is missed, however many documents share
+its gram, and each is found to the word.
+
+Rows with equal texts are one text with a range of ids: it is keyed once,
+however many copies it has, and if these have different ids all of it is one
+span.
+
+Scale: the first pass moves a hash for one word in twenty; texts with an anchor
+met again move once to be keyed, one key (of 128 bits) for a word near such a
+gram. Keys are summed up before they are shuffled and kept as a table, and the
 join that tells the occurrences which keys are repeated has one row a key on the
-other side, cut off as a durable table so that Spark may split a crowded key. No
-pair of occurrences is ever made.
+other side, so Spark may split a crowded key. No pair of occurrences is made.
 
 Edge cases: null and empty texts, and texts of fewer than length words, have no
 spans. Words are what stands between white space (x20, x09-x0D). Rows that agree
 in id and text are one occurrence. Only passages shared by different ids count,
-unless within is set. Other columns are dropped.
+unless within is set. Texts are equal by two 64-bit hashes. Other columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -31,18 +35,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import durable, ship
+from driftline.session import ship, table
 
 
-def positions(words: list[bytes], gram: int, length: int):
-    """(places, gram hashes) of the minimisers of a text; in a tie the leftmost."""
+def _hashes(words: list[bytes]):
     import numpy as np
     import xxhash
 
-    n, run = len(words) - gram + 1, length - gram + 1
-    if len(words) < length:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def anchors(h, gram: int, length: int):
+    """(place, gram hash) of the anchor of each window of length words, by the hashes of the words."""
+    import numpy as np
+
+    n, run = len(h) - gram + 1, length - gram + 1
+    if len(h) < length:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     grams = np.zeros(n, np.uint64)
     for k in range(gram):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
@@ -51,89 +60,101 @@ def positions(words: list[bytes], gram: int, length: int):
     found = []
     for at in range(0, n - run + 1, 1 << 15):  # windows in blocks, for texts of any length
         some = np.lib.stride_tricks.sliding_window_view(grams[at : at + (1 << 15) + run - 1], run)
-        found.append(np.unique(some.argmin(axis=1) + np.arange(at, at + len(some))))
-    places = np.unique(np.concatenate(found))
-    return places, grams[places].astype(np.int64)
+        found.append(some.argmin(axis=1) + np.arange(at, at + len(some)))
+    places = np.concatenate(found)
+    return places, grams[places].view(np.int64)
 
 
-def _anchors(text: Column, gram: int, length: int) -> Column:
-    @F.arrow_udf("array<struct<place:int,gram:bigint>>")
+def _words_and_grams(text: Column, gram: int, length: int) -> Column:
+    """How many words a text has, and the grams that anchor its windows, one a place."""
+
+    @F.arrow_udf("struct<n:int,grams:array<bigint>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
         for texts in batches:
-            sizes, places, grams = [0], [], []
+            counts, sizes, grams = [], [0], [np.empty(0, np.int64)]
             for t in texts:
-                p, g = positions((t.as_py() or "").encode("utf-8").split(), gram, length)
-                sizes.append(sizes[-1] + len(p))
-                places.append(pa.array(p, pa.int32()))
-                grams.append(pa.array(g, pa.int64()))
-            rows = pa.StructArray.from_arrays([pa.concat_arrays(places) if places else pa.array([], pa.int32()), pa.concat_arrays(grams) if grams else pa.array([], pa.int64())], ["place", "gram"])
-            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
+                words = (t.as_py() or "").encode("utf-8").split()
+                places, each = anchors(_hashes(words), gram, length)
+                g = each[np.unique(places, return_index=True)[1]]
+                counts.append(len(words))
+                sizes.append(sizes[-1] + len(g))
+                grams.append(g)
+            rows = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(grams), pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int32()), rows], ["n", "grams"])
 
     return made(text)
 
 
-def windows(words: list[bytes], places, gram: int, length: int):
-    """(first word, hash, place of the anchor in the window) of each window of length words that holds the gram at one of the places."""
+def windows(h, starts, length: int):
+    """A hash of each window of length words that begins at one of the starts, by the hashes of the words."""
     import numpy as np
-    import xxhash
 
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    base, first = 0xD1B54A32D192ED03, np.asarray(places, np.int64)[:, None] - np.arange(length - gram + 1)
-    offset = np.broadcast_to(np.arange(length - gram + 1), first.shape)
-    fits = (first >= 0) & (first <= len(words) - length)
-    first, offset = first[fits], offset[fits]
-    power = np.array([pow(base, length - 1 - k, 1 << 64) for k in range(length)], np.uint64)
-    needed, back = np.unique(first, return_inverse=True)
-    rolled = np.zeros(len(needed), np.uint64)
+    base = 0xD1B54A32D192ED03
+    rolled = np.zeros(len(starts), np.uint64)
     for k in range(length):
-        x = h[needed + k] * power[k]
+        x = h[starts + k] * np.uint64(pow(base, length - 1 - k, 1 << 64))
         rolled += x ^ x >> np.uint64(29)
     rolled = (rolled ^ rolled >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-    return first, (rolled ^ rolled >> np.uint64(29)).view(np.int64)[back], offset
+    return rolled ^ rolled >> np.uint64(29)
 
 
 def _keyed(gram: int, length: int, rows: int = 65536):
-    """(gram, window hash and place of the anchor) of the windows around the places of each text."""
+    """(gram, window hash with the anchor's place in it) of the windows of each text whose anchor is met again."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        names = ["gram", "win", "id", "mark", "start"]
+        names = ["gram", "win", "low", "high", "one", "two", "start"]
         for b in batches:
             for k in range(b.num_rows):
-                id, mark, text, at = (b.column(c)[k].as_py() for c in ("id", "mark", "text", "at"))
-                words, met = text.encode("utf-8").split(), sorted({(x["place"], x["gram"]) for x in at})
-                for i in range(0, len(met), rows // length):
-                    some = met[i : i + rows // length]
-                    grams = dict(some)
-                    first, win, offset = windows(words, [p for p, _ in some], gram, length)
-                    g = np.array([grams[p] for p in (first + offset).tolist()], np.int64)
-                    win = (win.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * offset.astype(np.uint64)).view(np.int64)
-                    cols = [g, win, np.full(len(g), id, np.int64), np.full(len(g), mark, np.int64)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(first, pa.int32())], names)
+                low, high, one, two, text, met = (b.column(c)[k].as_py() for c in ("low", "high", "one", "two", "text", "met"))
+                h = _hashes(text.encode("utf-8").split())
+                places, grams = anchors(h, gram, length)
+                starts = np.flatnonzero(np.isin(grams, np.array(met, np.int64)))
+                for at in range(0, len(starts), rows):
+                    some = starts[at : at + rows]
+                    win = windows(h, some, length) + np.uint64(0x9E3779B97F4A7C15) * (places[some] - some).astype(np.uint64)
+                    cols = [grams[some], win.view(np.int64), *(np.full(len(some), x, np.int64) for x in (low, high, one, two))]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(some, pa.int32())], names)
 
     return made
 
 
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, gram: int = 10, within: bool = False) -> DataFrame:
-    """(id, mark, start, end): windows of words that occur elsewhere too; mark is a hash of the text."""
+    """(id, mark, start, end): windows of words that occur elsewhere too, and whole texts that do; mark is a hash of the text."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("text is not null and id is not null")
-    kept = durable(rows.select("id", "mark", F.explode(_anchors(F.col("text"), gram, length)).alias("a")).select("id", "mark", "a.place", "a.gram"))
-    again = durable(kept.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1" if within else "low < high").select("gram"))
-    met = kept.join(again, "gram")
-    places = durable(met.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "gram")).alias("at")))
-    texts = rows.join(places, ["id", "mark"])
-    keyed = durable(texts.mapInArrow(_keyed(gram, length), "gram long, win long, id long, mark long, start int"))
-    who = F.struct("id", "mark", "start") if within else F.col("id")
-    shared = durable(keyed.groupBy("gram", "win").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("gram", "win"))
-    found = keyed.join(shared, ["gram", "win"])
-    return found.select("id", "mark", F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end"))
-
-
-def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(id, mark, spans, repeated_words) of each document with repeated passages: its spans of words, joined where they touch."""
-    each = repeats(docs, id, text, **options).groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("one"), F.xxhash64(text, F.lit(1)).alias("two"), F.col(text).alias("text")).where("text is not null and id is not null")
+    found = rows.select("id", "one", "two", _words_and_grams(F.col("text"), gram, length).alias("w"))
+    found = table(found.select("id", "one", "two", "w.*").where(F.col("n") >= length))
+    texts = table(found.groupBy("one", "two").agg(F.min("id").alias("low"), F.max("id").alias("high")))
+    # A text is read from its row with the smallest id; its grams too.
+    first = found.join(texts.withColumnRenamed("low", "id"), ["one", "two", "id"]).dropDuplicates(["one", "two"])
+    first = first.select("one", "two", F.col("id").alias("low"), "high", F.explode("grams").alias("gram"))
+    again = first.groupBy("gram").agg(F.count("*").alias("n"), F.min("low").alias("l"), F.max("high").alias("h"), F.min("one").alias("a"), F.max("one").alias("b"))
+    again = table(again.where("n > 1" if within else "l < h and a < b").select("gram"))  # one text alone has its copies' span already
+    met = table(first.join(again, "gram").groupBy("one", "two").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.collect_set("gram").alias("met")))
+    sources = rows.join(met.withColumn("id", F.col("low")), ["one", "two", "id"])
+    keyed = table(sources.select("low", "high", "one", "two", "text", "met").mapInArrow(_keyed(gram, length), "gram long, win long, low long, high long, one long, two long, start int"))
+    if within:
+        who = F.struct("one", "two", "start")
+        ends = [F.min(who).alias("a"), F.max(who).alias("b")]
+    else:
+        ends = [F.min("low").alias("a"), F.max("high").alias("b")]
+    shared = table(keyed.groupBy("gram", "win").agg(*ends).where("a < b").select("gram", "win"))
+    spans = keyed.join(shared, ["gram", "win"]).select("one", "two", F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end"))
+    held = found.select("id", "one", "two", "n").distinct()
+    copied = held.join(texts.where("low < high"), ["one", "two"]).select("id", F.col("one").alias("mark"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
+    # Spans are joined by text before the copies' ids are put to them.
+    joined = spans.groupBy("one", "two").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
+    single = texts.where("low = high").select("one", "two", F.col("low").alias("id"))
+    alone = joined.join(single, ["one", "two"]).select("id", F.col("one").alias("mark"), F.explode(_touching("all")).alias("s")).select("id", "mark", "s.start", "s.end")
+    return alone.unionByName(copied)
+
+
+def _touching(spans: str) -> Column:
+    """Sorted spans, joined where they touch."""
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def joined(acc, s):
@@ -141,6 +162,11 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(s)))
 
-    spans = F.aggregate("all", empty, joined)
-    out = each.select(F.col("id").alias(id), "mark", spans.alias("spans"))
+    return F.aggregate(spans, empty, joined)
+
+
+def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(id, mark, spans, repeated_words) of each document with repeated passages: its spans of words, joined where they touch."""
+    each = repeats(docs, id, text, **options).groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    out = each.select(F.col("id").alias(id), "mark", "spans")
     return out.withColumn("repeated_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
