@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from driftline.session import durable, kept, ship
 
 WORD = re.compile(r"[^\W_]+")
-QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“')
+QUOTED = re.compile(r'"[^"\n]+"|“[^”\n]+”|«[^»\n]+»|„[^“\n]+“')
 #: Words of reporting, and of addressing somebody, in English, French, German and Spanish.
 REPORTS = frozenset("said says quote quoted quotes word words term slur called wrote writes dit mot disait sagte sagt wort nannte dijo dice palabra".split())
 ADDRESSES = frozenset("you your youre u tu vous toi du ihr sie dich usted eres".split())
@@ -212,7 +212,8 @@ def _lexicon(good: dict[str, int], texts: list[frozenset], least: int = 3, commo
     Texts that are near copies of one another share all their words; once one
     term covers them, the others explain nothing more. Marks nearly as common as
     the commonest chosen one are taken without that. Of marks that begin
-    alike and cover nearly the same, the longest is taken.
+    alike and cover nearly the same, the longest is taken. The good whole words
+    behind a chosen beginning are kept beside it, for their misspellings.
     """
     having: dict[str, set[int]] = {}
     for i, marks in enumerate(texts):
@@ -232,8 +233,10 @@ def _lexicon(good: dict[str, int], texts: list[frozenset], least: int = 3, commo
     for mark in sorted(good, key=lambda m: (-good[m], -len(m), m)):
         if good[mark] >= common * most and not any(mark.startswith(c) or c.startswith(mark) for c in chosen):
             chosen.append(mark)
-    words = sorted(m[:-1] for m in chosen if m.endswith("$"))
-    return words, sorted(m for m in chosen if not m.endswith("$"))
+    # The whole words behind a beginning stay, for their misspellings.
+    stems = sorted(m for m in chosen if not m.endswith("$"))
+    behind = {m for m in good if m.endswith("$") and m.startswith(tuple(stems))}
+    return sorted(m[:-1] for m in behind.union(m for m in chosen if m.endswith("$"))), stems
 
 
 def _fit(x: np.ndarray, y: np.ndarray, prior=(-3.0, 2.5, 1.0, 0.5, 1.0), width=(4.0, 2.0, 1.0, 0.5, 2.0), rounds: int = 60) -> tuple[float, ...]:
