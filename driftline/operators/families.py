@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from driftline.plans.staged import Stage, before, clip, d, ewma, lag, last, probit, reflected, squash, upto
+from driftline.plans.staged import Stage, back, before, clip, d, ewma, lag, last, probit, reflected, squash, upto
 
 Family = tuple[list[Stage], list[str]]
 
@@ -165,15 +165,16 @@ def rank_battery(windows: tuple[int, ...] = MASS_WINDOWS) -> Family:
 
 def glr(windows: tuple[int, ...] = (8, 16, 32, 64, 128, 256), v: str = "z") -> Family:
     """Likelihood ratios of mean, scale and lag-1 dependence over trailing windows of doubling length, and their largest. Fits: moments."""
+    totals = {"g1": upto(f"sum({v})"), "g2": upto(f"sum({v} * {v})"), "gx": upto(f"sum({v} * {v}p)"), "gn": upto("count(*)")}
     sums: Stage = {}
     outs: Stage = {}
     for m in windows:
-        sums |= {f"g1_{m}": last(f"sum({v})", m), f"g2_{m}": last(f"sum({v} * {v})", m), f"gx_{m}": last(f"sum({v} * {v}p)", m), f"gn_{m}": last("count(*)", m)}
+        sums |= {f"g1_{m}": back("g1", m), f"g2_{m}": back("g2", m), f"gx_{m}": back("gx", m), f"gn_{m}": f"least(gn, {m})"}
         var = f"greatest(g2_{m} / gn_{m}, {d(1e-6)})"
         r = clip(f"gx_{m} / greatest(g2_{m}, {d(1e-9)})", -0.99, 0.99)
         outs |= {f"glr_mean{m}": f"abs(g1_{m}) / sqrt(gn_{m})", f"glr_scale{m}": f"{d(0.5)} * gn_{m} * ({var} - 1 - ln({var}))", f"glr_dep{m}": f"-{d(0.5)} * gn_{m} * ln(1 - {r} * {r})"}
     best = {f"glr_{x}_max": f"greatest({', '.join(f'glr_{x}{m}' for m in windows)})" for x in ("mean", "scale", "dep")}
-    return [*standardised(), sums, outs, best], [*outs, *best]
+    return [*standardised(), totals, sums, outs, best], [*outs, *best]
 
 
 TAIL_WINDOWS = (25, 50, 100, 250, 500)

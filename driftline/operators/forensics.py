@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.special import ndtri
 from driftline.operators.grouped import _by_series
 from driftline.operators.innovations import scan_steps
-from driftline.plans.staged import Stage, d, last, upto
+from driftline.plans.staged import Stage, back, d, upto
 from driftline.session import ship
 
 
@@ -363,10 +363,9 @@ BIN_REFERENCE_SQL = (
 def divergences(window: int = 100) -> tuple[list[Stage], list[str]]:
     """Jensen-Shannon, Hellinger, Wasserstein and entropy differences of the prefix and the last window from the history's bins. Fits: bin_reference."""
     at: Stage = {"b": " + ".join(f"CASE WHEN value > e{k} THEN 1 ELSE 0 END" for k in range(1, BINS))}
-    share: Stage = {}
-    for k in range(BINS):
-        one = f"avg(CASE WHEN b = {k} THEN {d(1.0)} ELSE {d(0.0)} END)"
-        share |= {f"p{k}": f"({upto(one)} + {d(1e-9)}) / {d(1 + BINS * 1e-9)}", f"w{k}": f"({last(one, window)} + {d(1e-9)}) / {d(1 + BINS * 1e-9)}"}
+    count: Stage = {f"n{k}": upto(f"sum(CASE WHEN b = {k} THEN {d(1.0)} ELSE {d(0.0)} END)") for k in range(BINS)}
+    smooth = lambda n, total: f"({n} / {total} + {d(1e-9)}) / {d(1 + BINS * 1e-9)}"
+    share = {f"p{k}": smooth(f"n{k}", "(step + 1)") for k in range(BINS)} | {f"w{k}": smooth(back(f"n{k}", window), f"least(step + 1, {window})") for k in range(BINS)}
     under: Stage = {}
     for v in ("p", "w", "h"):
         under |= {f"{v}s{k}": " + ".join(f"{v}{j}" for j in range(k + 1)) for k in range(BINS - 1)}
@@ -380,4 +379,4 @@ def divergences(window: int = 100) -> tuple[list[Stage], list[str]]:
             f"wasserstein_{n}": plus(lambda k, v=v: f"abs({v}s{k} - hs{k}) * g{k}", BINS - 1),
             f"entropy_{n}": f"({plus(lambda k: f'h{k} * ln(h{k})')}) - ({plus(lambda k, v=v: f'{v}{k} * ln({v}{k})')})",
         }
-    return [at, share, under, outs], list(outs)
+    return [at, count, share, under, outs], list(outs)

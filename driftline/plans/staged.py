@@ -29,6 +29,11 @@ def last(expr: str, rows: int) -> str:
     return f"{expr} OVER ({ORDER} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
 
+def back(total: str, rows: int) -> str:
+    """A sum over the last so many rows, from the column of its running total: two looks a row, however long the window."""
+    return f"({total} - coalesce({lag(total, rows)}, 0))"
+
+
 def before(expr: str, rows: int) -> str:
     """An aggregate over the so many rows before this one."""
     return f"{expr} OVER ({ORDER} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
