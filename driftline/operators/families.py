@@ -213,3 +213,15 @@ def transforms(x: str = "score") -> Family:
         {"selfnorm": f"greatest({x} - {d(0.5)} * first10, 0)", "mix_ema": f"{d(0.5)} * {x} + {d(0.5)} * ema", "mix_cmax": f"{d(0.5)} * {x} + {d(0.5)} * cmax", "mix_mean": f"{d(0.5)} * {x} + {d(0.5)} * rm60", "below_peak": f"cmax - {x}", "d20": f"{x} - rm20", "d60": "rm20 - rm60", "d200": "rm60 - rm200"},
     ]
     return stages, ["held", "cmax", "rm20", "rm60", "rm200", "ema", "selfnorm", "mix_ema", "mix_cmax", "mix_mean", "below_peak", "d20", "d60", "d200"]
+
+
+def trajectory(scores: tuple[str, ...], differ: tuple[str, str] | None = None) -> Family:
+    """How each of several scores came to be what it is: peak, running means, their gaps, the age of the peak; and how two of them differ."""
+    first: Stage = {"seen": "ln(step + 2)"}
+    second: Stage = {}
+    for x in scores:
+        first |= {f"{x}_max": upto(f"max({x})"), **{f"{x}_rm{w}": last(f"avg({x})", w) for w in (20, 60, 200)}}
+        second |= {f"{x}_d20": f"{x} - {x}_rm20", f"{x}_d60": f"{x}_rm20 - {x}_rm60", f"{x}_d200": f"{x}_rm60 - {x}_rm200", f"{x}_below": f"{x}_max - {x}", f"{x}_rise": f"CASE WHEN {x} >= {x}_max AND ({lag(f'{x}_max')} IS NULL OR {x}_max > {lag(f'{x}_max')}) THEN step END"}
+    third: Stage = {f"{x}_age": f"step - {upto(f'max({x}_rise)')}" for x in scores} | ({"differ": f"{differ[0]} - {differ[1]}"} if differ else {})
+    names = [n for x in scores for n in (x, f"{x}_max", f"{x}_rm20", f"{x}_rm60", f"{x}_rm200", f"{x}_d20", f"{x}_d60", f"{x}_d200", f"{x}_below", f"{x}_age")]
+    return [first, second, third], [*names, "seen", *(["differ"] if differ else [])]

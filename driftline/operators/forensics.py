@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.special import ndtri
+from driftline.operators.families import monitor as family_monitor
 from driftline.operators.grouped import _by_series
 from driftline.operators.innovations import scan_steps
 from driftline.plans.staged import Stage, back, d, upto
@@ -232,25 +233,25 @@ def spectral(panel: DataFrame | None, size: int = 64, bands: int = 8):
 FORECAST = ["fast", "slow", "peak", "error"]
 
 
-def forecaster(panel: DataFrame | None, lags: int = 8, trailing: int = 10, ridge: float = 1.0):
+def forecaster(panel: DataFrame | None, lags: int = 8, trailing: int = 10, ridge: float = 1.0, ahead: int = 1):
     """Is the next value as predictable as the history was: standardised errors, smoothed fast and slow, their peak, and as they are.
 
     What is predicted is the deviation from the trailing mean, from its last
     values and the mean and spread of five of them, by a ridge regression on the
-    series' own history.
+    series' own history. ahead: how many steps before the predicted one they end.
     """
 
     def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
         zh, zo = detrended(h, o, clipped=True)
         z, n = np.concatenate([zh, zo]), len(zh)
         error = np.zeros(len(zo))
-        start = lags + trailing
+        start = lags + trailing + ahead - 1
         if len(z) > start:
             before = np.lib.stride_tricks.sliding_window_view(z, trailing).mean(axis=1)[:-1]
             d = z[trailing:] - before
             past = np.lib.stride_tricks.sliding_window_view(d, lags)[:-1, ::-1]
             x = np.column_stack([past, past[:, :5].mean(axis=1), past[:, :5].std(axis=1), np.ones(len(past))])
-            y, known = d[lags:], max(n - start, 0)
+            x, y, known = x[: len(x) - ahead + 1], d[lags + ahead - 1 :], max(n - start, 0)
             coef, sigma = np.zeros(x.shape[1]), 1.0
             if known > 40:
                 a = x[:known]
@@ -272,6 +273,46 @@ def _smoothed(x: np.ndarray, alpha: float, start: float) -> np.ndarray:
     return out
 
 
+def increments(family: tuple) -> tuple:
+    """A family on the steps from each value to the next; the first online step is that from the last history value."""
+    names, rows = family
+    return names, lambda h, o: rows(np.diff(h), np.diff(np.concatenate([h[-1:], o])))
+
+
+def monitor(panel: DataFrame | None):
+    """The nine detectors of families.monitor(), peaks and present values, from running sums of a whole series: the streams' form of them."""
+    names = family_monitor()[1]
+
+    def reflected(x: np.ndarray) -> np.ndarray:
+        total = np.cumsum(x)
+        return total - np.minimum(np.minimum.accumulate(total), 0.0)
+
+    def squash(r: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-2 * (r - 1)))
+
+    def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        z = detrended(h, o, clipped=True)[1]
+        n = len(h)
+        rest = detrended(h, o)[0]
+        c = rest - rest.mean()
+        rho = float(np.clip(c[1:] @ c[:-1] / (c @ c), -0.95, 0.95)) if n > 32 and c @ c > 0 else 0.0
+        white = (z - rho * np.concatenate([rest[-1:], z[:-1]])) / np.sqrt(max(1 - rho * rho, 1e-6))
+        views = {"raw": z / np.sqrt(max((1 + rho) / (1 - rho), 1e-6)), "whitened": white, "absolute": np.abs(white) - 0.7979}
+        t, out = np.arange(1, len(o) + 1), {}
+        for v, x in views.items():
+            for name, drift, scale in (("cusum", 0.5, 0.84 * np.log(np.maximum(t, 2))), ("page_hinkley", 0.05, np.sqrt(np.maximum(t, 2)))):
+                now = np.maximum(reflected(x - drift), reflected(-x - drift))
+                out[f"{v}_{name}"], out[f"{v}_{name}_now"] = (squash(a / (scale + 1e-9)) for a in (np.maximum.accumulate(now), now))
+            mean = _smoothed(x, 0.02, 0.0)
+            off = x - np.concatenate([[0.0], mean[:-1]])[: len(x)]
+            now = np.where(t >= 20, np.abs(np.log(np.maximum(_smoothed(0.98 * off * off, 0.02, 1.0), 1e-12))), 0.0)
+            out[f"{v}_variance_ratio"] = squash(np.maximum.accumulate(now) / 0.55) if len(now) else now
+            out[f"{v}_variance_ratio_now"] = np.where(t >= 20, squash(now / 0.55), 0.5)
+        return np.column_stack([out[c] for c in names])
+
+    return _by_series(panel, names, rows)
+
+
 BINNED = [f"{t}_{w}" for w in ("prefix", "window") for t in ("ks", "mann_whitney", "levene", "fligner")]
 
 

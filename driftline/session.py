@@ -57,11 +57,13 @@ def kept(key, make):
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session that names none (a test on one machine) gets a temporary one.
+    Only a session on one machine that names none (a test) gets a temporary one.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

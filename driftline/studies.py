@@ -431,8 +431,33 @@ QUERIES["model_roundtrip"] = model_roundtrip
 QUERIES["rank_groups"] = lambda spark, d: learn.rank_groups(scored(spark, d), 40).groupBy("step", "chunk").agg(F.count("*").alias("n"))
 
 
+_MONITOR = FAMILIES["channels_monitor"][0]
+_TRAJECTORY = families.trajectory(("raw_cusum", "raw_page_hinkley", "absolute_cusum"), ("raw_cusum", "raw_page_hinkley"))
+QUERIES["trajectory"] = lambda spark, d: output(rendered(_rounded_members(*member_rows(spark, d)), _TRAJECTORY[0]), _TRAJECTORY[1], 9)
+
+
+def _rounded_members(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select("id", "step", *(F.round(c, 6).alias(c) for c in names))
+
+
+ORACLE["trajectory"] = with_sql(PANEL_SQL, fits.TREND_SQL, ONLINE_SQL) + f", members AS (WITH {sql('online', *_MONITOR, 6)}), " + sql("members", *_TRAJECTORY, 9)
+QUERIES["forecaster_horizons"] = lambda spark, d: grouped.together(lineitem_panel(spark, d), {f"ahead{k}": forensics.forecaster(None, ahead=k) for k in (1, 5)})
+QUERIES["spectra_increments"] = lambda spark, d: grouped.together(lineitem_panel(spark, d), {"level": grouped.spectra(None, (32, 128)), "step": forensics.increments(grouped.spectra(None, (32, 128)))})
+
+
 # Streams
 
+def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
+    """The monitor as a stream; its rows are those of the batch's windows."""
+    points = lineitem_panel(spark, d).select("id", "time", "value", "hist_len")
+    got = jobs.replay(points, by="time", through=lambda s: streaming.stream(s, forensics.monitor(None)))
+    return output(got, _MONITOR[1])
+
+
+QUERIES["stream_monitor"] = stream_monitor
+ORACLE["stream_monitor"] = with_sql(PANEL_SQL, fits.TREND_SQL, ONLINE_SQL) + ", " + sql("online", *_MONITOR)
+
+
 def stream_run_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Run lengths as a stream: points in four files, whatever their order within."""
     points = lineitem_panel(spark, d).select("id", "time", "value", "hist_len")

@@ -371,3 +371,18 @@ def test_channels_of_a_constant_or_very_short_history_are_finite(spark):
     for made in (grouped.run_lengths, grouped.regimes, lambda p: grouped.regimes(p, "ar"), grouped.novelty, grouped.spectra, forensics.prefix_battery, lambda p: forensics.prefix_battery(p, True), forensics.spectral, forensics.forecaster, forensics.binned_tests, forensics.every_split):
         got = made(small)
         assert all(math.isfinite(v) for r in got.collect() for v in r)
+
+
+def test_the_streamed_monitor_is_the_windows(panel):
+    stages, names = families.monitor()
+    windows, rows = rendered(online(panel, fits.trend(panel)), stages), forensics.monitor(panel)
+    for i in (1, 2, 3):
+        assert np.allclose(table(rows, i, names), table(windows, i, names), atol=1e-8)
+
+
+def test_horizons_and_increments(panel, data):
+    far = table(forensics.forecaster(panel, ahead=5), 2)
+    assert (far[:, 3] >= 0).all() and not np.allclose(far, table(forensics.forecaster(panel), 2))
+    h, o = data[2]
+    names, rows = forensics.increments(grouped.spectra(None, (32,)))
+    assert np.allclose(rows(h, o), grouped.spectra(None, (32,))[1](np.diff(h), np.diff(np.concatenate([h[-1:], o]))))
