@@ -93,8 +93,9 @@ fits AS (
 """
 
 
-def mass_reference(panel: DataFrame) -> DataFrame:
-    """moments with each representation's history mean, variance, skewness and kurtosis (h1_* to h4_*) and three quantiles of |z| (q1..q3)."""
+def mass_reference(panel: DataFrame, shapes: bool = False) -> DataFrame:
+    """moments with each representation's history mean and variance (h1_*, h2_*), with shapes its skewness and kurtosis too (h3_*, h4_*),
+    and three quantiles of |z| (q1..q3)."""
     from pyspark.sql import Window
 
     m = moments(panel)
@@ -104,12 +105,14 @@ def mass_reference(panel: DataFrame) -> DataFrame:
     aggs = [x for k, e in reps.items() for x in (F.avg(e).alias(f"h1_{k}"), (F.var_pop(e) + F.lit(1e-9)).alias(f"h2_{k}"))]
     quantiles = [F.percentile(F.abs("z"), F.lit(p)).alias(f"q{i}") for i, p in ((1, 0.75), (2, 0.95), (3, 0.99))]
     out = h.groupBy("id").agg(*(F.first(c).alias(c) for c in ("hn", "mu", "sd0", "last_z")), *aggs, *quantiles)
+    if not shapes:
+        return out.select("*", F.lit(0.0).alias("h1_c"), F.lit(1e-9).alias("h2_c"))
     off = {k: e - F.col(f"h1_{k}") for k, e in reps.items()}
     sd = {k: F.sqrt(F.greatest(F.col(f"h2_{k}") - 1e-9, F.lit(0.0))) + 1e-9 for k in reps}
     shape = [F.avg(F.pow(off[k] / sd[k], F.lit(float(n)))).alias(f"h{n}_{k}") for k in reps for n in (3, 4)]
-    shapes = h.select("id", "z", "dz").join(out, "id").groupBy("id").agg(*shape)
+    higher = h.select("id", "z", "dz").join(out, "id").groupBy("id").agg(*shape)
     zero = {"h1_c": 0.0, "h2_c": 1e-9, "h3_c": 0.0, "h4_c": 0.0}
-    return out.join(shapes, "id").select("*", *(F.lit(v).alias(c) for c, v in zero.items()))
+    return out.join(higher, "id").select("*", *(F.lit(v).alias(c) for c, v in zero.items()))
 
 
 _Z_SQL = MOMENTS_SQL.replace("fits AS", "mom AS", 1) + """,

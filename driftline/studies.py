@@ -63,7 +63,7 @@ for _name, _view, _family in (
     _viewed(_name, _view, _family)
 
 _WIDE = families.mass(families.WIDE_MASS_WINDOWS, shapes=True)
-QUERIES["channels_mass_wide"] = lambda spark, d: output(rendered(online(p := lineitem_panel(spark, d), fits.mass_reference(p)), _WIDE[0]), _WIDE[1], 3)
+QUERIES["channels_mass_wide"] = lambda spark, d: output(rendered(online(p := lineitem_panel(spark, d), fits.mass_reference(p, shapes=True)), _WIDE[0]), _WIDE[1], 3)
 ORACLE["channels_mass_wide"] = with_sql(PANEL_SQL, fits.MASS_REFERENCE_SQL, ONLINE_SQL) + ", " + sql("online", *_WIDE, 3)
 
 _ANCHORED = FAMILIES["channels_monitor"][0][1]
@@ -433,14 +433,8 @@ QUERIES["rank_groups"] = lambda spark, d: learn.rank_groups(scored(spark, d), 40
 
 _MONITOR = FAMILIES["channels_monitor"][0]
 _TRAJECTORY = families.trajectory(("raw_cusum", "raw_page_hinkley", "absolute_cusum"), ("raw_cusum", "raw_page_hinkley"))
-QUERIES["trajectory"] = lambda spark, d: output(rendered(_rounded_members(*member_rows(spark, d)), _TRAJECTORY[0]), _TRAJECTORY[1], 9)
-
-
-def _rounded_members(rows: DataFrame, names: list[str]) -> DataFrame:
-    return rows.select("id", "step", *(F.round(c, 6).alias(c) for c in names))
-
-
-ORACLE["trajectory"] = with_sql(PANEL_SQL, fits.TREND_SQL, ONLINE_SQL) + f", members AS (WITH {sql('online', *_MONITOR, 6)}), " + sql("members", *_TRAJECTORY, 9)
+QUERIES["trajectory"] = lambda spark, d: output(rendered(member_rows(spark, d)[0].select("id", "step", *_MONITOR[1]), _TRAJECTORY[0]), _TRAJECTORY[1])
+ORACLE["trajectory"] = with_sql(PANEL_SQL, fits.TREND_SQL, ONLINE_SQL) + ", " + sql("online", [*_MONITOR[0], *_TRAJECTORY[0]], _TRAJECTORY[1])
 QUERIES["forecaster_horizons"] = lambda spark, d: grouped.together(lineitem_panel(spark, d), {f"ahead{k}": forensics.forecaster(None, ahead=k) for k in (1, 5)})
 QUERIES["spectra_increments"] = lambda spark, d: grouped.together(lineitem_panel(spark, d), {"level": grouped.spectra(None, (32, 128)), "step": forensics.increments(grouped.spectra(None, (32, 128)))})
 

@@ -159,7 +159,7 @@ def test_wide_mass_battery(whole, data):
     stages, names = families.mass(families.WIDE_MASS_WINDOWS, shapes=True)
     assert len(names) == 216
     some = ["skew_z50", "kurt_z50", "skew_a5", "kurt_d1000", "gap_c25", "exc2_500"]
-    got = columns(rendered(online(whole, fits.mass_reference(whole)), stages), some)
+    got = columns(rendered(online(whole, fits.mass_reference(whole, shapes=True)), stages), some)
     reps = {"z": (zh, zo), "a": (abs(zh), abs(zo)), "d": (np.diff(zh, prepend=zh[0]), np.diff(np.concatenate([zh[-1:], zo])))}
     for kind, k, w in (("skew", "z", 50), ("kurt", "z", 50), ("skew", "a", 5), ("kurt", "d", 1000)):
         h, x = reps[k]
