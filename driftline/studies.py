@@ -462,7 +462,9 @@ QUERIES["stream_run_lengths"] = stream_run_lengths
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    """Those with SQL first, then by how much they put together."""
+    late = ("white_", "learn_", "channels_joint", "separation")
+    return {n: QUERIES[n] for n in sorted(QUERIES, key=lambda n: (n not in ORACLE, n.startswith(late)))}
 
 
 def oracle_sql() -> dict[str, str]:
