@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import ann, chat, lines, mix, pivots, queries, simhash, sketches, suffixes, toxicity, urls
+from driftline.llm import ann, chat, lines, mix, pivots, queries, sketches, suffixes, toxicity, urls
 
 DOCS = "doc_id long, text string, source string"
 SMALL = "/root/testdata/sf0.001"
