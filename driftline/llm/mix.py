@@ -127,11 +127,13 @@ def sized_schema(spark, rows) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
 
 
-def quotas(blocks: Sequence[int], shards: int, seed: int, spark) -> DataFrame:
+def quotas(blocks: Sequence[int], shards: int, seed: int, spark, depth: int = 6) -> DataFrame:
     """(shard, k, blocks): the counts of each source's blocks in each shard, by the splitting tree.
 
-    A node holds one count a source; its two halves are the next level's rows, so
-    levels run on as many tasks as they have nodes.
+    A node holds one count a source, and is split by one draw. A task splits a
+    node down to depth levels below it; what it leaves are the next step's rows,
+    dealt anew, so that a step runs on as many tasks as there are nodes and no
+    task has more than one Python worker.
     """
     ship(spark)
 
@@ -139,10 +141,10 @@ def quotas(blocks: Sequence[int], shards: int, seed: int, spark) -> DataFrame:
         import numpy as np
 
         for nodes in batches:
-            rows = []
-            for lo, hi, counts in zip(nodes["lo"], nodes["hi"], nodes["counts"]):
-                counts = np.asarray(counts, np.int64)
-                if hi - lo < 2:
+            rows, todo = [], [(lo, hi, np.asarray(counts, np.int64), depth) for lo, hi, counts in zip(nodes["lo"], nodes["hi"], nodes["counts"])]
+            while todo:
+                lo, hi, counts, more = todo.pop()
+                if hi - lo < 2 or not more:
                     rows.append((lo, hi, counts))
                     continue
                 mid, total = (lo + hi) // 2, int(counts.sum())
@@ -152,15 +154,13 @@ def quotas(blocks: Sequence[int], shards: int, seed: int, spark) -> DataFrame:
                     rest -= c
                     left[i] = got = int(rng.hypergeometric(c, rest, free)) if c and free else 0
                     free -= got
-                rows += [(lo, mid, left), (mid, hi, counts - left)]
+                todo += [(lo, mid, left, more - 1), (mid, hi, counts - left, more - 1)]
             yield pd.DataFrame(rows, columns=["lo", "hi", "counts"])
 
     schema = "lo long, hi long, counts array<long>"
-    nodes = spark.createDataFrame([(0, shards, [int(b) for b in blocks])], schema)
-    for level in range(max(0, math.ceil(math.log2(shards)))):
-        if level and level % 6 == 0:
-            nodes = nodes.repartition(1 << min(level, 12), "lo")
-        nodes = nodes.mapInPandas(split, schema)
+    nodes = spark.createDataFrame([(0, shards, [int(b) for b in blocks])], schema).coalesce(1)
+    for level in range(0, max(0, math.ceil(math.log2(shards))), depth):
+        nodes = (nodes.repartition(1 << min(level, 12), "lo") if level else nodes).mapInPandas(split, schema)
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("counts").alias("k", "blocks"))
 
 

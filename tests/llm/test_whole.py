@@ -246,6 +246,7 @@ def test_decoys_and_repeats_within_a_document_hide_no_passage(spark):
 def test_quotas_split_every_source_exactly(spark):
     blocks = [40, 0, 7, 123]
     got = mix.quotas(blocks, 9, 3, spark).collect()
+    assert sorted(got) == sorted(mix.quotas(blocks, 9, 3, spark, depth=1).collect())
     by_source, by_shard = Counter(), Counter()
     for r in got:
         by_source[r["k"]] += r["blocks"]
