@@ -1,8 +1,9 @@
 """Ranked metrics across series: the time-stratified, pair-weighted AUC and what is taken from it.
 
 A step's AUC compares all positive with all negative series at that step by
-midranks; steps weigh by their pairs. Ranks need all rows of a step together, so
-a step is the unit of work here; its rows are one for each series alive then.
+midranks; steps weigh by their pairs. Rows are counted by step and score first;
+what lies below a score comes from running totals over ranges of (step, score),
+so that a step with most of the rows is many tasks' work.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.plans.scans import running
 
 
 def group_auc(scored: DataFrame, by: list[str], score: str = "score", y: str = "target") -> DataFrame:
     """(by, np, nn, auc): the midrank AUC of each group; auc is null where only one class is present."""
-    ranked = scored.select(*by, F.col(score).alias("score"), F.col(y).alias("y"))
-    ranked = ranked.withColumn("r", F.rank().over(Window.partitionBy(*by).orderBy("score")) + (F.count("*").over(Window.partitionBy(*by, "score")) - 1) / 2.0)
-    sums = ranked.groupBy(*by).agg(F.sum("y").alias("np"), F.sum(1 - F.col("y")).alias("nn"), F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)).alias("rs"))
-    wins = F.col("rs") - F.col("np") * (F.col("np") + 1) / 2.0
-    return sums.select(*by, "np", "nn", F.when((F.col("np") > 0) & (F.col("nn") > 0), wins / (F.col("np") * F.col("nn"))).alias("auc"))
+    each = scored.select(*by, F.col(score).alias("score"), F.col(y).alias("y")).groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    below = running(each, by, [F.asc_nulls_first("score")], {"lower": F.col("q")})
+    sums = below.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("q").alias("nn"), F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2.0)).alias("wins"))
+    return sums.select(*by, "np", "nn", F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("wins") / (F.col("np") * F.col("nn"))).alias("auc"))
 
 
 def ts_auc(scored: DataFrame, score: str = "score", y: str = "target", step: str = "step") -> DataFrame:
@@ -45,12 +46,12 @@ def step_curve(scored: DataFrame, half: int = 12, score: str = "score", y: str =
 def earnings(scored: DataFrame, score: str = "score", y: str = "target") -> DataFrame:
     """(id, earned, steps): the mean share of comparisons a series wins over the steps at which it is compared, ties one half."""
     s = scored.select("id", "step", F.col(score).alias("score"), F.col(y).alias("y"))
-    tied, upto = Window.partitionBy("step", "score"), Window.partitionBy("step").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    n1, n0 = F.sum("y").over(Window.partitionBy("step")), F.sum(1 - F.col("y")).over(Window.partitionBy("step"))
-    le1, le0 = F.sum("y").over(upto), F.sum(1 - F.col("y")).over(upto)
-    t1, t0 = F.sum("y").over(tied), F.sum(1 - F.col("y")).over(tied)
-    rows = s.select("id", "step", "y", n1.alias("n1"), n0.alias("n0"), le1.alias("le1"), le0.alias("le0"), t1.alias("t1"), t0.alias("t0")).where("n1 > 0 and n0 > 0")
-    won = F.when(F.col("y") == 1, (F.col("le0") - F.col("t0") + F.col("t0") / 2.0) / F.col("n0")).otherwise((F.col("n1") - F.col("le1") + F.col("t1") / 2.0) / F.col("n1"))
+    each = s.groupBy("step", "score").agg(F.sum("y").alias("t1"), F.sum(1 - F.col("y")).alias("t0"))
+    places = running(each, ["step"], [F.asc_nulls_first("score")], {"lt1": F.col("t1"), "lt0": F.col("t0")})
+    totals = each.groupBy("step").agg(F.sum("t1").alias("n1"), F.sum("t0").alias("n0")).where("n1 > 0 and n0 > 0")
+    places = places.join(totals, "step").withColumnsRenamed({"step": "at", "score": "of"})
+    rows = s.join(places, F.col("step").eqNullSafe(F.col("at")) & F.col("score").eqNullSafe(F.col("of")))
+    won = F.when(F.col("y") == 1, (F.col("lt0") + F.col("t0") / 2.0) / F.col("n0")).otherwise((F.col("n1") - F.col("lt1") - F.col("t1") / 2.0) / F.col("n1"))
     return rows.groupBy("id").agg(F.avg(won).alias("earned"), F.count("*").alias("steps"))
 
 
