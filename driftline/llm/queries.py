@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bpe, chat, lines, mix, pivots, simhash, suffixes, toxicity, urls
+from driftline.llm import ann, bpe, chat, leaks, lines, mix, pivots, repair, simhash, suffixes, toxicity, tries, urls
 from driftline.session import durable
 
 
@@ -113,8 +113,27 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    turns, convs = tries.rebuilt(_table(spark, sf_dir, "conversations"))
+    return tries.trie(turns, convs)
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with windows of ten words of the test items."""
+    found = leaks.occurrences(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), length=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged conversations, repaired at the least cost."""
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.report(rows, repair.damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_ann, op4_url_filter, op5_line_dedup, op6_suffix_dedup, op7_mix, op8_exact_topk, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_ann, op4_url_filter, op5_line_dedup, op6_suffix_dedup, op7_mix, op8_exact_topk, op9_toxicity, op10_byte_bpe, op11_prefix_trie, op12_decontaminate, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
