@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bpe, chat, leaks, lines, mix, pivots, repair, simhash, suffixes, toxicity, tries, urls
+from driftline.llm import ann, bpe, chat, leaks, lines, mix, oracles, pivots, repair, simhash, suffixes, toxicity, tries, urls
 from driftline.session import durable
 
 
@@ -116,7 +116,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all rebuilt conversations."""
     turns, convs = tries.rebuilt(_table(spark, sf_dir, "conversations"))
-    return tries.trie(turns, convs)
+    return tries.trie(turns, convs).drop("prefix_sha256")
 
 
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op4_url_filter": OP4_SQL, "op11_prefix_trie": oracles.OP11, "op12_decontaminate": oracles.OP12, "op13_repair": oracles.OP13}
