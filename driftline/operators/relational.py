@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.plans.scans import running
+
 
 def segment_stats(panel: DataFrame) -> DataFrame:
     """(id, broken, tau, post_len, n, mean, sd, skew, kurt, ac1, q05, q50, q95) of each series' online part."""
@@ -212,14 +214,16 @@ def won_by_kind(scored: DataFrame, kinds: DataFrame, least: int = 20) -> DataFra
     """(kind, series, auc): how often series of a kind score above clean ones at the same steps after their break, a mean over series.
 
     scored: (id, step, target, score); kinds: (id, kind). Clean series are those
-    never broken. Ranks among a step's rows give the counts; steps with fewer
+    never broken. Running totals over ranges of (step, score) give the counts; steps with fewer
     than least clean series do not count.
     """
     broken = F.max("target").over(Window.partitionBy("id"))
     s = scored.withColumn("clean", (broken == 0).cast("long"))
-    under = Window.partitionBy("step").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.select("id", "step", "target", F.sum("clean").over(under).alias("le"), F.sum("clean").over(Window.partitionBy("step", "score")).alias("same"), F.sum("clean").over(Window.partitionBy("step")).alias("n"))
-    won = s.where((F.col("target") == 1) & (F.col("n") >= least)).groupBy("id").agg((F.sum(F.col("le") - F.col("same") / 2.0) / F.sum("n")).alias("auc"))
+    each = s.groupBy("step", "score").agg(F.sum("clean").alias("same"))
+    places = running(each, ["step"], [F.asc_nulls_first("score")], {"lower": F.col("same")}).join(each.groupBy("step").agg(F.sum("same").alias("n")).where(F.col("n") >= least), "step")
+    places = places.withColumnsRenamed({"step": "at", "score": "of"})
+    met = s.where("target = 1").join(places, F.col("step").eqNullSafe(F.col("at")) & F.col("score").eqNullSafe(F.col("of")))
+    won = met.groupBy("id").agg((F.sum(F.col("lower") + F.col("same") / 2.0) / F.sum("n")).alias("auc"))
     return won.join(kinds, "id").groupBy("kind").agg(F.count("*").alias("series"), F.avg("auc").alias("auc"))
 
 

@@ -30,8 +30,11 @@ def with_breaks(panel: DataFrame, broken: Column, tau: Column, factor: float = 1
     return panel.withColumn("target", target).withColumn("value", F.when(F.col("target") == 1, F.col("value") * factor).otherwise(F.col("value")))
 
 
-def lineitem_panel(spark: SparkSession, sf_dir: str, value: str = "l_quantity") -> DataFrame:
+def lineitem_panel(spark: SparkSession, sf_dir: str, value: str = "l_quantity", suppliers: int = 1) -> DataFrame:
+    """suppliers: how many neighbouring ones are one series."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if suppliers > 1:
+        rows = rows.withColumn("l_suppkey", F.floor(F.col("l_suppkey") / suppliers))
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     panel = from_table(rows, "l_suppkey", order, value)
     return with_breaks(panel, F.col("id") % 2 == 0, F.col("id") * 37 % F.col("onl_len"))
@@ -51,6 +54,11 @@ panel AS (SELECT id, time, CASE WHEN target = 1 THEN raw * CAST(1.5 AS DOUBLE) E
 """
 
 
+def long_panel_sql(suppliers: int) -> str:
+    """The panel of so many suppliers a series."""
+    return PANEL_SQL.replace("FROM lineitem)", f"FROM (SELECT * REPLACE (l_suppkey // {suppliers} AS l_suppkey) FROM lineitem))")
+
+
 def online(panel: DataFrame, fits: DataFrame | None = None) -> DataFrame:
     """The online rows, each with its series' fitted values."""
     rows = panel.where("period = 2")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, families, forensics, grouped, innovations, learn, metrics, relational
+from driftline.operators import augment, families, forensics, grouped, innovations, learn, metrics, relational, retro
 from driftline.plans import fits
-from driftline.plans.panel import PANEL_SQL, lineitem_panel, online
+from driftline.plans.panel import PANEL_SQL, lineitem_panel, long_panel_sql, online
 from driftline.plans.staged import d as dbl
 from driftline.plans.staged import ewma, output, probit, rendered, sql
 from driftline.session import durable
@@ -24,7 +24,7 @@ ONLINE_SQL = "online AS (SELECT p.id, p.value, p.step, p.target, f.* EXCLUDE (id
 
 
 def with_sql(*ctes: str) -> str:
-    return "WITH " + ", ".join(c.strip() for c in ctes)
+    return "WITH RECURSIVE " + ", ".join(c.strip() for c in ctes)
 
 
 def query(name: str, oracle: str | None = None):
@@ -264,26 +264,32 @@ ORACLE["score_label_join"] = scored_sql() + " SELECT target, count(*) AS n, coun
 
 # Grouped functions of a series
 
-SCANS = innovations.scan_steps(1000)
+#: The counts of points at which scans are made, as far as the longest series goes.
+CADENCE_SQL = f"cadence AS (SELECT CAST(1 AS BIGINT) AS t UNION ALL SELECT greatest(t + 1, CAST(floor(t * {dbl(retro.RATIO)}) AS BIGINT)) FROM cadence WHERE t <= (SELECT max(step) FROM online))"
+#: Suppliers in a series of the panel whose series are a few thousand points long.
+LONG = 8
 
 
-def z_online(spark: SparkSession, d: str) -> DataFrame:
-    panel = lineitem_panel(spark, d)
+def z_online(spark: SparkSession, d: str, suppliers: int = 1) -> DataFrame:
+    panel = lineitem_panel(spark, d, suppliers=suppliers)
     return rendered(online(panel, fits.moments(panel)), families.standardised())
 
 
-QUERIES["split_scan"] = lambda spark, d: rounded(grouped.split_scan(z_online(spark, d), "z", SCANS), ["id", "step"], ["gap", "ratio"])
-ORACLE["split_scan"] = with_sql(PANEL_SQL, fits.MOMENTS_SQL, ONLINE_SQL) + f""",
+QUERIES["split_scan"] = lambda spark, d: rounded(retro.split_scan(z_online(spark, d), "z"), ["id", "step"], ["gap", "ratio"])
+QUERIES["split_scan_long"] = lambda spark, d: rounded(retro.split_scan(z_online(spark, d, LONG), "z"), ["id", "step"], ["gap", "ratio"])
+_SCAN_SQL = """,
 x AS (SELECT id, step, step + 1 AS k, (value - mu) / sd0 AS z FROM online),
 sums AS (SELECT id, step, k, sum(z) OVER w AS a, sum(z * z) OVER w AS b FROM x WINDOW w AS (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 pairs AS (SELECT t.id, t.step, t.k AS t, s.k, s.a / s.k AS m1, (t.a - s.a) / (t.k - s.k) AS m2,
                  s.b / s.k - (s.a / s.k) * (s.a / s.k) AS u1, (t.b - s.b) / (t.k - s.k) - ((t.a - s.a) / (t.k - s.k)) * ((t.a - s.a) / (t.k - s.k)) AS u2
-          FROM sums t JOIN sums s ON t.id = s.id AND s.k >= 5 AND s.k <= t.k - 5 WHERE t.k IN ({', '.join(map(str, SCANS))}) AND t.k >= 10),
+          FROM sums t JOIN sums s ON t.id = s.id AND s.k >= 5 AND s.k <= t.k - 5 WHERE t.k IN (SELECT t FROM cadence) AND t.k >= 10),
 best AS (SELECT id, step, max(abs(m1 - m2) / sqrt(greatest(u1, CAST(1e-12 AS DOUBLE)) / k + greatest(u2, CAST(1e-12 AS DOUBLE)) / (t - k))) AS g,
                 max(abs(ln(greatest(u2, CAST(1e-12 AS DOUBLE)) / greatest(u1, CAST(1e-12 AS DOUBLE))))) AS r FROM pairs GROUP BY id, step),
 held AS (SELECT x.id, x.step, last_value(g IGNORE NULLS) OVER w AS g, last_value(r IGNORE NULLS) OVER w AS r FROM x LEFT JOIN best USING (id, step)
          WINDOW w AS (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT id, step, round(coalesce(g, 0), 6) + 0.0 AS gap, round(coalesce(r, 0), 6) + 0.0 AS ratio FROM held"""
+ORACLE["split_scan"] = with_sql(PANEL_SQL, fits.MOMENTS_SQL, ONLINE_SQL, CADENCE_SQL) + _SCAN_SQL
+ORACLE["split_scan_long"] = with_sql(long_panel_sql(LONG), fits.MOMENTS_SQL, ONLINE_SQL, CADENCE_SQL) + _SCAN_SQL
 
 _BATTERY = innovations.battery()
 QUERIES["white_context"] = lambda spark, d: innovations.streams(lineitem_panel(spark, d)).where("step = 0").select("id", *innovations.CONTEXT)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from driftline.operators import augment, dynamics, families, forensics, grouped, innovations, joined, learn, metrics, relational, retro, views
 from driftline.plans import fits
-from driftline.plans.panel import PANEL_SQL, lineitem_panel, online
+from driftline.plans.panel import PANEL_SQL, lineitem_panel, long_panel_sql, online
 from driftline.plans.staged import output, rendered, sql
-from driftline.queries import _KINDED, FAMILIES, ONLINE_SQL, SCANS, channels, member_rows, rounded, rounded_sql, scored, scored_sql, stats, with_sql
+from driftline.queries import _KINDED, CADENCE_SQL, FAMILIES, LONG, ONLINE_SQL, channels, member_rows, rounded, rounded_sql, scored, scored_sql, stats, with_sql
 from driftline.session import durable, shared_folder
 from driftline.sources import files
 from driftline.streaming import families as streaming
@@ -119,18 +119,17 @@ def panel_series(panel: DataFrame) -> DataFrame:
 
 # Scans
 
-def detrended_online(spark: SparkSession, d: str) -> DataFrame:
-    panel = lineitem_panel(spark, d)
+def detrended_online(spark: SparkSession, d: str, suppliers: int = 1) -> DataFrame:
+    panel = lineitem_panel(spark, d, suppliers=suppliers)
     return rendered(online(panel, fits.trend(panel)), families.views()[:1])
 
 
-_STEPS = ", ".join(map(str, SCANS))
-_SPLITS_SQL = f"""
+_SPLITS_SQL = CADENCE_SQL + """,
 x AS (SELECT id, step, step + 1 AS k, greatest(least((value - (level + slope * (step + 1))) / sd, winsor), -winsor) AS z, value, level, sd FROM online),
 sums AS (SELECT *, sum(z) OVER w AS a, sum(z * z) OVER w AS b FROM x WINDOW w AS (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 pairs AS (SELECT t.id, t.step, t.k AS t, s.k AS k, s.a AS a, s.b AS b, t.a AS ta, t.b AS tb, greatest(s.b / s.k - (s.a / s.k) * (s.a / s.k), CAST(1e-12 AS DOUBLE)) AS v1,
                  greatest((t.b - s.b) / (t.k - s.k) - ((t.a - s.a) / (t.k - s.k)) * ((t.a - s.a) / (t.k - s.k)), CAST(1e-12 AS DOUBLE)) AS v2
-          FROM sums t JOIN sums s ON t.id = s.id AND s.k >= 5 AND s.k <= t.k - 5 WHERE t.k IN ({_STEPS}) AND t.k >= 10),
+          FROM sums t JOIN sums s ON t.id = s.id AND s.k >= 5 AND s.k <= t.k - 5 WHERE t.k IN (SELECT t FROM cadence) AND t.k >= 10),
 gaps AS (SELECT *, abs(a / k - (ta - a) / (t - k)) / sqrt(v1 / k + v2 / (t - k)) AS gap FROM pairs),
 top AS (SELECT id, step, first(t) AS t, first(ta) AS ta, first(tb) AS tb, max(gap) AS gap, max(abs(ln(v2 / v1))) AS ratio, arg_min(k, struct_pack(g := -gap, k := k)) AS best FROM gaps GROUP BY id, step)
 """
@@ -147,13 +146,15 @@ parts AS (SELECT id, step, """
     )
     + " FROM (SELECT *, "
     + ", ".join(f"lag(a, {n}) OVER w AS a{n}, lag(b, {n}) OVER w AS b{n}" for n in retro.DEPTHS)
-    + f""" FROM sums WINDOW w AS (PARTITION BY id ORDER BY step)) WHERE k IN ({_STEPS}) AND k >= 10),
+    + f""" FROM sums WINDOW w AS (PARTITION BY id ORDER BY step)) WHERE k IN (SELECT t FROM cadence) AND k >= 10),
 made AS (SELECT w.id, w.step, {_SQ.format("gap / (CAST(1.02 AS DOUBLE) * sqrt(ln(greatest(t, 3))))")} AS scan_best, CASE WHEN seen >= 3 THEN {_SQ.format("(CAST(0.08 AS DOUBLE) - spread) / CAST(0.04 AS DOUBLE) + 1")} END AS split_stability,
                 {_SQ.format("(abs(sa / n) + abs(ln(greatest((sb - sa * sa / n) / (n - 1), CAST(1e-9 AS DOUBLE))))) / CAST(0.9 AS DOUBLE)")} AS tail_calm, {", ".join(f"{_SQ.format(f'r{n} / CAST(2.6 AS DOUBLE)')} AS recent_{n}" for n in retro.DEPTHS)}
          FROM wander w JOIN parts p ON w.id = p.id AND w.step = p.step),
 held AS (SELECT x.id, x.step, {", ".join(f"{_HOLD.format(c)} AS {c}" for c in retro.RETRO)} FROM x LEFT JOIN (SELECT id AS mid, step AS mstep, * EXCLUDE (id, step) FROM made) ON x.id = mid AND x.step = mstep)"""
 )
-QUERIES["retro"] = lambda spark, d: rounded(retro.retro(detrended_online(spark, d), SCANS), ["id", "step"], retro.RETRO, 5)
+QUERIES["retro"] = lambda spark, d: rounded(retro.retro(detrended_online(spark, d)), ["id", "step"], retro.RETRO, 5)
+QUERIES["retro_long"] = lambda spark, d: rounded(retro.retro(detrended_online(spark, d, LONG)), ["id", "step"], retro.RETRO, 5)
+ORACLE["retro_long"] = with_sql(long_panel_sql(LONG), fits.TREND_SQL, ONLINE_SQL, _RETRO_SQL) + " " + rounded_sql(["id", "step"], retro.RETRO, "held", 5)
 ORACLE["retro"] = with_sql(PANEL_SQL, fits.TREND_SQL, ONLINE_SQL, _RETRO_SQL) + " " + rounded_sql(["id", "step"], retro.RETRO, "held", 5)
 
 
@@ -164,7 +165,7 @@ def review(spark: SparkSession, d: str) -> DataFrame:
     points = rendered(online(panel, fitted), families.views()[:1])
     history = panel.where("period = 1").join(fitted.select("id", "level", "sd"), "id").select("id", "step", "period", ((F.col("value") - F.col("level")) / F.col("sd")).alias("value"))
     ranked = relational.rank_against_history(history.unionByName(points.select("id", "step", "period", F.col("z").alias("value")))).select("id", "step", "upto", "n")
-    return rounded(retro.review(points, ranked.join(points.select("id", "step", "z"), ["id", "step"]), SCANS), ["id", "step"], retro.REVIEW, 5)
+    return rounded(retro.review(points, ranked.join(points.select("id", "step", "z"), ["id", "step"])), ["id", "step"], retro.REVIEW, 5)
 
 
 QUERIES["review"] = review
@@ -209,7 +210,7 @@ def joint(panel: DataFrame) -> DataFrame:
     parts = {}
     for name, p in (("raw", panel), ("asinh", squeezed)):
         points = durable(rendered(online(p, fits.trend(p)), families.views()[:1]))
-        parts |= {name: channels(p, "channels_monitor"), f"{name}_scales": channels(p, "channels_multiscale"), f"{name}_retro": retro.retro(points, SCANS)}
+        parts |= {name: channels(p, "channels_monitor"), f"{name}_scales": channels(p, "channels_multiscale"), f"{name}_retro": retro.retro(points)}
     own = {
         "forecast": forensics.forecaster(None), "prefix": forensics.prefix_battery(None), "prefix2": forensics.prefix_battery(None, second=True),
         "prefix_asinh": grouped.compressed(forensics.prefix_battery(None)), "prefix2_asinh": grouped.compressed(forensics.prefix_battery(None, second=True)),
@@ -363,7 +364,7 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
     prefix = grouped.together(panel, {"raw": forensics.prefix_battery(None), "asinh": grouped.compressed(forensics.prefix_battery(None))})
     some = ["ks", "dmean", "dlogsd", "half_mean", "half_logsd"]
     rows = prefix.select("id", "step", *(F.col(f"raw_{c}").alias(c) for c in some), *(F.col(f"asinh_{c}").alias(f"a_{c}") for c in some))
-    scan = retro.retro(detrended_online(spark, d), SCANS).select("id", "step", F.col("scan_best").alias("scan"))
+    scan = retro.retro(detrended_online(spark, d)).select("id", "step", F.col("scan_best").alias("scan"))
     return learn.interactions(rows.join(scan, ["id", "step"]))
 
 

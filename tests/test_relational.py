@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, forensics, grouped, innovations, relational
+from driftline.operators import augment, forensics, grouped, innovations, relational, retro
 from driftline.plans.panel import from_table, with_breaks
 from driftline.sources import files
 
@@ -41,13 +41,32 @@ def test_ranks_against_history(panel):
 
 def test_split_scan_tries_every_split(panel):
     rows = panel.where("period = 2").select("id", "step", "value")
-    got = {(r["id"], r["step"]): r for r in grouped.split_scan(rows, "value", [10, 30]).collect()}
+    got = {(r["id"], r["step"]): r for r in retro.split_scan(rows, "value", [10, 30]).collect()}
     x = parts(panel, 1)[1][:30]
     best = max(abs(x[:k].mean() - x[k:].mean()) / np.sqrt(x[:k].var() / k + x[k:].var() / (30 - k)) for k in range(5, 26))
     assert got[1, 29]["gap"] == pytest.approx(best, abs=1e-9) and got[1, 28]["gap"] == got[1, 9]["gap"] and got[1, 8]["gap"] == 0
     assert got[1, 35]["gap"] == got[1, 29]["gap"]
 
 
+def test_scans_go_on_as_far_as_each_series(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=9000)
+    x[2000:] += 3
+    sizes = {1: 2400, 2: 9000, 3: 7}
+    rows = [(i, k, float(v)) for i, n in sizes.items() for k, v in enumerate(x[:n])]
+    got = {(r["id"], r["step"]): r for r in retro.split_scan(spark.createDataFrame(rows, "id long, step long, value double"), "value").collect()}
+    assert len(got) == sum(sizes.values()) and got[3, 6]["gap"] == 0
+    for i, n in ((1, 2400), (2, 2400), (2, 9000)):
+        t = max(k for k in innovations.scan_steps(n))
+        gaps = [abs(x[:k].mean() - x[k:t].mean()) / np.sqrt(x[:k].var() / k + x[k:t].var() / (t - k)) for k in range(5, t - 4)]
+        assert got[i, n - 1]["gap"] == pytest.approx(max(gaps), rel=1e-8) and max(gaps) > 20
+
+
+def test_the_cadence_of_a_plan_is_that_of_a_loop(spark):
+    rows = spark.createDataFrame([(n,) for n in (1, 2, 17, 60, 5000, 10**9)], "n long").select("n", retro.cadence(F.col("n")).alias("c")).collect()
+    assert all(r["c"] == innovations.scan_steps(r["n"]) for r in rows)
+
+
 def test_scan_steps_grow():
     assert innovations.scan_steps(60) == [*range(1, 18), 19, 21, 23, 25, 28, 31, 34, 38, 42, 47, 52, 58]
 
