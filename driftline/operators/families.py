@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from driftline.plans.staged import Stage, back, before, clip, d, ewma, lag, last, probit, reflected, squash, upto
+from driftline.plans.staged import Stage, back, before, clip, d, decayed_max, ewma, lag, last, probit, reflected, squash, upto
 
 Family = tuple[list[Stage], list[str]]
 
@@ -130,7 +130,8 @@ def mass(windows: tuple[int, ...] = MASS_WINDOWS, shapes: bool = False) -> Famil
         m = lambda n, k, w: f"m{n}_{k}{w}"
         outs |= {f"skew_{k}{w}": clip(f"({m(3, k, w)} - 3 * {m(1, k, w)} * v_{k}{w} - {m(1, k, w)} * {m(1, k, w)} * {m(1, k, w)}) / (v_{k}{w} * sqrt(v_{k}{w}) + {d(1e-9)}) - h3_{k}", -20, 20) for k, w in each}
         outs |= {f"kurt_{k}{w}": clip(f"({m(4, k, w)} - 4 * {m(1, k, w)} * {m(3, k, w)} + 6 * {m(1, k, w)} * {m(1, k, w)} * {m(2, k, w)} - 3 * {m(1, k, w)} * {m(1, k, w)} * {m(1, k, w)} * {m(1, k, w)}) / (v_{k}{w} * v_{k}{w} + {d(1e-9)}) - h4_{k}", -20, 20) for k, w in each}
-    outs |= {f"exc{i}_{w}": f"{ewma(f'e{i}', 1 / w)} - {d(p)}" for i, p in ((1, 0.25), (2, 0.05), (3, 0.01)) for w in windows}
+    sums |= {f"share{i}_{w}": ewma(f"e{i}", 1 / w) for i in (1, 2, 3) for w in windows}
+    outs |= {f"exc{i}_{w}": f"share{i}_{w} - {d(p)}" for i, p in ((1, 0.25), (2, 0.05), (3, 0.01)) for w in windows}
     return [*standardised(), {"zc": upto("sum(z)")}, *reps, sums, spread, outs], list(outs)
 
 
@@ -159,7 +160,8 @@ def rank_battery(windows: tuple[int, ...] = MASS_WINDOWS) -> Family:
     sums = {f"{m}_{k}{w}": ewma(x, 1 / w) for k in uniform for w in windows for m, x in (("u1", f"r_{k}"), ("u2", f"r_{k} * r_{k}"))}
     outs = {f"rank_gap_{k}{w}": clip(f"(u1_{k}{w} - {d(mean)}) / sqrt({d(var)} / {w})", -20, 20) for k, (mean, var) in uniform.items() for w in windows}
     outs |= {f"rank_lvr_{k}{w}": clip(f"ln(greatest(u2_{k}{w} - u1_{k}{w} * u1_{k}{w}, {d(1e-9)}) / {d(var)})", -20, 20) for k, (_, var) in uniform.items() for w in windows}
-    outs |= {f"rank_{e}{w}": f"{ewma(e, 1 / w)} - {d(0.1)}" for e in ("top", "low") for w in windows}
+    sums |= {f"share_{e}{w}": ewma(e, 1 / w) for e in ("top", "low") for w in windows}
+    outs |= {f"rank_{e}{w}": f"share_{e}{w} - {d(0.1)}" for e in ("top", "low") for w in windows}
     return [rank, reps, sums, outs], list(outs)
 
 
@@ -189,7 +191,7 @@ def tails() -> Family:
     outs = {f"{k}_{w}": clip(f"{ewma(k, 1 / w)} - {d(p)}", -20, 20) for k, p in expected.items() for w in TAIL_WINDOWS}
     rest = {w: 1 - 0.5 / w for w in TAIL_WINDOWS}
     # A hair keeps ratios of whole values off the edges of rounding, where an engine's last bit would decide.
-    outs |= {f"t8_{w}": clip(f"power({d(k)}, step) * {upto(f'max(abs(z) * power({d(k)}, -step))')} / tmax{w} - 1 + {d(1e-9)}", -20, 20) for w, k in rest.items()}
+    outs |= {f"t8_{w}": clip(f"{decayed_max('abs(z)', k)} / tmax{w} - 1 + {d(1e-9)}", -20, 20) for w, k in rest.items()}
     return [*standardised(), marks, near, outs], list(outs)
 
 
@@ -209,7 +211,7 @@ def transforms(x: str = "score") -> Family:
     """Output rules over a score: peak-hold, self-normalised, exponential, cumulative-maximum and running-mean mixes."""
     hold = 0.999
     stages = [
-        {"held": f"power({d(hold)}, step) * {upto(f'max({x} * power({d(hold)}, -step))')}", "cmax": upto(f"max({x})"), "rm20": last(f"avg({x})", 20), "rm60": last(f"avg({x})", 60), "rm200": last(f"avg({x})", 200), "ema": f"{ewma(x, 0.1)} + power({d(0.9)}, step + 1) * first_value({x}) OVER (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"},
+        {"held": decayed_max(x, hold), "cmax": upto(f"max({x})"), "rm20": last(f"avg({x})", 20), "rm60": last(f"avg({x})", 60), "rm200": last(f"avg({x})", 200), "ema": f"{ewma(x, 0.1)} + power({d(0.9)}, step + 1) * first_value({x}) OVER (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"},
         {"first10": upto(f"avg(CASE WHEN step < 10 THEN {x} END)"), "age": f"step - {upto(f'max(CASE WHEN {x} >= cmax THEN step END)')}"},
         {"selfnorm": f"greatest({x} - {d(0.5)} * first10, 0)", "mix_ema": f"{d(0.5)} * {x} + {d(0.5)} * ema", "mix_cmax": f"{d(0.5)} * {x} + {d(0.5)} * cmax", "mix_mean": f"{d(0.5)} * {x} + {d(0.5)} * rm60", "below_peak": f"cmax - {x}", "d20": f"{x} - rm20", "d60": "rm20 - rm60", "d200": "rm60 - rm200"},
     ]

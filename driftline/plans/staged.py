@@ -5,6 +5,10 @@ expression over the columns before it. Stages render to a DataFrame (one
 projection a stage, so Catalyst stacks the windows of all stages on one exchange
 and one sort, because every window has the same partitioning and order) and to
 a chain of common table expressions for another SQL engine.
+
+Exponential means are not windows: all of a stage are made together by one
+grouped function, a matrix product for each memory and block of steps, with the
+last mean carried from block to block. A series is one group, as it is one window.
 """
 
 from __future__ import annotations
@@ -12,7 +16,12 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from driftline.session import ship
 
 Stage = dict[str, str]
 
@@ -52,14 +61,66 @@ def clip(expr: str, lo: float, hi: float) -> str:
     return f"greatest(least({expr}, {d(hi)}), {d(lo)})"
 
 
-def ewma(expr: str, alpha: float, start: float = 0.0) -> str:
-    """v <- (1 - alpha) v + alpha x, from start, as one windowed sum.
+#: How an exponential mean stands in an expression until it is rendered: its memory, its start and what it is of.
+_MEAN = re.compile("\x02([^\x1f]*)\x1f([^\x1f]*)\x1f([^\x03]*)\x03")
+
 
-    Points are weighed by (1 - alpha)^-step, which grown() stands for: the
-    renderers make the powers once a row, however many means use them. They
-    leave a double's range some 667 / alpha steps on; from there on the plan
-    refuses, and the streaming twin, which keeps the mean itself, is to be used.
-    """
+def ewma(expr: str, alpha: float, start: float = 0.0) -> str:
+    """v <- (1 - alpha) v + alpha x over the steps from 0 on, from start; nulls count as zero, and before step 0 it is (1 - alpha) start."""
+    return f"\x02{alpha!r}\x1f{start!r}\x1f{expr}\x03"
+
+
+def decayed_max(expr: str, keep: float) -> str:
+    """m <- max(keep m, x) for x not negative, as a running maximum of logarithms, which no length of a series takes out of a double's range."""
+    k = d(math.log(keep))
+    return f"coalesce(exp({upto(f'max(ln(nullif({expr}, 0)) - step * {k})')} + step * {k}), 0)"
+
+
+def means(x: np.ndarray, alpha: float, start: float = 0.0, block: int = 128) -> np.ndarray:
+    """Exponential means along the last axis: blocks by one matrix product, one carry a block, so of any length."""
+    n, keep = x.shape[-1], 1.0 - alpha
+    parts = -(-n // block)
+    padded = np.zeros((*x.shape[:-1], parts * block))
+    padded[..., :n] = x
+    lag = np.arange(block)[:, None] - np.arange(block)
+    out = padded.reshape(*x.shape[:-1], parts, block) @ np.where(lag >= 0, alpha * keep ** np.maximum(lag, 0), 0.0).T
+    fade, carry = keep ** np.arange(1, block + 1), np.full(x.shape[:-1], start)
+    for k in range(parts):
+        out[..., k, :] += carry[..., None] * fade
+        carry = out[..., k, -1].copy()
+    return out.reshape(padded.shape)[..., :n]
+
+
+def _with_means(df: DataFrame, asked: list[tuple[float, float, str]]) -> DataFrame:
+    """df with columns mean_0, mean_1 and so on: exponential means (alpha, start, column) of each series, in order of its steps."""
+    ship(df.sparkSession)
+    by_memory: dict[tuple[float, float], list[int]] = {}
+    for n, (alpha, start, _) in enumerate(asked):
+        by_memory.setdefault((alpha, start), []).append(n)
+
+    def made(rows: pa.Table) -> pa.Table:
+        step = rows.column("step").to_numpy()
+        if len(step) > 1 and (np.diff(step) < 0).any():
+            rows = rows.take(pa.array(np.argsort(step, kind="stable")))
+            step = rows.column("step").to_numpy()
+        first = int(np.searchsorted(step, 0))
+        of = {c: rows.column(c).cast(pa.float64()).fill_null(0.0).to_numpy()[first:] for c in {c for _, _, c in asked}}
+        out: list = [None] * len(asked)
+        for (alpha, start), which in by_memory.items():
+            y = means(np.stack([of[asked[n][2]] for n in which]), alpha, start)
+            head = np.full((len(which), first), (1.0 - alpha) * start)
+            for n, series in zip(which, np.concatenate([head, y], axis=1)):
+                out[n] = pa.array(series)
+        for n, column in enumerate(out):
+            rows = rows.append_column(f"mean_{n}", column)
+        return rows
+
+    schema = StructType([*(StructField(f.name, f.dataType) for f in df.schema), *(StructField(f"mean_{n}", DoubleType()) for n in range(len(asked)))])
+    return df.groupBy("id").applyInArrow(made, schema)
+
+
+def _closed(alpha: float, start: float, expr: str) -> str:
+    """An exponential mean as one windowed sum over points weighed by (1 - alpha)^-step, for engines without state; some 667 / alpha steps long."""
     keep = 1.0 - alpha
     begin = f"{d(keep * start)} + " if start else ""
     return f"({grown(keep)} * ({begin}{upto(f'sum({d(alpha)} * ({expr}) / {grown(keep)})')}))"
@@ -70,20 +131,13 @@ def grown(keep: float) -> str:
     return f"grown({keep!r})"
 
 
-def longest(keep: float) -> int:
-    """The last step whose power a double still holds in full."""
-    return int(667 / -math.log(keep))
-
-
-def _with_powers(stages: list[Stage], guarded: bool) -> list[Stage]:
-    """Stages with a first one that makes the powers they use."""
+def _with_powers(stages: list[Stage]) -> list[Stage]:
+    """Stages with exponential means in closed form, and a first one that makes the powers they use."""
+    stages = [{c: _MEAN.sub(lambda m: _closed(float(m[1]), float(m[2]), m[3]), e) for c, e in s.items()} for s in stages]
     keeps = sorted({float(x) for s in stages for e in s.values() for x in re.findall(r"grown\(([^)]+)\)", e)})
     if not keeps:
         return stages
-    power = {}
-    for n, k in enumerate(keeps):
-        far = f"CASE WHEN step > {longest(k)} THEN CAST(raise_error('step {longest(k)} is the last for an exponential mean of memory {k:.6g}; use the streaming detectors') AS DOUBLE) ELSE " if guarded else ""
-        power[f"grown_{n}"] = far + f"power({d(k)}, greatest(step, 0))" + (" END" if guarded else "")
+    power = {f"grown_{n}": f"power({d(k)}, greatest(step, 0))" for n, k in enumerate(keeps)}
     named = lambda e: re.sub(r"grown\(([^)]+)\)", lambda m: f"grown_{keeps.index(float(m[1]))}", e)
     return [power, *({c: named(e) for c, e in s.items()} for s in stages)]
 
@@ -122,15 +176,25 @@ def squash(ratio: str, steepness: float = 2.0) -> str:
 
 
 def rendered(df: DataFrame, stages: list[Stage]) -> DataFrame:
-    for stage in _with_powers(stages, guarded=True):
-        df = df.selectExpr("*", *(f"{e} AS {c}" for c, e in stage.items()))
+    """df with the columns of the stages. A stage's exponential means are made by one grouped function over the series."""
+    for stage in stages:
+        found = {m[0]: (float(m[1]), float(m[2]), m[3]) for e in stage.values() for m in _MEAN.finditer(e)}
+        if not found:
+            df = df.selectExpr("*", *(f"{e} AS {c}" for c, e in stage.items()))
+            continue
+        of = list(dict.fromkeys(expr for _, _, expr in found.values()))
+        kept, at = df.columns, {expr: f"mean_of_{n}" for n, expr in enumerate(of)}
+        asked = [(alpha, start, at[expr]) for alpha, start, expr in found.values()]
+        df = _with_means(df.selectExpr("*", *(f"CAST({expr} AS DOUBLE) AS {c}" for expr, c in at.items())), asked)
+        names = {mark: f"mean_{n}" for n, mark in enumerate(found)}
+        df = df.selectExpr(*kept, *(f"{_MEAN.sub(lambda m: names[m[0]], e)} AS {c}" for c, e in stage.items()))
     return df
 
 
 def sql(source: str, stages: list[Stage], keep: list[str] | None = None, digits: int = 4, keys: tuple[str, ...] = ("id", "step")) -> str:
     """The stages as one SELECT over the relation source; keep names the rounded output columns."""
     ctes, at = [], source
-    for n, stage in enumerate(_with_powers(stages, guarded=False)):
+    for n, stage in enumerate(_with_powers(stages)):
         ctes.append(f"s{n} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage.items())} FROM {at})")
         at = f"s{n}"
     cols = ", ".join([*keys, *(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in keep or [])])

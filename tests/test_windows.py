@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.operators import families, forensics
 from driftline.plans import fits
 from driftline.plans.panel import online
-from driftline.plans.staged import ewma, longest, rendered
+from driftline.plans.staged import decayed_max, ewma, means, rendered
 
 
 @pytest.fixture(scope="module")
@@ -200,10 +200,29 @@ def test_normal_quantiles_by_expression(spark):
     assert [r["z"] for r in got] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-7, abs=1e-8)
 
 
-def test_exponential_means_refuse_what_a_double_cannot_hold(spark):
-    assert longest(0.9) > 5000 > longest(2 / 3)
-    rows = spark.range(5000).select(F.lit(1).alias("id"), F.col("id").alias("step"), F.sin(F.col("id").cast("double")).alias("x"))
-    fine = rendered(rows, [{"slow": ewma("x", 0.1)}]).orderBy("step").select("slow").collect()
-    assert fine[-1]["slow"] == pytest.approx(smoothed(np.sin(np.arange(5000.0)), 0.1)[-1], abs=1e-9)
-    with pytest.raises(Exception, match="is the last for an exponential mean"):
-        rendered(rows, [{"fast": ewma("x", 1 / 3)}]).orderBy("step").select("fast").collect()
+def test_exponential_means_and_decayed_maxima_of_any_length(spark):
+    x = np.sin(np.arange(50_000.0)) + np.arange(50_000) % 7
+    rows = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)] + [(2, -1, 9.0), (2, 0, None), (2, 1, 4.0)], "id long, step long, x double").repartition(5)
+    got = rendered(rows, [{"fast": ewma("x", 1 / 3), "slow": f"2 * {ewma('x * x', 0.001, 1.0)}"}, {"top": decayed_max("abs(x)", 0.98), "after": ewma("fast", 0.5)}])
+    got = {i: [r for r in got.where(f"id = {i}").orderBy("step").collect()] for i in (1, 2)}
+    fast, slow, top, after = [], [], [], []
+    f, s, m, a = 0.0, 1.0, 0.0, 0.0
+    for v in x:
+        f, s, m = f + (v - f) / 3, s + 0.001 * (v * v - s), max(0.98 * m, abs(v))
+        a += 0.5 * (f - a)
+        for out, y in ((fast, f), (slow, 2 * s), (top, m), (after, a)):
+            out.append(y)
+    for name, want in (("fast", fast), ("slow", slow), ("top", top), ("after", after)):
+        assert np.abs(np.array([r[name] for r in got[1]]) - want).max() < 1e-9, name
+    assert [r["fast"] for r in got[2]] == pytest.approx([0, 0, 4 / 3])
+
+
+def test_exponential_means_of_blocks_are_the_loop():
+    x = np.random.default_rng(0).normal(size=(3, 1000))
+    for alpha, start, block in ((0.3, 0.0, 128), (0.01, 2.0, 7), (1.0, 5.0, 64)):
+        y, want = np.full(3, start), []
+        for k in range(1000):
+            y = (1 - alpha) * y + alpha * x[:, k]
+            want.append(y)
+        assert np.abs(means(x, alpha, start, block) - np.array(want).T).max() < 1e-12
+    assert means(np.empty((2, 0)), 0.1).shape == (2, 0)
