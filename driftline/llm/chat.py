@@ -23,20 +23,22 @@ A table of turns becomes a log by numbered() and logged(), whose fold is the
 table again.
 
 Edge cases: null texts and roles are empty ones; null kinds count as "message";
-events with null conv_id form one conversation; a message whose events are all
+events with null conv_id form one conversation (ids of any size beside it stay what they are); a message whose events are all
 dropped is gone; events that tie in seq are ordered by kind and text. Extra
 columns are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.plans.scans import running
 from driftline.session import ship
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>"
@@ -54,23 +56,17 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def numbered(rows: DataFrame, block: int = 1024) -> DataFrame:
+def numbered(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     """(conv_id, message, role, text): rows (conv_id, turn, role, text) as messages from 0 on, one a row.
 
     Rows are in order of turn, those without one last; rows that tie, repeated
     ones too, are in order of role and text, each a message of its own. Rows are
-    counted by blocks of turn numbers and ordered within a block, so no task
-    holds a conversation.
+    counted over ranges of (conv_id, turn, role, text), so no task holds a
+    conversation, nor the rows of one turn.
     """
     ev = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ev = ev.withColumn("block", F.floor(F.col("turn") / block))
-    sizes = ev.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("conv_id").alias("sc"), F.col("block").alias("sb"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    placed = ev.withColumn("place", F.row_number().over(within) - 1)
-    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("sc")) & F.col("block").eqNullSafe(F.col("sb")))
-    return placed.select("conv_id", (F.col("start") + F.col("place")).alias("message"), "role", "text")
+    placed = running(ev, ["conv_id"], [F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")], {"message": F.lit(1).cast("long")}, ranges)
+    return placed.select("conv_id", "message", "role", "text")
 
 
 def logged(messages: DataFrame) -> DataFrame:
@@ -116,14 +112,17 @@ def render(messages: DataFrame, block: int = 256) -> DataFrame:
     """(conv_id, block, formatted, loss): the written turns of each block of message numbers, and the loss mask's spans."""
     ship(messages.sparkSession)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            written = [f"{OPEN}{escape(r or '')}{MIDDLE}{escape(t or '')}{CLOSE}\n" for r, t in zip(rows["role"], rows["text"])]
-            first = [len(OPEN) + len(escape(r or "")) + len(MIDDLE) for r in rows["role"]]
-            yield pd.DataFrame({"conv_id": rows["conv_id"], "message": rows["message"], "turn": written, "start": first, "end": [len(w) - len(CLOSE) - 1 for w in written], "on": [(r or "") == "assistant" for r in rows["role"]]})
+            roles, texts = ([x or "" for x in rows.column(k).to_pylist()] for k in (2, 3))
+            heads = [f"{OPEN}{escape(r)}{MIDDLE}" for r in roles]
+            written = [f"{h}{escape(t)}{CLOSE}\n" for h, t in zip(heads, texts)]
+            ends = [len(w) - len(CLOSE) - 1 for w in written]
+            made = [pa.array(written, pa.string()), pa.array([len(h) for h in heads], pa.int32()), pa.array(ends, pa.int32()), pa.array([r == "assistant" for r in roles], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made], ["conv_id", "message", "turn", "start", "end", "on"])
 
     kind = messages.schema["conv_id"].dataType.simpleString()
-    turns = messages.select("conv_id", F.col("message").cast("long").alias("message"), "role", "text").mapInPandas(write, f"conv_id {kind}, message long, turn string, start int, end int, on boolean")
+    turns = messages.select("conv_id", F.col("message").cast("long").alias("message"), "role", "text").mapInArrow(write, f"conv_id {kind}, message long, turn string, start int, end int, on boolean")
     packed = turns.groupBy("conv_id", F.floor(F.col("message") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("message", "turn", "start", "end", "on"))).alias("t"))
     spans = F.aggregate(
         "t",
@@ -161,16 +160,21 @@ def digests(formatted: DataFrame) -> DataFrame:
     ship(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
-    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, known = None, [], None
+
+        def batch() -> pa.RecordBatch:
+            rows = [(n, a.hexdigest(), k, b.hexdigest(), m) for _, n, a, k, b, m in out]
+            columns = [pa.array([x[0] for x in out], known), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
 
-        now, out = None, []
         for rows in batches:
-            for conv, text, loss in zip(rows["conv_id"], rows["formatted"], rows["loss"]):
-                conv = None if pd.isna(conv) else conv
+            known = rows.column(0).type
+            for conv, text, loss in zip(*(rows.column(k).to_pylist() for k in range(3))):
                 if now is None or now[0] != conv:
                     if now is not None:
-                        out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
+                        out.append(now)
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 turns, masked = read(text, loss)
                 for role, said in turns:
@@ -181,13 +185,12 @@ def digests(formatted: DataFrame) -> DataFrame:
                 now[1] += len(turns)
                 now[5] += len(text)
             if len(out) > 4096:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+                yield batch()
         if now is not None:
-            out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
-        if out:
-            yield pd.DataFrame(out, columns=names)
+            out.append(now)
+            yield batch()
 
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [c.split()[0] for c in schema.split(", ")]
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInPandas(taken, schema)
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "block").select("conv_id", "formatted", "loss")
+    return ordered.mapInArrow(taken, schema)
