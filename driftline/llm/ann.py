@@ -18,8 +18,9 @@ the sample bounds.
 
 Edge cases: vectors null, zero, of another length than most or with null or
 non-finite components take no part, neither as query nor as candidate. Equal
-scores go by smaller id. Rows with the same id: each is a candidate. Fewer
-candidates than k: all of them are given. Empty tables give an empty result.
+scores go by smaller id. Rows with the same id are rows of their own: each is a
+candidate of all others, and each that is a query has its own k rows of result.
+Fewer candidates than k: all of them are given. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ from driftline.session import durable, ship
 
 
 def usable(vectors: DataFrame, id: str, vector: str, zero: bool = False) -> DataFrame:
-    """(id, v array<double>) of the rows that can take part, all of one length."""
+    """(row, id, v array<double>) of the rows that can take part, all of one length; row tells rows of one id apart."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id).cast("long").alias("id"), v.alias("v")).where("v is not null and size(v) > 0 and id is not null")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), v.alias("v")).where("v is not null and size(v) > 0 and id is not null")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     if not zero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
@@ -116,50 +117,52 @@ def _lifted(rows: np.ndarray, norm: float) -> np.ndarray:
     return np.column_stack([rows, more])
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, score): each query's best rows of a block, its own id left out; ties to the smaller id."""
+def best_of(q_rows: np.ndarray, q: np.ndarray, v_rows: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, int, float]]:
+    """(query's row, row, id, score): each query's best rows of a block, its own row left out; ties to the smaller id."""
     rough = q @ v.T
     slack = 1e-9 * (1.0 + np.abs(rough).max(axis=1))
-    rough[q_ids[:, None] == v_ids[None, :]] = -np.inf
+    rough[q_rows[:, None] == v_rows[None, :]] = -np.inf
     take = min(k, rough.shape[1])
     floor = np.partition(rough, rough.shape[1] - take, axis=1)[:, rough.shape[1] - take]
     out = []
     for i in range(len(q)):
         near = np.flatnonzero((rough[i] >= floor[i] - slack[i]) & (rough[i] > -np.inf))
         score = (v[near] * q[i]).sum(axis=1)
-        order = np.lexsort((v_ids[near], -score))[:k]
-        out += [(int(q_ids[i]), int(v_ids[near[o]]), float(score[o])) for o in order]
+        order = np.lexsort((v_rows[near], v_ids[near], -score))[:k]
+        out += [(int(q_rows[i]), int(v_rows[near[o]]), int(v_ids[near[o]]), float(score[o])) for o in order]
     return out
 
 
 def _cells(left, right, k: int) -> pd.DataFrame:
     rows = []
     if len(left) and len(right):
-        v_ids, v = right["id"].to_numpy(), np.stack(right["v"].to_numpy())
+        v_rows, v_ids, v = right["row"].to_numpy(), right["id"].to_numpy(), np.stack(right["v"].to_numpy())
+        names = dict(zip(left["qrow"], left["qid"]))
         for at in range(0, len(left), 256):
             part = left.iloc[at : at + 256]
-            rows += best_of(part["qid"].to_numpy(), np.stack(part["q"].to_numpy()), v_ids, v, k)
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            rows += [(r, names[r], *x) for r, *x in best_of(part["qrow"].to_numpy(), np.stack(part["q"].to_numpy()), v_rows, v_ids, v, k)]
+    return pd.DataFrame(rows, columns=["query_row", "query_id", "vec_row", "vec_id", "score"])
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query, over its cells."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-_FOUND = "query_id long, vec_id long, score double"
+ANSWER = ("query_id", "rank", "vec_id", "score")
+_FOUND = "query_row long, query_id long, vec_row long, vec_id long, score double"
 
 
 def in_cells(queries: DataFrame, vectors: DataFrame, k: int, part_rows: int = 8192, chunk_rows: int = 1024) -> DataFrame:
-    """The best of queries (qid, q, cell) among vectors (id, v, cell) of the same cell, in pieces of bounded size."""
+    """The best of queries (qrow, qid, q, cell) among vectors (row, id, v, cell) of the same cell, in pieces of bounded size."""
     sizes = durable(vectors.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")))
     asked = durable(queries.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")))
     grid = durable(sizes.join(asked, "cell"))
-    v = vectors.join(grid, "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
-    v = v.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "part", "chunk", "id", "v")
-    q = queries.join(grid, "cell").withColumn("chunk", F.pmod(F.xxhash64("qid", F.lit(2)), F.col("chunks")).cast("int"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "chunk", "qid", "q")
+    v = vectors.join(grid, "cell").withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int"))
+    v = v.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "part", "chunk", "row", "id", "v")
+    q = queries.join(grid, "cell").withColumn("chunk", F.pmod(F.xxhash64("qrow", F.lit(2)), F.col("chunks")).cast("int"))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "chunk", "qrow", "qid", "q")
     keys = ["cell", "part", "chunk"]
     return q.groupBy(keys).cogroup(v.groupBy(keys)).applyInPandas(lambda a, b: _cells(a, b, k), _FOUND)
 
@@ -175,12 +178,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_id",
     ship(spark)
     rows = durable(usable(vectors, id, vector))
     stats = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
-    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    queries = rows.where(F.col("id") % every == 0).select(F.col("row").alias("qrow"), F.col("id").alias("qid"), F.col("v").alias("q"))
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = stats["norm"]
     # The smallest keyed hashes: the same rows each time, spread over the whole table.
-    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
+    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id", "v").limit(sample).collect()
     tree = Tree(_lifted(np.array([r["v"] for r in picked], np.float64), norm), branch, leaf, seed)
     shared, leaves = spark.sparkContext.broadcast(tree), len(tree.leaf_of)
 
@@ -200,20 +203,20 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_id",
 
         return visits
 
-    placed = durable(rows.mapInPandas(to_leaf, "id long, v array<double>, cell long"))
+    placed = durable(rows.mapInPandas(to_leaf, "row long, id long, v array<double>, cell long"))
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a leaf
-    some = durable(queries.orderBy(F.xxhash64("qid", F.lit(seed + 1)), "qid").limit(calibrate))
+    some = durable(queries.orderBy(F.xxhash64("qid", F.lit(seed + 1)), "qid", "q").limit(calibrate))
     truth = _merge(in_cells(some.withColumn("cell", F.lit(0).cast("long")), rows.withColumn("cell", F.lit(0).cast("long")), k), k)
-    where = truth.join(placed.select(F.col("id").alias("vec_id"), "cell"), "vec_id").select("query_id", "cell").collect()
-    visits = _calibrated(tree, {r["qid"]: np.append(np.array(r["q"]), 0.0) for r in some.collect()}, where, recall, leaves)
-    asked = queries.mapInPandas(to_visits(visits), "qid long, q array<double>, cell long")
-    return _merge(in_cells(durable(asked), placed, k), k)
+    where = truth.join(placed.select(F.col("row").alias("vec_row"), "cell"), "vec_row").select("query_row", "cell").collect()
+    visits = _calibrated(tree, {r["qrow"]: np.append(np.array(r["q"]), 0.0) for r in some.collect()}, where, recall, leaves)
+    asked = queries.mapInPandas(to_visits(visits), "qrow long, qid long, q array<double>, cell long")
+    return _merge(in_cells(durable(asked), placed, k), k).select(*ANSWER)
 
 
 def _calibrated(tree: Tree, queries: dict, where: list, recall: float, leaves: int) -> int:
-    """The fewest leaf visits at which the true neighbours (query_id, cell) are met often enough, widened by a half at a time."""
+    """The fewest leaf visits at which the true neighbours (query_row, cell) are met often enough, widened by a half at a time."""
     orders = {q: {leaf: i for i, leaf in enumerate(tree.visit(v, leaves))} for q, v in queries.items()}
-    places = np.array([orders[r["query_id"]][r["cell"]] for r in where])
+    places = np.array([orders[r["query_row"]][r["cell"]] for r in where])
     visits = 1
     while visits < leaves and len(places) and (places < visits).mean() < recall:
         visits = min(leaves, visits + max(1, visits // 2))

@@ -16,10 +16,16 @@ bounded part of the vectors and a bounded chunk of the queries; vectors are only
 repeated for the chunks their cell has. A block answers with its k best of each
 query.
 
-Components are turned into integers, floor(scale * x), so scores are exact. Edge
-cases: vectors null, of another length than most, or with null or non-finite
-components take no part; zero vectors do. Ties go to the smaller id. Fewer
-candidates than k: all. Empty tables give an empty result.
+Components are turned into integers, floor(scale * x), and scores are exact at any
+size: where doubles could not hold a sum, products are summed as long integers,
+and where longs could not, as integers without bounds. A score beyond a long ends
+the query with an error that says so. Bounds have slack by the size of the norms.
+
+Edge cases: vectors null, of another length than most, or with null or non-finite
+components take no part; zero vectors do. Ties go to the smaller id. Rows with the
+same id are rows of their own: each is a candidate of all others, and each that is
+a query has its own k rows of result. Fewer candidates than k: all. Empty tables
+give an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.ann import usable
+from driftline.llm.ann import ANSWER, _merge, usable
 from driftline.session import durable, ship
 
 
@@ -52,36 +58,55 @@ def table(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (rows**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * rows @ pivots.T))
 
 
-def best(q_ids, q, q_table, v_ids, v, v_table, k: int, floor=None, step: int = 64) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's k best rows of a block; floor: scores below it need not come."""
+def scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, held as doubles, in long integers; exact."""
+    largest = float(np.abs(rows).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * max(1, len(q))
+    if largest < 2.0**53:
+        return (rows @ q).astype(np.int64)
+    if largest < 2.0**62 and max(np.abs(rows).max(), np.abs(q).max()) < 2.0**62:
+        return (rows.astype(np.int64) * q.astype(np.int64)).sum(axis=1)
+    whole = [int(x) for x in q]
+    out = [sum(int(a) * b for a, b in zip(row, whole)) for row in rows]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in out):
+        raise OverflowError("an inner product is beyond a long")
+    return np.array(out, np.int64)
+
+
+def _slack(norm2) -> np.ndarray:
+    """How far a distance may be off, by the squared norms behind it."""
+    return np.maximum(1e-3, np.sqrt(1e-13 * np.asarray(norm2, np.float64)))
+
+
+def _upper(q_norm, v_norm, low) -> np.ndarray:
+    """An upper bound of the inner product from squared norms and a lower bound of the distance."""
+    both = q_norm + v_norm
+    return np.floor((both - np.maximum(0.0, low - _slack(both)) ** 2) / 2 + np.maximum(1e-3, 1e-13 * both))
+
+
+def best(q_rows, q, q_table, v_rows, v_ids, v, v_table, k: int, floor=None, step: int = 64) -> list[tuple[int, int, int, int]]:
+    """(query's row, row, id, score) of each query's k best rows of a block; floor: scores below it need not come."""
     q_norm, v_norm, out = (q**2).sum(axis=1), (v**2).sum(axis=1), []
     for i in range(len(q)):
         low = np.abs(v_table - q_table[i]).max(axis=1) if v_table.shape[1] else np.zeros(len(v))
-        # A distance in floating point may be off in its last digits; scores are whole numbers.
-        high = np.floor((q_norm[i] + v_norm - np.maximum(0.0, low - 1e-3) ** 2) / 2 + 1e-3)
-        need = -math.inf if floor is None or np.isnan(floor[i]) else floor[i]
-        may = np.flatnonzero((high >= need) & (v_ids != q_ids[i]))
+        high = _upper(q_norm[i], v_norm, low)
+        need = -math.inf if floor is None or np.isnan(floor[i]) else np.nextafter(floor[i], -np.inf)
+        may = np.flatnonzero((high >= need) & (v_rows != q_rows[i]))
         may = may[np.argsort(-high[may], kind="stable")]
-        got_s, got_i = np.empty(0), np.empty(0, np.int64)
+        got_s, got = np.empty(0, np.int64), np.empty(0, np.int64)
         for at in range(0, len(may), step):
             if high[may[at]] < need:
                 break
             some = may[at : at + step]
-            got_s, got_i = np.append(got_s, v[some] @ q[i]), np.append(got_i, v_ids[some])
-            order = np.lexsort((got_i, -got_s))[:k]
-            got_s, got_i = got_s[order], got_i[order]
+            got_s, got = np.append(got_s, scores(v[some], q[i])), np.append(got, some)
+            order = np.lexsort((v_rows[got], v_ids[got], ~got_s))[:k]  # ~x falls as x rises, for any long
+            got_s, got = got_s[order], got[order]
             if len(got_s) == k:
-                need = max(need, got_s[-1])
-        out += [(int(q_ids[i]), int(b), int(s)) for b, s in zip(got_i, got_s)]
+                need = max(need, np.nextafter(float(got_s[-1]), -np.inf))
+        out += [(int(q_rows[i]), int(v_rows[b]), int(v_ids[b]), int(x)) for b, x in zip(got, got_s)]
     return out
 
 
-_FOUND = "query_id long, vec_id long, score long"
-
-
-def _merge(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+_FOUND = "query_row long, query_id long, vec_row long, vec_id long, score long"
 
 
 def _reach(stats, pivots: int):
@@ -97,8 +122,7 @@ def surviving(q: np.ndarray, q_table: np.ndarray, floor: np.ndarray, reach) -> n
     _, lo, hi, norm2 = reach
     q_norm, need = (q**2).sum(axis=1), np.where(np.isnan(floor), -np.inf, floor)
     low = np.stack([np.maximum(0.0, np.maximum(q_table - hi[c], lo[c] - q_table)).max(axis=1) for c in range(len(norm2))], axis=1)
-    bound = np.floor((q_norm[:, None] + norm2[None] - np.maximum(0.0, low - 1e-3) ** 2) / 2 + 1e-3)
-    return bound >= need[:, None]
+    return _upper(q_norm[:, None], norm2[None], low) >= np.nextafter(need, -np.inf)[:, None]
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id: str = "vec_id", vector: str = "embedding", pivots: int = 48, sample: int = 4096, block_rows: int = 8192, chunk_rows: int = 4096, seed: int = 5) -> DataFrame:
@@ -108,9 +132,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = usable(vectors, id, vector, zero=True).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)  # noqa: E731  beyond that a double has no fraction
+    rows = usable(vectors, id, vector, zero=True).select("row", "id", F.transform("v", lambda x: whole(x * scale)).alias("v"))
     rows = durable(rows)
-    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
+    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id", "v").limit(sample).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not picked:
         return empty
@@ -121,10 +146,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
         for b in batches:
             if len(b):
                 v = np.stack(b["v"].to_numpy())
+                if np.abs(v).max() >= 2.0**63:
+                    raise OverflowError("a component is beyond a long")
                 t = table(v, shared.value)
                 yield b.assign(t=list(t), near=t.argmin(axis=1), norm2=(v**2).sum(axis=1))
 
-    placed = durable(rows.mapInPandas(to_pivot, "id long, v array<double>, t array<double>, near long, norm2 double"))
+    placed = durable(rows.mapInPandas(to_pivot, "row long, id long, v array<double>, t array<double>, near long, norm2 double"))
     asked = (F.col("id") % every == 0).cast("long")
     ends = [f(F.col("t")[j]).alias(f"{n}{j}") for j in range(len(points)) for n, f in (("lo", F.min), ("hi", F.max))]
     stats = placed.groupBy("near").agg(F.count("*").alias("n"), F.sum(asked).alias("q"), F.max("norm2").alias("norm2"), *ends).collect()  # one row a pivot
@@ -132,29 +159,31 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
         return empty
     reach = spark.sparkContext.broadcast(_reach(stats, len(points)))
     parts = {r["near"]: math.ceil(r["n"] / block_rows) for r in stats}
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), _by_cell(parts)).cast("int")).select("near", "part", "id", "v", "t")
-    queries = placed.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("t").alias("qt"), "near")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row", F.lit(3)), _by_cell(parts)).cast("int")).select("near", "part", "row", "id", "v", "t")
+    queries = placed.where(F.col("id") % every == 0).select(F.col("row").alias("qrow"), F.col("id").alias("qid"), F.col("v").alias("q"), F.col("t").alias("qt"), "near")
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
             floor = a["floor"].to_numpy(np.float64)
-            out = best(a["qid"].to_numpy(), np.stack(a["q"].to_numpy()), np.stack(a["qt"].to_numpy()), b["id"].to_numpy(), np.stack(b["v"].to_numpy()), np.stack(b["t"].to_numpy()), k, floor)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            names = dict(zip(a["qrow"], a["qid"]))
+            out = best(a["qrow"].to_numpy(), np.stack(a["q"].to_numpy()), np.stack(a["qt"].to_numpy()), b["row"].to_numpy(), b["id"].to_numpy(), np.stack(b["v"].to_numpy()), np.stack(b["t"].to_numpy()), k, floor)
+            out = [(r, names[r], *x) for r, *x in out]
+        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_row", "vec_id", "score"])
 
     keys = ["near", "part", "chunk"]
 
     def compared(some: DataFrame, against: DataFrame, sizes: dict[int, int]) -> DataFrame:
-        """Queries (qid, q, qt, floor, near, part) with the vectors of their cells; sizes: queries that a cell has."""
+        """Queries (qrow, qid, q, qt, floor, near, part) with the vectors of their cells; sizes: queries that a cell has."""
         chunks = _by_cell({c: math.ceil(n / chunk_rows) for c, n in sizes.items()})
-        left = some.withColumn("chunk", F.pmod(F.xxhash64("qid", F.lit(4)), chunks).cast("int"))
+        left = some.withColumn("chunk", F.pmod(F.xxhash64("qrow", F.lit(4)), chunks).cast("int"))
         right = against.where(F.col("near").isin([c for c, n in sizes.items() if n])).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
         return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(cell, _FOUND)
 
     first = queries.withColumn("part", F.lit(0)).withColumn("floor", F.lit(float("nan")))
     begun = compared(first, placed.where("part = 0"), {r["near"]: r["q"] for r in stats})
-    floors = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    queries = queries.join(floors, queries["qid"] == floors["query_id"], "left").select("qid", "q", "qt", "floor")
+    floors = begun.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+    queries = queries.join(floors, queries["qrow"] == floors["query_row"], "left").select("qrow", "qid", "q", "qt", "floor")
 
     def to_cells(batches):
         for b in batches:
@@ -163,11 +192,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
                 keep = surviving(np.stack(b["q"].to_numpy()), np.stack(b["qt"].to_numpy()), b["floor"].to_numpy(np.float64), reach.value)
                 yield b.assign(cells=[near[x] for x in keep])
 
-    queries = durable(queries.mapInPandas(to_cells, "qid long, q array<double>, qt array<double>, floor double, cells array<long>"))
+    queries = durable(queries.mapInPandas(to_cells, "qrow long, qid long, q array<double>, qt array<double>, floor double, cells array<long>"))
     sizes = {r["near"]: r["n"] for r in queries.select(F.explode("cells").alias("near")).groupBy("near").agg(F.count("*").alias("n")).collect()}  # one row a pivot
-    spread = queries.select("qid", "q", "qt", "floor", F.explode("cells").alias("near"))
+    spread = queries.select("qrow", "qid", "q", "qt", "floor", F.explode("cells").alias("near"))
     spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), _by_cell(parts) - 1)))
-    return _merge(compared(spread, placed, sizes), k)
+    return _merge(compared(spread, placed, sizes), k).select(*ANSWER)
 
 
 def _by_cell(numbers: dict[int, int]) -> Column:

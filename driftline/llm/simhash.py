@@ -13,7 +13,8 @@ component.
 
 Edge cases: null and empty texts have fingerprint 0 and link like any other; a
 text with fewer words than a shingle has one shingle, all its words. Repeated
-rows come out once each. An empty table gives an empty result. Other columns of
+rows come out once each. Nodes are fingerprints, not ids: rows that share an id but
+not a text are linked by their texts alone, so an id may be in several components. An empty table gives an empty result. Other columns of
 the input are dropped.
 """
 
@@ -97,7 +98,9 @@ def link(nodes: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, distance: int = 2) -> DataFrame:
     """(id, fingerprint, component_id): each row's fingerprint in hex and the smallest id reachable over links."""
     fps = durable(fingerprints(docs, id, text, words, seed))
-    nodes = durable(fps.groupBy("fp").agg(F.min(id).alias("node")))
-    found = durable(connected_components(link(nodes, distance)))
-    named = durable(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    nodes = durable(fps.groupBy("fp").agg(F.min(id).alias("least")))
+    found = durable(connected_components(link(nodes.select("fp", F.col("fp").alias("node")), distance)))
+    sets = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("set"))
+    sets = durable(sets)
+    named = durable(sets.join(sets.groupBy("set").agg(F.min("least").alias("component_id")), "set").select("fp", "component_id"))
     return fps.join(named, "fp").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import ann, chat, lines, mix, pivots, queries, sketches, suffixes, toxicity, urls
+from driftline.llm import ann, chat, lines, mix, pivots, queries, simhash, sketches, suffixes, toxicity, urls
 
 DOCS = "doc_id long, text string, source string"
 SMALL = "/root/testdata/sf0.001"
@@ -40,13 +40,19 @@ def tied(pairs):
 
 # op1
 
+def test_large_ids_beside_a_null_one_stay_apart(spark):
+    rows = [(2**53, 0, "user", "a"), (2**53 + 1, 0, "user", "b"), (None, 0, "assistant", "c"), (None, 1, None, None)]
+    made = chat.digests(chat.render(chat.fold(chat.logged(chat.numbered(spark.createDataFrame(rows, TURNS)))))).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in made} == {2**53: (1, 0), 2**53 + 1: (1, 0), None: (2, 1)}
+
+
 def test_rows_that_tie_or_lack_a_turn_are_turns_of_their_own(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, None, "user", "z"), (1, None, None, None), (2, 5000, "user", ""), (2, 3, "assistant", None), (None, 1, "user", "n")]
     df = spark.createDataFrame(rows, TURNS)
     want = defaultdict(list)
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or "")):
         want[conv].append((role or "", text or ""))
-    made = chat.digests(chat.render(chat.fold(chat.logged(chat.numbered(df, block=2)), block=2), block=2)).collect()
+    made = chat.digests(chat.render(chat.fold(chat.logged(chat.numbered(df, ranges=3)), block=2), block=2)).collect()
     assert {r["conv_id"]: r["n_turns"] for r in made} == {c: len(t) for c, t in want.items()}
     for r in made:
         turns = want[r["conv_id"]]
@@ -100,8 +106,54 @@ def test_fingerprints_are_the_majority_of_shingle_hashes(spark):
     assert {i: c for i, (_, c) in got.items()} == {i: top(i) for i in want}
 
 
+def test_rows_that_share_an_id_are_linked_by_their_texts_alone(spark):
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven", "twelve thirteen fourteen", "fifteen sixteen seventeen eighteen")
+    rows = [(1, a), (5, a), (1, b), (9, b), (0, c), (0, d), (4, d), (None, a)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3).collect()
+    where = {x: simhash._fingerprint(x, 3, 42) for x in (a, b, c, d)}
+    assert min(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in itertools.combinations(where.values(), 2)) > 2
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in got) == sorted([(False, 1, 1), (False, 5, 1), (True, 0, 1), (False, 1, 1), (False, 9, 1), (False, 0, 0), (False, 0, 0), (False, 4, 0)])
+    assert {(r["fingerprint"], r["component_id"]) for r in got} == {(f"{where[x] & (1 << 64) - 1:016x}", k) for x, k in ((a, 1), (b, 1), (c, 0), (d, 0))}
+
+
 # op3 and op8
 
+def test_rows_of_one_id_that_are_queries_have_results_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(40, 4)), 2)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(0, (v[0] + 3).tolist()), (0, (v[0] + 3).tolist()), (20, v[20].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vec, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    for made, x in ((pivots.search(df, every=20, k=5, pivots=4, sample=20, block_rows=16, chunk_rows=2), np.floor(vec * 256)), (ann.search(df, every=20, k=5, sample=40, leaf=8, recall=1.0), vec)):
+        got = sorted((r["query_id"], r["rank"], round(r["score"], 6)) for r in made.collect())
+        want = []
+        for q in np.flatnonzero(ids % 20 == 0):
+            s = np.delete(x @ x[q], q)
+            want += [(int(ids[q]), k + 1, round(float(y), 6)) for k, y in enumerate(np.sort(s)[::-1][:5])]
+        assert got == sorted(want)
+
+
+@pytest.mark.parametrize("size", [2.0**12, 2.0**20, 2.0**22.4])
+def test_scores_are_exact_at_any_size_that_a_long_holds(spark, size):
+    rng = np.random.default_rng(4)
+    v = rng.uniform(-size, size, size=(90, 4))
+    v[60:] = np.nextafter(v[:30], np.inf)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in pivots.search(df, every=9, k=5, pivots=5, sample=50, block_rows=16, chunk_rows=4).collect()}
+    whole = [[math.floor(256 * y) for y in x] for x in v]
+    for q in range(0, 90, 9):
+        order = sorted((-sum(a * b for a, b in zip(whole[q], whole[k])), k) for k in range(90) if k != q)
+        assert [got[q, r + 1] for r in range(5)] == [(k, -s) for s, k in order[:5]]
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    df = spark.createDataFrame([(k, [2.0**30 + k, 2.0**30]) for k in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        pivots.search(df, every=1, k=2).collect()
+    with pytest.raises(Exception, match="beyond a long"):
+        pivots.search(spark.createDataFrame([(0, [1e200]), (1, [0.0])], "vec_id long, embedding array<double>"), every=1, k=2).collect()
+
+
 def test_searches_with_ties_repeats_and_clashing_names(spark):
     rng = np.random.default_rng(11)
     v = np.round(rng.normal(size=(300, 6)), 1)
