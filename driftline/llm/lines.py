@@ -4,19 +4,25 @@ A text's lines are hashed; a rolling hash over the last few line hashes ends a
 chunk wherever it falls into one of modulus classes, so boundaries depend on
 nearby content alone and survive shifts. Chunks of two lines or more that occur
 again anywhere are removed but for their first occurrence (smallest id, then
-place). Chunks are the same if the SHA-256 digests of their bytes are.
-
-Chunks see a passage only where boundaries fall inside it. Without a modulus
-(modulus=None) there are no boundaries: every two neighbouring lines are a chunk,
-and those met again join to runs where they overlap. So every repeated run of two
-lines or more goes, from its first line to its last, whatever is around it; of
-each line's text the first occurrence stays. The queries use this.
-
-Scale: a digest and a place move for each chunk, and each text once, to be
-rewritten. A
-chunk in a third of all documents is summed up before it is shuffled, and the
-join that tells its occurrences which is the first has one row a chunk on the
-other side, cut off as a durable table so that Spark may split the crowded key.
+place). Chunks are nominated by their SHA-256 digests; then the bytes of all that
+were nominated are compared.
+
+Chunks alone see a passage only where boundaries fall inside it. With grow, a
+chunk takes in the first line of the next one, so that every two neighbouring
+lines are in one chunk, and matches are grown line by line: of the chunks met for
+the first time, every two neighbouring lines are looked up too, in all others.
+Those met again join to runs where they overlap. So every repeated run of two lines
+or more goes, from its first line to its last, whatever is around it; of each
+line's text the first occurrence stays. Copies of chunks go whole, without their
+lines being looked at. The queries use this. modulus=None has no boundaries: every
+two neighbouring lines are looked up, with the same result.
+
+Scale: a digest and a place move for each chunk, and of texts those that hold
+nominated chunks; each text once more, to be rewritten. A chunk in a third of all
+documents is summed up before it is shuffled, its bytes too, and the join that
+tells its occurrences which is the first has one row a chunk on the other side,
+cut off as a table so that Spark may split the crowded key. Should two different
+chunks have one digest, occurrences are matched by their bytes instead.
 
 Edge cases: null texts stay null; empty texts and texts of one line stay as they
 are; chunks (or runs) without a word character are never removed. Rows that agree in id
@@ -34,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import durable, ship
+from driftline.session import ship, table
 
 
-def _parts(lines: list[str], window: int, modulus: int | None) -> list[tuple[int, int]]:
-    """The chunks by boundaries, or every two neighbouring lines."""
+def _parts(lines: list[str], window: int, modulus: int | None, grow: bool) -> list[tuple[int, int]]:
+    """The chunks by boundaries, with grow each with the next one's first line; or every two neighbouring lines."""
     if len(lines) < 2:
         return []
-    return [(a, a + 2) for a in range(len(lines) - 1)] if modulus is None else _cut(lines, window, modulus)
+    if modulus is None:
+        return [(a, a + 2) for a in range(len(lines) - 1)]
+    return [(a, min(b + grow, len(lines))) for a, b in _cut(lines, window, modulus) if min(b + grow, len(lines)) - a > 1]
 
 
 def cut(text: str, window: int = 2, modulus: int = 4) -> list[tuple[int, int]]:
@@ -68,44 +76,61 @@ def _cut(lines: list[str], window: int, modulus: int) -> list[tuple[int, int]]:
     return out
 
 
-def _chunks(text: Column, window: int, modulus: int | None) -> Column:
-    """The chunks of a text that could be removed: their first line and digest."""
+def _chunks(text: Column, window: int, modulus: int | None, grow: bool, digest_size: int) -> Column:
+    """The chunks of a text that could be removed: first line, number of lines, digest; with grow also the digests of its neighbouring lines."""
 
-    @F.arrow_udf("array<struct<place:int,digest:binary>>")
+    @F.arrow_udf("array<struct<place:int,size:int,digest:binary,pairs:array<binary>>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from hashlib import sha256
 
         import regex
 
         word = regex.compile(r"\w").search
-        kind = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.binary())]))
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("size", pa.int32()), ("digest", pa.binary()), ("pairs", pa.list_(pa.binary()))]))
+        digest = lambda part: sha256("\n".join(part).encode()).digest()[:digest_size]
         for texts in batches:
             out = []
             for t in texts:
                 lines, found = (t.as_py() or "").split("\n"), []
-                for a, b in _parts(lines, window, modulus):
-                    body = "\n".join(lines[a:b])
-                    if b - a > 1 and (modulus is None or word(body)):
-                        found.append({"place": a, "digest": sha256(body.encode()).digest()})
+                for a, b in _parts(lines, window, modulus, grow):
+                    if modulus is None or grow or word("\n".join(lines[a:b])):
+                        pairs = [digest(lines[k : k + 2]) for k in range(a, b - 1)] if grow and b - a > 2 else []
+                        found.append({"place": a, "size": b - a, "digest": digest(lines[a:b]), "pairs": pairs})
                 out.append(found)
             yield pa.array(out, kind)
 
     return made(text)
 
 
-def runs(places: list[int]) -> list[tuple[int, int]]:
-    """(start, end) of the runs of lines that pairs beginning at the places make; pairs that share a line are one run."""
+def _bodies(text: Column, spans: Column) -> Column:
+    """(place, size, digest, body) of the spans of lines of a text."""
+
+    @F.arrow_udf("array<struct<place:int,size:int,digest:binary,body:string>>")
+    def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("size", pa.int32()), ("digest", pa.binary()), ("body", pa.string())]))
+        for texts, which in batches:
+            out = []
+            for t, spans in zip(texts, which):
+                lines = t.as_py().split("\n")
+                out.append([s | {"body": "\n".join(lines[s["place"] : s["place"] + s["size"]])} for s in spans.as_py()])
+            yield pa.array(out, kind)
+
+    return made(text, spans)
+
+
+def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of lines that the spans make; spans that share a line are one run."""
     out: list[tuple[int, int]] = []
-    for a in sorted(places):
+    for a, b in sorted(spans):
         if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], a + 2)
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append((a, a + 2))
+            out.append((a, b))
     return out
 
 
-def _without(text: Column, places: Column, window: int, modulus: int | None) -> Column:
-    """A text without the chunks that begin at the given lines, and how many chunks (or runs) went."""
+def _without(text: Column, places: Column, joined: bool) -> Column:
+    """A text without the given spans of lines, and how many (or, joined, how many runs of them) went."""
 
     @F.arrow_udf("struct<text:string,removed:int>")
     def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -115,16 +140,13 @@ def _without(text: Column, places: Column, window: int, modulus: int | None) ->
         for texts, gone in batches:
             out, counts = [], []
             for t, g in zip(texts, gone):
-                t, g = t.as_py(), set(g.as_py() or ())
+                t, g = t.as_py(), {(s["place"], s["place"] + s["size"]) for s in g.as_py() or ()}
                 if t is None or not g:
                     out.append(t)
                     counts.append(0)
                     continue
                 lines = t.split("\n")
-                if modulus is None:
-                    spans = [(a, b) for a, b in runs(list(g)) if word("\n".join(lines[a:b]))]
-                else:
-                    spans = [(a, b) for a, b in _cut(lines, window, modulus) if a in g]
+                spans = [(a, b) for a, b in runs(list(g)) if word("\n".join(lines[a:b]))] if joined else sorted(g)
                 off = {i for a, b in spans for i in range(a, b)}
                 out.append("\n".join(line for i, line in enumerate(lines) if i not in off))
                 counts.append(len(spans))
@@ -133,22 +155,51 @@ def _without(text: Column, places: Column, window: int, modulus: int | None) ->
     return made(text, places)
 
 
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4) -> DataFrame:
-    """(id, mark, place) of every chunk to be removed; mark is a hash of the text, so that id and mark name a row."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("text is not null")
-    met = durable(rows.select("id", "mark", F.explode(_chunks(F.col("text"), window, modulus)).alias("c")).select("id", "mark", "c.*"))
-    first = durable(met.groupBy("digest").agg(F.min(F.struct("id", "mark", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = met.join(first, "digest").where(~F.struct("id", "mark", "place").eqNullSafe(F.col("first")))
-    return later.select("id", "mark", "place")
+_WHO = ("id", "mark", "place")
+
 
+def _met_again(found: DataFrame) -> DataFrame:
+    """The spans (id, mark, place, size, digest) whose digest is met more than once, each with the first."""
+    first = table(found.groupBy("digest").agg(F.min(F.struct(*_WHO)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return found.join(first, "digest").select(*_WHO, "size", "digest", "first")
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4) -> DataFrame:
-    """docs with the repeated chunks (without a modulus, runs) taken out of their texts, and removed, how many."""
+
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4, grow: bool = False, digest_size: int = 32) -> DataFrame:
+    """(id, mark, place, size) of every span of lines to be removed; mark is a hash of the text, so that id and mark name a row."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("text is not null")
+    chunks = rows.select("id", "mark", F.explode(_chunks(F.col("text"), window, modulus, grow, digest_size)).alias("c")).select("id", "mark", "c.*")
+    chunks = table(chunks if grow else chunks.drop("pairs"))
+    later = ~F.struct(*_WHO).eqNullSafe(F.col("first"))
+    named = _met_again(chunks.select(*_WHO, "size", "digest"))
+    if grow:
+        named = table(named)
+        copies = named.where(later).select(*(F.col(c).alias(f"c_{c}") for c in _WHO))
+        same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")) & (F.col("place") == F.col("c_place"))
+        own = chunks.join(copies, same, "left_anti")
+        # A chunk of two lines has no other neighbours than those it is made of.
+        pairs = F.when(F.col("size") == 2, F.array("digest")).otherwise(F.col("pairs"))
+        inner = own.select("id", "mark", F.col("place").alias("at"), F.posexplode(pairs).alias("k", "digest")).select("id", "mark", (F.col("at") + F.col("k")).alias("place"), F.lit(2).alias("size"), "digest")
+        named = named.unionByName(_met_again(table(inner)))
+    named = table(named)
+    listed = named.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "size", "digest")).alias("spans")).withColumnsRenamed({"id": "l_id", "mark": "l_mark"})
+    texts = rows.join(listed, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("mark") == F.col("l_mark")))
+    bodies = texts.select("id", "mark", F.explode(_bodies(F.col("text"), F.col("spans"))).alias("b")).select("id", "mark", "b.*")
+    different = table(bodies.groupBy("digest", "body").count().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    if different.isEmpty():
+        return named.where(later).select(*_WHO, "size")
+    if grow:  # what copies hold was not looked at, on the word of their digests
+        return repeated(docs, id, text, modulus=None, digest_size=digest_size)
+    first = table(bodies.groupBy("digest", "body").agg(F.min(F.struct(*_WHO)).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    return bodies.join(first, ["digest", "body"]).where(later).select(*_WHO, "size").distinct()
+
+
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4, grow: bool = False, digest_size: int = 32) -> DataFrame:
+    """docs with the repeated chunks (with grow, or without a modulus, runs) taken out of their texts, and removed, how many."""
     docs = docs.drop("places", "gone_id", "gone_mark", "removed")
-    gone = repeated(docs, id, text, window, modulus).groupBy("id", "mark").agg(F.collect_set("place").alias("places"))
-    gone = durable(gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "places"))
+    gone = repeated(docs, id, text, window, modulus, grow, digest_size).groupBy("id", "mark").agg(F.collect_set(F.struct("place", "size")).alias("places"))
+    gone = table(gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "places"))
     same = docs[id].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_mark"))
     joined = docs.join(gone, same, "left").drop("gone_id", "gone_mark")
-    rewritten = joined.withColumn("places", _without(F.col(text), F.col("places"), window, modulus))
+    rewritten = joined.withColumn("places", _without(F.col(text), F.col("places"), grow or modulus is None))
     return rewritten.withColumn(text, F.col("places.text")).withColumn("removed", F.col("places.removed")).drop("places")

@@ -72,7 +72,7 @@ USING (page_id)
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text after line dedup, by length and digest, and the runs of lines taken out."""
-    out = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), modulus=None)
+    out = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), modulus=2, grow=True)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("removed").cast("long").alias("removed_chunks"), F.char_length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 

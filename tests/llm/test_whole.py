@@ -239,13 +239,24 @@ def without_repeats(rows):
     return out
 
 
-def test_line_dedup_is_its_definition(spark):
+@pytest.mark.parametrize("options", [{"modulus": None}, {"modulus": 2, "grow": True}, {"modulus": 5, "window": 3, "grow": True}, {"modulus": None, "digest_size": 1}, {"modulus": 2, "grow": True, "digest_size": 1}])
+def test_line_dedup_is_its_definition(spark, options):
     rng = np.random.default_rng(14)
     rows = [(i, "\n".join(rng.choice(["a", "b", "", "-", "c d", "e"], int(rng.integers(1, 9))))) for i in range(120)]
-    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame([(*r, "s") for r in rows], DOCS), modulus=None).collect()}
+    rows += [(200 + k, "\n".join(f"line {j} {j * j}" for j in range(3 * k, 40 + k))) for k in range(8)] + [(300, "same\n" * 30)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame([(*r, "s") for r in rows], DOCS), **options).collect()}
     assert got == without_repeats(rows)
 
 
+def test_copies_of_chunks_go_without_a_look_at_their_lines(spark):
+    text = "\n".join(f"line {j} {j * j}" for j in range(400))
+    docs = spark.createDataFrame([(k, text, "s") for k in range(50)] + [(None, text, "s"), (7, text, "s")], DOCS)
+    gone = lines.repeated(docs, modulus=2, grow=True).collect()
+    assert len(gone) == 51 * len([1 for a, b in lines._cut(text.split("\n"), 2, 2) if min(b + 1, 400) - a > 1])
+    left = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in lines.dedup(docs, modulus=2, grow=True).collect())
+    assert left[0] == (False, 0, text) and {x for *_, x in left[1:]} == {""}
+
+
 # op6
 
 def spans_of(rows, length, within=False):
