@@ -24,7 +24,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without globally repeated runs of two lines or more; one whose whole text was a repetition goes."""
-    out = lines.dedup(docs, modulus=None)
+    out = lines.dedup(docs, modulus=2, grow=True)
     left = (F.col("removed") == 0) | F.col("text").rlike(r"\S")
     return out.where(F.col("text").isNull() | left).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
