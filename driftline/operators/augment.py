@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.session import ship
-
 def boundary_cuts(panel: DataFrame, cuts: int = 3, least: int = 60, margin: int = 20) -> DataFrame:
     """Pseudo-series whose history reaches further: (id, cut, time, value, period, step, target).
 
@@ -48,7 +44,7 @@ def standardised(series: Column) -> Column:
 
 
 def backward(panel: DataFrame) -> DataFrame:
-    """Each series whose break lets it, with the border moved back: the last quarter of the history goes online, under another id."""
+    """Every series with the border moved back, under another id: the last quarter of its history goes online, breaks stay where they are in time."""
     moved = panel.withColumn("id", F.lit(300000) + F.col("id")).withColumn("lead", F.floor(F.col("hist_len") / 4))
     moved = moved.withColumn("hist_len", F.col("hist_len") - F.col("lead")).withColumn("onl_len", F.col("onl_len") + F.col("lead")).withColumn("step", F.col("time") - F.col("hist_len"))
     return moved.withColumn("period", F.when(F.col("step") < 0, 1).otherwise(2)).drop("lead")
@@ -59,49 +55,3 @@ def sampled_steps(online: DataFrame, target: int = 60) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("id"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda k: F.floor(F.pow(n.cast("double"), k / float(target - 1)) + 1e-9) - 1)
     return online.withColumn("keep", (n <= target) | F.array_contains(grid, F.col("step"))).where("keep").drop("keep")
-
-
-def generated(spark: SparkSession, series: int, seed: int = 0, history: tuple[int, int] = (1000, 5000), online: tuple[int, int] = (10, 999), burn: int = 200) -> DataFrame:
-    """A panel of made-up series (id, time, value, period, step, target): autoregressive moving averages, some with changing volatility,
-    half of them with a break of scale, of dependence or of level.
-
-    A series is drawn from the seed and its own number, so any task makes any
-    series, and the same ones each time.
-    """
-    ship(spark)
-
-    def one(number: int) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, number])
-        h, o = int(rng.integers(history[0], history[1] + 1)), int(rng.integers(online[0], online[1] + 1))
-        n, broken = burn + h + o, bool(rng.random() < 0.5)
-        tau = int(rng.integers(0, o)) if broken else o
-        first = burn + h + tau
-        kind = rng.choice(["scale", "dependence", "level"]) if broken else ""
-        phi, theta = rng.uniform(-0.7, 0.7), rng.uniform(-0.5, 0.5)
-        heavy = rng.random() < 0.4
-        e = rng.standard_t(5, n) / np.sqrt(5 / 3) if heavy else rng.standard_normal(n)
-        if rng.random() < 0.3:
-            alpha, beta, s2 = rng.uniform(0.03, 0.15), rng.uniform(0.6, 0.8), 1.0
-            for t in range(n):
-                e[t] *= np.sqrt(s2)
-                s2 = (1 - alpha - beta) + alpha * e[t] ** 2 + beta * s2
-        if kind == "scale":
-            e[first:] *= 2 ** (rng.exponential(0.6) * rng.choice([-1, 1]))
-        later = float(np.clip(phi + rng.normal(0, 0.5), -0.95, 0.95)) if kind == "dependence" else phi
-        x, before = np.empty(n), 0.0
-        for t in range(n):
-            before = (later if t >= first else phi) * before + e[t] + (theta * e[t - 1] if t else 0.0)
-            x[t] = before
-        if kind == "level":
-            x[first:] += rng.choice([-1, 1]) * rng.uniform(0.2, 1.0) * x[burn : burn + h].std()
-        x = x[burn:]
-        x = (x - x[:h].mean()) / x[:h].std()
-        time = np.arange(h + o)
-        return pd.DataFrame({"id": number, "time": time, "value": x, "hist_len": h, "onl_len": o, "period": np.where(time < h, 1, 2), "step": time - h, "target": (time - h >= tau).astype("int64")})
-
-    def made(batches):
-        for b in batches:
-            for number in b["id"].tolist():
-                yield one(number)
-
-    return spark.range(series).mapInPandas(made, "id long, time long, value double, hist_len long, onl_len long, period int, step long, target int")

@@ -135,6 +135,28 @@ def mass(windows: tuple[int, ...] = MASS_WINDOWS, shapes: bool = False) -> Famil
     return [*standardised(), {"zc": upto("sum(z)")}, *reps, sums, spread, outs], list(outs)
 
 
+#: Fixed values of the mass battery against what came before its windows: the reference's memory, and the step from which on it is used.
+LAGGED_MEMORY, LAGGED_FROM = 500, 25
+
+
+def mass_lagged(windows: tuple[int, ...] = MASS_WINDOWS) -> Family:
+    """The mass battery against the online part itself: a long exponential mean and variance, begun from the history's, which each window reads
+    as it was a window ago; before step LAGGED_FROM the history's own. 90 channels. Fits: moments, mass_reference."""
+    stages, _ = mass(windows)
+    *before, sums, spread, outs = stages
+    keep = d(1 - 1 / LAGGED_MEMORY)
+    sums = sums | {f"l{n}_{k}": ewma(" * ".join([f"r_{k}"] * n), 1 / LAGGED_MEMORY) for k in _REPS for n in (1, 2)}
+    begun = {f"b{n}_{k}": f"l{n}_{k} + power({keep}, step + 1) * {at}" for k in _REPS for n, at in ((1, f"h1_{k}"), (2, f"(h2_{k} + h1_{k} * h1_{k})"))}
+    each = [(k, w) for k in _REPS for w in windows]
+    late = {f"f{n}_{k}{w}": f"coalesce({lag(f'b{n}_{k}', w + 1)}, {at})" for k, w in each for n, at in ((1, f"h1_{k}"), (2, f"h2_{k} + h1_{k} * h1_{k}"))}
+    used = {f"fm_{k}{w}": f"CASE WHEN step >= {LAGGED_FROM} THEN f1_{k}{w} ELSE h1_{k} END" for k, w in each}
+    used |= {f"fv_{k}{w}": f"CASE WHEN step >= {LAGGED_FROM} THEN greatest(f2_{k}{w} - f1_{k}{w} * f1_{k}{w}, {d(1e-9)}) ELSE h2_{k} END" for k, w in each}
+    made = {f"lgap_{k}{w}": clip(f"(m1_{k}{w} - fm_{k}{w}) / sqrt(fv_{k}{w} / {w})", -20, 20) for k, w in each}
+    made |= {f"llvr_{k}{w}": clip(f"ln(v_{k}{w} / fv_{k}{w})", -20, 20) for k, w in each}
+    made |= {c: e for c, e in outs.items() if c.startswith("exc")}
+    return [*before, sums, spread | begun, late, used, made], list(made)
+
+
 def rolling_acf(lags: tuple[int, ...] = (1, 2, 5, 10), windows: tuple[int, ...] = (50, 200)) -> Family:
     """Exponential autocorrelations less the history's: 8 channels. Fits: moments, acf_reference (hacf_k, and the history's last ten as tail_1..10)."""
     shifted: Stage = {}

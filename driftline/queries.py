@@ -65,6 +65,7 @@ FAMILIES = {
     "channels_monitor": (families.monitor(), fits.trend, fits.TREND_SQL),
     "channels_multiscale": (families.multiscale(), fits.trend, fits.TREND_SQL),
     "channels_mass": (families.mass(), fits.mass_reference, fits.MASS_REFERENCE_SQL),
+    "channels_mass_lagged": (families.mass_lagged(), fits.mass_reference, fits.MASS_REFERENCE_SQL),
     "channels_acf": (families.rolling_acf(), fits.acf_reference, fits.ACF_REFERENCE_SQL),
     "channels_acf_wide": (families.rolling_acf(families.WIDE_LAGS, families.WIDE_WINDOWS), lambda p: fits.acf_reference(p, families.WIDE_LAGS), fits.acf_reference_sql(families.WIDE_LAGS)),
     "channels_glr": (families.glr(), fits.moments, fits.MOMENTS_SQL),

@@ -395,9 +395,6 @@ labelled AS (SELECT *, CASE WHEN tau IS NULL OR start + 128 <= tau THEN 0 WHEN (
 rows_ AS (SELECT l.id, l.start, l.label, p.value, avg(p.value) OVER w AS m, stddev_pop(p.value) OVER w AS s FROM labelled l JOIN panel p ON p.id = l.id AND p.period = 2 AND p.step >= l.start AND p.step < l.start + 128 WHERE l.label IS NOT NULL WINDOW w AS (PARTITION BY l.id, l.start))
 SELECT id, start, label, round(sum(power((value - m) / s, 3)), 4) + 0.0 AS third FROM rows_ GROUP BY 1, 2, 3"""
 
-QUERIES["generated_panel"] = lambda spark, d: augment.generated(spark, 40, history=(300, 500), online=(10, 200))
-
-
 # Learners
 
 def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:

@@ -170,16 +170,79 @@ def test_separation_sees_what_labels_say(spark):
     assert got["given"] > 0.8 and 0.35 < got["permuted"] < 0.65
 
 
-def test_made_up_panels_are_the_same_each_time(spark):
-    made = [augment.generated(spark, 6, seed=3, history=(100, 200), online=(10, 60)).orderBy("id", "time").collect() for _ in range(2)]
-    assert made[0] == made[1] and {r["id"] for r in made[0]} == set(range(6))
-    for i in range(6):
-        rows = [r for r in made[0] if r["id"] == i]
-        h = np.array([r["value"] for r in rows if r["period"] == 1])
-        assert len(h) == rows[0]["hist_len"] and abs(h.mean()) < 1e-9 and abs(h.std() - 1) < 1e-9
-        marks = [r["target"] for r in rows if r["period"] == 2]
-        assert len(marks) == rows[0]["onl_len"] and marks == sorted(marks) and not any(r["target"] for r in rows if r["period"] == 1)
-    assert 0 < len({r["id"] for r in made[0] if r["target"]}) < 7
+def test_first_order_moving_average_and_volatility_are_the_best_of_a_fine_grid():
+    x = arma(11, 900, theta=0.45)
+    theta, var = dynamics.moving_average(x)
+
+    def spread(t):
+        e, out = 0.0, []
+        for v in x:
+            e = v - t * e
+            out.append(e)
+        return np.var(out[20:])
+
+    assert var == pytest.approx(spread(theta), rel=1e-9) and var <= min(spread(t) for t in np.linspace(-0.95, 0.95, 381)) * (1 + 1e-7)
+    assert abs(dynamics.moving_average(np.random.default_rng(0).normal(size=900))[0]) < 0.1 and abs(dynamics.moving_average(np.cumsum(x))[0]) < 1
+    e, s2 = np.random.default_rng(12).normal(size=1500), 1.0
+    for t in range(1500):
+        e[t] *= math.sqrt(s2)
+        s2 = 0.1 + 0.15 * e[t] ** 2 + 0.75 * s2
+    alpha, beta, gain = dynamics.volatility(e)
+
+    def cost(a, b):
+        v = np.mean(e**2) + 1e-12
+        s, total = (1 - a - b) * v / (1 - b), 0.0
+        for k in range(len(e)):
+            s = (1 - a - b) * v + a * (e[k - 1] ** 2 if k else v) + b * s
+            total += 0.5 * (math.log(s) + e[k] ** 2 / s)
+        return total
+
+    flat = cost(0.0, 0.0)
+    assert gain == pytest.approx(flat - cost(alpha, beta), abs=1e-6)
+    assert gain >= max(flat - cost(a, b) for a in np.arange(0.02, 0.5, 0.06) for b in np.arange(0, 0.95, 0.05) if a + b < 0.999) - 1e-6
+
+
+def test_statistics_of_processes_by_definition():
+    rng = np.random.default_rng(21)
+    x = rng.integers(0, 6, 200).astype(float)
+    assert dynamics.midranks(x) == pytest.approx([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+    y = np.concatenate([rng.normal(0, 1, 30), rng.normal(6, 1, 12)])
+    s = np.sort(y)
+    j = min(range(2, 40), key=lambda k: s[:k].var() * k + s[k:].var() * (42 - k))
+    left = math.sqrt((s[:j].var() * j + s[j:].var() * (42 - j)) / 42)
+    assert dynamics.two_levels(y) == pytest.approx(((s[j:].mean() - s[:j].mean()) / left, 1 - j / 42)) and j == 30
+    assert dynamics.bimodality(y) > 5 / 9 > dynamics.bimodality(rng.normal(size=400))
+    wave = np.sin(2 * np.pi * np.arange(240) / 12) + 0.3 * rng.normal(size=240)
+    g, logp, period, share = dynamics.highest_peak(wave)
+    power = [abs(sum(v * np.exp(-2j * np.pi * k * t / 240) for t, v in enumerate(wave - wave.mean()))) ** 2 for k in range(1, 120)]
+    assert g == pytest.approx(max(power) / sum(power)) and period == 12 and logp == pytest.approx(math.log10(119) + 118 * math.log10(1 - g))
+    assert share == pytest.approx(sum(power[17:22]) / sum(power[0:40]))
+    known = dynamics._t_ratios()
+    two = lambda p: (2 * p - 1) / math.sqrt(2 * p * (1 - p))  # noqa: E731  the quantile of Student's t of two degrees
+    assert np.interp(0.5, *known) == pytest.approx(two(0.99) / two(0.75), rel=2e-3)
+    assert dynamics.tail_freedom(np.array([two(p) for p in (np.arange(20000) + 0.5) / 20000]), known) == pytest.approx(2, rel=0.02)
+    assert dynamics.tail_freedom(rng.uniform(size=500), known) == 1e6
+    signs = np.sign(wave)
+    n, a = 240, int((signs > 0).sum())
+    mean = 1 + 2 * a * (n - a) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    assert dynamics.runs_score(wave) == pytest.approx((1 + (signs[1:] != signs[:-1]).sum() - mean) / math.sqrt(var))
+
+
+def test_kinds_of_volatility_are_told_apart_after_standardising(spark):
+    rng = np.random.default_rng(31)
+    calm = np.repeat(rng.permutation([0.4, 3.0] * 10), 150)[:3000] * rng.normal(size=3000)
+    garch, s2 = rng.normal(size=3000), 1.0
+    for t in range(3000):
+        garch[t] *= math.sqrt(s2)
+        s2 = 0.05 + 0.25 * garch[t] ** 2 + 0.7 * s2
+    series = {1: rng.normal(size=3000), 2: calm, 3: garch}
+    rows = [(i, t, float(v), 1, t - 3000) for i, x in series.items() for t, v in enumerate(x)]
+    made = dynamics.dynamics(spark.createDataFrame(rows, "id long, time long, value double, period int, step long")).cache()
+    kinds, by = {r["id"]: r for r in dynamics.kinds(made).collect()}, {r["id"]: r for r in made.collect()}
+    assert [kinds[i]["volatility"] for i in (1, 2, 3)] == ["const", "regime", "clustered"]
+    assert by[3]["white_kurt"] < by[3]["res_kurt"] / 2 and kinds[3]["innovation"] in ("gauss", "t10-30") and by[1]["white_kurt"] == by[1]["res_kurt"]
+    assert by[2]["variance_gap"] > by[1]["variance_gap"] and abs(by[2]["variance_high_share"] - 0.5) < 0.15
 
 
 def test_sampled_steps_and_ordered_windows(spark):

@@ -171,6 +171,27 @@ def test_wide_mass_battery(whole, data):
     assert np.allclose(got["exc2_500"], smoothed((abs(zo) > np.quantile(abs(zh), 0.95)).astype(float), 1 / 500) - 0.05, atol=1e-9)
 
 
+def test_mass_against_what_came_before_its_windows(whole, data):
+    zh, zo = z_of(data)
+    stages, names = families.mass_lagged()
+    assert len(names) == 90
+    some = ["lgap_z10", "lgap_a50", "lgap_c250", "llvr_z500", "llvr_d25", "lgap_s100", "exc1_10"]
+    got = columns(rendered(online(whole, fits.mass_reference(whole)), stages), some)
+    reps = {"z": (zh, zo), "a": (abs(zh), abs(zo)), "d": (np.diff(zh, prepend=zh[0]), np.diff(np.concatenate([zh[-1:], zo]))), "s": (np.sign(zh), np.sign(zo)), "c": (np.zeros_like(zh), np.cumsum(zo) / np.sqrt(np.arange(1, len(zo) + 1)))}
+    for name in some[:-1]:
+        kind, k, w = name[:4], name.split("_")[1][0], int(name.split("_")[1][1:])
+        h, x = reps[k]
+        hm, hv = h.mean(), h.var() + 1e-9
+        one, two, r1, r2 = 0.0, 0.0, hm, hv + hm * hm
+        for t, v in enumerate(x):
+            one, two = one + (v - one) / w, two + (v * v - two) / w
+            m, s = (r1, max(r2 - r1 * r1, 1e-9)) if t >= 25 else (hm, hv)
+            want = (one - m) / math.sqrt(s / w) if kind == "lgap" else math.log(max(two - one * one, 1e-9) / s)
+            assert got[name][t] == pytest.approx(np.clip(want, -20, 20), abs=1e-5), (name, t)
+            if t >= w:
+                r1, r2 = r1 + (x[t - w] - r1) / 500, r2 + (x[t - w] ** 2 - r2) / 500
+
+
 def test_divergences_against_counts(whole, data):
     h, o = data
     stages, names = forensics.divergences()
