@@ -17,6 +17,7 @@ from driftline.session import durable, shared_folder
 from driftline.sources import files
 from driftline.streaming import families as streaming
 from driftline.streaming import jobs
+from driftline.streaming import white as white_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,6 +228,7 @@ QUERIES["channels_joint"] = lambda spark, d: joint(lineitem_panel(spark, d))
 QUERIES["white_student"] = lambda spark, d: white(lineitem_panel(spark, d), innovations.student_scores)
 QUERIES["white_asinh"] = lambda spark, d: white(views.compressed(lineitem_panel(spark, d)))
 QUERIES["white_stream"] = lambda spark, d: innovations.inputs(innovations.streams(lineitem_panel(spark, d)))
+QUERIES["stream_white"] = lambda spark, d: white_stream.replay(lineitem_panel(spark, d).select("id", "time", "value", "hist_len"))
 QUERIES["white_calibrated"] = lambda spark, d: innovations.calibrated(durable(innovations.streams(lineitem_panel(spark, d), tail=100_000)))
 
 
