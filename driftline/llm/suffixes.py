@@ -1,30 +1,39 @@
-"""Repeated passages by anchored windows of words.
-
-The anchor of a window of length words is the minimiser among its grams of
-words: the gram with the smallest hash, the leftmost in a tie. It is chosen by
-the window's content alone, so it stands at the same place wherever the window
-occurs. Grams that anchor windows of different texts are found first; then the
-windows they anchor are keyed, each by its anchor's gram, its place in the
-window and a hash of the window. A window whose key is met in another document
-is a span; spans are joined. As each window of a shared passage has a key of its
-own, no passage of length words or more is missed, however many documents share
-its gram, and each is found to the word.
+"""Repeated passages by a sparse suffix array.
+
+Of a text's suffixes those are kept that begin at anchors. The anchor of a window
+of length words is the minimiser among its grams of words: the gram with the
+smallest hash, the leftmost in a tie. It is chosen by the window's content alone,
+so it stands at the same place wherever the window occurs, and a window is its
+anchor's suffix so far to the right and its context so far to the left.
+
+Suffixes whose gram begins suffixes of other texts are sorted by what follows, as
+far as a window reaches, and ranges of them are read in order. A suffix has its
+longest common prefix with one of its neighbours; windows that reach farther right
+are met nowhere and are dropped. The others are extended to the left: runs of
+neighbours whose windows are the same are found by hashes of the windows. A run over
+two documents is a match of all its members. What a neighbour does not settle (same
+words to the right, others to the left in between; ends of ranges) is looked up among
+all runs: each run names its window once. As each window of a shared passage is
+looked at, no passage of length words or more is missed, however many documents
+share its gram, and each is found to the word.
 
 Rows with equal texts are one text with a range of ids: it is keyed once,
 however many copies it has, and if these have different ids all of it is one
 span.
 
 Scale: the first pass moves a hash for one word in twenty; texts with an anchor
-met again move once to be keyed, one key (of 128 bits) for a word near such a
-gram. Keys are summed up before they are shuffled and kept as a table, and the
-join that tells the occurrences which keys are repeated has one row a key on the
-other side, so Spark may split a crowded key. No pair of occurrences is made.
+met again move once, to make a row of fixed size of each such suffix (one word in
+twenty again). Rows are dealt by ranges of the sort key with the place in the text
+as its end, so a suffix that a third of all documents have is many ranges; a
+range is read in blocks. A run names a window once, whatever its length, and names
+are summed up before they are shuffled and kept as a table, so Spark may split a
+crowded one. No pair of occurrences is made.
 
 Edge cases: null and empty texts, and texts of fewer than length words, have no
 spans. Words are what stands between white space (x20, x09-x0D). Rows that agree
 in id and text are one occurrence. Only passages shared by different ids count,
-unless within is set. Texts are equal by two 64-bit hashes. Other columns are
-dropped.
+unless within is set. Texts are equal by two 64-bit hashes, windows by two. Other
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -100,24 +109,95 @@ def windows(h, starts, length: int):
     return rolled ^ rolled >> np.uint64(29)
 
 
-def _keyed(gram: int, length: int, rows: int = 65536):
-    """(gram, window hash with the anchor's place in it) of the windows of each text whose anchor is met again."""
+_SUFFIX = "gram long, after binary, left long, windows binary, low long, high long, one long, two long, place int"
+_NAMES = [c.split()[0] for c in _SUFFIX.split(", ")]
+
+
+def _suffixes(gram: int, length: int, rows: int = 8192):
+    """A row for each suffix of a text whose gram is met again: 16 bits of each word that follows the gram, the hashes of the windows that
+    the suffix anchors by how far they reach left (0: not its own), and a hash of them all."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        names = ["gram", "win", "low", "high", "one", "two", "start"]
+        run = length - gram + 1
         for b in batches:
             for k in range(b.num_rows):
                 low, high, one, two, text, met = (b.column(c)[k].as_py() for c in ("low", "high", "one", "two", "text", "met"))
                 h = _hashes(text.encode("utf-8").split())
                 places, grams = anchors(h, gram, length)
                 starts = np.flatnonzero(np.isin(grams, np.array(met, np.int64)))
-                for at in range(0, len(starts), rows):
-                    some = starts[at : at + rows]
-                    win = windows(h, some, length) + np.uint64(0x9E3779B97F4A7C15) * (places[some] - some).astype(np.uint64)
-                    cols = [grams[some], win.view(np.int64), *(np.full(len(some), x, np.int64) for x in (low, high, one, two))]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(some, pa.int32())], names)
+                short = np.concatenate([(h >> np.uint64(48)).astype(">u2"), np.zeros(length, ">u2")])
+                ends = np.flatnonzero(np.diff(places[starts], append=-1)) + 1  # windows of one anchor stand together
+                for at in range(0, len(ends), rows):
+                    first, last = (ends[at - 1] if at else 0), ends[min(at + rows, len(ends)) - 1]
+                    some = starts[first:last]
+                    win = windows(h, some, length) | np.uint64(1)
+                    anchor, nth = np.unique(places[some], return_inverse=True)
+                    table = np.zeros((len(anchor), run), np.uint64)
+                    table[nth, places[some] - some] = win
+                    after = np.lib.stride_tricks.sliding_window_view(short, length - gram)[anchor + gram]
+                    left = (table * np.arange(1, 2 * run, 2, dtype=np.uint64)).sum(axis=1).view(np.int64)
+                    known = grams[some][np.unique(nth, return_index=True)[1]]
+                    pack = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
+                    cols = [pa.array(known, pa.int64()), pack(after), pa.array(left, pa.int64()), pack(table), *(pa.array(np.full(len(anchor), x, np.int64)) for x in (low, high, one, two)), pa.array(anchor, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, _NAMES)
+
+    return made
+
+
+_MET = "settled boolean, gram long, win long, low long, high long, n long, one long, two long, start long, end long"
+
+
+def _neighbours(gram: int, length: int, within: bool, rows: int = 8192):
+    """Over suffixes in order: spans that neighbours settle, and windows to look up (a settled run names its window once)."""
+
+    def looked(b: pa.Table):
+        import numpy as np
+
+        run, n = length - gram + 1, b.num_rows
+        of = {c: b.column(c).to_numpy() for c in ("gram", "low", "high", "one", "two", "place")}
+        fixed = lambda c, kind, w: np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(n, w)
+        after, wins = fixed("after", ">u2", length - gram), fixed("windows", np.uint64, run)
+        same = of["gram"][1:] == of["gram"][:-1]
+        common = np.where(same, gram + np.cumprod(after[1:] == after[:-1], axis=1).sum(axis=1), 0)
+        # What is before the first and behind the last row is not known here.
+        reach = np.maximum(np.append(common, length), np.insert(common, 0, length))
+        own = (wins != 0) & (length - np.arange(run)[None] <= reach[:, None])
+        joined = np.zeros((n, run), bool)
+        joined[1:] = same[:, None] & (wins[1:] == wins[:-1]) & (wins[1:] != 0)
+        settled = np.zeros((n, run), bool)
+        out = []
+        for o in range(run):
+            if not own[:, o].any():
+                continue
+            heads = np.flatnonzero(~joined[:, o])
+            size = np.diff(heads, append=n)
+            low, high = np.minimum.reduceat(of["low"], heads), np.maximum.reduceat(of["high"], heads)
+            done = size > 1 if within else low < high
+            done &= wins[heads, o] != 0
+            settled[:, o] = np.repeat(done, size)
+            name = (wins[:, o] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(o)).view(np.int64)
+            for at, lo, hi, k, fixed_run in ((heads[done], low[done], high[done], size[done], True), *[(r := np.flatnonzero(own[:, o] & ~settled[:, o]), of["low"][r], of["high"][r], np.ones(len(r), np.int64), False)]):
+                start = of["place"][at].astype(np.int64) - o
+                out.append((np.full(len(at), fixed_run), of["gram"][at], name[at], lo, hi, k, of["one"][at], of["two"][at], start, start + length))
+        # Neighbouring windows of one suffix that are settled are one span.
+        rise = np.diff(np.pad(settled, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, near), (_, far) = np.nonzero(rise == 1), np.nonzero(rise == -1)
+        place, zero = of["place"][row].astype(np.int64), np.zeros(len(row), np.int64)
+        out.append((np.ones(len(row), bool), zero, zero, zero, zero, zero, of["one"][row], of["two"][row], place - far + 1, place - near + length))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], [c.split()[0] for c in _MET.split(", ")])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for b in batches:
+            held.append(b)
+            many += b.num_rows
+            if many >= rows:
+                yield looked(pa.Table.from_batches(held))
+                held, many = [], 0
+        if many:
+            yield looked(pa.Table.from_batches(held))
 
     return made
 
@@ -136,14 +216,14 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     again = table(again.where("n > 1" if within else "l < h and a < b").select("gram"))  # one text alone has its copies' span already
     met = table(first.join(again, "gram").groupBy("one", "two").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.collect_set("gram").alias("met")))
     sources = rows.join(met.withColumn("id", F.col("low")), ["one", "two", "id"])
-    keyed = table(sources.select("low", "high", "one", "two", "text", "met").mapInArrow(_keyed(gram, length), "gram long, win long, low long, high long, one long, two long, start int"))
-    if within:
-        who = F.struct("one", "two", "start")
-        ends = [F.min(who).alias("a"), F.max(who).alias("b")]
-    else:
-        ends = [F.min("low").alias("a"), F.max("high").alias("b")]
-    shared = table(keyed.groupBy("gram", "win").agg(*ends).where("a < b").select("gram", "win"))
-    spans = keyed.join(shared, ["gram", "win"]).select("one", "two", F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end"))
+    suffixes = sources.select("low", "high", "one", "two", "text", "met").mapInArrow(_suffixes(gram, length), _SUFFIX)
+    order = ["gram", "after", "left", "one", "two", "place"]
+    seen = table(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(gram, length, within), _MET))
+    named = seen.where("n > 0")
+    shared = named.groupBy("gram", "win").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.sum("n").alias("all"), F.count_if(~F.col("settled")).alias("open"))
+    shared = table(shared.where("open > 0").where("all > 1" if within else "a < b").select("gram", "win"))
+    late = named.where("not settled").join(shared, ["gram", "win"]).select("one", "two", "start", "end")
+    spans = seen.where("n = 0").select("one", "two", "start", "end").unionByName(late)
     held = found.select("id", "one", "two", "n").distinct()
     copied = held.join(texts.where("low < high"), ["one", "two"]).select("id", F.col("one").alias("mark"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     # Spans are joined by text before the copies' ids are put to them.
