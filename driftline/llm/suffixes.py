@@ -216,7 +216,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     again = table(again.where("n > 1" if within else "l < h and a < b").select("gram"))  # one text alone has its copies' span already
     met = table(first.join(again, "gram").groupBy("one", "two").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.collect_set("gram").alias("met")))
     sources = rows.join(met.withColumn("id", F.col("low")), ["one", "two", "id"])
-    suffixes = sources.select("low", "high", "one", "two", "text", "met").mapInArrow(_suffixes(gram, length), _SUFFIX)
+    suffixes = table(sources.select("low", "high", "one", "two", "text", "met").mapInArrow(_suffixes(gram, length), _SUFFIX))
     order = ["gram", "after", "left", "one", "two", "place"]
     seen = table(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(gram, length, within), _MET))
     named = seen.where("n > 0")
