@@ -90,8 +90,8 @@ def ranker(rows: DataFrame, names: list[str], n: int = 5) -> DataFrame:
 
 def rank_groups(rows: DataFrame, most: int = 8000, seed: int = 5) -> DataFrame:
     """rows with chunk: each step's rows dealt by a keyed hash to groups of about most, at most half as many again."""
-    n = F.count("*").over(Window.partitionBy("step"))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.ceil(n / most)).cast("int"))
+    sizes = rows.groupBy("step").agg(F.ceil(F.count("*") / most).alias("chunks"))
+    return rows.join(sizes, "step").withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("chunks")).cast("int")).drop("chunks")
 
 
 def bagged(rows: DataFrame, names: list[str], kind: str = "trees", bags: int = 3, n: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, dynamics, families, forensics, grouped, innovations, joined, learn, metrics, relational, retro, views
+from driftline.operators import augment, dynamics, families, forensics, grouped, innovations, joined, learn, metrics, ranking, relational, retro, views
 from driftline.plans import fits
 from driftline.plans.panel import PANEL_SQL, lineitem_panel, long_panel_sql, online
 from driftline.plans.staged import output, rendered, sql
@@ -414,6 +414,7 @@ def _learned(made: Callable[[DataFrame, list[str]], DataFrame], by: str | None =
 
 QUERIES["learn_holdout"] = lambda spark, d: learn.holdout(*_rows(spark, d))
 QUERIES["learn_ranker"] = _learned(learn.ranker, "fold")
+QUERIES["learn_listwise"] = _learned(ranking.listwise, "fold")
 QUERIES["learn_bagged"] = _learned(lambda r, n: learn.bagged(r, n, bags=2))
 QUERIES["learn_specialists"] = _learned(learn.specialists)
 QUERIES["learn_pruned"] = _learned(lambda r, n: learn.pruned(r, n, 6), "fold")
