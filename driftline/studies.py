@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, dynamics, families, forensics, grouped, innovations, joined, learn, metrics, ranking, relational, retro, views
+from driftline.operators import augment, dynamics, families, forensics, grouped, innovations, joined, learn, metrics, ranking, relational, retro, screen, views
 from driftline.plans import fits
 from driftline.plans.panel import PANEL_SQL, lineitem_panel, long_panel_sql, online
 from driftline.plans.staged import output, rendered, sql
@@ -397,6 +397,58 @@ labelled AS (SELECT *, CASE WHEN tau IS NULL OR start + 128 <= tau THEN 0 WHEN (
 rows_ AS (SELECT l.id, l.start, l.label, p.value, avg(p.value) OVER w AS m, stddev_pop(p.value) OVER w AS s FROM labelled l JOIN panel p ON p.id = l.id AND p.period = 2 AND p.step >= l.start AND p.step < l.start + 128 WHERE l.label IS NOT NULL WINDOW w AS (PARTITION BY l.id, l.start))
 SELECT id, start, label, round(sum(power((value - m) / s, 3)), 4) + 0.0 AS third FROM rows_ GROUP BY 1, 2, 3"""
 
+# Hidden breaks
+
+SIDE = 60
+
+
+def screened(spark: SparkSession, d: str) -> DataFrame:
+    panel = lineitem_panel(spark, d)
+    found = durable(screen.cases(panel, SIDE))
+    return screen.judged(durable(screen.statistics(screen.sides(panel, found, SIDE))), screen.STATISTICS)
+
+
+def screened_spectra(spark: SparkSession, d: str) -> DataFrame:
+    panel = lineitem_panel(spark, d)
+    rows = durable(screen.sides(panel, durable(screen.cases(panel, SIDE)), SIDE))
+    plain = screen.statistics(rows).select("case", "place", "broken", "after", "mean", "sd", "kurt", "ac1")
+    return screen.excess(screen.judged(plain.join(screen.spectra(rows), ["case", "place", "broken", "after"]), ["ac1", *screen.SPECTRUM]), screen.SPECTRUM)
+
+
+_UNBIASED = "(({1}) - 1) / CAST((({1}) - 2) * (({1}) - 3) AS DOUBLE) * ((({1}) + 1) * ({0}) + 6)"
+_KURT = lambda x: _UNBIASED.format(f"kurtosis_pop({x})", f"count({x})")
+_SCREEN_SQL = with_sql(PANEL_SQL) + f""",
+each AS (SELECT id, max(hist_len) AS h, max(onl_len) AS n, max(target) AS broken, min(CASE WHEN target = 1 THEN step END) AS tau FROM panel WHERE period = 2 GROUP BY id),
+fit AS (SELECT * FROM each WHERE broken = 0 OR (n - tau >= {SIDE} AND tau + h >= {SIDE})),
+dealt AS (SELECT *, n // 32 AS class, row_number() OVER (PARTITION BY n // 32, broken ORDER BY (id * 2654435761 + 1) % 4294967296, id) - 1 AS num FROM fit),
+sizes AS (SELECT class, count(*) AS many FROM dealt WHERE broken = 0 GROUP BY class),
+wanted AS (SELECT d.id AS b, d.tau, d.class, p.place, (d.num * 2 + p.place) % many AS spot FROM dealt d JOIN sizes USING (class), (VALUES (0), (1)) p(place) WHERE broken = 1 AND p.place < least(2, many)),
+cases AS (SELECT id AS b, 0 AS place, id, 1 AS broken, tau AS cut, h FROM fit WHERE broken = 1
+  UNION ALL SELECT w.b, w.place + 1, c.id, 0, least(w.tau, c.n - {SIDE}), c.h FROM wanted w JOIN dealt c ON c.broken = 0 AND c.class = w.class AND c.num = w.spot),
+kept AS (SELECT * FROM cases WHERE cut + h >= {SIDE} AND cut >= 0),
+sides AS (SELECT k.b, k.place, k.broken, p.step >= k.cut AS later, p.step - k.cut + CASE WHEN p.step >= k.cut THEN 0 ELSE {SIDE} END AS pos, value FROM kept k JOIN panel p ON p.id = k.id AND p.step >= k.cut - {SIDE} AND p.step < k.cut + {SIDE}),
+m AS (SELECT *, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS sd, count(*) OVER w AS n FROM sides WINDOW w AS (PARTITION BY b, place, broken, later)),
+z AS (SELECT *, (value - mean) / (sd + 1e-12) AS z FROM m),
+l AS (SELECT *, {", ".join(f"lag(z, {k}) OVER w AS z{k}" for k in (1, 3, 5, 10, 30))}, avg(z) OVER (PARTITION BY b, place, broken, later ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS near FROM z WINDOW w AS (PARTITION BY b, place, broken, later ORDER BY pos)),
+diffs AS (SELECT *, z - z1 AS d, lag(z - z1) OVER (PARTITION BY b, place, broken, later ORDER BY pos) AS d1 FROM l),
+stats AS (SELECT b, place, broken, later, first(mean) AS mean, first(sd) AS sd, {_KURT("value")} AS kurt, corr(z, z1) AS ac1, corr(z, z3) AS ac3, corr(z, z10) AS ac10, corr(z, z30) AS ac30, corr(z * z, z1 * z1) AS vol_ac1, corr(abs(z), abs(z5)) AS abs_ac5,
+    stddev_pop(d) AS diff_sd, {_KURT("d")} AS diff_kurt, corr(d, d1) AS turning, corr(z, z1 * z1) AS bend, quantile_cont(abs(z), 0.95) AS q95, quantile_cont(abs(z), 0.99) AS q99, avg(CASE WHEN z1 IS NOT NULL THEN CASE WHEN sign(z) <> sign(z1) THEN 1.0 ELSE 0.0 END END) AS crossing,
+    var_pop(CASE WHEN pos % 10 = 0 AND pos < n - 50 THEN near END) AS long_var FROM diffs GROUP BY b, place, broken, later),
+changes AS (SELECT x.b, x.place, x.broken, coalesce(abs(x.mean - y.mean) / (y.sd + 1e-12) <= 0.3 AND x.sd / (y.sd + 1e-12) BETWEEN 0.85 AND 1.18 AND abs(x.ac1 - y.ac1) <= 0.12 AND abs(x.kurt - y.kurt) <= 1.5, false) AS hidden, {", ".join(f"x.{c} - y.{c} AS {c}" for c in screen.STATISTICS)}
+  FROM stats x JOIN stats y ON x.b = y.b AND x.place = y.place AND x.broken = y.broken AND x.later AND NOT y.later)"""
+QUERIES["hidden_breaks"] = lambda spark, d: rounded(screened(spark, d).withColumn("broken", F.col("broken").cast("long")), ["case", "place", "broken", "hidden"], screen.STATISTICS, 5)
+ORACLE["hidden_breaks"] = _SCREEN_SQL + ' SELECT b AS "case", CAST(place AS BIGINT) AS place, CAST(broken AS BIGINT) AS broken, hidden, ' + ", ".join(f"round(CAST({c} AS DOUBLE), 5) + 0.0 AS {c}" for c in screen.STATISTICS) + " FROM changes"
+_EXCESS = ["sd_break", "sd_control", "ratio", "far_break", "far_control"]
+QUERIES["hidden_excess"] = lambda spark, d: rounded(screen.excess(screened(spark, d), screen.STATISTICS), ["hidden", "name", "breaks", "controls"], _EXCESS, 4)
+ORACLE["hidden_excess"] = _SCREEN_SQL + f""",
+long AS (UNPIVOT (SELECT hidden, broken, {", ".join(screen.STATISTICS)} FROM changes) ON {", ".join(screen.STATISTICS)} INTO NAME name VALUE d),
+spread AS (SELECT hidden, name, count(*) FILTER (broken = 1) AS breaks, count(*) FILTER (broken = 0) AS controls, stddev_samp(d) FILTER (broken = 1) AS sb, stddev_samp(d) FILTER (broken = 0) AS sc FROM long GROUP BY hidden, name)
+SELECT l.hidden, l.name, first(breaks) AS breaks, first(controls) AS controls, round(first(sb), 4) + 0.0 AS sd_break, round(first(sc), 4) + 0.0 AS sd_control, round(first(sb) / nullif(first(sc), 0), 4) + 0.0 AS ratio,
+  round(avg(CASE WHEN abs(d) > 2 * sc THEN 1.0 ELSE 0.0 END) FILTER (broken = 1), 4) + 0.0 AS far_break, round(avg(CASE WHEN abs(d) > 2 * sc THEN 1.0 ELSE 0.0 END) FILTER (broken = 0), 4) + 0.0 AS far_control
+FROM long l JOIN spread s ON l.hidden = s.hidden AND l.name = s.name GROUP BY l.hidden, l.name"""
+QUERIES["hidden_spectra"] = screened_spectra
+
+
 # Learners
 
 def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
