@@ -86,6 +86,8 @@ def _upper(q_norm, v_norm, low) -> np.ndarray:
 def best(q_rows, q, q_table, v_rows, v_ids, v, v_table, k: int, floor=None, step: int = 64) -> list[tuple[int, int, int, int]]:
     """(query's row, row, id, score) of each query's k best rows of a block; floor: scores below it need not come."""
     q_norm, v_norm, out = (q**2).sum(axis=1), (v**2).sum(axis=1), []
+    # Asked once a block: can doubles hold every sum of it?
+    plain = float(np.abs(v).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * q.shape[-1] < 2.0**53
     for i in range(len(q)):
         low = np.abs(v_table - q_table[i]).max(axis=1) if v_table.shape[1] else np.zeros(len(v))
         high = _upper(q_norm[i], v_norm, low)
@@ -97,7 +99,7 @@ def best(q_rows, q, q_table, v_rows, v_ids, v, v_table, k: int, floor=None, step
             if high[may[at]] < need:
                 break
             some = may[at : at + step]
-            got_s, got = np.append(got_s, scores(v[some], q[i])), np.append(got, some)
+            got_s, got = np.append(got_s, (v[some] @ q[i]).astype(np.int64) if plain else scores(v[some], q[i])), np.append(got, some)
             order = np.lexsort((v_rows[got], v_ids[got], ~got_s))[:k]  # ~x falls as x rises, for any long
             got_s, got = got_s[order], got[order]
             if len(got_s) == k:
