@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +42,17 @@ def ship(spark: SparkSession) -> None:
     sc._driftline_shipped = True
 
 
+def release(collect: bool = False) -> None:
+    """Give memory that a Python worker no longer needs back to the machine: workers live on from task to task, and what allocators hold back adds up."""
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _KEPT: list = []
 
 
@@ -50,6 +64,7 @@ def kept(key, make):
     """
     if not _KEPT or _KEPT[0][0] != key:
         _KEPT.clear()
+        release(collect=True)
         _KEPT.append((key, make()))
     return _KEPT[0][1]
 
