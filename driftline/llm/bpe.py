@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import kept, ship
+from driftline.session import kept, release, ship
 
 
 class State:
@@ -360,6 +360,7 @@ class ByteBpe:
                     decoded.append(said.hexdigest())
                 digests = pa.array([_digest(one.values) for one in lists], pa.string())
                 yield pa.StructArray.from_arrays([lists, digests, pa.array(decoded, pa.string())], ["ids", "ids_sha256", "decoded_sha256"])
+            release()
 
         return made(text)
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import ship, table
+from driftline.session import release, ship, table
 
 
 def _parts(lines: list[str], window: int, modulus: int | None, grow: bool) -> list[tuple[int, int]]:
@@ -98,6 +98,7 @@ def _chunks(text: Column, window: int, modulus: int | None, grow: bool, digest_s
                         found.append({"place": a, "size": b - a, "digest": digest(lines[a:b]), "pairs": pairs})
                 out.append(found)
             yield pa.array(out, kind)
+        release()
 
     return made(text)
 
@@ -114,6 +115,7 @@ def _bodies(text: Column, spans: Column) -> Column:
                 lines = t.as_py().split("\n")
                 out.append([s | {"body": "\n".join(lines[s["place"] : s["place"] + s["size"]])} for s in spans.as_py()])
             yield pa.array(out, kind)
+        release()
 
     return made(text, spans)
 
@@ -151,6 +153,7 @@ def _without(text: Column, places: Column, joined: bool) -> Column:
                 out.append("\n".join(line for i, line in enumerate(lines) if i not in off))
                 counts.append(len(spans))
             yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int32())], ["text", "removed"])
+        release()
 
     return made(text, places)
 

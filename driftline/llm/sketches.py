@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.components import connected_components
-from driftline.session import durable, ship
+from driftline.session import durable, release, ship
 
 
 def wide(similarity: float, bits: int) -> int:
@@ -125,6 +125,7 @@ def sketch(text: Column, words: int = 5, bits: int = 1280, keys: int = 23) -> Co
             sizes = np.cumsum([0, *map(len, found)])
             ks = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64()))
             yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), sk, ks], ["node", "sk", "keys"])
+        release()
 
     return made(text)
 
@@ -138,6 +139,7 @@ def _sets(text: Column, words: int) -> Column:
             sets = [shingles(t.as_py() or "", words).view(np.int64) for t in texts]
             sizes = np.cumsum([0, *map(len, sets)])
             yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets]), pa.int64()))
+        release()
 
     return made(text)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import durable, kept, ship
+from driftline.session import durable, kept, release, ship
 
 WORD = re.compile(r"[^\W_]+")
 QUOTED = re.compile(r'"[^"\n]+"|“[^”\n]+”|«[^»\n]+»|„[^“\n]+“')
@@ -328,6 +328,7 @@ def score(text: Column, model: Model, spark) -> Column:
         scorer = kept(("scorer", tuple(m.words), tuple(m.stems), m.weights), lambda: Scorer(m))
         for texts in batches:
             yield pa.array([scorer.score(t.as_py() or "") for t in texts], pa.float64())
+        release()
 
     return scored(text)
 
