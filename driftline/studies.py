@@ -189,6 +189,20 @@ for _name, _made in GROUPED.items():
     QUERIES[_name] = lambda spark, d, f=_made: f(lineitem_panel(spark, d))
 
 
+_TANH = "CASE WHEN best IS NOT NULL THEN 1 - 2 / (exp(least(2 * ({0}), 600)) + 1) END"
+QUERIES["every_split"] = lambda spark, d: rounded(forensics.every_split(lineitem_panel(spark, d)), ["id", "step"], forensics.SPLITS, 5)
+ORACLE["every_split"] = with_sql(PANEL_SQL) + f""",
+h AS (SELECT id, avg(value) AS m, var_pop(value) AS v FROM panel WHERE period = 1 GROUP BY id),
+x AS (SELECT p.id, p.step, (value - m) / sqrt(v + 1e-12) AS z FROM panel p JOIN h ON p.id = h.id WHERE period = 2),
+s AS (SELECT id, step + 1 AS k, sum(z) OVER w AS a, sum(z * z) OVER w AS b FROM x WINDOW w AS (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) UNION ALL SELECT id, 0, 0, 0 FROM h),
+parts AS (SELECT e.id, e.k - 1 AS step, f.k, CAST(e.k - f.k AS DOUBLE) AS n, (e.a - f.a) / (e.k - f.k) AS m, (e.b - f.b) / (e.k - f.k) AS q FROM s e JOIN s f ON e.id = f.id AND f.k <= e.k - 10),
+likely AS (SELECT id, step, k, n, n * m * m / 2 AS bm, n * (greatest(q - m * m, 1e-9) - 1 - ln(greatest(q - m * m, 1e-9))) / 2 AS bv FROM parts),
+top AS (SELECT id, step, max(bm + bv) AS best, arg_min(k, struct_pack(g := -(bm + bv), k := k)) AS k, max(bm) AS bm, max(bv) AS bv, max(bm + bv) FILTER (n <= 200) AS late FROM likely GROUP BY id, step),
+made AS (SELECT x.id, x.step, {_TANH.format("best / 20")} AS best, k / CAST(greatest(x.step, 1) AS DOUBLE) AS place, {_TANH.format("bm / 20")} AS mean, {_TANH.format("bv / 20")} AS variance, {_TANH.format("late / 20")} AS recent, {_TANH.format("(best - ln(greatest(x.step + 1, 2)) / 2) / 20")} AS excess
+  FROM x LEFT JOIN top ON x.id = top.id AND x.step = top.step)
+SELECT id, step, {", ".join(f"round(coalesce({c}, 0), 5) + 0.0 AS {c}" for c in forensics.SPLITS)} FROM made"""
+
+
 def frequency(panel: DataFrame) -> DataFrame:
     """The hundred channels of spectra and autocorrelations, side by side."""
     both = grouped.together(panel, {"short": grouped.spectra(None), "long": grouped.spectra(None, grouped.LONG_SPECTRA, 10, overlap=True)})
