@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, dynamics, families, forensics, grouped, innovations, joined, learn, metrics, ranking, relational, retro, screen, views
+from driftline.operators import augment, dynamics, families, forensics, grouped, innovations, joined, learn, metrics, pipelines, ranking, relational, retro, screen, views
 from driftline.plans import fits
 from driftline.plans.panel import PANEL_SQL, lineitem_panel, long_panel_sql, online
 from driftline.plans.staged import output, rendered, sql
@@ -495,6 +495,15 @@ def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["model_roundtrip"] = model_roundtrip
+def scorer_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A scorer of four fifths of the series, written as one pipeline, read again and applied to the others."""
+    rows, names = _rows(spark, d)
+    data, path = learn.folds(rows), f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    pipelines.saved(data.where("fold > 0"), names, path)
+    return metrics.ts_auc(pipelines.scored(data.where("fold = 0"), path))
+
+
+QUERIES["scorer_roundtrip"] = scorer_roundtrip
 QUERIES["rank_groups"] = lambda spark, d: learn.rank_groups(scored(spark, d), 40).groupBy("step", "chunk").agg(F.count("*").alias("n"))
 
 
