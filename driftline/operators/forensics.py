@@ -421,3 +421,30 @@ def divergences(window: int = 100) -> tuple[list[Stage], list[str]]:
             f"entropy_{n}": f"({plus(lambda k: f'h{k} * ln(h{k})')}) - ({plus(lambda k, v=v: f'{v}{k} * ln({v}{k})')})",
         }
     return [at, count, share, under, outs], list(outs)
+
+
+DIVERGENCES = divergences()[1]
+
+
+def divergence_rows(panel: DataFrame | None, window: int = 100):
+    """(id, step, the channels of divergences()): the same by running counts as one table a series, without a fit of its own."""
+
+    def rows(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        edges = np.quantile(h, np.arange(1, BINS) / BINS)
+        mine, theirs = np.searchsorted(edges, h), np.searchsorted(edges, o)
+        smooth = lambda share: (share + 1e-9) / (1 + BINS * 1e-9)
+        q = smooth(np.bincount(mine, minlength=BINS) / len(h))
+        middle = np.array([np.median(h[mine == k]) if (mine == k).any() else 0.0 for k in range(BINS)])
+        gap, n = np.diff(middle) / (h.std() + 1e-12), np.arange(1, len(o) + 1)
+        seen = np.concatenate([np.zeros((1, BINS)), np.cumsum(theirs[:, None] == np.arange(BINS), axis=0)])
+        begun, out = np.maximum(n - window, 0), []
+        for counts, total in ((seen[1:], n), (seen[1:] - seen[begun], n - begun)):
+            p = smooth(counts / total[:, None])
+            m, whole = (p + q) / 2, (p * np.log(p)).sum(axis=1)
+            out += [
+                ((p * np.log(p / m)).sum(axis=1) + (q * np.log(q / m)).sum(axis=1)) / 2, np.sqrt(np.maximum(0, 1 - np.sqrt(p * q).sum(axis=1))),
+                np.abs(np.cumsum(p, axis=1) - np.cumsum(q))[:, :-1] @ gap, (q * np.log(q)).sum() - whole,
+            ]
+        return np.column_stack(out)
+
+    return _by_series(panel, DIVERGENCES, rows)

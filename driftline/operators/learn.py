@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -48,17 +51,21 @@ def _scored(model, rows: DataFrame, *more: str) -> DataFrame:
     return model.transform(rows).select("id", "step", "target", *more, vector_to_array("probability")[1].alias("score"))
 
 
+def _out_of_fold(data: DataFrame, kind: str, n: int) -> DataFrame:
+    """Each fold's scores by a model of the others; the models are fitted side by side, as their passes are short."""
+    with ThreadPoolExecutor(n) as pool:
+        models = list(pool.map(lambda k: _learner(kind).fit(data.where(F.col("fold") != k)), range(n)))
+    parts = [_scored(m, data.where(F.col("fold") == k), "fold") for k, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validated(rows: DataFrame, names: list[str], kind: str = "logistic", n: int = 5) -> DataFrame:
     """(id, step, target, fold, score): scores of each fold from a model of the others.
 
     kind: "logistic" (on logits of the channels) or "trees" (gradient-boosted;
     it stands for boosters and step-wise rankers that Spark does not have).
     """
-    data, out = folds(_prepared(rows, names, kind), n), None
-    for k in range(n):
-        scored = _scored(_learner(kind).fit(data.where(F.col("fold") != k)), data.where(F.col("fold") == k), "fold")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    return _out_of_fold(folds(_prepared(rows, names, kind), n), kind, n)
 
 
 def holdout(rows: DataFrame, names: list[str], kind: str = "logistic", n: int = 5) -> DataFrame:
@@ -81,11 +88,7 @@ def ranker(rows: DataFrame, names: list[str], n: int = 5) -> DataFrame:
     np, all = F.sum("target").over(by), F.count("*").over(by)
     x = rows.select("id", "step", "target", (np * (all - np) / (all * all)).cast("double").alias("w"), *((F.coalesce(c, F.lit(0.0)) - F.avg(F.coalesce(c, F.lit(0.0))).over(by)).alias(c) for c in names))
     data = VectorAssembler(inputCols=names, outputCol="features").transform(x.where("w > 0")).withColumn("label", F.col("target").cast("double"))
-    data, out = folds(durable(data.select("id", "step", "target", "label", "w", "features")), n), None
-    for k in range(n):
-        scored = _scored(_learner("logistic").fit(data.where(F.col("fold") != k)), data.where(F.col("fold") == k), "fold")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    return _out_of_fold(folds(durable(data.select("id", "step", "target", "label", "w", "features")), n), "logistic", n)
 
 
 def rank_groups(rows: DataFrame, most: int = 8000, seed: int = 5) -> DataFrame:

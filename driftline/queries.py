@@ -336,7 +336,7 @@ c AS (SELECT o.id, o.step, count(*) FILTER (p.value < o.value) AS below, count(*
 ranked AS (SELECT c.id, c.step, below, upto, n FROM c JOIN h ON c.id = h.id), """ + sql("ranked", _RANK_VIEW, _RANK_NAMES)
 
 _DIV = forensics.divergences()
-QUERIES["divergences"] = lambda spark, d: output(rendered(online(p := lineitem_panel(spark, d), forensics.bin_reference(p)), _DIV[0]), _DIV[1])
+QUERIES["divergences"] = lambda spark, d: output(forensics.divergence_rows(lineitem_panel(spark, d)), _DIV[1])
 ORACLE["divergences"] = with_sql(PANEL_SQL, forensics.BIN_REFERENCE_SQL, ONLINE_SQL) + ", " + sql("online", *_DIV)
 
 
