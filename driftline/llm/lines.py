@@ -17,8 +17,8 @@ line's text the first occurrence stays. Copies of chunks go whole, without their
 lines being looked at. The queries use this. modulus=None has no boundaries: every
 two neighbouring lines are looked up, with the same result.
 
-Scale: a digest and a place move for each chunk, and each text once, to the spans
-that were nominated in it; bytes are compared and texts rewritten from there. A chunk in a third of all
+Scale: a digest and a place move for each chunk, and of texts those that hold
+nominated chunks; each text once more, to be rewritten. A chunk in a third of all
 documents is summed up before it is shuffled, its bytes too, and the join that
 tells its occurrences which is the first has one row a chunk on the other side,
 cut off as a table so that Spark may split the crowded key. Should two different
@@ -28,8 +28,8 @@ Edge cases: null texts stay null; empty texts and texts of one line stay as they
 are; chunks (or runs) without a word character are never removed. Rows that agree in id
 and text are one occurrence and are rewritten alike. A text whose chunks are all
 removed is empty. Extra columns pass through;
-removed is added; input columns named removed, places, spans, l_id, l_mark, gone_id
-or gone_mark give way.
+removed is added; input columns named removed, places, gone_id or gone_mark give
+way.
 """
 
 from __future__ import annotations
@@ -167,58 +167,43 @@ def _met_again(found: DataFrame) -> DataFrame:
     return found.join(first, "digest").select(*_WHO, "size", "digest", "first")
 
 
-def _nominated(docs: DataFrame, id: str, text: str, window: int, modulus: int | None, grow: bool, digest_size: int) -> DataFrame:
-    """(l_id, l_mark, spans): the spans of lines of a text whose digest is met more than once; later: not the first of them."""
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4, grow: bool = False, digest_size: int = 16) -> DataFrame:
+    """(id, mark, place, size) of every span of lines to be removed; mark is a hash of the text, so that id and mark name a row."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("text is not null")
     chunks = rows.select("id", "mark", F.explode(_chunks(F.col("text"), window, modulus, grow, digest_size)).alias("c")).select("id", "mark", "c.*")
     chunks = table(chunks if grow else chunks.drop("pairs"))
     later = ~F.struct(*_WHO).eqNullSafe(F.col("first"))
-    named = _met_again(chunks.select(*_WHO, "size", "digest")).select(*_WHO, "size", "digest", later.alias("later"))
+    named = _met_again(chunks.select(*_WHO, "size", "digest"))
     if grow:
         named = table(named)
-        copies = named.where("later").select(*(F.col(c).alias(f"c_{c}") for c in _WHO))
+        copies = named.where(later).select(*(F.col(c).alias(f"c_{c}") for c in _WHO))
         same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")) & (F.col("place") == F.col("c_place"))
         own = chunks.join(copies, same, "left_anti")
         # A chunk of two lines has no other neighbours than those it is made of.
         pairs = F.when(F.col("size") == 2, F.array("digest")).otherwise(F.col("pairs"))
         inner = own.select("id", "mark", F.col("place").alias("at"), F.posexplode(pairs).alias("k", "digest")).select("id", "mark", (F.col("at") + F.col("k")).alias("place"), F.lit(2).alias("size"), "digest")
-        named = named.unionByName(_met_again(table(inner)).select(*_WHO, "size", "digest", later.alias("later")))
-    listed = named.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "size", "digest", "later")).alias("spans"))
-    return listed.withColumnsRenamed({"id": "l_id", "mark": "l_mark"})
-
-
-def _compared(docs: DataFrame, id: str, text: str, window: int, modulus: int | None, grow: bool, digest_size: int) -> DataFrame:
-    """docs with places, the spans of lines to be removed (null: none), as a table; texts move once, to their spans."""
-    ship(docs.sparkSession)
-    listed = _nominated(docs, id, text, window, modulus, grow, digest_size)
-    mark = F.xxhash64(docs[text])
-    joined = table(docs.join(listed, docs[id].eqNullSafe(F.col("l_id")) & (mark == F.col("l_mark")), "left"))
-    bodies = joined.where("spans is not null").select(F.col("l_id").alias("id"), F.col("l_mark").alias("mark"), F.explode(_bodies(F.col(text), F.transform("spans", lambda x: x.dropFields("later")))).alias("b")).select("id", "mark", "b.*")
-    different = bodies.groupBy("digest", "body").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    span = lambda x: F.struct(x["place"].alias("place"), x["size"].alias("size"))
+        named = named.unionByName(_met_again(table(inner)))
+    named = table(named.withColumn("later", later).drop("first"))
+    listed = named.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "size", "digest")).alias("spans")).withColumnsRenamed({"id": "l_id", "mark": "l_mark"})
+    # Merged at every size: what is joined to the texts grows with them.
+    texts = rows.join(listed.hint("merge"), F.col("id").eqNullSafe(F.col("l_id")) & (F.col("mark") == F.col("l_mark")))
+    bodies = texts.select("id", "mark", F.explode(_bodies(F.col("text"), F.col("spans"))).alias("b")).select("id", "mark", "b.*")
+    different = table(bodies.groupBy("digest", "body").count().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     if different.isEmpty():
-        return joined.withColumn("places", F.transform(F.filter("spans", lambda x: x["later"]), span)).drop("l_id", "l_mark", "spans")
+        return named.where("later").select(*_WHO, "size")
     if grow:  # what copies hold was not looked at, on the word of their digests
-        return _compared(docs, id, text, window, None, False, digest_size)
+        return repeated(docs, id, text, modulus=None, digest_size=digest_size)
     first = table(bodies.groupBy("digest", "body").agg(F.min(F.struct(*_WHO)).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    found = bodies.join(first, ["digest", "body"]).where(~F.struct(*_WHO).eqNullSafe(F.col("first")))
-    gone = table(found.groupBy(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.collect_set(F.struct("place", "size")).alias("places")))
-    plain = joined.drop("l_id", "l_mark", "spans")
-    return plain.join(gone, plain[id].eqNullSafe(F.col("gone_id")) & (F.xxhash64(plain[text]) == F.col("gone_mark")), "left").drop("gone_id", "gone_mark")
-
-
-#: Input columns that give way.
-_OWN = ("places", "gone_id", "gone_mark", "removed", "l_id", "l_mark", "spans")
-
-
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4, grow: bool = False, digest_size: int = 16) -> DataFrame:
-    """(id, mark, place, size) of every span of lines to be removed; mark is a hash of the text, so that id and mark name a row."""
-    made = _compared(docs.drop(*_OWN), id, text, window, modulus, grow, digest_size)
-    return made.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.explode("places").alias("p")).select("id", "mark", "p.place", "p.size")
+    return bodies.join(first, ["digest", "body"]).where(later).select(*_WHO, "size").distinct()
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, modulus: int | None = 4, grow: bool = False, digest_size: int = 16) -> DataFrame:
     """docs with the repeated chunks (with grow, or without a modulus, runs) taken out of their texts, and removed, how many."""
-    made = _compared(docs.drop(*_OWN), id, text, window, modulus, grow, digest_size)
-    rewritten = made.withColumn("places", _without(F.col(text), F.col("places"), grow or modulus is None))
+    docs = docs.drop("places", "gone_id", "gone_mark", "removed")
+    gone = repeated(docs, id, text, window, modulus, grow, digest_size).groupBy("id", "mark").agg(F.collect_set(F.struct("place", "size")).alias("places"))
+    gone = table(gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "places"))
+    same = docs[id].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_mark"))
+    joined = docs.join(gone.hint("merge"), same, "left").drop("gone_id", "gone_mark")
+    rewritten = joined.withColumn("places", _without(F.col(text), F.col("places"), grow or modulus is None))
     return rewritten.withColumn(text, F.col("places.text")).withColumn("removed", F.col("places.removed")).drop("places")
