@@ -35,12 +35,17 @@ def windows(online: DataFrame, width: int = 128, stride: int = 16, lo: float = 0
     return kept.select("id", F.col("start").cast("long").alias("start"), "label", F.transform(F.slice("s", F.col("start") + 1, F.lit(width)), lambda x: x["value"]).alias("values"))
 
 
+def _given(value: Column, use) -> Column:
+    """use(value), with value made once: a lambda over it would otherwise hold its whole expression and make it anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def standardised(series: Column) -> Column:
-    """An array less its mean, by its deviation."""
-    n = F.size(series)
-    mean = F.aggregate(series, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(series, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.transform(series, lambda x: (x - mean) / F.sqrt(F.greatest(var, F.lit(1e-24))))
+    """An array less its mean, by its deviation. Work grows with its length."""
+    mean = lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s)
+    spread = lambda s, m: F.sqrt(F.greatest(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(s), F.lit(1e-24)))
+    scaled = lambda s, m, sd: F.transform(s, lambda x: (x - m) / sd)
+    return _given(series, lambda s: _given(mean(s), lambda m: _given(spread(s, m), lambda sd: scaled(s, m, sd))))
 
 
 def backward(panel: DataFrame) -> DataFrame:
