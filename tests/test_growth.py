@@ -1,9 +1,14 @@
 """Work that must grow no faster than the input."""
 
+import math
+
+import duckdb
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.operators import augment
+from driftline.plans import staged
 
 
 def test_standardising_reads_an_array_a_fixed_number_of_times(spark):
@@ -12,3 +17,33 @@ def test_standardising_reads_an_array_a_fixed_number_of_times(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 2  # one for the mean, one for the deviation, neither inside another's lambda
     assert np.abs(np.array(rows.first()["z"]) - (x - x.mean()) / x.std()).max() < 1e-9
+
+
+def test_exponential_means_of_many_series_are_those_of_each_by_itself():
+    rng = np.random.default_rng(3)
+    for lengths in ((1,), (1, 1, 1), (300, 1, 7, 129), (5, 2000)):
+        x, begins = rng.normal(size=(2, sum(lengths))), np.cumsum((0, *lengths[:-1]))
+        start = rng.normal(size=(2, len(lengths)))
+        got = staged.means_of_many(x, begins, 0.1, start)
+        for k, (b, n) in enumerate(zip(begins, lengths)):
+            for row in range(2):
+                assert np.abs(got[row, b : b + n] - staged.means(x[row, b : b + n], 0.1, start[row, k])).max() < 1e-12
+
+
+def test_exponential_means_go_on_over_batches_without_a_call_a_series(spark):
+    rows = spark.range(3).join(spark.range(-5, 4500).withColumnRenamed("id", "step")).withColumn("x", F.sin(F.col("step") + F.col("id")))
+    rows = rows.withColumn("kept", F.sum("x").over(Window.partitionBy("id").orderBy("step")))
+    made = staged.rendered(rows, [{"m": staged.ewma("x", 0.1, 2.0)}, {"after": staged.lag("m")}])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan  # no call a series, and columns that it does not read are not sent
+    got = made.toPandas().sort_values(["id", "step"])
+    for id, one in got.groupby("id"):
+        want = staged.means(one["x"].to_numpy()[5:], 0.1, 2.0)
+        assert np.abs(one["m"].to_numpy()[5:] - want).max() < 1e-12 and np.abs(one["m"].to_numpy()[:5] - 1.8).max() < 1e-12
+
+
+def test_rounding_takes_halves_as_other_engines_do(spark):
+    x = [0.28345, -0.28345, 1.00005, 0.5, -2.5, 19.99995, 1e300, float("nan"), None, -1e-9]
+    got = [r[1] for r in sorted(staged.output(spark.createDataFrame(list(enumerate(x)), "id long, v double"), ["v"], 4, ("id",)).collect())]
+    want = duckdb.sql("SELECT round(v, 4) + 0.0 FROM (SELECT unnest([0.28345, -0.28345, 1.00005, 0.5, -2.5, 19.99995]::DOUBLE[]) AS v)").fetchall()
+    assert got[:6] == [r[0] for r in want] and got[6] == 1e300 and math.isnan(got[7]) and got[8] is None and math.copysign(1, got[9]) == 1
