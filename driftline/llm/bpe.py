@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +35,10 @@ from pyspark.sql import functions as F
 from driftline.session import kept, release, ship
 
 
+#: Whether an array of 32-bit numbers is as ids are written.
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
 class State:
     """What a prefix of a piece leaves open.
 
@@ -57,7 +63,7 @@ class Transducer:
     them anew costs less than keeping them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], lookahead: int = 64, depth: int = 4, max_states: int = 50_000, max_pieces: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], lookahead: int = 64, depth: int = 4, max_states: int = 50_000, max_pieces: int = 200_000):
         self.ranks, self.lookahead, self.depth = ranks, lookahead, depth
         self.max_states, self.max_pieces = max_states, max_pieces
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -76,6 +82,7 @@ class Transducer:
                     self.rank_at.append(-1)
                 node = nxt
             self.rank_at[node] = rank
+        self.goes_on = [node in self.inner for node in range(len(self.rank_at))]
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
         self.bases: dict[int, State] = {}
@@ -114,25 +121,26 @@ class Transducer:
         merge across the border would ever have come before the one undone, the
         two tokens would not have come about.
         """
-        halves, ranks, raw = self._halves, self.ranks, self.bytes_of
-        if halves(right)[0] < 0:
+        halves, ranks, raw = self.halves, self.ranks, self.bytes_of
+        if (halves.get(right) or self._halves(right))[0] < 0:
             return False
         if left < 0:
             return True
-        limit = 1 << 62
+        limit, before, behind = 1 << 62, raw[left], raw[right]
         while True:
-            across = ranks.get(raw[left] + raw[right])
+            across = ranks.get(before + behind)
             if across is not None and across < limit:
                 return False
-            whole_left, whole_right = len(raw[left]) == 1, len(raw[right]) == 1
-            if whole_left and whole_right:
+            if len(before) == len(behind) == 1:
                 return True
-            if whole_right or (not whole_left and left > right):
+            if len(behind) == 1 or (len(before) > 1 and left > right):
                 limit = left
-                left = halves(left)[1]
+                left = (halves.get(left) or self._halves(left))[1]
+                before = raw[left]
             else:
                 limit = right + 1
-                right = halves(right)[0]
+                right = (halves.get(right) or self._halves(right))[0]
+                behind = raw[right]
 
     def _step(self, tokens: list, live: list, byte: int) -> tuple[int | None, list]:
         """The last token and the live starts after one more byte; tokens: the last token of each shorter prefix."""
@@ -211,6 +219,51 @@ class Transducer:
         got += self._back(tokens, len(tokens) - 1)
         return b"".join([t.to_bytes(4, "little") for t in got])
 
+    def _short(self, raw: bytes) -> bytes:
+        """_run() of a piece within the lookahead: no token leaves before its end, and behind its last byte nothing goes on."""
+        arc, rank_at, goes_on, pairs, fits = self.trie.get, self.rank_at, self.goes_on, self.pairs, self._fits
+        state, tokens = self._base(-1), [-1]
+        for b in raw[: self.depth]:
+            nxt = state.arcs.get(b)
+            if nxt is None:
+                nxt = state.arcs[b] = State(*self._step(tokens, state.live, b))
+                self.made += 1
+            state = nxt
+            tokens.append(state.token)
+        live, n, end = state.live, len(tokens) - 1, len(raw)
+        for b in raw[self.depth :]:
+            n += 1
+            on, token = [], None
+            for start, node in live:
+                node = arc(node << 8 | b)
+                if node is None:
+                    continue
+                if goes_on[node]:
+                    on.append((start, node))
+                if token is None and (t := rank_at[node]) >= 0:
+                    key = tokens[start] << 32 | t
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) > 200_000:
+                            pairs.clear()
+                        ok = pairs[key] = fits(tokens[start], t)
+                    if ok:
+                        token = t
+                        if n == end:
+                            break
+            if token is not None:
+                on.append((n, 0))
+            tokens.append(token)
+            live = on
+        if tokens[-1] is None:
+            raise ValueError("the rank table lacks single bytes")
+        out, length = [], self.length
+        while n:
+            t = tokens[n]
+            out.append(t)
+            n -= length[t]
+        return array("I", out[::-1]).tobytes() if _LITTLE else b"".join([t.to_bytes(4, "little") for t in out[::-1]])
+
     def piece(self, text: str) -> bytes:
         """The ids of one piece, as little-endian unsigned 32-bit integers."""
         out = self.older.get(text)
@@ -222,7 +275,7 @@ class Transducer:
         if whole is not None:
             out = whole.to_bytes(4, "little")
         else:
-            out = self._run(raw)
+            out = self._short(raw) if len(raw) <= self.lookahead else self._run(raw)
             if self.made > self.max_states:
                 self.bases.clear()
                 self.made = 0
@@ -303,7 +356,7 @@ def _decoded(ids: pa.Array, token, block: int) -> Iterator[str]:
     for k in range(0, len(ids), block):
         some = ids[k : k + block].to_numpy(zero_copy_only=False).tolist()
         try:
-            yield machine.feed(b"".join([token(i) for i in some]))
+            yield machine.feed(b"".join(map(token, some)))
         except (LookupError, TypeError) as e:
             raise ValueError("an id that the vocabulary lacks") from e
     yield machine.close()

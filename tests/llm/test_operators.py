@@ -351,3 +351,18 @@ def test_utf8_machine_across_blocks():
         assert m.feed(raw[:k]) + m.feed(raw[k:]) + m.close() == "aé日🙂"
     m = bpe.Utf8Machine()
     assert m.feed(b"\xf0\x9f") + m.close() == "�"
+
+
+def test_bpe_short_pieces_run_once_and_as_long_ones_do():
+    ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    machine, rng = bpe.Transducer(ranks), np.random.default_rng(4)
+    for n in (1, 2, 4, 5, 9, 30, 64):
+        for letters in (b"abent ing", bytes(range(256))):
+            raw = bytes(rng.choice(list(letters), n).tolist())
+            want = b"".join(t.to_bytes(4, "little") for t in machine.merge(raw))
+            assert machine._short(raw) == machine._run(raw) == want
+    ran = []
+    machine._short = machine._run = lambda raw: ran.append(raw) or b"\0\0\0\0"
+    for _ in range(2):
+        machine.encode("", lambda _: [f"~{k:x}~" for k in range(250_000)])
+    assert len(ran) == 250_000  # none is forgotten in between
