@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import augment
+from driftline.operators import augment, innovations
 from driftline.plans import staged
 
 
@@ -47,3 +47,11 @@ def test_rounding_takes_halves_as_other_engines_do(spark):
     got = [r[1] for r in sorted(staged.output(spark.createDataFrame(list(enumerate(x)), "id long, v double"), ["v"], 4, ("id",)).collect())]
     want = duckdb.sql("SELECT round(v, 4) + 0.0 FROM (SELECT unnest([0.28345, -0.28345, 1.00005, 0.5, -2.5, 19.99995]::DOUBLE[]) AS v)").fetchall()
     assert got[:6] == [r[0] for r in want] and got[6] == 1e300 and math.isnan(got[7]) and got[8] is None and math.copysign(1, got[9]) == 1
+
+
+def test_tables_of_students_t_are_made_once_and_scales_are_the_likeliest():
+    assert innovations._student_table(5) is innovations._student_table(5)
+    ref2 = np.square(np.random.default_rng(3).standard_t(5, 300))
+    for df, scale in zip((3, 5, 10), innovations._t_scales(ref2, (3, 5, 10))):
+        r = ref2 / scale**2
+        assert abs(((df + 1) * r / (df + r)).mean() - 1) < 1e-9
