@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, innovations
+from driftline.operators import augment, forensics, innovations
 from driftline.plans import staged
 
 
@@ -55,3 +55,18 @@ def test_tables_of_students_t_are_made_once_and_scales_are_the_likeliest():
     for df, scale in zip((3, 5, 10), innovations._t_scales(ref2, (3, 5, 10))):
         r = ref2 / scale**2
         assert abs(((df + 1) * r / (df + r)).mean() - 1) < 1e-9
+
+
+def test_prefixes_of_all_scan_steps_are_those_of_each_by_itself(monkeypatch):
+    rng = np.random.default_rng(5)
+    ref, z = forensics.Reference(rng.normal(size=90)), rng.normal(size=400).round(1)
+    ends = innovations.scan_steps(400)
+    for made in (ref.first, ref.second):
+        alone = np.concatenate([made(z[:t], np.array([t])) for t in ends])
+        for table in (1, 3000, forensics.TABLE):  # points of a table, however many ends there are
+            monkeypatch.setattr(forensics, "TABLE", table)
+            assert np.abs(forensics._at_ends(made, z, ends) - alone).max() < 1e-9
+    n, x = 57, z[:57]
+    got = dict(zip(forensics.PREFIX, ref.first(x, np.array([n]))[0]))
+    assert abs(got["half_mean"] - (x[n // 2 :].mean() - x[: n // 2].mean())) < 1e-12 and abs(got["dacf2"] - (np.corrcoef(x[:-2], x[2:])[0, 1] - ref.acf[2])) < 1e-12
+    assert abs(got["dlogmad"] - np.log((np.median(np.abs(x - np.median(x))) + 1e-9) / (ref.mad + 1e-9))) < 1e-12 and abs(got["dq25"] - np.quantile(x, 0.25) + ref.quantile[0.25]) < 1e-12
