@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, dynamics, forensics, innovations
+from driftline.operators import augment, dynamics, forensics, grouped, innovations
 from driftline.plans import staged
 
 
@@ -81,3 +81,12 @@ def test_decayed_sums_ask_for_the_weights_of_a_keep_once():
         y = v + 0.9 * y
         want.append(y)
     assert dynamics._fading.cache_info().misses == 1 and all(np.abs(g - want).max() < 1e-12 for g in got)
+
+
+def test_series_come_to_grouped_families_as_arrow_tables(spark):
+    points = [(i, t, float(10 * i + t), 1 if t < 3 else 2) for i in (7, 8) for t in (4, 0, 3, 1, 2)]
+    rows = spark.createDataFrame(points, "id long, time long, value double, period int").repartition(3)
+    made = grouped._by_series(rows, ["seen", "none"], lambda h, o: np.column_stack([o + h[0], np.full(len(o), np.nan)]))
+    assert "FlatMapGroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["step"]): (r["seen"], r["none"]) for r in made.collect()}
+    assert got == {(i, k): (20.0 * i + 3 + k, None) for i in (7, 8) for k in (0, 1)}  # what is not a number stays a null
