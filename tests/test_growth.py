@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -90,3 +91,11 @@ def test_series_come_to_grouped_families_as_arrow_tables(spark):
     assert "FlatMapGroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()
     got = {(r["id"], r["step"]): (r["seen"], r["none"]) for r in made.collect()}
     assert got == {(i, k): (20.0 * i + 3 + k, None) for i in (7, 8) for k in (0, 1)}  # what is not a number stays a null
+
+
+def test_a_series_is_whitened_as_an_arrow_table_in_any_order():
+    rng = np.random.default_rng(8)
+    rows = pa.table({"id": np.full(300, 4), "time": np.arange(300), "value": rng.normal(size=300), "period": np.where(np.arange(300) < 180, 1, 2)})
+    made = innovations._series(rows)
+    assert made.column_names[:5] == ["id", "step", "nu", "nc", "lz"] and made["step"].to_pylist()[-120:] == list(range(120))
+    assert made.equals(innovations._series(rows.take(rng.permutation(300))))
