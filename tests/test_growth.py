@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.operators import augment, dynamics, forensics, grouped, innovations
-from driftline.plans import staged
+from driftline.plans import fits, staged
+from driftline.plans.panel import from_table
 
 
 def test_standardising_reads_an_array_a_fixed_number_of_times(spark):
@@ -99,3 +100,21 @@ def test_a_series_is_whitened_as_an_arrow_table_in_any_order():
     made = innovations._series(rows)
     assert made.column_names[:5] == ["id", "step", "nu", "nc", "lz"] and made["step"].to_pylist()[-120:] == list(range(120))
     assert made.equals(innovations._series(rows.take(rng.permutation(300))))
+
+
+def test_a_trend_stands_beside_its_series_without_a_join(spark):
+    points = [(i, t, float((7 * t * t + 3 * i) % 11)) for i, n in ((1, 60), (2, 20), (3, 1)) for t in range(n)]
+    panel = from_table(spark.createDataFrame(points, "id long, t long, v double"), "id", ["t"], "v")
+    got = fits.fitted(panel, fits.trend)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # the panel is made once, not once for each pass over the history
+    rows = got.toPandas()
+    assert rows.groupby("id").size().to_dict() == {1: 24, 2: 8}  # a series without a history has no fit
+    y = np.array([p[2] for p in points if p[0] == 1])[:36]
+    slope, level = np.polyfit(np.arange(36), y, 1)
+    e = y - level - slope * np.arange(36)
+    one = rows[rows["id"] == 1].iloc[0]
+    want = {"hn": 36, "slope": slope, "level": level + slope * 35, "sd": math.sqrt((e * e).sum() / 35), "rho": (e[1:] * e[:-1]).sum() / (e * e).sum()}
+    assert all(abs(one[k] - v) < 1e-9 for k, v in want.items()) and abs(one["prev0"] - (y[-1] - want["level"]) / want["sd"]) < 1e-9
+    alone = fits.trend(panel).toPandas().set_index("id")
+    assert set(alone.index) == {1, 2} and all(abs(alone.loc[1, k] - v) < 1e-9 for k, v in want.items())
