@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import augment, dynamics, forensics, grouped, innovations
+from driftline.operators import augment, dynamics, forensics, grouped, innovations, learn
 from driftline.plans import fits, staged
 from driftline.plans.panel import from_table
 
@@ -118,3 +118,19 @@ def test_a_trend_stands_beside_its_series_without_a_join(spark):
     assert all(abs(one[k] - v) < 1e-9 for k, v in want.items()) and abs(one["prev0"] - (y[-1] - want["level"]) / want["sd"]) < 1e-9
     alone = fits.trend(panel).toPandas().set_index("id")
     assert set(alone.index) == {1, 2} and all(abs(alone.loc[1, k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_learners_weigh_steps_without_moving_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(i, s, i % 2, 0.1 * i + 0.01 * s) for i in range(8) for s in range(i + 1)], "id long, step long, target int, a double")
+    rows.write.parquet(f"{tmp_path}/rows")
+    made = learn.assembled(spark.read.parquet(f"{tmp_path}/rows"), ["a"], logits=False)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan  # a step's rows need not meet in one task
+    assert all(abs(r["w"] - 1 / (8 - r["step"])) < 1e-12 for r in made.collect()) and made.count() == rows.count()
+    middle = learn.by_step(rows, mean_0=F.avg("a"), pos=F.sum("target")).where("step = 7").first()
+    assert abs(middle["mean_0"] - 0.77) < 1e-12 and middle["pos"] == 1
+
+
+def test_only_so_many_models_are_fitted_side_by_side_as_memory_holds():
+    assert learn._side_by_side(1_000, 18, 5) == 5 and learn._side_by_side(0, 18, 5) == 5
+    assert learn._side_by_side(2_500_000, 18, 5) == 2 and learn._side_by_side(86_000_000, 18, 5) == 1
