@@ -1,16 +1,20 @@
 """A boosted ranker of series within steps: trees grown on the derivatives of a pairwise loss.
 
 Loss: log(1 + exp(worse - better)) over all pairs of a broken and a clean series
-at the same step (in the same chunk of a crowded step), each pair alike, as in the
-metric. A group's rows are one record: channels as bins of 8 bits, in arrays, some
-thousands of rows at most. Pairs are not made: scores of a group are few different
-values (or are taken in so many bins), and derivatives are sums over those.
-
-Scale: a pass over the groups answers with sums of derivatives by (model, node,
-channel, bin); a task adds up its groups first. What meets on the driver is that
-table, whose size the parameters bound, however many rows there are. A level of all
-trees of all folds is one pass; scores are made anew from the trees, so that
-nothing but the groups is stored and a lost task costs its own groups.
+at the same step, each pair alike, as in the metric. A group's rows are one record:
+channels as bins of 8 bits, in arrays, some thousands of rows at most; a crowded
+step is many records, and their rows meet each other all the same. Pairs are not
+made: a row's derivatives depend on the other class only through a smooth function
+of the row's score. Each record adds up its part of that function at fixed scores
+(NODES to a unit), a step's parts are added, and between those scores the function
+is a polynomial, as exact as a sum over the pairs themselves.
+
+Scale: a round begins with one pass for those sums, a row a step; a pass over the
+groups then answers with sums of derivatives by (model, node, channel, bin); a task
+adds up its groups first. What meets on the driver is that table, whose size the
+parameters bound, however many rows there are. A level of all trees of all folds is
+one pass; scores are made anew from the trees, so that nothing but the groups and
+the steps' sums is stored and a lost task costs its own groups.
 """
 
 from __future__ import annotations
@@ -29,20 +33,50 @@ from driftline.session import ship, table
 Tree = tuple[list[tuple[int, int]], np.ndarray]
 
 
+#: Scores in each unit at which sums over the other class are made. The nearest pole of what is added up is pi away, so 20 leave some 1e-16 of it.
+NODES = 20
+
+
+def _nodes(cells: np.ndarray) -> np.ndarray:
+    """The scores of units (from cells[k] to one more) at which sums are made, a row a unit."""
+    return cells[:, None] + 0.5 + 0.5 * np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES)
+
+
+def against(at: np.ndarray, score: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(4, scores): first and second derivatives of the loss of a broken row with each score at, over all clean ones of score, and of a
+    clean row over all broken ones."""
+    values, which = np.unique(score, return_inverse=True)
+    up, down = (np.bincount(which, y == c, len(values)) for c in (1, 0))
+    out, block = np.zeros((4, len(at))), max(1, 4_000_000 // max(1, len(values)))
+    for k in range(0, len(at), block):
+        ahead = np.clip(at[k : k + block, None] - values[None], -50, 50)
+        lost = 1 / (1 + np.exp(ahead))  # of a pair in which the row is the better one
+        flat = lost * (1 - lost)
+        out[:, k : k + block] = -(lost @ down), flat @ down, (1 - lost) @ up, flat @ up
+    return out
+
+
+def _between(sums: np.ndarray, cells: np.ndarray, score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of rows from against() at the nodes of cells, by the polynomials through them."""
+    values, which = np.unique(score, return_inverse=True)
+    k = np.clip(np.floor(values).astype(int) - int(cells[0]), 0, len(cells) - 1)
+    order = np.arange(NODES)
+    waves = np.cos(order[:, None] * np.pi * (order + 0.5) / NODES) * np.where(order == 0, 1.0, 2.0)[:, None] / NODES
+    parts = sums.reshape(4, len(cells), NODES) @ waves.T
+    here = np.polynomial.chebyshev.chebvander(2 * (values - cells[k]) - 1, NODES - 1)
+    made = np.einsum("vn,pvn->pv", here, parts[:, k])[:, which]
+    return np.where(y == 1, made[0], made[2]), np.where(y == 1, made[1], made[3])
+
+
 def derivatives(score: np.ndarray, y: np.ndarray, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the pairwise loss at each row's score. most: different values of scores, beyond which they are taken in bins by their means."""
+    """First and second derivatives of the pairwise loss at each row's score. most: different values of scores, beyond which sums over
+    the others are made at nodes, with the same result."""
     values, which = np.unique(score, return_inverse=True)
-    others, bin_of = values, which
     if len(values) > most:
-        bin_of = np.searchsorted(np.quantile(score, np.arange(1, most) / most), score, "right")
-        others = np.bincount(bin_of, score, most) / np.maximum(np.bincount(bin_of, minlength=most), 1)
-    up, down = (np.bincount(bin_of, y == c, len(others)) for c in (1, 0))
-    ahead = np.clip(values[:, None] - others[None], -50, 50)
-    lost = 1 / (1 + np.exp(ahead))  # of a pair in which the row is the better one
-    flat = lost * (1 - lost)
-    first = np.where(y == 1, -(lost @ down)[which], ((1 - lost) @ up)[which])
-    second = np.where(y == 1, (flat @ down)[which], (flat @ up)[which])
-    return first, second
+        cells = np.arange(np.floor(values[0]), np.floor(values[-1]) + 1)
+        return _between(against(_nodes(cells).ravel(), score, y), cells, score, y)
+    made = against(values, score, y)[:, which]
+    return np.where(y == 1, made[0], made[2]), np.where(y == 1, made[1], made[3])
 
 
 def walked(x: np.ndarray, splits: list[tuple[int, int]], depth: int) -> np.ndarray:
@@ -78,20 +112,48 @@ def _records(rows: pa.RecordBatch, channels: int):
         yield rows.column("step")[k].as_py(), of["id"], of["target"].astype(int), of["fold"].astype(int), of["x"].astype(int).reshape(-1, channels)
 
 
+def _cells(trees: list[Tree]) -> np.ndarray:
+    """The units that the trees' scores may lie in."""
+    return np.arange(np.floor(sum(v.min() for _, v in trees)), np.floor(sum(v.max() for _, v in trees)) + 1)
+
+
+def _beside(groups: DataFrame, models: list[list[Tree]], depth: int, channels: int) -> DataFrame:
+    """groups with others: against() of the step's rows at the nodes of each model, all its records together, of the rows that are not of
+    the model's fold. A step is one row of these sums, and steps are no more than the longest series has."""
+    cells = [_cells(trees) for trees in models]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for step, _, y, fold, x in _records(b, channels):
+                sums = [against(_nodes(cells[k]).ravel(), scored(x[fold != k], trees, depth), y[fold != k]).ravel() for k, trees in enumerate(models)]
+                yield pa.RecordBatch.from_arrays([pa.array([step]), pa.array([np.concatenate(sums)], pa.list_(pa.float64()))], ["step", "others"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        total = np.sum([v.values.to_numpy() for v in parts["others"]], axis=0)
+        return pa.table({"step": [parts["step"][0].as_py()], "others": pa.array([total], pa.list_(pa.float64()))})
+
+    schema = "step long, others array<double>"
+    sums = groups.mapInArrow(part, schema).groupBy("step").applyInArrow(added, schema)
+    return groups.join(F.broadcast(table(sums)), "step")
+
+
 def _sums(groups: DataFrame, models: list[list[Tree]], growing: list[list], level: int, depth: int, channels: int, bins: int) -> np.ndarray:
-    """(model, node, channel, bin, 2): sums of derivatives over all groups, of the rows that are not of the model's fold."""
+    """(model, node, channel, bin, 2): sums of derivatives over all groups (with others), of the rows that are not of the model's fold."""
     shape = (len(models), 1 << level, channels, bins, 2)
+    cells = [_cells(trees) for trees in models]
+    ends = np.cumsum([4 * NODES * len(c) for c in cells])[:-1]
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for b in batches:
-            for _, _, y, fold, x in _records(b, channels):
+            for n, (_, _, y, fold, x) in enumerate(_records(b, channels)):
+                others = np.split(b.column("others")[n].values.to_numpy(), ends)
                 for k, trees in enumerate(models):
                     mine = fold != k
-                    if len(set(y[mine])) < 2:
+                    if not mine.any():
                         continue
                     z = x[mine]
-                    made = derivatives(scored(z, trees, depth), y[mine])
+                    made = _between(others[k], cells[k], scored(z, trees, depth), y[mine])
                     node = walked(z, growing[k], level)
                     at = ((node[:, None] * channels + np.arange(channels)) * bins + z).ravel()
                     for d in (0, 1):
@@ -119,15 +181,16 @@ def best_split(sums: np.ndarray, ridge: float) -> tuple[int, int]:
 
 
 def listwise(rows: DataFrame, names: list[str], n: int = 5, rounds: int = 12, depth: int = 3, bins: int = 32, rate: float = 0.3, ridge: float = 1.0, most: int = 8000) -> DataFrame:
-    """(id, step, target, fold, score): each fold's scores by the trees of the others. most: rows of a step that are compared together."""
+    """(id, step, target, fold, score): each fold's scores by the trees of the others. most: rows of a step that are one record; all rows of a step are compared."""
     ship(rows.sparkSession)
     channels = len(names)
     groups, _ = grouped(rows, names, bins, most, n)
     models: list[list[Tree]] = [[] for _ in range(n)]
     for _ in range(rounds):
         growing: list[list] = [[] for _ in range(n)]
+        together = _beside(groups, models, depth, channels)
         for level in range(depth):
-            sums = _sums(groups, models, growing, level, depth, channels, bins)
+            sums = _sums(together, models, growing, level, depth, channels, bins)
             for k in range(n):
                 growing[k] += [best_split(node, ridge) for node in sums[k]]
         for k in range(n):

@@ -70,3 +70,17 @@ def test_chunks_of_a_crowded_step_and_no_rows(spark, channels):
     groups, _ = ranking.grouped(channels, names, 8, 30, 5)
     assert groups.agg(F.max(F.size("id"))).first()[0] <= 60
     assert ranking.listwise(channels.where("id < 0"), names, rounds=1).count() == 0
+
+
+def test_rows_of_a_crowded_step_meet_over_all_its_records(channels):
+    names = ["hill", "lean"]
+    by = lambda df: {(r["id"], r["step"]): r["score"] for r in df.collect()}
+    one, many = by(ranking.listwise(channels, names, rounds=2)), by(ranking.listwise(channels, names, rounds=2, most=30))
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-9 and len(set(one.values())) > 10
+
+
+def test_derivatives_lose_no_digits_to_many_scores():
+    rng = np.random.default_rng(5)
+    s, y = rng.normal(size=2000) * 3, rng.integers(0, 2, 2000)
+    for direct, nodes in zip(ranking.derivatives(s, y, 2000), ranking.derivatives(s, y, 256)):
+        assert np.abs(direct - nodes).max() < 1e-9
