@@ -47,7 +47,7 @@ def test_students_scores_and_calibration_are_those_of_the_rows(panel):
     agree(grouped.alone(panel.where("id < 3"), white.calibrated(200)), want, [c for c in want.columns if c not in ("id", "step")])
 
 
-@pytest.mark.parametrize("name", ["white_asinh", "white_student", "white_calibrated"])
+@pytest.mark.parametrize("name", ["white_asinh", "white_student", "white_calibrated", "white_battery"])
 def test_only_values_are_sent(spark, name):
     made = (queries.queries() | studies.queries())[name](spark, "/root/testdata/sf0.001")
     plan = made._jdf.queryExecution().executedPlan().toString()
