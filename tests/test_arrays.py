@@ -38,7 +38,7 @@ def test_whole_series_give_the_windows_rows(panel, made, windows):
             assert got[k][c] == (None if row[c] is None else pytest.approx(row[c], abs=1e-8)), (k, c)
 
 
-@pytest.mark.parametrize("name, columns", [("channels_joint", 535)])
+@pytest.mark.parametrize("name, columns", [("channels_joint", 535), ("frequency", 102)])
 def test_joined_tables_send_only_values(spark, name, columns):
     made = studies.queries()[name](spark, "/root/testdata/sf0.001")
     plan = made._jdf.queryExecution().executedPlan().toString()
